@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .linededup import OP10_SQL, op10_line_dedup
+from .linerules import OP9_SQL, op9_line_rules
+from .packing import op3_packing
+from .rans import op6_rans_tokens
 from .simhash import op2_simhash_near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash_near_dedup": op2_simhash_near_dedup}
+    return {
+        "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op3_packing": op3_packing,
+        "op6_rans_tokens": op6_rans_tokens,
+        "op9_line_rules": op9_line_rules,
+        "op10_line_dedup": op10_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_rules": OP9_SQL, "op10_line_dedup": OP10_SQL}
