@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow slice that the Python helpers look at together; bounds the memory of a worker.
 SLICE_ROWS = 256
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -7,6 +7,8 @@ over one row: nothing is shuffled, and no Python runs on the executors.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,10 @@ BLANK = " \t\n\x0b\x0c\r"
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Marks that may end a sentence or a quotation.
-ENDS = r"[.!?;:…。！？؟।)\]\"'”’»]$"
+ENDS = ".!?;:…。！？؟।)]\"'”’»"
 #: Fixed words of menus and of legal lines.
 NAVIGATION = r"^(home|menu|next|previous|prev|back|back to top|skip to content|read more|click here|login|log in|sign in|sign up|subscribe|share|search|contact|contact us|about|about us)[ .!:>»]*$"
-BOILERPLATE = r"(cookie policy|privacy policy|terms of (use|service)|all rights reserved|copyright ©|©|licensed under|javascript|lorem ipsum|powered by|permission is hereby granted|spdx-license-identifier)"
+BOILERPLATE = ("cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "©", "licensed under", "javascript", "lorem ipsum", "powered by", "permission is hereby granted", "spdx-license-identifier")
 #: A document is rejected if less than this share of its characters is in lines that stay.
 LEAST_SHARE = 0.5
 
@@ -47,13 +49,14 @@ def repeated_words_sql(words: str, n: str) -> str:
 def line_verdict(line: Column) -> Column:
     """True if a line stays: it has words, ends like a sentence, isn't a menu, isn't boilerplate."""
     trimmed = F.trim(line, F.lit(BLANK))
-    words = F.size(F.split(trimmed, BLANKS))
+    words = F.regexp_count(trimmed, F.lit(BLANKS)) + 1
     low = F.lower(trimmed)
     marks = symbols_in(trimmed) + F.char_length(trimmed) - F.char_length(F.replace(trimmed, F.lit("!!"), F.lit("!")))
-    punctuated = trimmed.rlike(ENDS) & (marks * 10 <= words * 3)
+    punctuated = (F.instr(F.lit(ENDS), F.right(trimmed, F.lit(1))) > 0) & (marks * 10 <= words * 3)
     bars = F.char_length(trimmed) - F.char_length(F.translate(trimmed, "|>»•", ""))
     navigation = (bars * 5 > words) | low.rlike(NAVIGATION)
-    return punctuated & ~navigation & ~low.rlike(BOILERPLATE)
+    boilerplate = reduce(lambda a, b: a | b, [low.contains(x) for x in BOILERPLATE])
+    return punctuated & ~navigation & ~boilerplate
 
 
 def line_rules(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -101,7 +104,7 @@ def _sql() -> str:
     low = "lower(t)"
     bars = "(length(t) - length(translate(t, '|>»•', '')))"
     marks = f"(length(t) - length(translate(t, '{SYMBOLS}', '')) + length(t) - length(replace(t, '!!', '!')))"
-    ends, nav, boiler = (x.replace("'", "''") for x in (ENDS, NAVIGATION, BOILERPLATE))
+    ends, nav, boiler = (x.replace("'", "''") for x in (ENDS, NAVIGATION, "|".join(BOILERPLATE)))
     return f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r,
@@ -120,7 +123,7 @@ WITH d AS (
   SELECT r, unnest(lines) AS line FROM d
 ), judged AS (
   SELECT r, length(line) AS chars,
-         regexp_matches(t, '{ends}') AND {marks} * 10 <= n * 3
+         contains('{ends}', right(t, 1)) AND {marks} * 10 <= n * 3
          AND NOT ({bars} * 5 > n OR regexp_matches({low}, '{nav}')) AND NOT regexp_matches({low}, '{boiler}') AS stays
   FROM (SELECT r, line, trim(line, {blank}) AS t, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n FROM split)
 ), shares AS (

@@ -1,27 +1,56 @@
 """Token ids of whole texts, through the tokenizers library.
 
-Texts are cut where the tokenizer always starts a new piece, and every distinct unit goes
-through the library once: frequent units are remembered by the worker, the others are
-deduplicated within a slice.  The result is the one of encoding the text as a whole.
+Texts are cut into units at places where the tokenizer always starts a new piece, and every
+distinct unit goes through the library once: a worker remembers the units it met first (the
+frequent ones), the others are deduplicated within a slice.  A word with a mark behind it is
+made of the word and the mark.  The result is that of encoding each text as a whole; texts
+with unusual white space are encoded as a whole.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 
-#: Units a worker remembers (about 200 bytes each).  Later ones are encoded slice by slice.
-REMEMBERED = 300_000
+#: Units a worker remembers (about 250 bytes each).
+REMEMBERED = 500_000
+#: Marks that are pieces of their own behind a letter.
+MARKS = frozenset(".,!?:;")
+#: Words of letters below this are their own normal form if they are in lower case.
+LATIN_END = "ɐ"
+
+
+def byte_letters() -> dict[int, int]:
+    """The byte-level alphabet as a translation of Latin-1: visible bytes stand for themselves, the others follow from 256."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+class _Units(dict):
+    """Numbers of units; a unit without one gets the next and is put down as new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+        self.next = 1
+
+    def __missing__(self, unit: str) -> int:
+        number = self[unit] = self.next
+        self.next += 1
+        self.new.append(unit)
+        return number
 
 
 class Encoder:
     """Encodes texts to ids with an end id after each.
 
-    led: the tokenizer lets a space lead the piece that follows it, so a space before a
-    character that isn't white space begins a unit.  Otherwise white space only separates
-    pieces and every space or line feed cuts.
+    led: the tokenizer lets a space lead the piece that follows it, and a lone line feed between
+    words is a piece.  Otherwise white space only separates pieces.
+    Units: ``word`` behind a space, ``\\0word`` at the start of a text, ``\\nword`` at a line's start.
     """
 
     def __init__(self, path: str, end_id: int, led: bool) -> None:
@@ -30,74 +59,125 @@ class Encoder:
 
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True
+        self._model = self._library.model
+        self._letters = byte_letters()
         self._led = led
-        self._first: dict[str, int] = {}
-        self._next: dict[str, int] = {}
+        self._units = _Units()
         self._flat = np.array([end_id], np.uint32)
-        self._at = np.zeros(1, np.int64)
         self._n = np.ones(1, np.int64)
+        self._marks = {m: self._whole([m])[0] for m in sorted(MARKS)}
+        self._break = self._whole(["\n"])[0]
         self.vocabulary = self._library.get_vocab_size(with_added_tokens=True)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._library.encode_batch(texts, add_special_tokens=False)]
-
-    def _add(self, ids: list[list[int]]) -> int:
-        """Store new units; their first number."""
-        at = len(self._n)
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        self._at = np.concatenate((self._at, len(self._flat) + np.cumsum(n) - n))
-        self._n = np.concatenate((self._n, n))
-        self._flat = np.concatenate((self._flat, np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))))
-        return at
-
-    def _learn(self, missing: dict[str, int], to: dict[str, int], lead: str) -> None:
-        at = self._add(self._whole([lead + u for u in missing]))
-        to.update(zip(missing, range(at, at + len(missing)), strict=True))
+        return [e.ids for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str, lead: str) -> list[int]:
+        """Ids of one word of Latin letters: one piece of the model."""
+        return [t.id for t in self._model.tokenize((lead + word).encode().decode("latin-1").translate(self._letters))]
+
+    def _plain(self, word: str) -> bool:
+        return word.isalpha() and (word.isascii() or max(word) < LATIN_END) and (self._led or word == word.lower() and unicodedata.is_normalized("NFC", word))
+
+    def _ids_of_new(self) -> list[list[int]]:
+        """Ids of the new units in order.  Units they are made of may join at the end."""
+        units, found = self._units, []
+        made: dict[int, tuple[list[int], str, list[int]]] = {}
+        whole: list[tuple[int, str]] = []
+        k = 0
+        while k < len(units.new):
+            unit = units.new[k]
+            start = unit[0] if self._led and unit and unit[0] in "\0\n" else ""
+            word = unit[len(start) :]
+            ids: list[int] = []
+            if self._plain(word):
+                if start == "\n":
+                    made[k] = (self._break, "\0" + word, [])
+                    units["\0" + word]  # noqa: B018  (it gets a number)
+                else:
+                    ids = self._word(word, "" if start or not self._led else " ")
+            elif len(word) > 1 and word[-1] in MARKS and word[-2].isalpha() and len(word[-2].lower()) == 1:
+                made[k] = ([], start + word[:-1], self._marks[word[-1]])
+                units[start + word[:-1]]  # noqa: B018
+            elif not self._led and word.isascii() and word != word.lower():
+                made[k] = ([], word.lower(), [])
+                units[word.lower()]  # noqa: B018
+            else:
+                whole.append((k, word if start == "\0" or not self._led else start + word if start else " " + word))
+            found.append(ids)
+            k += 1
+        for (at, _), ids in zip(whole, self._whole([t for _, t in whole]) if whole else [], strict=True):
+            found[at] = ids
+        if made:
+            base = units.next - len(units.new)
+            ends = np.cumsum(self._n)
+            todo = list(made)
+            while todo:  # a unit's parts may be made themselves, from units put down later
+                later = []
+                for at in reversed(todo):
+                    before, part, after = made[at]
+                    number = units[part]
+                    if number < base:
+                        ids = self._flat[ends[number] - self._n[number] : ends[number]].tolist()
+                    elif number - base in made:
+                        later.append(at)
+                        continue
+                    else:
+                        ids = found[number - base]
+                    found[at] = before + ids + after
+                    del made[at]
+                todo = later[::-1]
+        return found
+
+    def _usual(self, text: str) -> bool:
+        """True if single spaces and single line feeds are all the white space, between words."""
+        if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+            return False
+        return text.replace("\n", " ").isprintable()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other (uint32), and how many each has, end id included."""
+        units = self._units
         kept, size = len(self._n), len(self._flat)
-        if self._led:
-            split = [t.split(" ") for t in texts]
-            odd = [k for k, parts in enumerate(split) if any(not p or p[0] <= " " or p[0] > "\x7f" and p[0].isspace() for p in parts[1:] if p not in self._next)]
-        else:
-            split = [t.replace("\n", " ").split(" ") for t in texts]
-            odd = []
-        whole = set(odd)
-        new_first = {p[0]: 0 for k, p in enumerate(split) if k not in whole and p[0] not in self._first} if self._led else {}
-        new_next = {u: 0 for k, p in enumerate(split) if k not in whole for u in (p[1:] if self._led else p) if u not in self._next}
-        if new_first:
-            self._learn(new_first, self._first, "")
-        if new_next:
-            self._learn(new_next, self._next, " " if self._led else "")
-        alone = self._add(self._whole([texts[k] for k in odd])) if odd else 0
-        units: list[int] = []
+        flat: list[str] = []
         ends = np.zeros(len(texts), np.int64)
-        of_next, of_first = self._next.__getitem__, self._first.__getitem__
-        for k, parts in enumerate(split):
-            if k in whole:
-                units.append(alone)
-                alone += 1
-            elif self._led:
-                units.append(of_first(parts[0]))
-                units.extend(map(of_next, parts[1:]))
+        odd: list[int] = []
+        for k, text in enumerate(texts):
+            if not self._led:
+                flat += text.replace("\n", " ").split(" ")
+            elif self._usual(text):
+                flat += ("\0" + text).replace("\n", " \n").split(" ")
             else:
-                units.extend(map(of_next, parts))
-            units.append(0)
-            ends[k] = len(units)
-        u = np.array(units, np.int64)
-        n = self._n[u]
+                odd.append(k)
+            ends[k] = len(flat)
+        numbers = np.fromiter(map(units.__getitem__, flat), np.int64, len(flat))
+        if units.new:
+            self._append(self._ids_of_new())
+        if odd:  # each such text is a unit of this slice alone
+            first = len(self._n)
+            self._append(self._whole([texts[k] for k in odd]))
+            numbers = np.insert(numbers, ends[odd], first + np.arange(len(odd)))
+            ends += np.cumsum(np.isin(np.arange(len(texts)), odd))
+        numbers = np.insert(numbers, ends, 0)
+        n = self._n[numbers]
         total = np.cumsum(n)
-        where = np.repeat(self._at[u] - total + n, n) + np.arange(total[-1] if len(total) else 0)
-        ids = self._flat[where]
-        counts = np.diff(total[ends - 1], prepend=0) if len(texts) else np.zeros(0, np.int64)
-        if len(self._n) > REMEMBERED or odd:  # forget what is new
-            for units_of, new in ((self._first, new_first), (self._next, new_next)):
-                for x in new:
-                    del units_of[x]
-            self._at, self._n, self._flat = self._at[:kept], self._n[:kept], self._flat[:size]
+        begin = np.cumsum(self._n) - self._n
+        ids = self._flat[np.repeat(begin[numbers] - total + n, n) + np.arange(total[-1] if len(total) else 0)]
+        counts = np.diff(total[ends + np.arange(len(texts))], prepend=0)
+        if len(self._n) > REMEMBERED:  # forget what this slice brought
+            for unit in units.new:
+                del units[unit]
+            self._n, self._flat, units.next = self._n[:kept], self._flat[:size], kept
+        elif odd:
+            self._n, self._flat = self._n[:first], self._flat[: int(self._n[:first].sum())]
+        units.new = []
         return ids, counts
 
+    def _append(self, ids: list[list[int]]) -> None:
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._n = np.concatenate((self._n, n))
+        self._flat = np.concatenate((self._flat, np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))))
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str, end_id: int, led: bool) -> Encoder:
