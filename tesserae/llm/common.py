@@ -35,7 +35,7 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    writer = df.write  # the native buffers of a zstd writer for each of many small files add up
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
