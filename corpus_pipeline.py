@@ -1,21 +1,69 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+quality -> repeated lines -> near-duplicates -> benchmark leaks -> packing.  All stages but the
+last return the columns of documents; decisions are taken on what the stage before kept.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserae.llm.common import shared_dir, table
+from tesserae.llm.decontaminate import contaminated
+from tesserae.llm.linededup import drop_repeated_lines
+from tesserae.llm.packing import pack
+from tesserae.llm.resample import resample
+from tesserae.llm.simhash import near_duplicates
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling draws; rows without a doc_id go."""
+    drawn = resample(docs, table(spark, sf_dir, "labels")).select("doc_id").distinct()
+    return docs.join(drawn, "doc_id", "left_semi").select(docs.columns)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that live in another; n_chars follows the text."""
+    done = drop_repeated_lines(docs).withColumn("clean", F.array_join("kept", "\n"))
+    own = {"text": F.col("clean"), "n_chars": F.char_length("clean").cast("long")}
+    return done.select([own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
 
-STAGES: list = []
+def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one of the smallest doc_id."""
+    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
 
-#: SQL can't express the stages; tests hold them against brute force.
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    held = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(held, "doc_id", "left_anti").select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 2048 tokens."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 1)
+
+
+STAGES = [
+    ("quality", quality),
+    ("repeated lines", repeated_lines),
+    ("near duplicates", near_duplicate_groups),
+    ("benchmark leaks", benchmark_leaks),
+    ("packing", packing),
+]
+
+#: SQL can't express the learned, hashed and packing stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tesserae.llm.common import shared_dir
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{k}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -82,23 +82,32 @@ class LineRuns:
         return hashes.join(repeated, ["h1", "h2"]).where("doc_id <> last_doc").select("doc_id", "h1", "h2")
 
 
-def drop_repeated_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, batches: int = BATCHES) -> DataFrame:
-    """``doc_id, lines, kept`` (arrays of lines): the lines of each row before and after.
+def lost_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, batches: int = BATCHES) -> DataFrame:
+    """``doc_id, lost`` (a set of line hashes) of the documents that lose lines.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased.  Keys of at
     least ``least_chars`` code points in at least ``least_docs`` documents (distinct doc_ids) lose
-    all their lines but those of the largest doc_id.  Null text is one empty line; rows with equal
-    doc_id are one document; rows without doc_id lose nothing and count nowhere.
+    all their lines but those of the largest doc_id.
     """
     hashes = staged(line_hashes(docs, least_chars, batches), "line-hashes", "batch")
     runs = LineRuns()
     for k in range(batches):
         runs.add(hashes.where(F.col("batch") == k))
     repeated = staged(runs.repeated(least_docs), "repeated-lines")
-    lost = runs.lost(hashes, repeated).groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
-    lines = docs_of(docs).select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    return runs.lost(hashes, repeated).groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
+
+
+def drop_repeated_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, batches: int = BATCHES) -> DataFrame:
+    """``doc_id, row, lines, kept``: every row as a struct, and its lines before and after.
+
+    Null text is one empty line; rows with equal doc_id are one document; rows without doc_id
+    lose nothing and count nowhere; columns of any name travel within ``row``.
+    """
+    lost = lost_lines(docs, least_chars, least_docs, batches)
+    rows = docs.select(F.struct("*").alias("row"))
+    lines = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), "row", F.split(F.coalesce("row.text", F.lit("")), "\n", -1).alias("lines"))
     kept = F.filter("lines", lambda line: ~F.array_contains("lost", key_hash(line_key(line))))
-    return lines.join(lost, "doc_id", "left").select("doc_id", "lines", F.when(F.col("lost").isNull(), F.col("lines")).otherwise(kept).alias("kept"))
+    return lines.join(lost, "doc_id", "left").select("doc_id", "row", "lines", F.when(F.col("lost").isNull(), F.col("lines")).otherwise(kept).alias("kept"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

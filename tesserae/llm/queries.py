@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .blocks import op1_main_text
 from .decontaminate import op8_benchmark_decontamination
 from .languages import op4_language_mixture
 from .linededup import OP10_SQL, op10_line_dedup
@@ -19,6 +20,7 @@ from .toxicity import op7_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_main_text": op1_main_text,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_packing": op3_packing,
         "op4_language_mixture": op4_language_mixture,
