@@ -148,7 +148,8 @@ def grep(lines: DataFrame, pattern: str, regex: bool = False, case: bool = False
     body = rf"\b(?:{body})\b" if word else body
     java = body if case else f"(?i){body}"
     found = lines.where(F.col("line").contains(pattern)) if not regex and case and not word else lines.where(F.col("line").rlike(java))
-    at = F.regexp_instr("line", F.lit(java))
+    flags = "(?s)" if case else "(?si)"
+    at = F.char_length(F.regexp_extract("line", rf"{flags}^(.*?)(?:{body})", 1)) + 1  # in code points, unlike regexp_instr
     match = F.regexp_extract("line", java, 0)
     start = F.when(F.char_length("line") > 300, F.greatest(F.lit(1), at - 60)).otherwise(1)
     shown = F.substr(F.col("line"), start, F.lit(300))
