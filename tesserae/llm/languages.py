@@ -88,7 +88,7 @@ def learn(docs: DataFrame, labelled: DataFrame, most: int = TRAIN_DOCS) -> tuple
                 total[lang] = total.get(lang, 0) + sum(np.bincount(g, minlength=(1 << BITS) + 1)[: 1 << BITS] for g in grams)
         for lang, counts in total.items():
             seen = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen)), pa.array(seen), pa.array(counts[seen])], names=["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen), pa.array(counts[seen])], names=["lang", "bucket", "n"])
 
     # broadcast: a doc_id and a language for each of ``most`` documents of ``LANGUAGES`` languages
     marked = docs_of(docs).join(F.broadcast(sample(labelled, most)), "doc_id").select("text", "lang")

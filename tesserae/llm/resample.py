@@ -90,7 +90,7 @@ def weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
         for batch in slices(batches):
             bucket, doc = features(texts_of(batch))
             total = np.bincount(doc, weights=ratios[bucket], minlength=batch.num_rows)
-            total *= LENGTH / (np.bincount(doc, minlength=batch.num_rows) + EVEN)
+            total = total * (LENGTH / (np.bincount(doc, minlength=batch.num_rows) + EVEN))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(total)], names=["doc_id", "log_weight"])
 
     return docs_of(docs).mapInArrow(run, "doc_id long, log_weight double")
