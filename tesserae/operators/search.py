@@ -15,21 +15,37 @@ ALL_BUT_ONE = 8
 LEAST_SHARE = 0.6
 
 
-def fields_of(notes: DataFrame) -> DataFrame:
-    """``path, field, tokens`` of name, title and body."""
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), note_tokens(F.coalesce(F.col(c), F.lit(""))).alias("tokens")) for f, c in (("name", "name"), ("title", "title"), ("body", "text"))])
-    return notes.select("path", F.explode(fields).alias("f")).select("path", "f.field", "f.tokens")
+def term_rows(notes: DataFrame) -> DataFrame:
+    """``path, field, term``: a row for every token of name, title and body.
+
+    Tokens are cut in one pass of generated code; only tokens with Hangul go through the pairs.
+    """
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(c), F.lit("")).alias("text")) for f, c in (("name", "name"), ("title", "title"), ("body", "text"))])
+    texts = notes.select("path", F.explode(fields).alias("f")).select("path", "f.field", "f.text")
+    words = texts.select("path", "field", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("word")).where("word <> ''")
+    terms = F.when(F.col("word").rlike("[가-힣]"), note_tokens("word")).otherwise(F.array("word"))
+    return words.select("path", "field", F.explode(terms).alias("term"))
 
 
 def postings(notes: DataFrame) -> DataFrame:
-    """``term, field, path, tf, len``: len is the number of distinct terms of the field in the note."""
-    tokens = fields_of(notes).select("path", "field", F.size(F.array_distinct("tokens")).alias("len"), F.explode("tokens").alias("term"))
-    return tokens.groupBy("term", "field", "path", "len").agg(F.count("*").alias("tf"))
+    """``term, field, path, tf, len``: len is the number of distinct terms of the field in the note.
+
+    One shuffle, by note and field, serves the counts and the lengths.
+    """
+    rows = term_rows(notes).repartition("path", "field")
+    counted = rows.groupBy("path", "field", "term").agg(F.count("*").alias("tf"))
+    return counted.select("term", "field", "path", F.count("*").over(W.partitionBy("path", "field")).alias("len"), "tf")
 
 
 def field_lengths(notes: DataFrame) -> DataFrame:
     """``field, avg_len, n_docs`` over all notes."""
-    return fields_of(notes).groupBy("field").agg(F.avg(F.size(F.array_distinct("tokens"))).alias("avg_len"), F.count("*").alias("n_docs"))
+    return lengths_of(postings(notes), notes.count())
+
+
+def lengths_of(posted: DataFrame, n_docs: int) -> DataFrame:
+    """``field, avg_len, n_docs``; a note without a term in a field has length 0 there."""
+    per = posted.groupBy("field").agg((F.count("*") / F.lit(n_docs)).alias("avg_len"))
+    return per.withColumn("n_docs", F.lit(n_docs).cast("long"))
 
 
 def vocabulary(posted: DataFrame) -> DataFrame:

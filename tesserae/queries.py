@@ -315,8 +315,10 @@ def fts_sql(expanded: str, values: str = VALUES) -> tuple[str, str]:
 
 
 def index_of(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and field lengths; the postings are kept, as every stage of a search reads them."""
     n = notes(s, d)
-    return search.postings(n), search.field_lengths(n)
+    posted = search.postings(n).cache()
+    return posted, search.lengths_of(posted, n.count())
 
 
 registered("fts2_index", lambda s, d: search.postings(notes(s, d)).groupBy("field").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_tokens"), F.count_distinct("term").alias("n_terms")),
