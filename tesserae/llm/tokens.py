@@ -12,11 +12,12 @@ from __future__ import annotations
 import os
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
 #: Units a worker remembers (about 250 bytes each).
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 #: Marks that are pieces of their own behind a letter.
 MARKS = frozenset(".,!?:;")
 #: Words of letters below this are their own normal form if they are in lower case.
@@ -61,6 +62,7 @@ class Encoder:
         self._library.encode_special_tokens = True
         self._model = self._library.model
         self._letters = byte_letters()
+        self._space = chr(self._letters[32])
         self._led = led
         self._units = _Units()
         self._flat = np.array([end_id], np.uint32)
@@ -74,6 +76,8 @@ class Encoder:
 
     def _word(self, word: str, lead: str) -> list[int]:
         """Ids of one word of Latin letters: one piece of the model."""
+        if word.isascii():  # ASCII letters stand for themselves
+            return [t.id for t in self._model.tokenize(self._space + word if lead else word)]
         return [t.id for t in self._model.tokenize((lead + word).encode().decode("latin-1").translate(self._letters))]
 
     def _plain(self, word: str) -> bool:
@@ -176,7 +180,7 @@ class Encoder:
     def _append(self, ids: list[list[int]]) -> None:
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         self._n = np.concatenate((self._n, n))
-        self._flat = np.concatenate((self._flat, np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))))
+        self._flat = np.concatenate((self._flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))))
 
 
 @lru_cache(maxsize=4)
