@@ -46,13 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds few rows and, but for one long row, few bytes."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        step = max(1, min(SLICE_ROWS, int(n * SLICE_BYTES / max(1, batch.nbytes))))
+        step = max(1, min(rows, int(n * SLICE_BYTES / max(1, batch.nbytes))))
         for at in range(0, n, step):
             yield batch.slice(at, step)
 

@@ -30,6 +30,8 @@ LANES = 1024
 BLOCK_TOKENS = 1 << 18
 #: Steps (of one token a lane) between checkpoints.
 CHECKPOINT_STEPS = 128
+#: Rows that are tokenised together at most: the more, the fewer units are looked up.
+SLICE_ROWS = 4096
 #: Frequencies sum up to this power of two.
 BITS = 18
 LOW = np.uint64(1 << 31)
@@ -150,7 +152,7 @@ def _tokenised(docs: DataFrame, path: str, end_id: int, led: bool) -> DataFrame:
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["shard", "block", "first", "doc_ids", "counts", "ids"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_ROWS):
             some, counts = enc.encode(texts_of(batch))
             names.append(column(batch, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64))
             sizes.append(counts)

@@ -15,6 +15,8 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Units a worker remembers (about 250 bytes each).
 REMEMBERED = 800_000
@@ -22,6 +24,11 @@ REMEMBERED = 800_000
 MARKS = frozenset(".,!?:;")
 #: Words of letters below this are their own normal form if they are in lower case.
 LATIN_END = "ɐ"
+#: Kinds of bytes: 1 ASCII letters, 2 other visible ASCII characters.
+KINDS = np.array([1 if chr(b).isalpha() else 2 if 32 < b < 127 else 0 for b in range(128)] + [0] * 128, np.uint8)
+#: Line feeds as spaces; the same with ASCII letters in lower case.
+SPACED = np.array([32 if b == 10 else b for b in range(256)], np.uint8)
+LOWERED = np.array([b + 32 if 65 <= b <= 90 else int(SPACED[b]) for b in range(256)], np.uint8)
 
 
 def byte_letters() -> dict[int, int]:
@@ -139,22 +146,46 @@ class Encoder:
             return False
         return text.replace("\n", " ").isprintable()
 
+    def _separated(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the units of all texts, and where each text ends, if white space only separates.
+
+        A new piece starts between a letter and a mark or digit on either side (but behind an
+        apostrophe), so that a space put there changes nothing, nor do small letters for ASCII
+        ones: the tokenizer makes them so, after composing letters with combining marks.
+        """
+        given = pa.array(texts, pa.large_string())
+        bounds = np.frombuffer(given.buffers()[1], np.int64, len(texts) + 1)
+        data = np.frombuffer(given.buffers()[2], np.uint8, int(bounds[-1])) if bounds[-1] else np.zeros(0, np.uint8)
+        kind = KINDS[data]
+        latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))  # two-byte letters, without signs
+        kind[latin] = kind[latin + 1] = 1
+        joint = np.flatnonzero((kind[:-1] | kind[1:] == 3) & ((kind[1:] == 2) | (data[:-1] != ord("'")))) + 1
+        combining = ((data == 0xCC) | (data == 0xCD)).any()
+        data = np.insert((SPACED if combining else LOWERED)[data], joint, ord(" "))
+        bounds = bounds + np.searchsorted(joint, bounds)
+        words = pc.split_pattern(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(bounds), pa.py_buffer(data)), " ")
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self._units.__getitem__, distinct), np.int64, len(distinct))
+        return numbers[coded.indices.to_numpy()], np.cumsum(words.value_lengths().to_numpy()).astype(np.int64)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other (uint32), and how many each has, end id included."""
         units = self._units
         kept, size = len(self._n), len(self._flat)
-        flat: list[str] = []
-        ends = np.zeros(len(texts), np.int64)
         odd: list[int] = []
-        for k, text in enumerate(texts):
-            if not self._led:
-                flat += text.replace("\n", " ").split(" ")
-            elif self._usual(text):
-                flat += ("\0" + text).replace("\n", " \n").split(" ")
-            else:
-                odd.append(k)
-            ends[k] = len(flat)
-        numbers = np.fromiter(map(units.__getitem__, flat), np.int64, len(flat))
+        if self._led:
+            flat: list[str] = []
+            ends = np.zeros(len(texts), np.int64)
+            for k, text in enumerate(texts):
+                if self._usual(text):
+                    flat += ("\0" + text).replace("\n", " \n").split(" ")
+                else:
+                    odd.append(k)
+                ends[k] = len(flat)
+            numbers = np.fromiter(map(units.__getitem__, flat), np.int64, len(flat))
+        else:
+            numbers, ends = self._separated(texts)
         if units.new:
             self._append(self._ids_of_new())
         if odd:  # each such text is a unit of this slice alone
