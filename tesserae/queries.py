@@ -44,7 +44,7 @@ def graph_of(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame,
     n = notes(s, d)
     names = graph.resolver(n)
     e = graph.edges(graph.resolve(links_of(n), names))
-    related = n.where("doc_id % 5 = 0").select("path", F.lit("related").alias("key"), F.array(F.concat(F.lit("[[doc-"), (F.col("doc_id") + 3).cast("string"), F.lit("|x]] (see)"))).alias("values"))
+    related = n.where("status is not null").select("path", F.lit("related").alias("key"), F.array(F.concat(F.lit("[[doc-"), (F.col("doc_id") + 3).cast("string"), F.lit("|x]] (see)"))).alias("values"))
     r = graph.relations(related.unionByName(properties(n).where("key = 'status'")), names)
     return n, names, e, r
 
@@ -68,7 +68,7 @@ links AS (SELECT path, unnest(targets) AS target FROM notes), asked AS (
 ), resolved AS (SELECT path, target, dst FROM ranked WHERE r = 1), edges AS (SELECT DISTINCT path AS src, dst FROM resolved WHERE path <> dst),
 rel_cand AS (
   SELECT n.path, k.path AS dst, row_number() OVER (PARTITION BY n.path ORDER BY CASE WHEN split_part(n.path, '/', 1) <> split_part(k.path, '/', 1) THEN 0 WHEN split_part(n.path, '/', 2) <> split_part(k.path, '/', 2) THEN 1 ELSE 2 END DESC, k.path) AS r
-  FROM notes n JOIN names k ON k.key = 'doc-' || (n.doc_id + 3) WHERE n.doc_id % 5 = 0
+  FROM notes n JOIN names k ON k.key = 'doc-' || (n.doc_id + 3) WHERE n.status IS NOT NULL
 ), relations AS (SELECT path AS src, 'related' AS type, dst FROM rel_cand WHERE r = 1 AND path <> dst),
 label AS (SELECT path, coalesce(nullif(trim(title), ''), name) AS label FROM notes)
 """
@@ -263,10 +263,10 @@ registered("aud6_doctor", doctor, " UNION ALL ".join(f"SELECT '{c}' AS \"check\"
 
 
 def mentions(s: SparkSession, d: str) -> DataFrame:
-    """Names of one word in other notes' prose, from the most frequent words as names."""
+    """Names of one word in other notes' prose: the second word of every text is its name."""
     n, _, e, r = graph_of(s, d)
     lines = extract.line_table(n.select("path", F.col("text").alias("raw")))
-    names = n.where("doc_id < 400").select(F.lower(F.element_at(F.split(F.regexp_replace("text", r"[^\p{L}\p{N}_\s]", ""), r"\s+"), 2)).alias("key"), "path").where("char_length(key) >= 6")
+    names = n.select(F.lower(F.try_element_at(F.split(F.regexp_replace("text", r"[^\p{L}\p{N}_\s]", ""), r"\s+"), F.lit(2))).alias("key"), "path").where("char_length(key) >= 6")
     one = names.groupBy("key").agg(F.min("path").alias("path"), F.count("*").alias("n_candidates"))
     return graph.unlinked_mentions(n, lines, one, e, r).select("dst", "src", "n", "first_ln")
 
@@ -356,8 +356,8 @@ def saved_over_corpus(s: SparkSession, d: str) -> DataFrame:
 registered("qry4_saved_queries", saved_over_corpus,
     "SELECT query_path, 0 AS ln, path, CAST(pos AS INTEGER) AS pos, total FROM (SELECT q.path AS query_path, n.path, row_number() OVER (PARTITION BY q.path ORDER BY n.path) AS pos, count(*) OVER (PARTITION BY q.path) AS total FROM (SELECT topic, min(path) AS path FROM notes GROUP BY 1) q JOIN notes n ON n.topic = q.topic WHERE n.doc_kind IN ('plan', 'adr')) WHERE pos <= 4", NOTES_SQL)
 registered("qck1_entries", lambda s, d: search.quick_entries(notes(s, d)).select("path", "key"), "SELECT DISTINCT path, key FROM (SELECT path, name AS key FROM notes UNION ALL SELECT path, lower(trim(title)) FROM notes WHERE trim(title) <> '')", NOTES_SQL)
-registered("qck3_quick_search", lambda s, d: search.quick_search(search.quick_entries(notes(s, d)).where("key like 'doc-12%'"), "doc-12"),
-    "SELECT path, CAST(CASE WHEN name = 'doc-12' THEN 1000 ELSE 800 - (length(name) - 6) END AS INTEGER) AS score FROM notes WHERE name LIKE 'doc-12%' ORDER BY 2 DESC, 1 LIMIT 30", NOTES_SQL)
+registered("qck3_quick_search", lambda s, d: search.quick_search(search.quick_entries(notes(s, d)), "doc-1"),
+    "SELECT path, CAST(CASE WHEN name = 'doc-1' THEN 1000 ELSE 800 - (length(name) - 5) END AS INTEGER) AS score FROM notes WHERE name LIKE 'doc-1%' ORDER BY 2 DESC, 1 LIMIT 30", NOTES_SQL)
 registered("qck4_consonants", lambda s, d: notes(s, d).where("status is not null").groupBy("status").agg(F.count("*").alias("n")).select(T.consonants("status").alias("key"), "n"),
     "SELECT CASE status WHEN '완료' THEN 'ㅇㄹ' ELSE 'ㅈㅎ ㅈ' END AS key, count(*) AS n FROM notes WHERE status IS NOT NULL GROUP BY 1", NOTES_SQL)
 registered("qck5_completion", lambda s, d: search.link_completion(notes(s, d), "doc-9"), "SELECT path, 2 AS score FROM notes WHERE name LIKE 'doc-9%' ORDER BY path LIMIT 50", NOTES_SQL)
@@ -366,8 +366,7 @@ registered("qck7_recent", lambda s, d: usage.recent_opens(usage_events(s, d)), "
 
 def unified_search(s: SparkSession, d: str) -> DataFrame:
     n = notes(s, d)
-    entries = search.quick_entries(n)
-    files = search.quick_search(entries.where("key like 'doc-7%'"), "doc-7")
+    files = search.quick_search(search.quick_entries(n), "doc-1")
     hits = search.search(s.createDataFrame([(0, "trash idiot")], "qid int, query string"), *index_of(s, d), limit=30, prefix=False, fuzzy=False)
     tags = n.where(F.exists("tags", lambda t: t == "Len/long")).select("path", F.lit(500).alias("score"))
     return search.unified(files, hits, tags, n.where("topic = 'src7' and doc_kind = 'adr'"))
@@ -375,7 +374,7 @@ def unified_search(s: SparkSession, d: str) -> DataFrame:
 
 registered("qck6_unified", unified_search,
     """SELECT arg_max(kind, (score, kind)) AS kind, path, max(score) AS score FROM (
-      SELECT * FROM (SELECT 'file' AS kind, path, CAST(CASE WHEN name = 'doc-7' THEN 1000 ELSE 800 - (length(name) - 5) END AS DOUBLE) AS score FROM notes WHERE name LIKE 'doc-7%' ORDER BY 3 DESC, 2 LIMIT 30)
+      SELECT * FROM (SELECT 'file' AS kind, path, CAST(CASE WHEN name = 'doc-1' THEN 1000 ELSE 800 - (length(name) - 5) END AS DOUBLE) AS score FROM notes WHERE name LIKE 'doc-1%' ORDER BY 3 DESC, 2 LIMIT 30)
       UNION ALL SELECT 'content', path, score * 60 FROM ranked WHERE rank <= 30
       UNION ALL SELECT 'tag', path, 500 * 0.85 FROM notes WHERE list_contains(tags, 'Len/long') UNION ALL SELECT 'facet', path, 700.0 FROM notes WHERE topic = 'src7' AND doc_kind = 'adr')
     GROUP BY path ORDER BY 3 DESC, 2 LIMIT 30""", *fts_sql(EXACT_SQL, "(0, 'trash idiot')"))

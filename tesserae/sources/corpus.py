@@ -94,15 +94,15 @@ props AS (
 
 
 def changed_files(of: DataFrame) -> DataFrame:
-    """A second snapshot of the files: some gone, some touched, some new."""
-    kept = of.where("doc_id % 11 <> 3").selectExpr("path", "CASE WHEN doc_id % 7 = 1 THEN mtime_ms + 1000 ELSE mtime_ms END AS mtime_ms", "size")
-    new = of.where("doc_id % 13 = 5").selectExpr("'new/' || path AS path", "mtime_ms", "size")
+    """A second snapshot of the files: notes under way gone, long notes touched, new ones beside those done."""
+    kept = of.where("NOT status <=> '진행 중'").selectExpr("path", "CASE WHEN size > 2000 THEN mtime_ms + 1000 ELSE mtime_ms END AS mtime_ms", "size")
+    new = of.where("status = '완료'").selectExpr("'new/' || path AS path", "mtime_ms", "size")
     return kept.unionByName(new)
 
 
 CHANGED_SQL = """
 files2 AS (
-  SELECT path, CASE WHEN doc_id % 7 = 1 THEN mtime_ms + 1000 ELSE mtime_ms END AS mtime_ms, size FROM notes WHERE doc_id % 11 <> 3
-  UNION ALL SELECT 'new/' || path, mtime_ms, size FROM notes WHERE doc_id % 13 = 5
+  SELECT path, CASE WHEN size > 2000 THEN mtime_ms + 1000 ELSE mtime_ms END AS mtime_ms, size FROM notes WHERE status IS DISTINCT FROM '진행 중'
+  UNION ALL SELECT 'new/' || path, mtime_ms, size FROM notes WHERE status = '완료'
 )
 """

@@ -1,12 +1,15 @@
 """Registered corpus queries against their DuckDB twins."""
 
+from collections import defaultdict
+
 import duckdb
 import pytest
+import regex
 
 from tesserae import queries as Q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["src6_wikilinks", "src10_tasks", "flt4_nested_tags", "grf3_resolve", "grf10_broken_links", "agg7_tag_index", "aud1_tag_issues", "fts3_bm25", "fts5_ladder", "qry1_corpus_query", "usg6_sessions", "chg1_diff"]
+SOME = ["src6_wikilinks", "src10_tasks", "flt4_nested_tags", "grf3_resolve", "grf10_broken_links", "agg7_tag_index", "aud1_tag_issues", "fts3_bm25", "fts5_ladder", "qry1_corpus_query", "usg6_sessions", "chg1_diff", "qck3_quick_search"]
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +31,32 @@ def test_equals_its_twin(spark, sf, duck, name):
     assert sorted((tuple(rounded(r[c]) for c in cols) for r in df.collect()), key=str) == sorted((tuple(rounded(r[k]) for k in at) for r in twin.fetchall()), key=str)
 
 
+def test_mentions_equal_brute_force(spark, sf, duck):
+    got = {(r.dst, r.src): (r.n, r.first_ln) for r in Q.FOUND["grf13_mentions"][0](spark, sf).collect()}
+    _, _, edges, relations = Q.graph_of(spark, sf)
+    linked = {tuple(r) for r in edges.select("src", "dst").union(relations.select("src", "dst")).collect()}
+    texts = duck.sql(f"WITH {Q.NOTES_SQL} SELECT path, text FROM notes").fetchall()
+    named = defaultdict(list)
+    for path, text in texts:
+        words = regex.split(r"[ \t-\r]+", regex.sub(r"[^\p{L}\p{N}_\s]", "", text))
+        if len(words) > 1 and len(words[1]) >= 6:
+            named[words[1].lower()].append(path)
+    want = {}
+    for path, text in texts:
+        code = False
+        for ln, line in enumerate(text.split("\n")):
+            if regex.match(r"\s{0,3}(```|~~~)", line):
+                code = not code
+            elif not code and not line.startswith("# "):
+                bare = regex.sub(r"`[^`]*`|!?\[\[[^\[\]]*\]\]|\[[^\[\]]*\]\([^()]*\)", " ¦ ", line)
+                for token in regex.findall(r"[\p{L}\p{N}_]+", bare.lower()):
+                    of = named.get(token, [])
+                    if len(of) == 1 and of[0] != path and (path, of[0]) not in linked:
+                        n, first = want.get((of[0], path), (0, ln))
+                        want[of[0], path] = (n + 1, first)
+    assert want and got == want
+
+
 def test_the_names_are_whole(spark, sf):
     import __spark_entry__ as e
 
