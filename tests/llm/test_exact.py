@@ -154,6 +154,17 @@ def test_units_encode_like_the_whole(docs, path, led, monkeypatch):
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [[*encode(t), 1] for t in texts]
 
 
+@pytest.mark.parametrize("letters", ["aAsStzZéÉßñ×÷'.,!?|<>#12 \n", "aAsJΣσİK中é\u030c\u0301\u0338'’.,=<#12٣\t\r \n\u00a0\u200d"])
+def test_marks_apart_from_words_change_nothing(letters):
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list(letters), n)) for n in rng.integers(0, 30, 3000)] + ["it's ..'s x.'s 'S we'LL", "<|endoftext|>a", ""]
+    encode = library(WORDS)
+    for at in range(0, len(texts), 40):
+        ids, counts = tokens.Encoder(WORDS, 2, False).encode(texts[at : at + 40]) if at % 400 == 0 else tokens.encoder(WORDS, 2, False).encode(texts[at : at + 40])
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        assert [p.tolist() for p in parts] == [encode(t) + [2] for t in texts[at : at + 40]]
+
+
 def test_token_file_round_trip(spark, docs, tmp_path):
     encode, at = library(WORDS), 0
     rans.write_tokens(docs, str(tmp_path / "f"), WORDS, 2)
