@@ -117,31 +117,41 @@ def ambiguous_names(names: DataFrame) -> DataFrame:
     return names.groupBy("key").agg(F.count("*").alias("n_candidates"), F.min("path").alias("first_path")).where("n_candidates > 1")
 
 
-def unlinked_mentions(notes: DataFrame, lines: DataFrame, names: DataFrame, edges_: DataFrame, relations_: DataFrame, longest: int = 4) -> DataFrame:
+#: Leading tokens by which names meet prose; the rest of a longer name is compared in place.
+HEAD = 4
+
+
+def unlinked_mentions(notes: DataFrame, lines: DataFrame, names: DataFrame, edges_: DataFrame, relations_: DataFrame) -> DataFrame:
     """``dst, src, n, first_ln, preview``: unambiguous names in prose that aren't links.
 
-    Prose is cut into tokens; token n-grams are joined to names by equality.  Of overlapping
+    Prose is cut into tokens; hashed short n-grams are joined to the heads of names, then, in the
+    lengths that names with such a head have, to the whole names by equality.  Of overlapping
     matches the leftmost wins, then the longest, found by a fold over a line's matches.
     """
+    cut = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))
     prose = lines.where("in_body and not in_code and not line like '# %'")
     masked = F.regexp_replace(F.regexp_replace("line", r"`[^`]*`", " ¦ "), r"!?\[\[[^\[\]]*\]\]|\[[^\[\]]*\]\([^()]*\)", " ¦ ")
-    tokens = prose.select("path", "ln", "line", F.regexp_extract_all(F.lower(masked), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0)).alias("t")).where("size(t) > 0")
-    wanted = names.where("n_candidates = 1 and char_length(key) >= 3").select("key", F.col("path").alias("dst"))
-    wanted = wanted.withColumn("name", F.array_join(F.regexp_extract_all("key", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0)), " ")).where("name <> ''")
+    tokens = prose.select("path", "ln", cut(F.lower(masked)).alias("t")).where("size(t) > 0")
+    wanted = names.where("n_candidates = 1 and char_length(key) >= 3").select(cut("key").alias("w"), F.col("path").alias("dst")).where("size(w) > 0")
+    wanted = wanted.select(F.array_join("w", " ").alias("name"), F.xxhash64(F.slice("w", 1, HEAD)).alias("head"), F.size("w").alias("n"), "dst")
+    heads = wanted.groupBy("head").agg(F.collect_set("n").alias("ns"))  # a row a head: names that start alike multiply nothing
     grams = tokens.select(
-        "path", "ln", "line",
-        F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("t") - i + 1)), lambda n: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice("t", i, n), " ").alias("name")))))).alias("g"),
-    ).select("path", "ln", "line", "g.i", "g.n", "g.name")
-    hits = grams.join(wanted, "name")
-    per_line = hits.groupBy("path", "ln").agg(F.first("line").alias("line"), F.array_sort(F.collect_list(F.struct("i", (-F.col("n")).alias("neg"), "dst"))).alias("hits"))
+        "path", "ln",
+        F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.size("t") - i + 1)), lambda n: F.struct(i.alias("i"), F.xxhash64(F.slice("t", i, n)).alias("head")))))).alias("g"),
+    ).select("path", "ln", "g.i", "g.head")
+    spots = grams.join(heads, "head").select("path", "ln", "i", F.explode("ns").alias("n")).groupBy("path", "ln").agg(F.collect_list(F.struct("i", "n")).alias("spots"))
+    spots = tokens.join(spots, ["path", "ln"]).select("path", "ln", "t", F.explode("spots").alias("s")).where("s.i + s.n - 1 <= size(t)")
+    hits = spots.select("path", "ln", "s.i", "s.n", F.array_join(F.slice("t", F.col("s.i"), F.col("s.n")), " ").alias("name")).join(wanted.select("name", "dst"), "name")
+    per_line = hits.groupBy("path", "ln").agg(F.array_sort(F.collect_list(F.struct("i", (-F.col("n")).alias("neg"), "dst"))).alias("hits"))
     taken = F.aggregate(
         "hits", F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("got")),
         lambda acc, h: F.when(h["i"] > acc["end"], F.struct((h["i"] - h["neg"] - 1).alias("end"), F.concat(acc["got"], F.array(h["dst"])).alias("got"))).otherwise(acc), lambda acc: acc["got"],
     )
-    mentions = per_line.select(F.col("path").alias("src"), "ln", "line", F.explode(taken).alias("dst")).where("src <> dst")
+    mentions = per_line.select(F.col("path").alias("src"), "ln", F.explode(taken).alias("dst")).where("src <> dst")
     linked = edges_.select("src", "dst").unionByName(relations_.select("src", "dst")).distinct()
-    free = mentions.join(linked, ["src", "dst"], "left_anti")
-    return free.groupBy("dst", "src").agg(F.count("*").alias("n"), F.min("ln").alias("first_ln"), F.substr(F.trim(F.min_by("line", "ln")), F.lit(1), F.lit(120)).alias("preview"))
+    free = mentions.join(linked, ["src", "dst"], "left_anti").groupBy("dst", "src").agg(F.count("*").alias("n"), F.min("ln").alias("first_ln"))
+    shown = prose.select(F.col("path").alias("src"), F.col("ln").alias("first_ln"), F.substr(F.trim("line"), F.lit(1), F.lit(120)).alias("preview"))
+    return free.join(shown, ["src", "first_ln"]).select("dst", "src", "n", "first_ln", "preview")
 
 
 def expand_embeds(embedded: DataFrame, names: DataFrame, headings: DataFrame, depth: int = 3) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,10 +40,21 @@ def links_of(n: DataFrame) -> DataFrame:
     return n.select("path", F.explode("targets").alias("target"))
 
 
-def graph_of(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Notes, names, edges and relations (notes that a status or topic field names)."""
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the session's ``spark.checkpoint.dir``: plans that read it often stay small.  Without that folder, ``df`` itself."""
+    spark = df.sparkSession
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not path:
+        return df
+    path = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def graph_of(s: SparkSession, d: str, cut: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Notes, names, edges and relations (notes that a status or topic field names); ``cut`` keeps the names as a table."""
     n = notes(s, d)
-    names = graph.resolver(n)
+    names = kept(graph.resolver(n), "names") if cut else graph.resolver(n)
     e = graph.edges(graph.resolve(links_of(n), names))
     related = n.where("status is not null").select("path", F.lit("related").alias("key"), F.array(F.concat(F.lit("[[doc-"), (F.col("doc_id") + 3).cast("string"), F.lit("|x]] (see)"))).alias("values"))
     r = graph.relations(related.unionByName(properties(n).where("key = 'status'")), names)
@@ -271,7 +283,15 @@ def mentions(s: SparkSession, d: str) -> DataFrame:
     return graph.unlinked_mentions(n, lines, one, e, r).select("dst", "src", "n", "first_ln")
 
 
+def note_mentions(s: SparkSession, d: str) -> DataFrame:
+    """Titles and file names of notes in other notes' prose."""
+    n, names, e, r = graph_of(s, d, cut=True)
+    lines = extract.line_table(n.select("path", F.col("text").alias("raw")))
+    return graph.unlinked_mentions(n, lines, names, e, r).select("dst", "src", "n", "first_ln")
+
+
 registered("grf13_mentions", mentions, None)
+registered("grf13_note_mentions", note_mentions, None)
 
 # search -------------------------------------------------------------------------------------
 WANTED = ["the thion erblest and", "ingwhon", "worthless trash pathetic", "licensed under license"]
