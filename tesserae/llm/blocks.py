@@ -33,13 +33,21 @@ DIM = PATH_DIM + WORD_DIM + 6
 CELLS = 40_000
 
 #: Elements whose content is never text of the page.
-DROPPED = "script|style|noscript|template|textarea|select|button|svg|math|iframe|object|title|audio|video|canvas"
+RAW = "script|style|textarea|title"  #: of these, what is never closed runs to the end of the page
+DROPPED = "noscript|template|select|button|svg|math|iframe|object|audio|video|canvas"
+ATTRIBUTES = "(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+#: The content of a dropped element (group 2) without, and with, an element of its own name inside.
+LEAF = r"(?:[^<]++|<(?!/?\2[\s/>]))*+"
+NESTED = rf"(?:[^<]++|<(?!/?\2[\s/>])|<\2(?=[\s/>]){ATTRIBUTES}(?:(?<=/)>|>{LEAF}</\2(?=[\s/>])[^>]*+>))*+"
 TAG = re.compile(
-    rf"<(?:!--.*?(?:-->|\Z)|({DROPPED})\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|(/?)([a-z][a-z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-z][a-z0-9:-]*+)[^>]*+>|[!?/][^>]*+>)",
+    rf"<(?:!--.*?(?:-->|\Z)|({RAW})(?=[\s/>]){ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)|(?:svg|math)(?=[\s/>]){ATTRIBUTES}(?<=/)>|({DROPPED})(?=[\s/>]){ATTRIBUTES}>{NESTED}</\2(?=[\s/>])[^>]*+>"
+    rf"|(/?)([a-z][a-z0-9:-]*+)({ATTRIBUTES})>|(/?)([a-z][a-z0-9:-]*+)[^>]*+>|[!?/][^>]*+>)",
     re.S | re.I,
 )
 #: Elements within a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Dropped elements without an end: only their tags go.
+UNCLOSED = frozenset(f"{RAW}|{DROPPED}".split("|"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a start tag of the same name ends.
 ENDS_ITSELF = frozenset("li dt dd tr td th option".split())
@@ -80,10 +88,10 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             parts.append(page[at : m.start()])
             linked += link * (m.start() - at)
         at = m.end()
-        name = (m[3] or m[6] or "").lower()
+        name = (m[4] or m[7] or "").lower()
         if not name:
             continue
-        end = bool(m[2] or m[5])
+        end = bool(m[3] or m[6])
         if name in INLINE:
             if name == "a":
                 link = 0 if end else 1
@@ -97,10 +105,10 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         pop_to("p", LISTS)  # a block's start ends an open paragraph
         if name in ENDS_ITSELF:
             pop_to(name, LISTS)
-        if name in VOID or m[0].endswith("/>"):
+        if name in VOID or name in UNCLOSED or m[0].endswith("/>"):
             continue
-        marks = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(m[4])) if m[4] else ""
-        stack.append((name, (name, *("." + x for x in marks.lower().split()[:6]))))
+        marks = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(m[5])) if m[5] else ""
+        stack.append((name, (name, *("." + x for x in marks.lower().split()))))
     if at < len(page):
         parts.append(page[at:])
     close()
@@ -136,7 +144,7 @@ def vectors(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
     of_path: dict[tuple[str, ...], np.ndarray] = {}
     for path, _, _ in blocks:
         if path not in of_path:
-            hashed = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % PATH_ROWS for t in path[-10:]] or [0]
+            hashed = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % PATH_ROWS for t in path] or [0]
             of_path[path] = path_rows[hashed].sum(axis=0) / 2
     paths = np.stack([of_path[p] for p, _, _ in blocks])
     chars = np.array([len(t) for _, t, _ in blocks], np.float32)
