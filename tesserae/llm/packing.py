@@ -133,7 +133,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, led: bool, window: i
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        enc = encoder(tokenizer, end_id, led)
+        enc = encoder(tokenizer, end_id, led, added=True)
         wide = enc.vocabulary > 1 << 16
         seen = np.zeros(window, np.int64)
         row = windows = 0
@@ -166,7 +166,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, led: bool = True, window:
     are documents of their own; an empty table gives an empty table.
     """
     spark = docs.sparkSession
-    wide = encoder(tokenizer, end_id, led).vocabulary > 1 << 16
+    wide = encoder(tokenizer, end_id, led, added=True).vocabulary > 1 << 16
     tokens = staged(tokenised(docs, tokenizer, end_id, led, window), "packing-tokens")
     narrow = tokens.drop("ids")
     counts = np.zeros(window, np.int64)

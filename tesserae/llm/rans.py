@@ -140,7 +140,7 @@ def _tokenised(docs: DataFrame, path: str, end_id: int, led: bool) -> DataFrame:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        enc = encoder(path, end_id, led)
+        enc = encoder(path, end_id, led, added=True)
         wide = enc.vocabulary > 1 << 16
         names: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -177,7 +177,7 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int, led: boo
     in the order and are left out; null text is empty; repeated doc_ids stay, side by side.
     """
     tokens = staged(_tokenised(docs, tokenizer, end_id, led), "tokens")
-    size = encoder(tokenizer, end_id, led).vocabulary
+    size = encoder(tokenizer, end_id, led, added=True).vocabulary
     wide = size > 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ Texts are cut into units at places where the tokenizer always starts a new piece
 distinct unit goes through the library once: a worker remembers the units it met first (the
 frequent ones), the others are deduplicated within a slice.  A word with a mark behind it is
 made of the word and the mark.  The result is that of encoding each text as a whole; texts
-with unusual white space are encoded as a whole.
+with unusual white space or with an added token in them are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -58,15 +58,18 @@ class Encoder:
 
     led: the tokenizer lets a space lead the piece that follows it, and a lone line feed between
     words is a piece.  Otherwise white space only separates pieces.
+    added: the content of an added token (an end mark) in a text is that token, as the library
+    has it by default; such texts are encoded as a whole.  Otherwise it is spelled out.
     Units: ``word`` behind a space, ``\\0word`` at the start of a text, ``\\nword`` at a line's start.
     """
 
-    def __init__(self, path: str, end_id: int, led: bool) -> None:
+    def __init__(self, path: str, end_id: int, led: bool, added: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True
+        self._library.encode_special_tokens = not added
+        self._added = [t.content.lower() for t in self._library.get_added_tokens_decoder().values()] if added else []
         self._model = self._library.model
         self._letters = byte_letters()
         self._space = chr(self._letters[32])
@@ -140,6 +143,10 @@ class Encoder:
                 todo = later[::-1]
         return found
 
+    def _holds_added(self, text: str) -> bool:
+        """True if the text may hold an added token, in any case."""
+        return any(t in low for t in self._added) if self._added and (low := text.lower()) else False
+
     def _usual(self, text: str) -> bool:
         """True if single spaces and single line feeds are all the white space, between words."""
         if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
@@ -178,14 +185,16 @@ class Encoder:
             flat: list[str] = []
             ends = np.zeros(len(texts), np.int64)
             for k, text in enumerate(texts):
-                if self._usual(text):
+                if self._usual(text) and not self._holds_added(text):
                     flat += ("\0" + text).replace("\n", " \n").split(" ")
                 else:
                     odd.append(k)
                 ends[k] = len(flat)
             numbers = np.fromiter(map(units.__getitem__, flat), np.int64, len(flat))
         else:
-            numbers, ends = self._separated(texts)
+            odd = [k for k, text in enumerate(texts) if self._holds_added(text)]
+            apart = set(odd)
+            numbers, ends = self._separated(["" if k in apart else text for k, text in enumerate(texts)] if odd else texts)
         if units.new:
             self._append(self._ids_of_new())
         if odd:  # each such text is a unit of this slice alone
@@ -215,9 +224,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, end_id: int, led: bool) -> Encoder:
+def encoder(path: str, end_id: int, led: bool, added: bool = False) -> Encoder:
     """One encoder per worker and tokenizer, so that remembered units outlive a task."""
-    return Encoder(path, end_id, led)
+    return Encoder(path, end_id, led, added)
 
 
 def packed(ids: np.ndarray, wide: bool) -> bytes:
