@@ -82,6 +82,29 @@ def backlink_listing(edges_: DataFrame, notes: DataFrame) -> DataFrame:
     return edges_.join(labelled, "src").select("dst", "src", "label", F.row_number().over(W.partitionBy("dst").orderBy(F.lower("label"), "src")).alias("pos"))
 
 
+def backlink_context(edges_: DataFrame, notes: DataFrame, names: DataFrame, links: DataFrame, lines: DataFrame, radius: int = 60) -> DataFrame:
+    """``dst, src, snippet``: each edge's first line with a link to its target, cut around the target's name, title or alias.
+
+    The place is that of the first name, title or alias inside the link, or the link's own.
+    """
+    aliases = F.col("aliases") if "aliases" in notes.columns else F.array().cast("array<string>")
+    terms = notes.select(F.col("path").alias("dst"), F.filter(F.concat(F.array("name", "title"), F.coalesce(aliases, F.array().cast("array<string>"))), lambda t: F.trim(t) != "").alias("terms"))
+    at = resolve(links.select("path", "target", "ln", "k"), names).where("dst is not null").groupBy(F.col("path").alias("src"), "dst").agg(F.min_by(F.struct("ln", "target"), F.struct("ln", "k")).alias("at"))
+    found = edges_.join(at, ["src", "dst"]).select("src", "dst", "at.ln", "at.target").join(lines.select(F.col("path").alias("src"), "ln", "line"), ["src", "ln"]).join(terms, "dst")
+    opens = F.instr("line", F.concat(F.lit("[["), F.col("target")))
+    begun = F.when(opens > 0, opens).otherwise(F.instr("line", F.col("target")))  # the link itself, where white space pads it
+    rest = F.lower(F.substr("line", F.greatest(begun, F.lit(1))))
+    in_link = F.array_min(F.filter(F.transform("terms", lambda t: F.instr(F.substr(rest, F.lit(1), F.char_length("target") + 2), F.lower(t))), lambda x: x > 0))
+    return found.select("dst", "src", within(F.col("line"), F.greatest(begun, F.lit(1)) + F.coalesce(in_link, F.lit(1)) - 1, radius).alias("snippet"))
+
+
+def within(text: Column, at: Column, radius: int) -> Column:
+    """Text within ``radius`` of a place, white space as one space, marked where it is cut."""
+    begin, end = F.greatest(F.lit(1), at - radius), F.least(F.char_length(text), at + radius)
+    cut = F.trim(F.regexp_replace(F.substr(text, begin, end - begin + 1), r"\s+", " "))
+    return F.concat(F.when(begin > 1, "…").otherwise(""), cut, F.when(end < F.char_length(text), "…").otherwise(""))
+
+
 def relation_groups(relations_: DataFrame) -> DataFrame:
     """``src, type, notes``: the targets of a relation type joined in order."""
     return relations_.groupBy("src", "type").agg(F.array_join(F.array_sort(F.collect_set("dst")), ",").alias("notes"))

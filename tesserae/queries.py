@@ -406,12 +406,10 @@ registered("prj4_backlink_context", lambda s, d: backlink_context(s, d), None)
 
 
 def backlink_context(s: SparkSession, d: str) -> DataFrame:
-    """``dst, src, snippet`` around the link in the source's text."""
-    n, _, e, _ = graph_of(s, d)
+    """``dst, src, snippet`` around the target's name in the source's text."""
+    n, names, e, _ = graph_of(s, d, cut=True)
     lines = extract.line_table(n.select("path", "raw"))
-    near = extract.wikilinks(lines).join(lines.select("path", "ln", "line"), ["path", "ln"])
-    first = near.groupBy("path").agg(F.min_by("line", "ln").alias("line"))
-    return e.join(first.withColumnRenamed("path", "src"), "src").select("dst", "src", F.trim(F.substr(F.regexp_replace("line", r"\s+", " "), F.lit(1), F.lit(120))).alias("snippet"))
+    return graph.backlink_context(e, n, names, extract.wikilinks(lines), lines)
 
 
 # rewrite plans ------------------------------------------------------------------------------
