@@ -121,6 +121,10 @@ def query_report(q: CorpusQuery, notes: DataFrame, posted: DataFrame, lengths: D
     return out.join(F.broadcast(total)).select("arm", "matched", "corpus")  # one row
 
 
+#: Saved queries of text alone that a note is held against at a time.
+NEEDLES = 1000
+
+
 def run_saved(saved: DataFrame, notes: DataFrame) -> DataFrame:
     """``query_path, ln, path, pos, total``: the first ``limit`` notes of every saved query, and how many there are.
 
@@ -137,13 +141,14 @@ def run_saved(saved: DataFrame, notes: DataFrame) -> DataFrame:
     hits = sides[0].unionByName(sides[1]).unionByName(sides[2]).groupBy("id", "path").agg(F.count("*").alias("k"))
     need = good.select("id", "text", "limit", (F.when(F.size("doc_kinds") > 0, 1).otherwise(0) + F.when(F.size("topics") > 0, 1).otherwise(0) + F.when(F.size("tags") > 0, 1).otherwise(0)).alias("need"))
     listed = hits.join(F.broadcast(need), "id").where("k = need").drop("k")
-    texts = need.where("need = 0 and text is not null")
-    by_text = None
-    for r in texts.limit(200).collect():  # saved queries of text alone are stated one by one
-        one = notes.where(F.lower(F.concat_ws("\n", "title", "path")).contains(r.text.lower())).select(F.struct(F.lit(r.id.path).alias("path"), F.lit(r.id.ln).alias("ln")).alias("id"), "path", F.lit(r.text).alias("text"), F.lit(r.limit).alias("limit"), F.lit(0).alias("need"))
-        by_text = one if by_text is None else by_text.unionByName(one)
-    labelled = listed.join(notes.select("path", "title"), "path").where(F.col("text").isNull() | F.lower(F.concat_ws("\n", "title", "path")).contains(F.lower("text"))).drop("title")
-    rows = labelled.select("id", "path", "limit") if by_text is None else labelled.select("id", "path", "limit").unionByName(by_text.select("id", "path", "limit"))
+    labels = notes.select("path", F.lower(F.concat_ws("\n", "title", "path")).alias("label"))
+    labelled = listed.join(labels, "path").where(F.col("text").isNull() | F.col("label").contains(F.lower("text")))
+    # queries of text alone: all needles reach every note in blocks of a fixed size, a row a block
+    texts = need.where("need = 0 and text is not null").select("id", "limit", F.lower("text").alias("needle"))
+    block = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("count") / NEEDLES)))
+    blocks = texts.crossJoin(F.broadcast(texts.agg(F.count("*").alias("count")))).groupBy(block.alias("block")).agg(F.collect_list(F.struct("id", "limit", "needle")).alias("asked"))
+    by_text = labels.crossJoin(blocks).select("path", F.explode(F.filter("asked", lambda q: F.col("label").contains(q["needle"]))).alias("q")).select("q.id", "path", "q.limit")
+    rows = labelled.select("id", "path", "limit").unionByName(by_text)
     w = W.partitionBy("id")
     return rows.withColumns({"total": F.count("*").over(w), "pos": F.row_number().over(w.orderBy("path"))}).where("pos <= limit").select(F.col("id.path").alias("query_path"), F.col("id.ln").alias("ln"), "path", "pos", "total")
 
