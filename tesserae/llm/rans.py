@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, docs_of, shared_dir, slices, staged, table, texts_of
+from .common import column, docs_of, shared_dir, slices, staged, table
 from .tokens import encoder, packed, unpacked
 
 MAGIC = b"TNS1"
@@ -140,21 +140,21 @@ def _tokenised(docs: DataFrame, path: str, end_id: int, led: bool) -> DataFrame:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        enc = encoder(path, end_id, led, added=True)
+        enc = encoder(path, end_id, led)
         wide = enc.vocabulary > 1 << 16
-        names: list[np.ndarray] = []
+        names: list[pa.Array] = []
         sizes: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         block = first = held = 0
 
         def close() -> pa.RecordBatch:
-            row = [shard, block, first, np.concatenate(names), np.concatenate(sizes).astype(np.int32), packed(np.concatenate(ids), wide)]
+            row = [shard, block, first, pa.concat_arrays(names), np.concatenate(sizes).astype(np.int32), packed(np.concatenate(ids), wide)]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["shard", "block", "first", "doc_ids", "counts", "ids"])
 
         for batch in slices(batches, SLICE_ROWS):
-            some, counts = enc.encode(texts_of(batch))
-            names.append(column(batch, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64))
+            some, counts = enc.encode(column(batch, "text"))
+            names.append(column(batch, "doc_id"))
             sizes.append(counts)
             ids.append(some)
             held += len(some)
@@ -166,18 +166,18 @@ def _tokenised(docs: DataFrame, path: str, end_id: int, led: bool) -> DataFrame:
             yield close()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs_of(docs).where("doc_id is not null").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs_of(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     return ordered.mapInArrow(run, TOKENS)
 
 
 def write_tokens(docs: DataFrame, to: str, tokenizer: str, end_id: int, led: bool = False) -> None:
     """Write the token file of ``docs`` into the folder ``to``.
 
-    The frequency table counts all ids of all documents.  Rows without a doc_id have no place
-    in the order and are left out; null text is empty; repeated doc_ids stay, side by side.
+    The frequency table counts all ids of all documents.  Rows without a doc_id come first; null
+    text is empty; repeated doc_ids stay, side by side.
     """
     tokens = staged(_tokenised(docs, tokenizer, end_id, led), "tokens")
-    size = encoder(tokenizer, end_id, led, added=True).vocabulary
+    size = encoder(tokenizer, end_id, led).vocabulary
     wide = size > 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,9 +23,9 @@ def empty(odd):
 
 @pytest.fixture(scope="session")
 def docs(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").cache()
+    return spark.read.parquet(f"{sf}/documents.parquet")
 
 
 @pytest.fixture(scope="session")
 def labels(spark, sf):
-    return spark.read.parquet(f"{sf}/labels.parquet").cache()
+    return spark.read.parquet(f"{sf}/labels.parquet")

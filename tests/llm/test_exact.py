@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations_with_replacement
 
 import duckdb
 import numpy as np
@@ -20,7 +21,6 @@ BYTE, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pat
 
 def library(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -130,25 +130,75 @@ def test_packing_edges(odd, empty):
     assert packing.pack(empty, BYTE, 1).count() == 0
 
 
+def check_plan(counts):
+    slots, residual, stream = packing.plan(counts)
+    by = defaultdict(list)
+    for length, first, seq, off in slots:
+        by[length].append((first, seq, off))
+    used = defaultdict(list)
+    for length in np.flatnonzero(counts).tolist():
+        ends = [f for f, _, _ in by[length][1:]] + [counts[length] - residual[length]]
+        for (first, seq, off), end in zip(by[length], ends, strict=False):
+            for k in range(end - first):
+                used[seq + k].append((off, length))
+    assert sorted(used) == list(range(stream))
+    for pieces in used.values():  # every window that combinations fill is full, without a gap
+        at = 0
+        for off, length in sorted(pieces):
+            assert off == at
+            at += length
+        assert at == len(counts)
+    assert sum(map(len, used.values())) + residual.sum() == counts.sum()
+    return residual
+
+
 def test_plan_uses_every_document_once():
     counts = np.zeros(64, np.int64)
     counts[[10, 20, 34, 32, 63, 1]] = [50, 60, 40, 31, 7, 9]
-    slots, rest, stream = packing.plan(counts, 64)
-    ranks = defaultdict(list)
-    for length, first, n, seq, off in slots:
-        ranks[length] += range(first, first + n)
-        assert off + length <= 64 and seq + n <= stream
-    for length in np.flatnonzero(counts).tolist():
-        first = rest.get(length, (counts[length], 0))[0]
-        assert sorted(ranks[length]) == list(range(first))
-    assert sum(counts[length] - first for length, (first, _) in rest.items()) < counts.sum() / 2
+    assert check_plan(counts).sum() < counts.sum() / 4
+    for only in ({}, {40: 5}, {32: 4}, {1: 64}):
+        counts = np.zeros(64, np.int64)
+        for k, n in only.items():
+            counts[k] = n
+        residual = check_plan(counts)
+        assert residual.sum() == (5 if only == {40: 5} else 0)
+
+
+def test_the_least_squares_place_most_remainders():
+    rng = np.random.default_rng(4)
+    lengths = np.minimum(2047, rng.gamma(1.5, 450, 10_000)).astype(int) + 1
+    counts = np.bincount(lengths[lengths < 2048], minlength=2048)
+    rows, x = packing.solve(counts, packing.STEPS, np.random.default_rng(1))
+    placed = (np.floor(x)[:, None] * (rows > 0)).sum()  # whole repeat counts alone
+    assert (rows.sum(axis=1) == 2048).all() and placed > counts.sum() / 4
+    residual = check_plan(counts)
+    assert residual.sum() < 0.05 * counts.sum()
+    assert check_plan(counts * 50).sum() < 0.05 * 50 * counts.sum()
+
+
+def test_the_longest_first_knapsack_is_the_best_combination():
+    rng = np.random.default_rng(2)
+    value = np.where(rng.random(24) < 0.5, rng.integers(-3, 9, 24), -np.inf)
+    value[0] = -np.inf
+    have = np.flatnonzero(np.isfinite(value)).tolist()
+    found = {max(r): value[r[r > 0]].sum() for r in packing.combinations_of(value, 4)}
+    best = defaultdict(lambda: -np.inf)
+    for n in range(1, 5):
+        for c in combinations_with_replacement(have, n):
+            if sum(c) == 24:
+                best[c] = sum(value[k] for k in c)
+    for k in have:
+        with_k = [v for c, v in best.items() if k in c]
+        if with_k:
+            assert any(np.isclose(value[r[r > 0]].sum(), max(with_k)) for r in packing.combinations_of(value, 4) if k in r)
+    assert found
 
 
 @pytest.mark.parametrize(("path", "led"), [(BYTE, True), (WORDS, False)])
 def test_units_encode_like_the_whole(docs, path, led, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 500)
     encode, own = library(path), tokens.Encoder(path, 1, led)
-    odd = ["", " ", "a  b", "a \nb", "a\n\nb", " a", "a ", "don't can't 's", "x's. y", "É é. ﬁ İ. ΣΑΣ.", "<|endoftext|>x", "a\x00b", "1.2, a1.", "日本語。 नमस्ते.", "\x1c a", "\n.", "THE the."]
+    odd = ["", " ", "a  b", "a \nb", "a\u00a0\n b", "a \t\r\n  b\u3000 c", "tail \n ", "a\n\nb", " a", "a ", "don't can't 's", "x's. y", "É é. ﬁ İ. ΣΑΣ.", "<|endoftext|>x", "a\x00b", "1.2, a1.", "日本語。 नमस्ते.", "\x1c a", "\n.", "THE the."]
     for texts in (odd, [t for _, t in pairs_of(docs)][:120], odd):
         ids, counts = own.encode(texts)
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [[*encode(t), 1] for t in texts]
@@ -179,7 +229,8 @@ def test_token_file_round_trip(spark, docs, tmp_path):
 def test_token_file_edges(spark, odd, empty, tmp_path):
     rans.write_tokens(odd, str(tmp_path / "a"), WORDS, 2)
     rows = rans.read_tokens(spark, str(tmp_path / "a")).collect()
-    assert len(rows) == odd.where("doc_id is not null").count() and {r.doc_id: r.ids for r in rows}[2] == [2]
+    assert len(rows) == odd.count() and {r.doc_id: r.ids for r in rows}[2] == [2]
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.start)] == [None, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9]
     rans.write_tokens(empty, str(tmp_path / "b"), WORDS, 2)
     assert rans.read_tokens(spark, str(tmp_path / "b")).count() == 0
 
