@@ -9,8 +9,9 @@ a prefix go as one row and are written out at the receiving task.
 * Copies collapse before: only distinct fingerprints send variants.
 * Fingerprints that share a variant are pairwise within the radius, so linking each to the
   smallest of those that meet keeps the components; no group is expanded into pairs.
-* A prefix where many fingerprints meet is dealt out by a parity class of the variant, so a
-  ball of near copies is spread over tasks, and one task holds one class at a time.
+* A prefix where more than ``HOT_ROWS`` fingerprints meet (a ball of near copies) is written out
+  as a row per variant.  These meet by a minimum per variant, combined before the shuffle, and a
+  join back that adaptive execution may split: no task holds a whole ball.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ SEED = 42
 #: Parity classes of a variant: code of bit ``i`` is odd-multiplied ``i`` in six bits.
 CLASSES = 64
 CODES = np.array([(i * 37 + 11) % CLASSES for i in range(64)], dtype=np.uint64)
-#: Rows that meet at a prefix before it is dealt out by class.
+#: Rows that may meet at a prefix in one task; the variants of a fuller one are shuffled themselves.
 HOT_ROWS = 40_000
-#: Variants that a task sorts at a time.
+#: Variants that a task sorts at a time, and writes out at a time.
 SORT_ROWS = 6_000_000
 
 
@@ -110,7 +111,7 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def meet(base: np.ndarray, left: np.ndarray, fps: np.ndarray, classes: list[int], bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def meet(base: np.ndarray, left: np.ndarray, fps: np.ndarray, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among fingerprints whose variants meet at one prefix.
 
     base: the fingerprints with that prefix put in; left: flips still free in the low ``bits``.
@@ -136,7 +137,7 @@ def meet(base: np.ndarray, left: np.ndarray, fps: np.ndarray, classes: list[int]
     variants: list[np.ndarray] = []
     owners: list[np.ndarray] = []
     kinds = [(int(k), np.flatnonzero(left == k)) for k in np.unique(left)]
-    if len(classes) == CLASSES and sum(len(at) * len(_masks(bits, k)) for k, at in kinds) <= SORT_ROWS:
+    if sum(len(at) * len(_masks(bits, k)) for k, at in kinds) <= SORT_ROWS:
         for k, at in kinds:
             m = _masks(bits, k)
             variants.append((base[at][:, None] ^ m[None, :]).ravel())
@@ -146,14 +147,14 @@ def meet(base: np.ndarray, left: np.ndarray, fps: np.ndarray, classes: list[int]
         own = _parity(base)
         rows = [(k, c, at[own[at] == np.uint64(c)]) for k, at in kinds for c in range(CLASSES)]
         held = 0
-        for want in classes:
+        for want in range(CLASSES):  # one parity class of variants after the other
             for k, c, at in rows:
                 m = _masks_by_class(bits, k)[c ^ want]
                 if len(at) and len(m):
                     variants.append((base[at][:, None] ^ m[None, :]).ravel())
                     owners.append(np.repeat(at, len(m)))
                     held += len(variants[-1])
-            if held >= SORT_ROWS or (held and want == classes[-1]):
+            if held >= SORT_ROWS or (held and want == CLASSES - 1):
                 close(variants, owners)
                 variants, owners, held = [], [], 0
     pairs = np.unique(np.concatenate(links)) if links else np.zeros(0, np.int64)
@@ -174,7 +175,7 @@ def near_links(fps: DataFrame, radius: int = 4, prefix: int | None = None, hot_r
         raise ValueError("meet-in-the-middle halves need an even radius")
     half = radius // 2
     if prefix is None:
-        prefix = int(min(24, max(8, np.ceil(np.log2(max(1, fps.count()) / 1000)))))
+        prefix = int(min(32, max(8, np.ceil(np.log2(max(1, fps.count()) / 1000)))))
     bits = 64 - prefix
     masks = [(sum(1 << (bits + i) for i in c), half - k) for k in range(half + 1) for c in combinations(range(prefix), k)]
     signed = [m - (1 << 64) if m >> 63 else m for m, _ in masks]
@@ -182,31 +183,39 @@ def near_links(fps: DataFrame, radius: int = 4, prefix: int | None = None, hot_r
     sent = fps.select("fp", F.explode(flips).alias("f")).select(
         "fp", F.col("fp").bitwiseXOR(F.col("f.m")).alias("base"), F.col("f.k").alias("left")
     ).withColumn("bucket", F.shiftrightunsigned("base", bits))
-    hot = sent.groupBy("bucket").count().where(F.col("count") > hot_rows).select("bucket", F.lit(True).alias("hot"))
-    deals = 16
-    dealt = sent.join(hot, "bucket", "left").withColumn(
-        "part", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(deals - 1))).otherwise(F.array(F.lit(-1))))
-    )
+    hot = sent.groupBy("bucket").count().where(F.col("count") > hot_rows).select("bucket")
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        part = key[1].as_py()
         fp = group.column("fp").to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(fp)
         base = group.column("base").to_numpy().astype(np.int64).view(np.uint64)[order]
-        left = group.column("left").to_numpy()[order]
-        own = list(range(CLASSES)) if part < 0 else list(range(part, CLASSES, deals))
-        u, v = meet(base, left, fp[order], own, bits, radius)
+        u, v = meet(base, group.column("left").to_numpy()[order], fp[order], bits, radius)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return dealt.select("bucket", "part", "fp", "base", "left").groupBy("bucket", "part").applyInArrow(run, "u long, v long")
+    def write_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, base, left = (column(batch, c).to_numpy() for c in ("fp", "base", "left"))
+            for k in np.unique(left).tolist():
+                m = _masks(bits, k)
+                at = np.flatnonzero(left == k)
+                for some in np.array_split(at, max(1, -(-len(at) * len(m) // SORT_ROWS))):
+                    variants = (base[some].astype(np.int64).view(np.uint64)[:, None] ^ m[None, :]).ravel().view(np.int64)
+                    yield from pa.table({"variant": variants, "fp": np.repeat(fp[some], len(m))}).to_batches(max_chunksize=1 << 18)
+
+    in_tasks = sent.join(hot, "bucket", "left_anti").select("bucket", "fp", "base", "left").groupBy("bucket").applyInArrow(run, "u long, v long")
+    variants = sent.join(hot, "bucket", "left_semi").select("fp", "base", "left").mapInArrow(write_out, "variant long, fp long")
+    least = variants.groupBy("variant").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).where("v < most").select("variant", "v")
+    return in_tasks.unionByName(variants.join(least, "variant").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs``.
 
     component_id is the smallest doc_id reachable over links of at most ``radius`` differing
-    bits.  Null and empty texts have fingerprint zero and link like any other; repeated rows
-    come out as often as they came in; an empty table gives an empty table.
+    bits (whatever the shingles' similarity: near copies further apart don't link).  Null and
+    empty texts have fingerprint zero and link like any other; rows without a doc_id are members
+    that name no component but one all of whose rows are so; repeated rows come out as often as
+    they came in; an empty table gives an empty table.
     """
     fps = staged(fingerprints(docs, width), "fingerprints")
     each = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
