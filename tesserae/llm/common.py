@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,17 +19,22 @@ SLICE_BYTES = 2 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests on one machine) a local default is set.
+    Where it is unset, a session on one machine gets a folder of its own; on a cluster it is an
+    error, as no local folder is shared there.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        path = "/tmp/checkpoints/tesserae"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="tesserae-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Folders that ``staged`` wrote within an open ``passing`` block.
+_written: list[list[str]] = []
+
+
 def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -39,20 +46,40 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    written(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession, path: str) -> None:
+    """Put a folder down for the ``passing`` block around, if there is one."""
+    if _written:
+        _written[-1].append(path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was staged within: results made from it must be written by then."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _written.pop():
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds few rows and, but for one long row, few bytes."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        step = max(1, min(rows, int(n * SLICE_BYTES / max(1, batch.nbytes))))
+        step = max(1, min(rows, int(n * size / max(1, batch.nbytes))))
         for at in range(0, n, step):
             yield batch.slice(at, step)
 
