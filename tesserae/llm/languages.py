@@ -5,31 +5,29 @@ mixture: each of its words comes from one language, with the likelihood of its n
 estimates the proportions; sets of the 1, 2, ... best languages are fitted, and the set with
 the best penalised likelihood stands.  The prediction is the language of the largest share.
 
-Models are learned from a bounded sample of labelled documents by language; every document is
-read whole, and all documents of a slice are fitted together.
+Models are learned from a bounded sample of labelled documents of every language there is.
+Every document is read whole, as its distinct words and their counts; all documents of a slice
+are fitted together, and a task computes the likelihoods of a word once.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, docs_of, slices, table, texts_of
+from .common import SLICE_BYTES, column, docs_of, slices, table, texts_of
 
 BITS = 16
 ORDERS = (1, 2, 3, 4)
-#: Labelled documents a language learns from at most, those with the least hash of doc_id.
+#: Labelled documents that a language learns from, about: those with the least hashes of doc_id.
 TRAIN_DOCS = 1_500
-#: Languages that are learned at most, those with the most documents (each costs a table of ``2 ** BITS``).
-LANGUAGES = 128
-#: Largest set of languages that is fitted to one document.
-MOST_IN_SET = 3
 ROUNDS = 8
 #: Share in the fit over all languages below which a language is in no set.
 LEAST_SHARE = 0.01
@@ -37,20 +35,20 @@ LEAST_SHARE = 0.01
 PENALTY = 3.0
 SMOOTH = 0.5
 SEED = 90_021
+#: Cells (characters or words, times languages) that are computed at a time, and that a task remembers.
+CELLS, REMEMBERED_CELLS = 1 << 21, 1 << 23
 WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
-def units(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """By order the n-gram bucket at each character (``2 ** BITS``: none there), words' character counts, texts' word counts.
+def ngrams(words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """By order the n-gram bucket at each character (``2 ** BITS``: none there), and words' character counts.
 
     A word is a run of letters, in lower case between two blanks.
     """
-    split = [WORDS.findall(t.lower()) for t in texts]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    joined = "".join(f" {w} " for words in split for w in words)
+    joined = "".join(f" {w} " for w in words)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    lengths = np.fromiter((len(w) + 2 for words in split for w in words), np.int64, int(sizes.sum()))
+    lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
     room = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # characters to the word's end
     h = np.zeros(len(codes), np.uint64)
     found = []
@@ -63,35 +61,40 @@ def units(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         if n == 1:
             bucket[codes == 32] = 1 << BITS
         found.append(bucket)
-    return found, lengths, sizes
+    return found, lengths
 
 
-def sample(labelled: DataFrame, most: int) -> DataFrame:
-    """``doc_id, lang`` of at most ``most`` documents of each of the commonest languages."""
-    known = labelled.where("doc_id is not null and lang is not null and lang <> 'und'").select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    # the rank keeps ``most`` rows of a language before the shuffle too
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id"))
-    return known.join(F.broadcast(common), "lang").withColumn("r", rank).where(F.col("r") <= most).select("doc_id", "lang").distinct()
+def pieces(words: list[str], characters: int) -> Iterator[list[str]]:
+    """The words in lists of at most so many characters, but for one long word."""
+    start = held = 0
+    for k, w in enumerate(words):
+        if held and held + len(w) + 2 > characters:
+            yield words[start:k]
+            start, held = k, 0
+        held += len(w) + 2
+    if words:
+        yield words[start:]
 
 
-def learn(docs: DataFrame, labelled: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
+def learn(labelled: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities by bucket (buckets x languages; the last row, of no n-gram, is 0)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in slices(batches):
-            langs = column(batch, "lang").to_pylist()
-            texts = texts_of(batch)
-            for lang in sorted(set(langs)):
-                grams, _, _ = units([t for t, x in zip(texts, langs, strict=True) if x == lang])
-                total[lang] = total.get(lang, 0) + sum(np.bincount(g, minlength=(1 << BITS) + 1)[: 1 << BITS] for g in grams)
+            for lang, text in zip(column(batch, "lang").to_pylist(), texts_of(batch), strict=True):
+                total.setdefault(lang, np.zeros((1 << BITS) + 1, np.int64))
+                for words in pieces(WORDS.findall(text.lower()), CELLS):
+                    total[lang] += sum(np.bincount(g, minlength=(1 << BITS) + 1) for g in ngrams(words)[0])
         for lang, counts in total.items():
-            seen = np.flatnonzero(counts)
+            seen = np.flatnonzero(counts[: 1 << BITS])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen), pa.array(counts[seen])], names=["lang", "bucket", "n"])
 
-    # broadcast: a doc_id and a language for each of ``most`` documents of ``LANGUAGES`` languages
-    marked = docs_of(docs).join(F.broadcast(sample(labelled, most)), "doc_id").select("text", "lang")
+    known = labelled.where("doc_id is not null and lang is not null and lang <> 'und'")
+    # a row a language: the share of its documents that are read
+    shares = known.groupBy("lang").agg((F.lit(float(most)) / F.count("*")).alias("share"))
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long")), 11) / float(1 << 53)
+    marked = known.select("lang", F.col("text").cast("string").alias("text"), u.alias("u")).join(shares, "lang").where("u < share").select("text", "lang")
     counts = marked.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
     number = {x: k for k, x in enumerate(langs)}
@@ -101,57 +104,120 @@ def learn(docs: DataFrame, labelled: DataFrame, most: int = TRAIN_DOCS) -> tuple
     return langs, np.concatenate((np.log(model / model.sum(axis=0)), np.zeros((1, len(langs))))).astype(np.float32)
 
 
-def fit(likely: np.ndarray, sizes: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log likelihood of each document over its allowed languages, by EM.
-
-    likely: words x languages log likelihoods; sizes: words a document, none zero.
+class Likelihoods:
+    """Likelihoods of words by language, remembered: relative to the best one, and the log of that."""
+
+    def __init__(self, model: np.ndarray) -> None:
+        self._model = model
+        self._languages = model.shape[1]
+        self._forget()
+
+    def _forget(self) -> None:
+        self._number: dict[str, int] = {}
+        self.relative, self.best = np.zeros((0, self._languages), np.float32), np.zeros(0)
+
+    def numbers(self, texts_words: list[Counter]) -> np.ndarray:
+        """The row of each word of each text; rows hold until the next call."""
+        if len(self._number) * self._languages > REMEMBERED_CELLS:
+            self._forget()
+        number = self._number
+        new = [*set().union(*texts_words).difference(number)]
+        if new:
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            relative, best = [self.relative], [self.best]
+            for some in pieces(new, max(64, CELLS // self._languages)):
+                grams, lengths = ngrams(some)
+                at_char = self._model[grams[0]]
+                for g in grams[1:]:
+                    at_char += self._model[g]
+                log = np.add.reduceat(at_char, np.cumsum(lengths) - lengths, axis=0)
+                top = log.max(axis=1)
+                relative.append(np.exp(log - top[:, None]))
+                best.append(top.astype(np.float64))
+            self.relative, self.best = np.concatenate(relative), np.concatenate(best)
+        return np.fromiter(map(number.__getitem__, chain.from_iterable(texts_words)), np.int64, sum(map(len, texts_words)))
+
+
+class Texts:
+    """The texts of a slice as (text, word, count) triples, for fits of all at once."""
+
+    def __init__(self, texts: list[str], of: Likelihoods) -> None:
+        words = [Counter(WORDS.findall(t.lower())) for t in texts]
+        self.has = np.array([k for k, w in enumerate(words) if w], np.int64)
+        words = [w for w in words if w]
+        self._of, self._word = of, of.numbers(words)
+        self._count = np.fromiter(chain.from_iterable(w.values() for w in words), np.float64, len(self._word))
+        self._ends = np.cumsum([len(w) for w in words])
+        self._doc = np.repeat(np.arange(len(words)), np.diff(self._ends, prepend=0)) if words else np.zeros(0, np.int64)
+        self.sizes = np.bincount(self._doc, self._count, len(words))
+
+    def _blocks(self, docs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Triples of some texts, not too many at a time, with the row of each one's text in ``docs``."""
+        row = np.full(len(self.sizes), -1)
+        row[docs] = np.arange(len(docs))
+        row = row[self._doc]
+        at = np.flatnonzero(row >= 0)
+        step = max(1, CELLS // self._of.relative.shape[1])
+        for k in range(0, len(at), step):
+            yield at[k : k + step], row[at[k : k + step]]
+
+    def single(self, languages: np.ndarray) -> np.ndarray:
+        """Log likelihood of every text in the language given for it."""
+        out = np.zeros(len(self.sizes))
+        for at, doc in self._blocks(np.arange(len(self.sizes))):
+            word = self._word[at]
+            log = np.log(self._of.relative[word, languages[doc]] + 1e-30) + self._of.best[word]
+            out += np.bincount(doc, log * self._count[at], len(out))
+        return out
+
+    def fit(self, docs: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions and log likelihood of some texts over each one's allowed languages, by EM."""
+        share = (allowed / allowed.sum(axis=1, keepdims=True)).astype(np.float32)
+        blocks = [(at, doc, np.flatnonzero(np.diff(doc, prepend=-1))) for at, doc in self._blocks(docs)]
+        gathered = self._of.relative[self._word[blocks[0][0]]] if len(blocks) == 1 else None
+        for last in (*[False] * ROUNDS, True):
+            got, likelihood = np.zeros(share.shape), np.zeros(len(docs))
+            for at, doc, first in blocks:
+                p = self._of.relative[self._word[at]] if gathered is None else gathered
+                total = np.einsum("ij,ij->i", p, share[doc]) + np.float32(1e-30)
+                if last:
+                    likelihood += np.bincount(doc, (np.log(total) + self._of.best[self._word[at]]) * self._count[at], len(docs))
+                else:
+                    got[doc[first]] += np.add.reduceat(p * (self._count[at] / total).astype(np.float32)[:, None], first, axis=0)
+            if not last:
+                share = (share * got / self.sizes[docs][:, None]).astype(np.float32)
+        return share.astype(np.float64), likelihood
+
+
+def predict(texts: list[str], langs: list[str], of: Likelihoods) -> tuple[list[str], np.ndarray]:
+    """Language and score (its share within the chosen set) of each text.
+
+    Sets grow by the next best language as long as the penalised likelihood gains.
     """
-    starts = np.cumsum(sizes) - sizes
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    top = likely.max(axis=1, keepdims=True)
-    p = np.exp(likely - top)
-    share = allowed / allowed.sum(axis=1, keepdims=True)
-    for _ in range(ROUNDS):
-        joint = p * share[doc]
-        joint /= joint.sum(axis=1, keepdims=True) + 1e-30
-        share = np.add.reduceat(joint, starts, axis=0) / sizes[:, None]
-    total = np.log((p * share[doc]).sum(axis=1) + 1e-30) + top[:, 0]
-    return share, np.add.reduceat(total, starts)
-
-
-def predict(texts: list[str], langs: list[str], model: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Language and score (its share within the chosen set) of each text."""
     names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    grams, lengths, sizes = units(texts)
-    has = np.flatnonzero(sizes)
-    if not len(has) or not langs:
+    if not langs:
+        return names, scores
+    some = Texts(texts, of)
+    n, docs = len(langs), np.arange(len(some.has))
+    if not len(docs):
         return names, scores
-    at_char = model[grams[0]]
-    for g in grams[1:]:
-        at_char += model[g]
-    likely = np.add.reduceat(at_char, np.cumsum(lengths) - lengths, axis=0).astype(np.float64)
-    sizes = sizes[has]
-    n = len(langs)
-    full, _ = fit(likely, sizes, np.ones((len(has), n)))
+    full, _ = some.fit(docs, np.ones((len(docs), n)))
     order = np.argsort(-full, axis=1, kind="stable")
-    best_share = np.eye(n)[order[:, 0]]
-    best = np.add.reduceat(np.take_along_axis(likely, np.repeat(order[:, :1], sizes, axis=0), axis=1)[:, 0], np.cumsum(sizes) - sizes)
-    for k in range(2, min(MOST_IN_SET, n) + 1):
-        mixed = np.flatnonzero(np.take_along_axis(full, order[:, k - 1 : k], axis=1)[:, 0] >= LEAST_SHARE)
-        if not len(mixed):
+    best_share, best = np.eye(n)[order[:, 0]], some.single(order[:, 0])
+    for k in range(2, n + 1):
+        docs = docs[full[docs, order[docs, k - 1]] >= LEAST_SHARE]
+        if not len(docs):
             break
-        allowed = np.zeros((len(mixed), n))
-        np.put_along_axis(allowed, order[mixed, :k], 1.0, axis=1)
-        words = np.isin(np.repeat(np.arange(len(sizes)), sizes), mixed)
-        got, total = fit(likely[words], sizes[mixed], allowed)
-        total = total - PENALTY * (k - 1) * np.log(sizes[mixed] + 1)
-        better = total > best[mixed]
-        best[mixed[better]] = total[better]
-        best_share[mixed[better]] = got[better]
-    pick = best_share.argmax(axis=1)
-    for at, k in zip(has.tolist(), pick.tolist(), strict=True):
+        allowed = np.zeros((len(docs), n))
+        np.put_along_axis(allowed, order[docs, :k], 1.0, axis=1)
+        got, total = some.fit(docs, allowed)
+        total = total - PENALTY * (k - 1) * np.log(some.sizes[docs] + 1)
+        better = total > best[docs]
+        docs = docs[better]
+        best[docs], best_share[docs] = total[better], got[better]
+    for at, k in zip(some.has.tolist(), best_share.argmax(axis=1).tolist(), strict=True):
         names[at] = langs[k]
-    scores[has] = np.clip(best_share.max(axis=1), 0, 1)
+    scores[some.has] = np.clip(best_share.max(axis=1), 0, 1)
     return names, scores
 
 
@@ -160,13 +226,15 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
 
     Learned from the rows of ``labelled(doc_id, text, lang)``.  ``und`` with score 0 if the text
     is null or has no letter, or if there is nothing to learn from.  Repeated rows come out
-    repeatedly; ties go to the first language in order.
+    repeatedly; ties go to the first language in order.  A task holds a table of 256 kB a language.
     """
-    langs, model = learn(labelled, labelled)
+    langs, model = learn(labelled)
+    size = max(1 << 16, SLICE_BYTES * 8 // max(8, len(langs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            names, scores = predict(texts_of(batch), langs, model)
+        of = Likelihoods(model)
+        for batch in slices(batches, size=size):
+            names, scores = predict(texts_of(batch), langs, of)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     return docs_of(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
