@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -25,9 +26,9 @@ def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     if len(memory) > REMEMBERED:
         memory.clear()
-    new = {w for words in split for w in words if w not in memory}
+    new = set().union(*split).difference(memory)
     memory.update((w, zlib.crc32(w.encode("utf-8", "surrogatepass"))) for w in new)
-    out = np.fromiter((memory[w] for words in split for w in words), np.uint64, int(sizes.sum()))
+    out = np.fromiter(map(memory.__getitem__, chain.from_iterable(split)), np.uint64, int(sizes.sum()))
     return out, sizes
 
 

@@ -1,17 +1,16 @@
 """Quality selection by importance resampling with hashed n-gram models.
 
 Two generative models, of target text and of raw text, count hashed words and word bigrams.  A
-document's log importance weight adds up the log ratios of its n-grams, as if every document
-had ``LENGTH`` of them: else a long clean document would weigh in like a short bad one.  Gumbel
+document's log importance weight is the mean log ratio of its n-grams, as if every document had
+``LENGTH`` of them: else a long clean document would weigh in like a short bad one.  Gumbel
 top-k on the log weights draws k documents without replacement, in proportion to the weights.
 
-Ratios within a factor of ``exp(MARGIN)`` say nothing: the n-grams of a text of which there are
-many copies come and go together, and by chance more in one model than in the other.
-
 The raw model counts every document.  The target model may use a bounded sample of documents
-labelled good.  k isn't a share of the input: it is the number of documents at least
-``exp(least_log_weight)`` times as likely as target than as raw text, so that it follows the
-data at every size.  The k-th key is found by counting, never by gathering keys.
+labelled good.  k follows from the weights at every size: it is the number of documents that
+sampling without replacement draws, on average, until it has drawn ``MASS`` of all weight.
+Documents of a far greater weight than e to the minus the draw's length are then all but sure to
+come along, those of a far smaller one all but sure to stay, and the noise decides between them.
+The k-th key is found by counting, never by gathering keys.
 """
 
 from __future__ import annotations
@@ -30,13 +29,15 @@ from .hashing import bigrams, hashed_words, mixed
 BITS = 16
 #: Labelled documents that the target model counts at most, those with the least hash of doc_id.
 TARGET_DOCS = 20_000
-LEAST_LOG_WEIGHT = -20.0
-LENGTH = 256
+#: Share of all importance weight that is drawn.
+MASS = 0.99999
+LENGTH = 32
 #: N-grams without evidence that every document has besides its own.
 EVEN = 20
-MARGIN = 0.5
 SEED = 20_240_601
 SMOOTH = 1.0
+#: Bins of a unit of log weight in the histogram that k is computed from.
+BINS = 64
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,8 +52,7 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     size = len(raw)
     if not target.sum():
         return np.zeros(size)
-    ratio = np.log((target + SMOOTH) / (target.sum() + SMOOTH * size)) - np.log((raw + SMOOTH) / (raw.sum() + SMOOTH * size))
-    return np.sign(ratio) * np.maximum(0, np.abs(ratio) - MARGIN)
+    return np.log((target + SMOOTH) / (target.sum() + SMOOTH * size)) - np.log((raw + SMOOTH) / (raw.sum() + SMOOTH * size))
 
 
 def good_ids(labels: DataFrame, most: int) -> DataFrame:
@@ -83,25 +83,48 @@ def models(docs: DataFrame, labels: DataFrame, target_docs: int = TARGET_DOCS) -
     return log_ratios(target, raw)
 
 
-def weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """``doc_id, log_weight`` of every row."""
+def log_weights(texts: list[str], ratios: np.ndarray) -> np.ndarray:
+    bucket, doc = features(texts)
+    total = np.bincount(doc, weights=ratios[bucket], minlength=len(texts))
+    return total * (LENGTH / (np.bincount(doc, minlength=len(texts)) + EVEN))
+
+
+def weighed(docs: DataFrame, ratios: np.ndarray, name: str = "log_weight") -> DataFrame:
+    """Every row of ``docs`` with its log weight in a further column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            bucket, doc = features(texts_of(batch))
-            total = np.bincount(doc, weights=ratios[bucket], minlength=batch.num_rows)
-            total = total * (LENGTH / (np.bincount(doc, minlength=batch.num_rows) + EVEN))
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(total)], names=["doc_id", "log_weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log_weights(texts_of(batch), ratios))], names=[*batch.schema.names, name])
 
-    return docs_of(docs).mapInArrow(run, "doc_id long, log_weight double")
+    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(name)).schema)
 
 
-def gumbel(seed: int, key: str) -> Column:
-    """Standard Gumbel noise that depends on the seed and the key alone."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(key, F.lit(-1))), 11).cast("double") + 0.5) / float(1 << 53)
+def gumbel(seed: int, *keys: Column | str) -> Column:
+    """Standard Gumbel noise that depends on the seed and the keys alone."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11).cast("double") + 0.5) / float(1 << 53)
     return -F.log(-F.log(u))
 
 
+def draw_size(weights: np.ndarray, counts: np.ndarray, mass: float = MASS) -> int:
+    """Documents that are drawn, on average, when the share ``mass`` of all weight is.
+
+    Drawing without replacement is like documents arriving at exponential times, each at its
+    weight as rate: at time t a document has come with probability 1 - exp(-weight t).
+    """
+    if not counts.sum():
+        return 0
+    weights = weights / weights.max()
+    total = (weights * counts).sum()
+    low, high = 0.0, 1.0
+    drawn = lambda t: (weights * counts * -np.expm1(-weights * t)).sum() / total
+    while drawn(high) < mass:
+        low, high = high, 2 * high
+    for _ in range(60):
+        t = (low + high) / 2
+        low, high = (t, high) if drawn(t) < mass else (low, t)
+    return round(float((counts * -np.expm1(-weights * high)).sum()))
+
+
 def kth_largest(keys: DataFrame, name: str, k: int, bins: int = 2000) -> float | None:
     """The k-th largest value of a column by repeated counting in ever narrower bins."""
     left = keys.select(F.col(name).alias("x"))
@@ -121,18 +144,43 @@ def kth_largest(keys: DataFrame, name: str, k: int, bins: int = 2000) -> float |
             above += r["count"]
 
 
-def resample(docs: DataFrame, labels: DataFrame, least_log_weight: float = LEAST_LOG_WEIGHT, seed: int = SEED) -> DataFrame:
+def _drawn_by_noise(scored: DataFrame, ratios: np.ndarray, mass: float, weight: str = "log_weight", noise: str = "noise") -> Column:
+    """The condition on weighed rows that the draw takes them: a key among the k largest."""
+    if not ratios.any():
+        return F.lit(True)
+    rows = scored.groupBy(F.round(F.col(weight) * BINS).alias("x")).count().collect()  # as many as there are bins between the extremes of a mean
+    k = draw_size(np.exp(np.array([r.x for r in rows]) / BINS), np.array([r["count"] for r in rows]), mass)
+    key = F.col(weight) + F.col(noise)
+    least = kth_largest(scored.select(key.alias("key")), "key", k)
+    return key >= (math.inf if least is None else least)
+
+
+def resample(docs: DataFrame, labels: DataFrame, mass: float = MASS, seed: int = SEED) -> DataFrame:
     """``doc_id, log_weight, key`` of the documents drawn.
 
-    Null and empty texts have weight one (log 0).  Equal doc_ids share their noise; rows that
-    tie with the k-th key are all drawn.  Without labelled good documents, or without
-    documents, nothing tells target from raw: the models are equal and all rows are drawn.
+    Null and empty texts have weight one (log 0).  Equal rows share their noise; rows that tie
+    with the k-th key are all drawn; rows without a doc_id are drawn like others.  Without
+    labelled good documents, or without documents, nothing tells target from raw: the models are
+    equal and all rows are drawn.
     """
     ratios = models(docs, labels)
-    scored = staged(weights(docs, ratios), "log-weights").withColumn("key", F.col("log_weight") + gumbel(seed, "doc_id"))
-    k = scored.where(F.col("log_weight") >= least_log_weight).count()
-    least = kth_largest(scored, "key", k)
-    return scored.where(F.col("key") >= (math.inf if least is None else least))
+    scored = staged(weighed(docs_of(docs), ratios).select("doc_id", "log_weight", gumbel(seed, "doc_id", "text").alias("noise")), "log-weights")
+    return scored.where(_drawn_by_noise(scored, ratios, mass)).select("doc_id", "log_weight", (F.col("log_weight") + F.col("noise")).alias("key"))
+
+
+def resampled_rows(docs: DataFrame, labels: DataFrame, mass: float = MASS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` that ``resample`` draws, with all their columns; no row is shuffled."""
+    ratios = models(docs, labels)
+    weight, noise = (_free(docs.columns, x) for x in ("log_weight", "noise"))
+    text = F.col("text").cast("string")
+    scored = staged(weighed(docs, ratios, weight).withColumn(noise, gumbel(seed, F.col("doc_id").cast("long"), text)), "weighed-rows")
+    return scored.where(_drawn_by_noise(scored, ratios, mass, weight, noise)).select(*docs.columns)
+
+
+def _free(names: list[str], name: str) -> str:
+    while name.lower() in {x.lower() for x in names}:
+        name += "_"
+    return name
 
 
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
