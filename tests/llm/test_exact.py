@@ -314,3 +314,41 @@ def test_kept_hash_is_of_the_joined_lines(spark, sf):
     (r,) = [r for r in linededup.op10_line_dedup(spark, sf).where("doc_id = 1").collect()]
     (t,) = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id = 1").collect()]
     assert r.n_dropped or r.kept_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_line_runs_take_batches_one_by_one_and_go_on_later(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(d), int(k), int(k) * 7) for d in range(60) for k in rng.integers(0, 40, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, h1 long, h2 long")
+    runs = linededup.LineRuns(spark)
+    for k in range(3):
+        runs.add(df.where(f"doc_id % 5 = {k}"))
+    later = linededup.LineRuns(spark, runs.state)
+    for k in (3, 4):
+        later.add(df.where(f"doc_id % 5 = {k}"))
+    docs_by = defaultdict(set)
+    for d, k, _ in rows:
+        docs_by[k].add(d)
+    got = {r.h1: r.last_doc for r in later.repeated(5).collect()}
+    assert got == {k: max(v) for k, v in docs_by.items() if len(v) >= 5}
+    tables = [later._read(p) for level in later.state["levels"] for p in level]
+    assert sum(t.count() for t in tables) == len(docs_by)  # a line is in one run
+    assert [len(level) for level in later.state["levels"]] == [1, 0, 1]
+    plan = tables[0].join(tables[-1].hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_documents_of_many_long_lines_are_linear(spark):
+    import time
+
+    def seconds(n):
+        text = "\n".join(f"line number {k} of the very same long document, shared by all" for k in range(n))
+        df = spark.createDataFrame([(k, text) for k in range(6)], "doc_id long, text string")
+        began = time.time()
+        rows = {r.doc_id: len(r.kept) for r in linededup.drop_repeated_lines(df).collect()}
+        assert rows == {k: 0 for k in range(5)} | {5: n}
+        return time.time() - began
+
+    seconds(1000)
+    few, many = seconds(4000), seconds(16_000)
+    assert many < 4 * few

@@ -1,7 +1,10 @@
 """Learned operators: held-out quality, defined edges; and the pipeline's stages."""
 
 import html
+import math
 import re
+import uuid
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -68,9 +71,9 @@ def test_languages_held_out(spark):
 
 def test_a_mixture_finds_both_languages(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
-    langs, model = languages.learn(docs, docs)
+    langs, model = languages.learn(docs)
     en, de = (docs.where(f"lang = '{x}' and n_chars between 1500 and 2500").orderBy("doc_id").first().text for x in ("en", "de"))
-    names, scores = languages.predict([en, en + "\n" + de[: len(en) // 2], "12 ***"], langs, model)
+    names, scores = languages.predict([en, en + "\n" + de[: len(en) // 2], "12 ***"], langs, languages.Likelihoods(model))
     assert names[0] == names[1] == "en" and scores[0] > 0.9 > scores[1] > 0.4 and (names[2], scores[2]) == ("und", 0)
 
 
@@ -85,7 +88,47 @@ def test_quality_keeps_the_good(spark):
     kept = {r.doc_id for r in resample.op5_importance_resampling(spark, SF01).collect()}
     labels = spark.read.parquet(f"{SF01}/labels.parquet").collect()
     good, bad = [r.doc_id in kept for r in labels if r.quality == 1], [r.doc_id in kept for r in labels if r.quality == 0]
-    assert np.mean(good) > 0.99 and np.mean(bad) < 0.1
+    assert np.mean(good) > 0.99 and np.mean(bad) < 0.15
+
+
+def test_quality_equals_brute_force(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    good = {r.doc_id for r in labels.collect() if r.quality == 1} - {r.doc_id for r in labels.collect() if r.quality == 0}
+    rows = docs.select("doc_id", "text", resample.gumbel(resample.SEED, "doc_id", "text").alias("g")).collect()
+    grams = {r.doc_id: Counter(resample.features([r.text or ""])[0].tolist()) for r in rows}
+    target, raw = Counter(), Counter()
+    for i, c in grams.items():
+        raw.update(c)
+        target.update(c if i in good else {})
+    size = 1 << resample.BITS
+    ratio = lambda b: math.log((target[b] + 1) / (sum(target.values()) + size)) - math.log((raw[b] + 1) / (sum(raw.values()) + size))
+    ratios = {b: ratio(b) for b in raw}
+    weight = {i: sum(ratios[b] * n for b, n in c.items()) * resample.LENGTH / (sum(c.values()) + resample.EVEN) for i, c in grams.items()}
+    key = {r.doc_id: weight[r.doc_id] + r.g for r in rows}
+    got = {r.doc_id: r for r in resample.op5_importance_resampling(spark, sf).collect()}
+    assert set(got) == set(sorted(key, key=key.get, reverse=True)[: len(got)])
+    assert all(np.isclose(r.key, key[i]) and np.isclose(r.log_weight, weight[i]) for i, r in got.items())
+    w = np.exp(np.array(list(weight.values())))
+    assert abs(resample.draw_size(w, np.ones(len(w))) - len(got)) <= 1
+    assert sum(np.exp(weight[i]) for i in got) > 0.999 * w.sum()
+
+
+def test_the_draw_follows_the_weights(spark):
+    """Inclusion by weight is that of drawing one by one without replacement, and the noise decides it."""
+    weights = [1.0, 0.1, 0.01, 0.001]
+    k = resample.draw_size(np.array(weights), np.full(4, 2500), 0.95)
+    df = spark.range(10_000).withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("id") % 4 + 1).cast("int")))
+    keyed = df.withColumn("key", F.log("w") + resample.gumbel(7, "id"))
+    least = resample.kth_largest(keyed, "key", k)
+    got = Counter(r.w for r in keyed.where(F.col("key") >= least).collect())
+    rng = np.random.default_rng(0)
+    w = np.repeat(weights, 2500)
+    came = np.argsort(rng.exponential(1 / w))[:k]  # the order of drawing one by one
+    want = Counter(w[came].tolist())
+    assert sum(got.values()) == k
+    for x in weights:
+        assert abs(got[x] - want[x]) < 5 * np.sqrt(max(want[x], 4))
+    assert 0 < got[0.01] < 2500 and got[0.1] > 5 * got[0.01] > 20 * got[0.001] / 4
 
 
 def test_kth_largest_equals_sorting(spark):
@@ -136,13 +179,39 @@ def test_pipeline_decisions_take_effect(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
     stages = dict(corpus_pipeline.STAGES)
-    kept = stages["quality"](spark, docs, sf).cache()
+
+    def written(df):
+        path = f"{spark.conf.get('spark.checkpoint.dir')}/stage-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    kept = written(stages["quality"](spark, docs, sf))
     assert ids(kept) == ids(resample.resample(docs, spark.read.parquet(f"{sf}/labels.parquet")))
-    lines = stages["repeated lines"](spark, kept, sf).cache()
+    lines = written(stages["repeated lines"](spark, kept, sf))
     want = {r.doc_id: "\n".join(r.kept) for r in linededup.drop_repeated_lines(kept).collect()}
     assert {r.doc_id: (r.text, r.n_chars) for r in lines.collect()} == {k: (v, len(v)) for k, v in want.items()}
-    near = stages["near duplicates"](spark, lines, sf).cache()
+    near = written(stages["near duplicates"](spark, lines, sf))
     groups = simhash.near_duplicates(lines).collect()
     assert ids(near) == {r.component_id for r in groups}
     clean = stages["benchmark leaks"](spark, near, sf)
     assert ids(clean) == ids(near) - ids(decontaminate.contaminated(near, spark.read.parquet(f"{sf}/benchmark.parquet")))
+
+
+def test_more_languages_than_any_fixed_number_and_long_texts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    letters = [chr(0x4E00 + 40 * k + j) for k in range(140) for j in range(8)]
+    word = lambda k: "".join(rng.choice(letters[8 * k : 8 * k + 8], 4))
+    rows = [(k, " ".join(word(k) for _ in range(60)), f"l{k:03d}") for k in range(140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = languages.identify(df, df).collect()
+    assert len(got) == 140 and all(r.lang_pred == f"l{r.doc_id:03d}" for r in got)
+    langs, model = languages.learn(df)
+    many = [" ".join(r[1] for r in rows[k : k + 5]) for k in (0, 50)]  # five languages in one text
+    want = languages.predict(many, langs, languages.Likelihoods(model))
+    assert all(s < 0.25 for s in want[1])
+    monkeypatch.setattr(languages, "CELLS", 2000)
+    monkeypatch.setattr(languages, "REMEMBERED_CELLS", 100)
+    of = languages.Likelihoods(model)
+    for _ in range(2):
+        got = languages.predict(many, langs, of)
+        assert got[0] == want[0] and np.allclose(got[1], want[1])
