@@ -7,6 +7,7 @@ over one row: nothing is shuffled, and no Python runs on the executors.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,41 +23,69 @@ ENDS = ".!?;:…。！？؟।)]\"'”’»"
 #: Fixed words of menus and of legal lines.
 NAVIGATION = r"^(home|menu|next|previous|prev|back|back to top|skip to content|read more|click here|login|log in|sign in|sign up|subscribe|share|search|contact|contact us|about|about us)[ .!:>»]*$"
 BOILERPLATE = ("cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "©", "licensed under", "javascript", "lorem ipsum", "powered by", "permission is hereby granted", "spdx-license-identifier")
+#: Marks that part the entries of a menu, and runs of one mark that draw a line or shout.
+BARS = "|>»•"
+RUNS = ("!!!!", "????", "====", "----", "____", "****", "####", "~~~~")
+NO_LETTER, SMALL, CAPITAL = r"[^\p{L}]", r"\p{Ll}", r"\p{Lu}"
+#: Capitals of a line without a small letter from which it is all capitals.
+CAPITALS = 10
 #: A document is rejected if less than this share of its characters is in lines that stay.
 LEAST_SHARE = 0.5
 
 
 def symbols_in(text: Column) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))
+    return F.regexp_count(text, F.lit(f"[{SYMBOLS}]"))
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL that computes ``value`` once for its uses in ``body``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
 def repeated_words_sql(words: str, n: str) -> str:
-    """Words within 3-word windows that occur twice or more, for an array column of words.
+    """Words within 3-word windows that occur twice or more, for an array column of ``n`` words.
 
-    A window is its 64-bit hash less the low bits that hold its place.  Sorting brings equal
-    windows side by side; the sorted places of those give the words they cover.
+    If the windows' 64-bit hashes are all different, there is none.  Else the hashes are sorted
+    with the low bits replaced by the window's place, which brings equal windows side by side; a
+    pair of neighbours counts if its words are equal too.  Should neighbours of one hash differ
+    in their words, that text's windows are sorted by the words themselves.
+    """
+    at = lambda p, q: " AND ".join(f"{words}[{p} + {k}] = {words}[{q} + {k}]" for k in range(3))
+    place = lambda x: f"CAST({x} & m AS INT)"
+    near = lambda x, y: f"shiftrightunsigned({x}, b) = shiftrightunsigned({y}, b)"
+    same = lambda x, y: f"coalesce({near(x, y)} AND {at(place(x), place(y))}, false)"
+    twice = f"transform(filter(s, (x, k) -> {same('x', 'get(s, k - 1)')} OR {same('x', 'get(s, k + 1)')}), x -> x & m)"
+    clash = f"exists(transform(s, (x, k) -> coalesce({near('x', 'get(s, k + 1)')} AND NOT ({at(place('x'), place('get(s, k + 1)'))}), false)), x -> x)"
+    rows = f"array_sort(transform(sequence(0, {n} - 3), i -> struct({words}[i] AS p, {words}[i + 1] AS q, {words}[i + 2] AS r, CAST(i AS BIGINT) AS i)))"
+    like = lambda y: f"coalesce(x.p = {y}.p AND x.q = {y}.q AND x.r = {y}.r, false)"
+    by_words = _let("g", rows, f"transform(filter(g, (x, k) -> {like('get(g, k - 1)')} OR {like('get(g, k + 1)')}), x -> x.i)")
+    places = _let("s", "sort_array(transform(h, (x, i) -> shiftleft(x, b) | i))", f"CASE WHEN {clash} THEN {by_words} ELSE {twice} END")
+    covered = _let("p", f"array_sort({places})", "aggregate(transform(p, (x, k) -> least(3L, coalesce(get(p, k + 1) - x, 3L))), 0L, (a, x) -> a + x)")
+    with_bits = _let("b", f"char_length(bin({n}))", _let("m", "shiftleft(1L, b) - 1", covered))
+    hashes = f"transform(sequence(0, {n} - 3), i -> xxhash64({words}[i], {words}[i + 1], {words}[i + 2]))"
+    return f"CASE WHEN {n} < 4 THEN 0L ELSE {_let('h', hashes, f'CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE {with_bits} END')} END"
+
+
+def any_of(text: Column, parts: Iterable[str]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(x) for x in parts])
+
+
+def line_verdict(line: Column, low: Column, marked: Column, barred: Column) -> Column:
+    """True if a line stays, for the trimmed line and its lower case; marked, barred: the text has symbols or "!!", and bars.
+
+    Punctuation: it ends like a sentence, has few symbols by its words, no long run of one mark,
+    letters for at least half of its characters, and isn't all capitals.  Navigation: few bars,
+    and no fixed word of menus.  Boilerplate: no fixed phrase.
     """
-    bits = f"coalesce(char_length(bin({n})), 1)"
-    packed = f"transform(sequence(0, {n} - 3), i -> shiftleft(xxhash64({words}[i], {words}[i + 1], {words}[i + 2]), b) | i)"
-    twice = "filter(s, (x, k) -> shiftrightunsigned(x, b) = shiftrightunsigned(get(s, k - 1), b) OR shiftrightunsigned(x, b) = shiftrightunsigned(get(s, k + 1), b))"
-    places = f"array_sort(transform({twice}, x -> x & (shiftleft(1L, b) - 1)))"
-    reach = "transform(p, (x, k) -> least(3L, coalesce(get(p, k + 1) - x, 3L)))"
-    covered = f"get(transform(array({places}), p -> aggregate({reach}, 0L, (a, x) -> a + x)), 0)"
-    sorted_ = f"get(transform(array(sort_array({packed})), s -> {covered}), 0)"
-    return f"CASE WHEN {n} < 4 THEN 0L ELSE get(transform(array({bits}), b -> {sorted_}), 0) END"
-
-
-def line_verdict(line: Column) -> Column:
-    """True if a line stays: it has words, ends like a sentence, isn't a menu, isn't boilerplate."""
-    trimmed = F.trim(line, F.lit(BLANK))
-    words = F.regexp_count(trimmed, F.lit(BLANKS)) + 1
-    low = F.lower(trimmed)
-    marks = symbols_in(trimmed) + F.char_length(trimmed) - F.char_length(F.replace(trimmed, F.lit("!!"), F.lit("!")))
-    punctuated = (F.instr(F.lit(ENDS), F.right(trimmed, F.lit(1))) > 0) & (marks * 10 <= words * 3)
-    bars = F.char_length(trimmed) - F.char_length(F.translate(trimmed, "|>»•", ""))
+    words = F.regexp_count(line, F.lit(BLANKS)) + 1
+    marks = F.when(marked, F.regexp_count(line, F.lit(f"[{SYMBOLS}]|!!"))).otherwise(0)
+    bars = F.when(barred, F.regexp_count(line, F.lit(f"[{BARS}]"))).otherwise(0)
+    ends = F.instr(F.lit(ENDS), F.right(line, F.lit(1))) > 0
+    letters = F.regexp_count(line, F.lit(NO_LETTER)) * 2 <= F.char_length(line)
+    shouted = ~line.rlike(SMALL) & (F.regexp_count(line, F.lit(CAPITAL)) >= CAPITALS)
+    punctuated = ends & (marks * 10 <= words * 3) & ~any_of(line, RUNS) & letters & ~shouted
     navigation = (bars * 5 > words) | low.rlike(NAVIGATION)
-    boilerplate = reduce(lambda a, b: a | b, [low.contains(x) for x in BOILERPLATE])
-    return punctuated & ~navigation & ~boilerplate
+    return punctuated & ~navigation & ~any_of(low, BOILERPLATE)
 
 
 def line_rules(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -68,19 +97,20 @@ def line_rules(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     """
     text = docs_of(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     bare = F.trim(F.col("text"), F.lit(BLANK))
+    trimmed = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("line"), F.trim(x, F.lit(BLANK)).alias("bare")))
     split = text.select(
-        "doc_id", "text",
+        "doc_id", "text", symbols_in(F.col("text")).cast("long").alias("n_symbols"), any_of(F.col("text"), BARS).alias("barred"),
         F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANKS)).alias("words"),
-        F.filter(F.split("text", "\n", -1), lambda x: F.trim(x, F.lit(BLANK)) != "").alias("lines"),
+        F.transform(F.filter(trimmed, lambda x: x["bare"] != ""), lambda x: F.struct(x["line"].alias("line"), x["bare"].alias("bare"), F.lower(x["bare"]).alias("low"))).alias("lines"),
     )
-    counted = split.select(
-        "doc_id", "text", "lines", "words", F.size("words").alias("n"),
-        F.transform("lines", lambda x: F.struct(F.char_length(x).alias("chars"), line_verdict(x).alias("stays"), x.alias("line"))).alias("judged"),
+    counted = split.withColumn("marked", (F.col("n_symbols") > 0) | F.col("text").contains("!!")).select(
+        "doc_id", "n_symbols", F.col("lines.line").alias("lines"), "words", F.size("words").alias("n"),
+        F.transform("lines", lambda x: F.struct(F.char_length(x["line"]).alias("chars"), line_verdict(x["bare"], x["low"], F.col("marked"), F.col("barred")).alias("stays"), x["line"].alias("line"))).alias("judged"),
     )
     measured = counted.select(
         "doc_id", F.col("n").cast("long").alias("n_words"),
-        F.char_length(F.translate("text", BLANK, "")).cast("long").alias("word_chars"),
-        symbols_in(F.col("text")).cast("long").alias("n_symbols"),
+        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr(repeated_words_sql("words", "n")).alias("n_repeat_words"),
         F.aggregate("judged", F.lit(0).cast("long"), lambda a, x: a + x["chars"]).alias("chars"),
@@ -102,8 +132,9 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     low = "lower(t)"
-    bars = "(length(t) - length(translate(t, '|>»•', '')))"
-    marks = f"(length(t) - length(translate(t, '{SYMBOLS}', '')) + length(t) - length(replace(t, '!!', '!')))"
+    n_of = lambda pattern: f"len(regexp_extract_all(t, '{pattern}'))"
+    bars, marks = n_of(f"[{BARS}]"), f"(length(t) - length(translate(t, '{SYMBOLS}', '')) + length(t) - length(replace(t, '!!', '!')))"
+    shape = f"NOT ({' OR '.join(f"contains(t, '{x}')" for x in RUNS)}) AND {n_of(NO_LETTER)} * 2 <= length(t) AND NOT (NOT regexp_matches(t, '{SMALL}') AND {n_of(CAPITAL)} >= {CAPITALS})"
     ends, nav, boiler = (x.replace("'", "''") for x in (ENDS, NAVIGATION, "|".join(BOILERPLATE)))
     return f"""
 WITH d AS (
@@ -123,7 +154,7 @@ WITH d AS (
   SELECT r, unnest(lines) AS line FROM d
 ), judged AS (
   SELECT r, length(line) AS chars,
-         contains('{ends}', right(t, 1)) AND {marks} * 10 <= n * 3
+         contains('{ends}', right(t, 1)) AND {marks} * 10 <= n * 3 AND {shape}
          AND NOT ({bars} * 5 > n OR regexp_matches({low}, '{nav}')) AND NOT regexp_matches({low}, '{boiler}') AS stays
   FROM (SELECT r, line, trim(line, {blank}) AS t, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n FROM split)
 ), shares AS (
