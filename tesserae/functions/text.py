@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The lifecycle words of a status field.
+#: The lifecycle words of a status field.  Any other word belongs to no group.
 STATUS_WORDS = {
-    "done": ("완료", "done", "complete", "completed", "closed", "archived", "폐기"),
-    "active": ("진행 중", "진행중", "in progress", "active", "wip", "doing"),
-    "todo": ("예정", "todo", "planned", "backlog", "대기"),
+    "done": ("완료", "반영됨", "해결됨", "닫힘", "이전됨"),
+    "active": ("진행 중",),
+    "todo": ("미착수", "열림"),
 }
+#: What parts search terms: white space, punctuation, symbols.
+SEPARATOR = r"[\s\p{Z}\x{FEFF}\p{P}\p{S}]+"
+#: Characters that are read one by one (Chinese, Japanese, Korean).
+WIDE = r"[\x{1100}-\x{11FF}\x{3000}-\x{303F}\x{3040}-\x{30FF}\x{3130}-\x{318F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]"
 #: Leading consonants of Hangul syllables in Unicode order.
 CONSONANTS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
 KEBAB = r"^[a-z0-9]+(-[a-z0-9]+)*$"
@@ -65,8 +72,15 @@ def lifecycle(status: Column | str) -> Column:
 
 
 def note_tokens(text: Column | str) -> Column:
-    """Search tokens: lower-case runs of letters and digits; Hangul runs give overlapping pairs."""
-    runs = F.filter(F.split(F.lower(col(text)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    """Search tokens: what stands between separators, in lower case; Hangul runs give overlapping pairs.
+
+    Texts are taken to be composed (NFC), as ``read_vault`` makes them.
+    """
+    runs = F.filter(F.split(F.lower(col(text)), SEPARATOR), lambda x: x != "")
+    return F.when(col(text).rlike("[가-힣]"), _pairs_of_hangul(runs)).otherwise(runs)
+
+
+def _pairs_of_hangul(runs: Column) -> Column:
     pieces = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(r"([가-힣]+|[^가-힣]+)"), F.lit(1))))
 
     def grams(r: Column) -> Column:
@@ -108,15 +122,24 @@ def fuzzy_score(query: str, text: Column | str) -> Column:
     return F.when(t == query, F.lit(1000)).when(t.startswith(query), 800 - surplus).when(t.contains(query), 500 - surplus).otherwise(folded)
 
 
-def register_functions(spark) -> None:
-    """SQL names of what ad-hoc queries need most: ``nfc``, ``slugify`` and ``note_stem``."""
-    import unicodedata
+def nfc(text: str) -> str:
+    """A query's own text, composed as the notes are."""
+    return unicodedata.normalize("NFC", text)
+
+
+def composed():
+    """The function that composes letters with their combining marks (NFC), batch by batch; Spark has none of its own."""
 
     @F.pandas_udf("string")
-    def nfc(s):
+    def nfc_of(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
-    spark.udf.register("nfc", nfc)
+    return nfc_of
+
+
+def register_functions(spark) -> None:
+    """SQL names of what ad-hoc queries need most: ``nfc``, ``slugify`` and ``note_stem``."""
+    spark.udf.register("nfc", composed())
     spark.sql(
         r"CREATE OR REPLACE TEMPORARY FUNCTION slugify(t STRING) RETURNS STRING RETURN coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(t)), r'[^\p{L}\p{N}\s-]', ''), r'[\s-]+', '-'), '^-|-$', ''), ''), 'section')"
     )

@@ -13,11 +13,16 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", change.alias("change")).where("change is not null")
 
 
-def delta_gate(touched: int, total: int, most_share: float = 0.05) -> str:
-    """skip, delta or full: a delta pays while it touches a small share."""
+def delta_gate(touched: int, most: int, parts: int = 1, parts_now: int = 1) -> tuple[str, str]:
+    """(delta or full, reason): a delta is applied to few changes of an index that is cut the same way.
+
+    No change at all where the fingerprints differ is not believed: the index is built anew.
+    """
     if touched == 0:
-        return "skip"
-    return "delta" if total and touched <= max(200, total * most_share) else "full"
+        return "full", "empty"
+    if touched > most:
+        return "full", "too-many"
+    return ("full", "part-count-change") if parts != parts_now else ("delta", "")
 
 
 def refresh(old: DataFrame, changes: DataFrame, fresh: DataFrame) -> DataFrame:

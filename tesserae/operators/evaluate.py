@@ -46,6 +46,12 @@ def measures(results: DataFrame) -> DataFrame:
     return results.groupBy("kind").agg(F.count("*").alias("cases"), hit(1).alias("r1"), hit(5).alias("r5"), hit(10).alias("r10"), F.avg(F.when(F.col("rank") <= 10, 1 / F.col("rank")).otherwise(0.0)).alias("mrr"), F.avg("matched").alias("mean_matched"))
 
 
+def stages(results: DataFrame) -> DataFrame:
+    """``variant, stage, share`` of ``results(variant, qid, stage)``: where the ladder ended, over the queries with a hit."""
+    per = results.select("variant", "qid", "stage").distinct().groupBy("variant", "stage").agg(F.count("*").alias("n"))
+    return per.join(per.groupBy("variant").agg(F.sum("n").alias("all")), "variant").select("variant", "stage", (F.col("n") / F.col("all")).alias("share"))
+
+
 def latency(rows: DataFrame, column: str = "ms") -> DataFrame:
     """One row: mean, nearest-rank median and 95th percentile, and maximum."""
     return rows.agg(F.avg(column).alias("mean"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column})").alias("p50"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {column})").alias("p95"), F.max(column).alias("max"))

@@ -1,7 +1,7 @@
 """Extraction from raw notes: front matter, links, tasks, headings, code, callouts, tables.
 
-Everything hangs on one line table per note; state that runs down a note (front matter, code
-fences) is a window over its lines.
+Everything hangs on one line table per note.  Front matter and code fences are found within a
+note's row, as stretches of its lines, so that the line table shuffles nothing.
 """
 
 from __future__ import annotations
@@ -21,18 +21,19 @@ def line_table(raw: DataFrame) -> DataFrame:
 
     in_code holds for the lines of ``` and ~~~ blocks, fences included.  Null text has no lines.
     """
-    lines = raw.where("raw is not null").select("path", F.posexplode(F.split("raw", "\n", -1)).alias("ln", "line"))
-    run = W.partitionBy("path").orderBy("ln").rowsBetween(W.unboundedPreceding, 0)
-    rule = F.trim("line") == "---"
-    starts = F.max(F.when((F.col("ln") == 0) & rule, 1).otherwise(0)).over(W.partitionBy("path").orderBy("ln").rowsBetween(W.unboundedPreceding, 0))
-    ends = F.sum(F.when((F.col("ln") > 0) & rule, 1).otherwise(0)).over(run)
-    fences = F.sum(F.when(F.col("line").rlike(FENCE), 1).otherwise(0)).over(run)
-    marked = lines.withColumns({"starts": starts, "ends": ends, "fences": fences})
-    closing = rule & (F.col("ends") == 1) & (F.col("ln") > 0) & (F.col("starts") == 1)
-    body = (F.col("starts") == 0) | ((F.col("ends") > 0) & ~closing)
-    return marked.select(
-        "path", "ln", "line", ((F.col("starts") == 1) & (F.col("ends") == 0) & (F.col("ln") > 0)).alias("in_front"),
-        body.alias("in_body"), ((F.col("fences") % 2 == 1) | F.col("line").rlike(FENCE)).alias("in_code"),
+    split = raw.where("raw is not null").select("path", F.split("raw", "\n", -1).alias("lines"))
+    places = lambda holds: F.filter(F.transform("lines", lambda x, i: F.when(holds(x, i), i)), lambda i: i.isNotNull())
+    fences = places(lambda x, i: x.rlike(FENCE))
+    # where there is front matter, its last line; null if it never ends
+    close = F.when(F.trim(F.get("lines", F.lit(0))) == "---", F.coalesce(F.get(places(lambda x, i: (i > 0) & (F.trim(x) == "---")), F.lit(0)), F.lit(1 << 30))).otherwise(-1)
+    found = split.select("path", "lines", fences.alias("fences"), close.alias("close"))
+    # code from every other fence to the next one, both included
+    begin = lambda k: F.coalesce(F.get("fences", k - 1) + F.when(k % 2 == 0, 1).otherwise(0), F.lit(0))
+    end = lambda k: F.coalesce(F.get("fences", k) + F.when(k % 2 == 1, 1).otherwise(0), F.size("lines"))
+    code = F.flatten(F.transform(F.sequence(F.lit(0), F.size("fences")), lambda k: F.array_repeat(k % 2 == 1, end(k) - begin(k))))
+    rows = found.select("path", "close", F.posexplode(F.arrays_zip(F.col("lines").alias("line"), code.alias("in_code"))).alias("ln", "x"))
+    return rows.select(
+        "path", "ln", "x.line", ((F.col("ln") > 0) & (F.col("ln") < F.col("close"))).alias("in_front"), (F.col("ln") > F.col("close")).alias("in_body"), "x.in_code"
     )
 
 

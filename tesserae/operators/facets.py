@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import KEBAB, KEBAB_PATH, date_ms, dirname, lifecycle
+from ..functions.text import KEBAB, KEBAB_PATH, WIDE, date_ms, dirname, lifecycle
 
 ARCHIVE = "_memories"
 
@@ -20,8 +20,11 @@ def starts_with_any(path: Column, prefixes: Iterable[str]) -> Column:
     return out
 
 
-def exact_filter(notes: DataFrame, doc_kinds=(), topics=(), folders=(), props: dict[str, list[str]] | None = None) -> DataFrame:
-    """Notes that pass every axis given; nothing selected gives nothing.  props names string columns."""
+def exact_filter(notes: DataFrame, doc_kinds=(), topics=(), folders=(), props: dict[str, list[str]] | None = None, properties: DataFrame | None = None) -> DataFrame:
+    """Notes that pass every axis given; nothing selected gives nothing.
+
+    props names string columns, or fields of ``properties(path, key, values)``.
+    """
     if not (doc_kinds or topics or folders or props):
         return notes.limit(0)
     out = notes
@@ -32,10 +35,19 @@ def exact_filter(notes: DataFrame, doc_kinds=(), topics=(), folders=(), props: d
     if folders:
         out = out.where(starts_with_any(F.col("path"), folders))
     for field, values in (props or {}).items():
-        out = out.where(F.trim(field).isin(*[v.strip() for v in values]))
+        out = with_value(out, field, values, properties)
     return out
 
 
+def with_value(notes: DataFrame, field: str, values: Iterable[str], properties: DataFrame | None = None) -> DataFrame:
+    """Notes whose column, or open property, ``field`` has one of the values, white space around them aside."""
+    wanted = [v.strip() for v in values]
+    if field in notes.columns or properties is None:
+        return notes.where(F.trim(field).isin(*wanted))
+    has = properties.where((F.col("key") == field) & F.exists("values", lambda v: F.trim(v).isin(*wanted)))
+    return notes.join(has.select("path").distinct(), "path", "left_semi")
+
+
 def expand_status(values: Iterable[str]) -> list[str]:
     """Status groups ``@done``, ``@active``, ``@todo`` as their words; an unknown group is an error."""
     from ..functions.text import STATUS_WORDS
@@ -73,7 +85,7 @@ def in_scope(path: Column, under: Iterable[str] = (), exclude: Iterable[str] = (
     if not include_archive:
         exclude.append(ARCHIVE)
     keep = ~starts_with_any(path, exclude)
-    return keep & starts_with_any(path, under) if under else keep
+    return F.coalesce(keep & starts_with_any(path, under) if under else keep, F.lit(True))  # a row without a path stays
 
 
 def since_ms(text: str, now_ms: int) -> int:
@@ -148,24 +160,43 @@ def facet(notes: DataFrame, kind: str, properties: DataFrame | None = None) -> D
     return rows.groupBy("value").agg(F.count("*").alias("n"))
 
 
+def facet_listing(notes: DataFrame, kind: str, properties: DataFrame | None = None, cap: int = 50) -> DataFrame:
+    """``value, n, total_distinct, truncated``: the first ``cap`` values, most notes first, then by value."""
+    counts = facet(notes, kind, properties)
+    total = counts.agg(F.count("*").alias("total_distinct"))
+    top = counts.orderBy(F.desc("n"), "value").limit(cap)
+    return top.join(F.broadcast(total)).select("value", "n", "total_distinct", (F.col("total_distinct") > cap).alias("truncated"))  # one row
+
+
+#: Fields with an axis of their own, and fields that hold names of notes.
+NOT_AXES = ("doc_kind", "topic", "tags", "title", "aliases", "related", "amends", "superseded_by", "parent_plan", "depends_on")
+#: Identifiers, relations, prose and dates, which group nothing.
+NOT_GROUPS = (
+    "title", "name", "aliases", "tags",
+    "related", "related_pr", "parent_plan", "depends_on", "related_brainstorm", "superseded_by", "supersedes", "related_solutions", "related_files", "related_branch", "related_seed", "related_dmg",
+    "description", "purpose", "decision", "output", "deferred_reason", "target_audience", "source", "confluence_parent", "metadata", "files",
+    "date", "created", "last_update", "originsessionid",
+)
+
+
 def kind_topic_counts(notes: DataFrame) -> DataFrame:
     """Counts by kind and by topic in one pass."""
     grouped = notes.groupingSets([["doc_kind"], ["topic"]], "doc_kind", "topic").agg(F.count("*").alias("n"), F.grouping("doc_kind").alias("no_kind"))
     return grouped.select(F.when(F.col("no_kind") == 0, "doc_kind").otherwise("topic").alias("axis"), F.coalesce("doc_kind", "topic").alias("value"), "n")
 
 
-def filter_axes(properties: DataFrame, least: int = 4, most_share: float = 0.5, skip=("title", "tags", "aliases", "date", "related")) -> DataFrame:
-    """``key, value, n`` of fields used often enough with few enough distinct values."""
-    values = properties.where(~F.col("key").isin(*skip)).select("key", F.explode("values").alias("v")).select("key", F.trim("v").alias("value")).where("value <> ''").groupBy("key", "value").agg(F.count("*").alias("n"))
+def filter_axes(properties: DataFrame, least: int = 4, most_share: float = 0.5, skip=NOT_AXES) -> DataFrame:
+    """``key, value, n`` of fields used often enough with few enough distinct values; a note counts once for a value."""
+    values = properties.where(~F.col("key").isin(*skip)).select("key", F.explode(F.array_distinct("values")).alias("v")).select("key", F.trim("v").alias("value")).where("value <> ''").groupBy("key", "value").agg(F.count("*").alias("n"))
     good = values.groupBy("key").agg(F.sum("n").alias("used"), F.count("*").alias("distinct_values")).where(F.col("used") >= least).where(F.col("distinct_values") <= F.col("used") * most_share)
     return values.join(good.select("key"), "key", "left_semi")
 
 
-def grouping_candidates(properties: DataFrame, n_notes: int, least: int = 3, most: int = 50, skip=("title", "tags", "aliases", "related")) -> DataFrame:
-    """``key, n_notes, n_values`` of fields that could group notes by their first value."""
-    first = properties.where(~F.lower("key").isin(*skip)).select("path", "key", F.trim(F.element_at("values", 1)).alias("value"))
+def grouping_candidates(properties: DataFrame, least: int = 3, most: int = 50, skip=NOT_GROUPS) -> DataFrame:
+    """``key, n_notes, n_values`` of fields that could group notes by their first value: few values, not one a note."""
+    first = properties.where(~F.lower("key").isin(*skip) & (F.size("values") > 0)).select("path", "key", F.element_at("values", 1).alias("value"))
     counted = first.groupBy("key").agg(F.count_distinct("path").alias("n_notes"), F.count_distinct("value").alias("n_values"))
-    return counted.where((F.col("n_notes") >= least) & (F.col("n_values") <= most) & (F.col("n_values") < n_notes))
+    return counted.where((F.col("n_notes") >= least) & (F.col("n_values") <= most) & (F.col("n_values") < F.col("n_notes")))
 
 
 def group_by_field(notes: DataFrame, properties: DataFrame, field: str) -> DataFrame:
@@ -225,12 +256,18 @@ def tree_filter(notes: DataFrame, needle: str) -> DataFrame:
 
 
 def statistics(notes: DataFrame) -> DataFrame:
-    """``path, words, chars, chars_solid, minutes`` of the text."""
-    text = F.coalesce("text", F.lit(""))
-    cjk = F.regexp_count(text, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"))
-    words = F.regexp_count(text, F.lit(r"\S+"))
-    minutes = F.when(text == "", 0).otherwise(F.greatest(F.lit(1), F.ceil(cjk / 500 + words / 200)))
-    return notes.select("path", words.cast("long").alias("words"), F.char_length(text).cast("long").alias("chars"), F.char_length(F.regexp_replace(text, r"\s", "")).cast("long").alias("chars_solid"), minutes.cast("long").alias("minutes"))
+    """``path, words, chars, chars_solid, minutes`` of the text without its front matter; a blank text has none.
+
+    500 wide characters or 200 tokens with a Latin letter or digit take a minute.
+    """
+    space = r"[\s\p{Z}\x{FEFF}]"
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"^---\s*\r?\n[\s\S]*?\r?\n---\s*\r?\n?", "")
+    solid = F.regexp_replace(text, space, "")
+    words = F.regexp_count(text, F.lit(space.replace("[", "[^", 1) + "+"))
+    token = space.replace("[", "[^", 1) + "*"
+    raw = F.regexp_count(text, F.lit(WIDE)) / 500 + F.regexp_count(text, F.lit(f"{token}[A-Za-z0-9]{token}")) / 200
+    counts = {"words": words, "chars": F.char_length(text), "chars_solid": F.char_length(solid), "minutes": F.when(raw > 0, F.greatest(F.lit(1), F.ceil(raw))).otherwise(0)}
+    return notes.select("path", *[F.when(solid == "", 0).otherwise(c).cast("long").alias(name) for name, c in counts.items()])
 
 
 def bad_values(notes: DataFrame) -> DataFrame:
@@ -240,6 +277,13 @@ def bad_values(notes: DataFrame) -> DataFrame:
     return topics.unionByName(tags).where("reason is not null")
 
 
+def audited(found: DataFrame, check: str, unit: str, order: list[str], cap: int = 20) -> DataFrame:
+    """Rows of an audit in order, at most ``cap``, with ``check, unit, total, truncated``: the total counts before the cut."""
+    total = found.agg(F.count("*").alias("total"))
+    head = found.orderBy(*order).limit(cap).join(F.broadcast(total))  # one row
+    return head.select(F.lit(check).alias("check"), F.lit(unit).alias("unit"), *found.columns, "total", (F.col("total") > cap).alias("truncated"))
+
+
 def tag_issues(notes: DataFrame) -> DataFrame:
     """``issue, key, members, n``: spellings that differ by case, equal last segments, tags on nearly all notes."""
     total = notes.agg(F.count("*").alias("total"))

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.text import stem
 
 #: Fields that hold plain values, not references to notes.
-PLAIN_FIELDS = ("title", "aliases", "tags", "doc_kind", "topic", "status", "date", "created", "updated", "id", "url", "author", "version", "description", "summary", "lang", "priority", "cssclass", "publish", "draft")
+PLAIN_FIELDS = (
+    "title", "name", "aliases", "tags", "doc_kind", "topic", "date", "created", "last_update", "status", "priority", "phase", "severity", "branch", "current_branch", "description", "purpose",
+    "target_audience", "decision", "output", "deferred_reason", "user_confirmed", "metadata", "files", "owner",
+)
 
 
 def resolver(notes: DataFrame) -> DataFrame:
@@ -29,11 +32,10 @@ def target_keys(links: DataFrame) -> DataFrame:
     return links.withColumns({"whole": F.lower(name), "bare": F.when(bare != "", F.lower(bare)), "anchor": F.regexp_extract(name, r"#(.*)$", 1)})
 
 
-def shared_depth(a: Column, b: Column) -> Column:
-    """Leading folder segments that two paths share."""
-    same = F.zip_with(F.slice(F.split(a, "/"), F.lit(1), F.size(F.split(a, "/")) - 1), F.slice(F.split(b, "/"), F.lit(1), F.size(F.split(b, "/")) - 1), lambda x, y: x == y)
-    first = F.array_position(F.transform(same, lambda x: F.coalesce(x, F.lit(False))), F.lit(False))
-    return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
+def folders_above(path: str) -> Column:
+    """Every folder above a path as (depth, folder), the root of depth 0 included."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("folder")))
 
 
 def resolve(links: DataFrame, names: DataFrame) -> DataFrame:
@@ -47,10 +49,10 @@ def resolve(links: DataFrame, names: DataFrame) -> DataFrame:
     known = names.select("key").distinct()
     whole = asked.join(known.withColumnRenamed("key", "whole"), "whole", "left_semi").withColumn("key", F.col("whole"))
     bare = asked.join(known.withColumnRenamed("key", "whole"), "whole", "left_anti").withColumn("key", F.col("bare"))
-    candidates = whole.unionByName(bare).join(names.select("key", F.col("path").alias("dst")), "key")
-    ranked = candidates.groupBy("path", "target").agg(F.max_by("dst", F.struct(shared_depth(F.col("path"), F.col("dst")).alias("d"))).alias("any"), F.max(shared_depth(F.col("path"), F.col("dst"))).alias("depth"))
-    nearest = candidates.join(ranked.select("path", "target", "depth"), ["path", "target"]).where(shared_depth(F.col("path"), F.col("dst")) == F.col("depth"))
-    best = nearest.groupBy("path", "target").agg(F.min("dst").alias("dst"))
+    # a name stands once below every folder, by its smallest path there: links and notes of a popular name are never paired
+    below = names.select("key", "path", F.explode(folders_above("path")).alias("f")).groupBy("key", "f").agg(F.min("path").alias("dst"))
+    candidates = whole.unionByName(bare).select("path", "target", "key", F.explode(folders_above("path")).alias("f")).join(below, ["key", "f"])
+    best = candidates.groupBy("path", "target").agg(F.max_by("dst", "f.depth").alias("dst"))
     return keyed.drop("link_id", "whole", "bare").join(best, ["path", "target"], "left")
 
 

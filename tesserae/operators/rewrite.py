@@ -7,7 +7,6 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .extract import FENCE
 
 
 def replace_plan(raw: DataFrame, pattern: str, replacement: str, regex: bool = False, case: bool = True, word: bool = False) -> DataFrame:
@@ -60,6 +59,3 @@ def patch_front_matter(properties: DataFrame, set_: dict[str, str], remove: tupl
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.array(F.lit(v)).alias("values")) for k, v in set_.items()])
     return kept.unionByName(added.select("path", F.explode(pairs).alias("p")).select("path", "p.key", "p.values"))
 
-
-def fenced(line):
-    return line.rlike(FENCE)

@@ -15,26 +15,17 @@ ALL_BUT_ONE = 8
 LEAST_SHARE = 0.6
 
 
-def term_rows(notes: DataFrame) -> DataFrame:
-    """``path, field, term``: a row for every token of name, title and body.
-
-    Tokens are cut in one pass of generated code; only tokens with Hangul go through the pairs.
-    """
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(c), F.lit("")).alias("text")) for f, c in (("name", "name"), ("title", "title"), ("body", "text"))])
-    texts = notes.select("path", F.explode(fields).alias("f")).select("path", "f.field", "f.text")
-    words = texts.select("path", "field", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("word")).where("word <> ''")
-    terms = F.when(F.col("word").rlike("[가-힣]"), note_tokens("word")).otherwise(F.array("word"))
-    return words.select("path", "field", F.explode(terms).alias("term"))
-
-
 def postings(notes: DataFrame) -> DataFrame:
     """``term, field, path, tf, len``: len is the number of distinct terms of the field in the note.
 
-    One shuffle, by note and field, serves the counts and the lengths.
+    A note's tokens are sorted and counted within its row; nothing is shuffled.
     """
-    rows = term_rows(notes).repartition("path", "field")
-    counted = rows.groupBy("path", "field", "term").agg(F.count("*").alias("tf"))
-    return counted.select("term", "field", "path", F.count("*").over(W.partitionBy("path", "field")).alias("len"), "tf")
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(c), F.lit("")).alias("text")) for f, c in (("name", "name"), ("title", "title"), ("body", "text"))])
+    texts = notes.select("path", F.explode(fields).alias("f")).select("path", "f.field", F.sort_array(note_tokens("f.text")).alias("t")).where("size(t) > 0")
+    begins = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    counted = texts.withColumn("begins", begins)
+    terms = F.transform("begins", lambda a, k: F.struct(F.get("t", a).alias("term"), (F.coalesce(F.get("begins", k + 1), F.size("t")) - a).cast("long").alias("tf")))
+    return counted.select("path", "field", F.size("begins").cast("long").alias("len"), F.explode(terms).alias("p")).select("p.term", "field", "path", "len", "p.tf")
 
 
 def field_lengths(notes: DataFrame) -> DataFrame:
@@ -92,15 +83,16 @@ def expand(words: DataFrame, vocab: DataFrame, prefix: bool = True, fuzzy: bool
 
 def scored_terms(asked: DataFrame, posted: DataFrame, lengths: DataFrame) -> DataFrame:
     """``qid, word, n_words, term, path, score``: BM25+ of one term in a note, over its fields."""
-    df = vocabulary(posted)
-    # lengths has one row a field
-    hits = posted.join(asked, "term").join(df, ["term", "field"]).join(F.broadcast(lengths), "field")
+    wanted = posted.join(asked.select("term").distinct(), "term", "left_semi")
+    # lengths has one row a field; a term's score in a note is the same for all queries
+    hits = wanted.join(vocabulary(wanted), ["term", "field"]).join(F.broadcast(lengths), "field")
     boost = F.lit(1.0)
     for field, b in BOOST.items():
         boost = F.when(F.col("field") == field, b).otherwise(boost)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("weight") * boost * idf * (D + F.col("tf") * (K + 1) / (F.col("tf") + K * (1 - B + B * F.col("len") / F.col("avg_len"))))
-    return hits.groupBy("qid", "word", "n_words", "term", "path").agg(F.sum(part).alias("score"))
+    part = boost * idf * (D + F.col("tf") * (K + 1) / (F.col("tf") + K * (1 - B + B * F.col("len") / F.col("avg_len"))))
+    own = hits.groupBy("term", "path").agg(F.sum(part).alias("own"))
+    return own.join(asked, "term").select("qid", "word", "n_words", "term", "path", (F.col("weight") * F.col("own")).alias("score"))
 
 
 def ladder(scored: DataFrame) -> DataFrame:
@@ -108,18 +100,17 @@ def ladder(scored: DataFrame) -> DataFrame:
 
     A note's score is the sum over its terms times the number of query words it matches.
     """
-    notes = scored.groupBy("qid", "path", "n_words").agg(F.sum("score").alias("sum"), F.count_distinct("word").alias("words"), F.count_distinct("term").alias("terms"))
+    notes = scored.groupBy("qid", "path", "n_words").agg(F.sum("score").alias("sum"), F.size(F.collect_set("word")).cast("long").alias("words"), F.size(F.collect_set("term")).cast("long").alias("terms"))
     need = F.greatest(F.lit(1), F.ceil(F.col("n_words") * LEAST_SHARE))
     stage = (
         F.when(F.col("words") == F.col("n_words"), 0).when(F.col("n_words").between(3, ALL_BUT_ONE) & (F.col("words") == F.col("n_words") - 1), 1).when(F.col("terms") >= need, 2).otherwise(3)
     )
     staged = notes.withColumn("stage", stage)
-    first = staged.groupBy("qid").agg(F.min("stage").alias("stage"))
-    kept = staged.join(F.broadcast(first), ["qid", "stage"]).withColumn("total", F.col("sum") * F.col("words"))  # a row a query
-    top = kept.groupBy("qid").agg(F.max("total").alias("top"))
+    first = staged.groupBy("qid").agg(F.min("stage").alias("stage"), F.max(F.struct(-F.col("stage"), F.col("sum") * F.col("words"))).alias("t"))  # combined before the shuffle
+    kept = staged.withColumn("total", F.col("sum") * F.col("words")).join(first.select("qid", "stage", F.col("t.col2").alias("top")), ["qid", "stage"])
     rel = F.when(F.col("top") > 0, F.col("total") / F.col("top")).otherwise(0.0)
     names = F.element_at(F.array(*[F.lit(x) for x in ("and", "and-1", "or-min", "or")]), F.col("stage") + 1)
-    return kept.join(F.broadcast(top), "qid").select("qid", "path", names.alias("stage"), F.round("total", 4).alias("score"), F.col("terms").alias("matched"), F.round(rel, 4).alias("rel"))
+    return kept.select("qid", "path", names.alias("stage"), F.round("total", 4).alias("score"), F.col("terms").alias("matched"), F.round(rel, 4).alias("rel"))
 
 
 def search(queries: DataFrame, posted: DataFrame, lengths: DataFrame, limit: int = 10, prefix: bool = True, fuzzy: bool = True) -> DataFrame:

@@ -46,8 +46,8 @@ def commands(events: DataFrame) -> DataFrame:
 
 
 def errors(events: DataFrame) -> DataFrame:
-    """``lvl, at, n, last_t``; rolled up to the level (at null)."""
-    return events.where("k = 'err'").groupingSets([["lvl", "at"], ["lvl"]], "lvl", "at").agg(F.count("*").alias("n"), F.max("t").alias("last_t"))
+    """``lvl, at, msg, n, last_t`` by level, place and message; rolled up to the level (at and msg null)."""
+    return events.where("k = 'err'").groupingSets([["lvl", "at", "msg"], ["lvl"]], "lvl", "at", "msg").agg(F.count("*").alias("n"), F.max("t").alias("last_t"))
 
 
 def queries(events: DataFrame) -> DataFrame:
@@ -56,6 +56,28 @@ def queries(events: DataFrame) -> DataFrame:
     return events.where("k = 'query'").groupBy("kind").agg(F.count("*").alias("n_queries"), F.count_if(F.col("n") == 0).alias("n_empty"), F.try_divide(F.count_if(known & ~F.col("hit")), F.count_if(known)).alias("miss_rate"))
 
 
+def empty_queries(events: DataFrame) -> DataFrame:
+    """``kind, q, n`` of queries without a result."""
+    return events.where("k = 'query' and n = 0").groupBy("kind", "q").agg(F.count("*").alias("n_empty"))
+
+
+def report(events: DataFrame, top: int = 5) -> DataFrame:
+    """``section, rank, name, n``: the first rows of each table of the usage report, most first, then by name."""
+    parts = {
+        "commands": commands(events).where("via is null").select(F.col("id").alias("name"), "n"),
+        "errors": errors(events).where("msg is not null").select(F.concat_ws(": ", "lvl", "at", "msg").alias("name"), "n"),
+        "empty queries": empty_queries(events).select(F.concat_ws(": ", "kind", "q").alias("name"), F.col("n_empty").alias("n")),
+        "opened notes": opens(events).where("via is null").select(F.col("path").alias("name"), "n"),
+        "slow work": performance(events).select(F.col("op").alias("name"), "n"),
+    }
+    out = None
+    for section, rows in parts.items():
+        first = rows.orderBy(F.desc("n"), "name").limit(top)
+        ranked = first.select(F.lit(section).alias("section"), F.row_number().over(W.orderBy(F.desc("n"), "name")).alias("rank"), "name", "n")  # top rows
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
+
+
 def opens(events: DataFrame) -> DataFrame:
     """``path, via, n`` over (path, via), path and via."""
     return events.where("k = 'open'").groupingSets([["path", "via"], ["path"], ["via"]], "path", "via").agg(F.count("*").alias("n"))

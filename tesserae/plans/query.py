@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import facets, graph, search
+from ..functions.text import nfc
+from ..operators import facets, search
 
 
 class QueryError(ValueError):
@@ -67,33 +68,33 @@ def find_note(notes: DataFrame, names: DataFrame, wanted: str) -> str:
     return found[0]
 
 
-def structural(q: CorpusQuery, notes: DataFrame, references: DataFrame | None = None) -> DataFrame:
-    """Notes that pass all structural arms."""
+def structural(q: CorpusQuery, notes: DataFrame, references: DataFrame | None = None, properties: DataFrame | None = None) -> DataFrame:
+    """Notes that pass all structural arms; fields that aren't columns are looked up in ``properties``."""
     pool = notes.where(facets.in_scope(F.col("path"), q.under, q.exclude, q.include_archive))
     if q.backlinks_of:
         pool = pool.join(references.where(F.col("dst") == q.backlinks_of).select(F.col("src").alias("path")).distinct(), "path", "left_semi")
     if q.tag:
-        pool = pool.where(facets.tag_matches(F.col("tags"), q.tag))
+        pool = pool.where(facets.tag_matches(F.col("tags"), nfc(q.tag)))
     for key, values in q.props.items():
         if values:
-            pool = pool.where(F.trim(key).isin(*facets.expand_status(values)))
+            pool = facets.with_value(pool, key, facets.expand_status(map(nfc, values)), properties)
     if q.since:
         pool = pool.where(facets.time_of(q.axis) >= facets.since_ms(q.since, q.now_ms))
     return pool
 
 
-def corpus_query(q: CorpusQuery, notes: DataFrame, posted: DataFrame, lengths: DataFrame, references: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
+def corpus_query(q: CorpusQuery, notes: DataFrame, posted: DataFrame, lengths: DataFrame, references: DataFrame | None = None, fuzzy: bool = True, properties: DataFrame | None = None) -> DataFrame:
     """``pos, path, score, rel, title, doc_kind, topic`` in order, at most the limit.
 
     With structure and text: ranked notes of the pool by score, then the rest of the pool.
     With text alone: ranked notes.  Unscored notes by path, or by time with nulls last.
     """
     q.check()
-    pool = structural(q, notes, references)
+    pool = structural(q, notes, references, properties)
     only_text = q.text.strip() and not (q.backlinks_of or q.tag or q.props or q.since)
     rows = pool.select("path", "title", "doc_kind", "topic", facets.time_of(q.axis).alias("t"))
     if q.text.strip():
-        queries = notes.sparkSession.createDataFrame([(0, q.text)], "qid int, query string")
+        queries = notes.sparkSession.createDataFrame([(0, nfc(q.text))], "qid int, query string")
         hits = search.search(queries, posted, lengths, 0, fuzzy, fuzzy).where(F.col("rel") >= max(0.0, min(1.0, q.min_rel)))
         rows = rows.join(hits.select("path", "score", "rel"), "path", "inner" if only_text else "left")
     else:
@@ -112,7 +113,7 @@ def query_report(q: CorpusQuery, notes: DataFrame, posted: DataFrame, lengths: D
     for key, values in q.props.items():
         arms.append(notes.agg(F.count_if(F.trim(key).isin(*facets.expand_status(values))).alias("matched")).withColumn("arm", F.lit(f"props:{key}")))
     if q.text.strip():
-        queries = notes.sparkSession.createDataFrame([(0, q.text)], "qid int, query string")
+        queries = notes.sparkSession.createDataFrame([(0, nfc(q.text))], "qid int, query string")
         arms.append(search.search(queries, posted, lengths, 0, False, False).agg(F.count("*").alias("matched")).withColumn("arm", F.lit("text")))
     arms.append(structural(q, notes, references).agg(F.count("*").alias("matched")).withColumn("arm", F.lit("pool")))
     out = arms[0]
@@ -152,6 +153,3 @@ def run_saved(saved: DataFrame, notes: DataFrame) -> DataFrame:
     w = W.partitionBy("id")
     return rows.withColumns({"total": F.count("*").over(w), "pos": F.row_number().over(w.orderBy("path"))}).where("pos <= limit").select(F.col("id.path").alias("query_path"), F.col("id.ln").alias("ln"), "path", "pos", "total")
 
-
-def find_references(edges: DataFrame, relations: DataFrame) -> DataFrame:
-    return graph.references(edges, relations)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import changes, evaluate, extract, facets, graph, rewrite, search, usage
 from .plans.query import CorpusQuery, corpus_query, query_report, run_saved
+from .sources.shared import set_down
 from .sources.corpus import CHANGED_SQL, NOTES_SQL, NOW_MS, PROPS_SQL, changed_files, notes, properties, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,21 +40,10 @@ def links_of(n: DataFrame) -> DataFrame:
     return n.select("path", F.explode("targets").alias("target"))
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the session's ``spark.checkpoint.dir``: plans that read it often stay small.  Without that folder, ``df`` itself."""
-    spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        return df
-    path = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def graph_of(s: SparkSession, d: str, cut: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Notes, names, edges and relations (notes that a status or topic field names); ``cut`` keeps the names as a table."""
     n = notes(s, d)
-    names = kept(graph.resolver(n), "names") if cut else graph.resolver(n)
+    names = set_down(graph.resolver(n), "names") if cut else graph.resolver(n)
     e = graph.edges(graph.resolve(links_of(n), names))
     related = n.where("status is not null").select("path", F.lit("related").alias("key"), F.array(F.concat(F.lit("[[doc-"), (F.col("doc_id") + 3).cast("string"), F.lit("|x]] (see)"))).alias("values"))
     r = graph.relations(related.unionByName(properties(n).where("key = 'status'")), names)
@@ -94,13 +83,14 @@ registered("src4_typed_fields", lambda s, d: extract.front_properties(lines_of(s
 registered("src5_open_properties", lambda s, d: extract.front_properties(lines_of(s, d)).groupBy("key").agg(F.count("*").alias("n_notes"), F.sum(F.size("values")).alias("n_values")),
     "SELECT key, count(*) AS n_notes, CAST(sum(len(vals)) AS BIGINT) AS n_values FROM props WHERE array_to_string(vals, '|') <> '' GROUP BY key", NOTES_SQL, PROPS_SQL)
 registered("src6_wikilinks", lambda s, d: extract.wikilinks(lines_of(s, d)).select("path", "target"), "SELECT path, unnest(targets) AS target FROM notes", NOTES_SQL)
-registered("src7_all_links", lambda s, d: extract.all_links(lines_of(s, d)).groupBy("target").agg(F.count("*").alias("n")), "SELECT target, count(*) AS n FROM (SELECT unnest(targets) AS target FROM notes) GROUP BY 1", NOTES_SQL)
+registered("src7_all_links", lambda s, d: extract.all_links(lines_of(s, d)).groupBy("target").agg(F.count("*").alias("n")),
+    "SELECT target, count(*) AS n FROM (SELECT unnest(targets) AS target FROM notes UNION ALL SELECT 'doc-' || doc_id * 3 FROM notes WHERE 'doc-' || doc_id * 3 NOT IN (targets[1], lower(targets[2]))) GROUP BY 1", NOTES_SQL)
 registered("src8_inline_tags", lambda s, d: extract.inline_tags(lines_of(s, d)).groupBy("tag").agg(F.count("*").alias("n")),
-    None)
+    "SELECT 'topic/' || topic AS tag, count(*) AS n FROM notes GROUP BY 1", NOTES_SQL)
 registered("src10_tasks", lambda s, d: extract.tasks(lines_of(s, d)).groupBy("path").agg(F.count_if(~F.col("done")).alias("open"), F.count_if("done").alias("done"), F.max("depth").alias("depth")),
     "SELECT path, CAST(doc_id % 3 AS BIGINT) AS open, CAST(1 AS BIGINT) AS done, 0 AS depth FROM notes", NOTES_SQL)
-registered("src11_code_lines", lambda s, d: lines_of(s, d).where("in_body and in_code").groupBy("path").agg(F.count("*").alias("n")),
-    "SELECT path, CAST(4 AS BIGINT) AS n FROM notes", NOTES_SQL)
+registered("src11_code_lines", lambda s, d: extract.code_lines(lines_of(s, d)).groupBy("path").agg(F.count("*").alias("n"), F.min("ln").cast("long").alias("first_ln")),
+    "SELECT path, count(*) AS n, CAST(min(ln) AS BIGINT) AS first_ln FROM lines WHERE in_body AND in_code GROUP BY 1", NOTES_SQL)
 registered("src15_usage_lines", lambda s, d: usage.parse_lines(usage_lines(s, d)).groupBy("status", "k").agg(F.count("*").alias("n")),
     "SELECT CASE WHEN event_id % 50 = 0 THEN 'malformed' ELSE 'ok' END AS status, CASE WHEN event_id % 50 = 0 THEN NULL ELSE k END AS k, count(*) AS n FROM usage GROUP BY 1, 2", "usage AS (SELECT event_id, CASE event_type WHEN 'signup' THEN 'session' WHEN 'click' THEN 'cmd' WHEN 'error' THEN 'err' WHEN 'purchase' THEN 'query' ELSE 'open' END AS k FROM events)")
 registered("src18_months", lambda s, d: usage_events(s, d).groupBy(usage.month_of(F.col("t")).alias("month")).agg(F.count("*").alias("n")),
@@ -116,16 +106,19 @@ def usage_events(s: SparkSession, d: str) -> DataFrame:
         "CASE WHEN event_type = 'signup' THEN 'start' END AS ev", "'cmd-' || user_id % 7 AS id", "CASE event_id % 3 WHEN 0 THEN 'palette' WHEN 1 THEN 'menu' ELSE 'key' END AS via",
         "'at-' || user_id % 5 AS at", "CASE event_id % 4 WHEN 0 THEN 'warn: slow' ELSE 'failed' END AS msg", "CASE WHEN event_id % 4 = 0 THEN 'warn' ELSE 'error' END AS lvl",
         "CASE event_id % 2 WHEN 0 THEN 'text' ELSE 'tag' END AS kind", "event_id % 5 AS n", "CASE WHEN event_id % 3 = 0 THEN event_id % 2 = 0 END AS hit", "'doc-' || user_id % 40 AS path", "value AS ms",
-        "event_type AS op",
+        "event_type AS op", "'word-' || event_id % 11 AS q",
     )
 
 
+SPACES = r" \t\n\x0B\f\r\p{Z}\x{FEFF}"
+TOKENS = "[^" + SPACES + r"\p{P}\p{S}]+"
 USAGE_SQL = """
 usage AS (
   SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'session' WHEN 'click' THEN 'cmd' WHEN 'error' THEN 'err' WHEN 'purchase' THEN 'query' ELSE 'open' END AS k,
     epoch_us(ts) AS us, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS t, event_type = 'signup' AS starts, 'cmd-' || user_id % 7 AS id,
     CASE event_id % 3 WHEN 0 THEN 'palette' WHEN 1 THEN 'menu' ELSE 'key' END AS via, 'at-' || user_id % 5 AS "at", CASE WHEN event_id % 4 = 0 THEN 'warn' ELSE 'error' END AS lvl,
-    CASE event_id % 2 WHEN 0 THEN 'text' ELSE 'tag' END AS kind, event_id % 5 AS n, CASE WHEN event_id % 3 = 0 THEN event_id % 2 = 0 END AS hit, 'doc-' || user_id % 40 AS path, value AS ms, event_type AS op
+    CASE event_id % 2 WHEN 0 THEN 'text' ELSE 'tag' END AS kind, event_id % 5 AS n, CASE WHEN event_id % 3 = 0 THEN event_id % 2 = 0 END AS hit, 'doc-' || user_id % 40 AS path, value AS ms, event_type AS op,
+    'word-' || event_id % 11 AS q, CASE event_id % 4 WHEN 0 THEN 'warn: slow' ELSE 'failed' END AS msg
   FROM events
 )
 """
@@ -140,13 +133,15 @@ def usage_lines(s: SparkSession, d: str) -> DataFrame:
 # filters and projections --------------------------------------------------------------------
 registered("flt1_exact_filter", lambda s, d: facets.exact_filter(notes(s, d), ["plan", "adr"], ["src1", "src2", "src3"], ["en/", "fr/"], {"status": ["완료"]}).select("path", "doc_kind", "topic"),
     "SELECT path, doc_kind, topic FROM notes WHERE doc_kind IN ('plan', 'adr') AND topic IN ('src1', 'src2', 'src3') AND (path LIKE 'en/%' OR path LIKE 'fr/%') AND status = '완료'", NOTES_SQL)
-registered("flt2_props_filter", lambda s, d: corpus_pool(s, d, CorpusQuery(props={"status": ["@done"], "topic": ["src4", "src5"]})), "SELECT path FROM notes WHERE status = '완료' AND topic IN ('src4', 'src5')", NOTES_SQL)
+registered("flt2_props_filter", lambda s, d: corpus_pool(s, d, CorpusQuery(props={"status": ["@done"], "topic": ["src4", "src5"]})), "SELECT path FROM notes WHERE status IN ('완료', '반영됨') AND topic IN ('src4', 'src5')", NOTES_SQL)
 registered("flt3_status_groups", lambda s, d: notes(s, d).groupBy(F.coalesce(T.lifecycle("status"), F.lit("none")).alias("lifecycle")).agg(F.count("*").alias("n")),
-    "SELECT CASE status WHEN '완료' THEN 'done' WHEN '진행 중' THEN 'active' ELSE 'none' END AS lifecycle, count(*) AS n FROM notes GROUP BY 1", NOTES_SQL)
+    "SELECT CASE status WHEN '완료' THEN 'done' WHEN '반영됨' THEN 'done' WHEN '진행 중' THEN 'active' WHEN '미착수' THEN 'todo' ELSE 'none' END AS lifecycle, count(*) AS n FROM notes GROUP BY 1", NOTES_SQL)
 registered("flt4_nested_tags", lambda s, d: notes(s, d).where(facets.any_tag(F.col("tags"), ["LEN", "src/src7"])).select("path"),
     "SELECT path FROM notes WHERE len(list_filter(tags, lambda t: lower(t) = 'len' OR lower(t) LIKE 'len/%' OR lower(t) = 'src/src7' OR lower(t) LIKE 'src/src7/%')) > 0", NOTES_SQL)
 registered("flt5_scope", lambda s, d: notes(s, d).where(facets.in_scope(F.col("path"), ["en/", "de/src1"], ["en/src2"])).select("path"),
     "SELECT path FROM notes WHERE (path LIKE 'en/%' OR path LIKE 'de/src1%') AND NOT path LIKE 'en/src2%'", NOTES_SQL)
+registered("flt11_rows_in_scope", lambda s, d: notes(s, d).withColumn("place", F.when(F.col("doc_id") % 7 > 0, F.col("path"))).where(facets.in_scope(F.col("place"), ["en/"], ["en/src2"])).select("path"),
+    "SELECT path FROM notes WHERE doc_id % 7 = 0 OR (path LIKE 'en/%' AND NOT path LIKE 'en/src2%')", NOTES_SQL)
 registered("flt6_since_report", lambda s, d: facets.since_report(notes(s, d), facets.since_ms("2024-06-01", NOW_MS), "date"),
     "SELECT CAST(count(*) FILTER (WHERE date >= '2024-06-01') AS BIGINT) AS kept, CAST(count(*) FILTER (WHERE date < '2024-06-01') AS BIGINT) AS dropped_older, CAST(0 AS BIGINT) AS dropped_no_time FROM notes", NOTES_SQL)
 registered("flt7_time_axis", lambda s, d: notes(s, d).select("path", facets.time_of("date").alias("t")), "SELECT path, epoch_ms(CAST(date AS TIMESTAMP)) AS t FROM notes", NOTES_SQL)
@@ -157,15 +152,20 @@ registered("flt9_tree_filter", lambda s, d: facets.tree_filter(notes(s, d), "C1"
 def corpus_pool(s: SparkSession, d: str, q: CorpusQuery) -> DataFrame:
     from .plans.query import structural
 
-    return structural(q, notes(s, d)).select("path")
+    n = notes(s, d)  # status is looked up as an open field
+    return structural(q, n.drop("status"), properties=properties(n)).select("path")
 
 
 registered("prj1_cells", lambda s, d: facets.cells(notes(s, d)), "SELECT path, coalesce(nullif(trim(title), ''), name) AS title, doc_kind, topic, array_to_string(tags, ', ') AS tags, lang || '/' || topic AS folder FROM (SELECT *, split_part(path, '/', 1) AS lang FROM notes)", NOTES_SQL)
 registered("prj3_radius_snippet", lambda s, d: notes(s, d).select("path", search.around(F.col("text"), ["thion", "erblest"]).alias("snippet")),
     """SELECT path, CASE WHEN pos IS NULL THEN trim(regexp_replace(substr(text, 1, 120), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) ELSE CASE WHEN b > 1 THEN '…' ELSE '' END || trim(regexp_replace(substr(text, b, e - b + 1), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) || CASE WHEN e < length(text) THEN '…' ELSE '' END END AS snippet
     FROM (SELECT path, text, pos, greatest(1, pos - 60) AS b, least(length(text), pos + 60) AS e FROM (SELECT path, text, list_min(list_filter([instr(lower(text), 'thion'), instr(lower(text), 'erblest')], lambda x: x > 0)) AS pos FROM notes))""", NOTES_SQL)
-registered("prj5_statistics", lambda s, d: facets.statistics(notes(s, d)),
-    "SELECT path, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS BIGINT) AS words, CAST(length(text) AS BIGINT) AS chars, CAST(length(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]', '', 'g')) AS BIGINT) AS chars_solid, CASE WHEN text = '' THEN 0 ELSE greatest(1, CAST(ceil(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) / 200.0) AS BIGINT)) END AS minutes FROM notes", NOTES_SQL)
+registered("prj5_statistics", lambda s, d: facets.statistics(notes(s, d).select("path", F.col("raw").alias("text"))),
+    rf"""SELECT path, CAST(words AS BIGINT) AS words, CAST(length(body) AS BIGINT) AS chars, CAST(length(solid) AS BIGINT) AS chars_solid, CAST(CASE WHEN raw_minutes > 0 THEN greatest(1, ceil(raw_minutes)) ELSE 0 END AS BIGINT) AS minutes FROM (
+      SELECT path, body, regexp_replace(body, '[{SPACES}]', '', 'g') AS solid, len(regexp_extract_all(body, '[^{SPACES}]+')) AS words,
+        len(regexp_extract_all(body, '[\x{{1100}}-\x{{11FF}}\x{{3000}}-\x{{30FF}}\x{{3130}}-\x{{318F}}\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{AC00}}-\x{{D7A3}}\x{{F900}}-\x{{FAFF}}\x{{FF00}}-\x{{FFEF}}]')) / 500.0
+        + len(list_filter(regexp_extract_all(body, '[^{SPACES}]+'), lambda w: regexp_matches(w, '[A-Za-z0-9]'))) / 200.0 AS raw_minutes
+      FROM (SELECT path, regexp_replace(raw, '^---\s*\r?\n[\s\S]*?\r?\n---\s*\r?\n?', '') AS body FROM notes_raw))""", NOTES_SQL)
 registered("prj6_path_columns", lambda s, d: notes(s, d).select("path", T.stem("path").alias("stem"), T.display_name("path").alias("display"), T.dirname("path").alias("folder")),
     "SELECT path, name AS stem, topic || '/' || name AS display, split_part(path, '/', 1) || '/' || topic AS folder FROM notes", NOTES_SQL)
 
@@ -179,8 +179,16 @@ registered("grf8_backlink_listing", lambda s, d: graph.backlink_listing(graph_of
 registered("grf9_relation_groups", lambda s, d: graph.relation_groups(graph_of(s, d)[3]), "SELECT src, type, string_agg(dst, ',' ORDER BY dst) AS notes FROM relations GROUP BY 1, 2", *G)
 registered("grf10_broken_links", lambda s, d: graph.broken_links(links_of(notes(s, d)), graph.resolver(notes(s, d))),
     "SELECT min(trim(split_part(target, '|', 1))) AS target, count(DISTINCT path) AS n_sources, min(path) AS first_source FROM asked WHERE whole NOT IN (SELECT key FROM names) AND bare NOT IN (SELECT key FROM names) GROUP BY whole", *G)
-registered("grf11_orphans", lambda s, d: graph.orphans(graph_of(s, d)[0], *graph_of(s, d)[2:]),
-    "SELECT n.path, CAST(coalesce(o.n, 0) AS BIGINT) AS outgoing FROM notes n LEFT JOIN (SELECT src, count(DISTINCT dst) AS n FROM (SELECT src, dst FROM edges UNION SELECT src, dst FROM relations) GROUP BY src) o ON n.path = o.src WHERE n.path NOT IN (SELECT dst FROM edges) AND n.path NOT IN (SELECT dst FROM relations)", *G)
+def orphans(s: SparkSession, d: str) -> DataFrame:
+    n, _, e, r = graph_of(s, d)
+    return graph.orphans(n, e, r)
+
+
+ORPHANS_SQL = "SELECT n.path, CAST(coalesce(o.n, 0) AS BIGINT) AS outgoing FROM notes n LEFT JOIN (SELECT src, count(DISTINCT dst) AS n FROM (SELECT src, dst FROM edges UNION SELECT src, dst FROM relations) GROUP BY src) o ON n.path = o.src WHERE n.path NOT IN (SELECT dst FROM edges) AND n.path NOT IN (SELECT dst FROM relations)"
+registered("aud5_audited_orphans", lambda s, d: facets.audited(orphans(s, d), "orphans", "notes", ["path"]),
+    f"SELECT 'orphans' AS \"check\", 'notes' AS unit, path, outgoing, count(*) OVER () AS total, count(*) OVER () > 20 AS truncated FROM ({ORPHANS_SQL}) ORDER BY path LIMIT 20", *G)
+registered("grf11_orphans", orphans,
+    ORPHANS_SQL, *G)
 registered("grf12_ambiguous", lambda s, d: graph.ambiguous_names(graph.resolver(notes(s, d))), "SELECT key, count(*) AS n_candidates, min(path) AS first_path FROM names GROUP BY key HAVING count(*) > 1", NOTES_SQL, NAMES_SQL)
 registered("grf16_neighbourhood", lambda s, d: graph.neighbourhood(*graph_of(s, d)[2:]),
     "SELECT src AS path, 'out' AS direction, type, count(*) AS n FROM relations GROUP BY 1, 3 UNION ALL SELECT dst, 'in', type, count(*) FROM relations GROUP BY 1, 3 UNION ALL SELECT dst, 'link', '', count(*) FROM edges GROUP BY 1", *G)
@@ -189,13 +197,19 @@ registered("set2_intersection", lambda s, d: graph_of(s, d)[2].select("dst").int
 registered("set3_difference", lambda s, d: notes(s, d).select("path").exceptAll(graph_of(s, d)[2].select(F.col("dst").alias("path")).distinct()), "SELECT path FROM notes WHERE path NOT IN (SELECT dst FROM edges)", *G)
 
 # facets -------------------------------------------------------------------------------------
-registered("agg1_facet_tags", lambda s, d: facets.facet(notes(s, d), "tags"), "SELECT lower(trim(t)) AS value, count(*) AS n FROM (SELECT unnest(tags) AS t FROM notes) GROUP BY 1", NOTES_SQL)
-registered("agg1_facet_fields", lambda s, d: facets.facet(notes(s, d), "fields", properties(notes(s, d))), "SELECT key AS value, count(*) AS n FROM props WHERE key NOT IN ('title', 'doc_kind', 'topic', 'tags') GROUP BY 1", NOTES_SQL, PROPS_SQL)
-registered("agg1_facet_status", lambda s, d: facets.facet(notes(s, d), "status", properties(notes(s, d))), "SELECT status AS value, count(*) AS n FROM notes WHERE status IS NOT NULL GROUP BY 1", NOTES_SQL)
+def listed(counts: str, cap: int = 50) -> str:
+    return f"SELECT value, n, total_distinct, total_distinct > {cap} AS truncated FROM (SELECT *, count(*) OVER () AS total_distinct FROM ({counts})) ORDER BY n DESC, value LIMIT {cap}"
+
+
+registered("agg1_facet_tags", lambda s, d: facets.facet_listing(notes(s, d), "tags", cap=8), listed("SELECT lower(trim(t)) AS value, count(*) AS n FROM (SELECT unnest(tags) AS t FROM notes) GROUP BY 1", 8), NOTES_SQL)
+registered("agg1_facet_fields", lambda s, d: facets.facet_listing(notes(s, d), "fields", properties(notes(s, d))), listed("SELECT key AS value, count(*) AS n FROM props WHERE key NOT IN ('title', 'doc_kind', 'topic', 'tags') GROUP BY 1"), NOTES_SQL, PROPS_SQL)
+registered("agg1_facet_status", lambda s, d: facets.facet_listing(notes(s, d), "status", properties(notes(s, d))), listed("SELECT status AS value, count(*) AS n FROM notes WHERE status IS NOT NULL GROUP BY 1"), NOTES_SQL)
 registered("agg2_kind_topic", lambda s, d: facets.kind_topic_counts(notes(s, d)), "SELECT 'doc_kind' AS axis, doc_kind AS value, count(*) AS n FROM notes GROUP BY 2 UNION ALL SELECT 'topic', topic, count(*) FROM notes GROUP BY 2", NOTES_SQL)
-registered("agg3_axes", lambda s, d: facets.filter_axes(properties(notes(s, d))), "SELECT key, v AS value, count(*) AS n FROM (SELECT key, unnest(vals) AS v FROM props) WHERE key IN ('doc_kind', 'topic', 'status') GROUP BY 1, 2", NOTES_SQL, PROPS_SQL)
-registered("agg4_grouping", lambda s, d: facets.grouping_candidates(properties(notes(s, d)), notes(s, d).count()),
-    "SELECT key, count(DISTINCT path) AS n_notes, count(DISTINCT vals[1]) AS n_values FROM props WHERE key NOT IN ('title', 'tags') GROUP BY key HAVING count(DISTINCT path) >= 3 AND count(DISTINCT vals[1]) <= 50", NOTES_SQL, PROPS_SQL)
+registered("agg3_axes", lambda s, d: facets.filter_axes(properties(notes(s, d))), """SELECT key, value, n FROM (SELECT *, sum(n) OVER (PARTITION BY key) AS used, count(*) OVER (PARTITION BY key) AS kinds FROM (
+      SELECT key, trim(v) AS value, count(DISTINCT path) AS n FROM (SELECT path, key, unnest(vals) AS v FROM props) WHERE trim(v) <> '' AND key NOT IN ('doc_kind', 'topic', 'tags', 'title', 'aliases') GROUP BY 1, 2))
+    WHERE used >= 4 AND kinds <= used * 0.5""", NOTES_SQL, PROPS_SQL)
+registered("agg4_grouping", lambda s, d: facets.grouping_candidates(properties(notes(s, d))),
+    "SELECT key, count(DISTINCT path) AS n_notes, count(DISTINCT vals[1]) AS n_values FROM props WHERE key NOT IN ('title', 'tags', 'date') GROUP BY key HAVING count(DISTINCT path) >= 3 AND count(DISTINCT vals[1]) <= 50 AND count(DISTINCT vals[1]) < count(DISTINCT path)", NOTES_SQL, PROPS_SQL)
 registered("agg5_by_status", lambda s, d: facets.group_by_field(notes(s, d), properties(notes(s, d)), "status"), "SELECT coalesce(status, '(none)') AS value, status IS NULL AS is_none, count(*) AS n FROM notes GROUP BY 1, 2", NOTES_SQL)
 registered("agg6_columns", lambda s, d: facets.available_columns(properties(notes(s, d))), "SELECT key, count(*) AS n FROM props WHERE array_to_string(vals, '') <> '' GROUP BY 1", NOTES_SQL, PROPS_SQL)
 TAGS_SQL = "tagged AS (SELECT path, unnest(tags) AS spelled FROM notes), levels AS (SELECT path, spelled, lower(spelled) AS tag, split_part(lower(spelled), '/', 1) AS prefix, 1 AS depth FROM tagged UNION ALL SELECT path, spelled, lower(spelled), lower(spelled), 2 FROM tagged WHERE spelled LIKE '%/%')"
@@ -245,7 +259,7 @@ registered("aud2_value_issues", lambda s, d: facets.value_issues(properties(note
         WHEN lower(b.v) LIKE lower(a.v) || '%' AND regexp_matches(substr(lower(b.v), length(a.v) + 1, 1), '^[^\\p{L}\\p{N}]$') THEN 'prefix'
         WHEN lower(b.v) LIKE '%' || lower(a.v) AND length(b.v) > length(a.v) + 1 AND regexp_matches(substr(lower(b.v), length(b.v) - length(a.v), 1), '^[^\\p{L}\\p{N}]$') THEN 'suffix' END AS issue, a.v AS value, b.v AS other
       FROM vals a JOIN vals b ON a.key = b.key AND a.v <> b.v) WHERE issue IS NOT NULL""", NOTES_SQL, PROPS_SQL, "vals AS (SELECT DISTINCT key, trim(v) AS v FROM (SELECT key, unnest(vals) AS v FROM props) WHERE key IN ('doc_kind', 'topic', 'status', 'tags'))")
-registered("aud3_decayed", lambda s, d: facets.decayed(notes(s, d), facets.task_groups(extract.tasks(lines_of(s, d)))), "SELECT path, status, CAST(doc_id % 3 AS BIGINT) AS open FROM notes WHERE status = '완료' AND doc_id % 3 > 0", NOTES_SQL)
+registered("aud3_decayed", lambda s, d: facets.decayed(notes(s, d), facets.task_groups(extract.tasks(lines_of(s, d)))), "SELECT path, status, CAST(doc_id % 3 AS BIGINT) AS open FROM notes WHERE status IN ('완료', '반영됨') AND doc_id % 3 > 0", NOTES_SQL)
 registered("aud4_stale", lambda s, d: facets.stale(notes(s, d), NOW_MS),
     f"SELECT path, days FROM (SELECT path, CAST(floor(({NOW_MS} - greatest(mtime_ms, epoch_ms(CAST(date AS TIMESTAMP)))) / 86400000) AS BIGINT) AS days FROM notes WHERE greatest(mtime_ms, epoch_ms(CAST(date AS TIMESTAMP))) <= {NOW_MS}) WHERE days >= 180", NOTES_SQL)
 registered("aud7_bad_values", lambda s, d: facets.bad_values(notes(s, d)), "SELECT path, 'tag' AS field, t AS value, 'not kebab-case' AS reason FROM (SELECT path, unnest(tags) AS t FROM notes) WHERE t LIKE 'Len/%'", NOTES_SQL)
@@ -258,6 +272,7 @@ def doctor(s: SparkSession, d: str) -> DataFrame:
     found = {
         "orphans": graph.orphans(n, e, r), "broken": graph.broken_links(links_of(n), names), "ambiguous": graph.ambiguous_names(names), "tags": facets.tag_issues(n),
         "decayed": facets.decayed(n, groups), "stale": facets.stale(n, NOW_MS), "values": facets.bad_values(n),
+        "look-alikes": facets.value_issues(properties(n).where("key in ('doc_kind', 'topic', 'status', 'tags')"), r),
     }
     out = None
     for check, df in found.items():
@@ -271,7 +286,7 @@ def _count_of(name: str) -> str:
     return f"(SELECT count(*) FROM ({sql}))"
 
 
-registered("aud6_doctor", doctor, " UNION ALL ".join(f"SELECT '{c}' AS \"check\", {_count_of(q)} AS n" for c, q in (("orphans", "grf11_orphans"), ("broken", "grf10_broken_links"), ("ambiguous", "grf12_ambiguous"), ("tags", "aud1_tag_issues"), ("decayed", "aud3_decayed"), ("stale", "aud4_stale"), ("values", "aud7_bad_values"))))
+registered("aud6_doctor", doctor, " UNION ALL ".join(f"SELECT '{c}' AS \"check\", {_count_of(q)} AS n" for c, q in (("orphans", "grf11_orphans"), ("broken", "grf10_broken_links"), ("ambiguous", "grf12_ambiguous"), ("tags", "aud1_tag_issues"), ("decayed", "aud3_decayed"), ("stale", "aud4_stale"), ("values", "aud7_bad_values"), ("look-alikes", "aud2_value_issues"))))
 
 
 def mentions(s: SparkSession, d: str) -> DataFrame:
@@ -302,15 +317,15 @@ def asked(s: SparkSession) -> DataFrame:
 
 
 registered("fts1_tokens", lambda s, d: notes(s, d).select("path", T.note_tokens("text").alias("t")).select("path", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct")),
-    "SELECT path, CAST(len(t) AS BIGINT) AS n, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT path, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM notes)", NOTES_SQL)
+    "SELECT path, CAST(len(t) AS BIGINT) AS n, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT path, regexp_extract_all(lower(text), '" + TOKENS + "') AS t FROM notes)", NOTES_SQL)
 FTS_SQL = """
 fields AS (
-  SELECT path, 'name' AS field, regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+') AS t FROM notes UNION ALL SELECT path, 'title', regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+') FROM notes
-  UNION ALL SELECT path, 'body', regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') FROM notes
+  SELECT path, 'name' AS field, regexp_extract_all(lower(name), 'TOKENS') AS t FROM notes UNION ALL SELECT path, 'title', regexp_extract_all(lower(title), 'TOKENS') FROM notes
+  UNION ALL SELECT path, 'body', regexp_extract_all(lower(text), 'TOKENS') FROM notes
 ), lens AS (SELECT field, avg(len(list_distinct(t))) AS avg_len, count(*) AS n_docs FROM fields GROUP BY 1),
 posted AS (SELECT term, field, path, len, count(*) AS tf FROM (SELECT path, field, len(list_distinct(t)) AS len, unnest(t) AS term FROM fields) GROUP BY 1, 2, 3, 4),
 vocab AS (SELECT term, field, count(*) AS df FROM posted GROUP BY 1, 2),
-words AS (SELECT DISTINCT qid, word, nw FROM (SELECT qid, unnest(w) AS word, len(list_distinct(w)) AS nw FROM (SELECT qid, regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+') AS w FROM (VALUES %s) AS q(qid, query)))),
+words AS (SELECT DISTINCT qid, word, nw FROM (SELECT qid, unnest(w) AS word, len(list_distinct(w)) AS nw FROM (SELECT qid, regexp_extract_all(lower(query), 'TOKENS') AS w FROM (VALUES %s) AS q(qid, query)))),
 EXPANDED
 scored AS (
   SELECT qid, word, nw, p.term, path, sum(weight * CASE p.field WHEN 'name' THEN 3.0 ELSE 1.0 END * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (0.5 + tf * 2.2 / (tf + 1.2 * (0.7 + 0.3 * len / avg_len)))) AS score
@@ -319,7 +334,7 @@ scored AS (
 steps AS (SELECT *, CASE WHEN words = nw THEN 0 WHEN nw BETWEEN 3 AND 8 AND words = nw - 1 THEN 1 WHEN terms >= greatest(1, ceil(nw * 0.6)) THEN 2 ELSE 3 END AS stage FROM per_note),
 hits AS (SELECT qid, path, stage, s * words AS total, terms, max(s * words) OVER (PARTITION BY qid) AS top FROM (SELECT *, min(stage) OVER (PARTITION BY qid) AS best FROM steps) WHERE stage = best),
 ranked AS (SELECT qid, path, ['and', 'and-1', 'or-min', 'or'][stage + 1] AS stage, round(total, 4) AS score, terms AS matched, round(total / top, 4) AS rel, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(total, 4) DESC, path) AS INTEGER) AS rank FROM hits)
-"""
+""".replace("TOKENS", TOKENS)
 EXACT_SQL = "expanded AS (SELECT qid, word, nw, word AS term, 1.0 AS weight FROM words WHERE word IN (SELECT term FROM vocab)),"
 WIDE_SQL = """terms AS (SELECT DISTINCT term FROM vocab), expanded AS (
   SELECT qid, word, nw, word AS term, 1.0 AS weight FROM words WHERE word IN (SELECT term FROM terms)
@@ -335,9 +350,9 @@ def fts_sql(expanded: str, values: str = VALUES) -> tuple[str, str]:
 
 
 def index_of(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Postings and field lengths; the postings are kept, as every stage of a search reads them."""
+    """Postings and field lengths; the postings are set down, as every stage of a search reads them."""
     n = notes(s, d)
-    posted = search.postings(n).cache()
+    posted = set_down(search.postings(n), "postings")
     return posted, search.lengths_of(posted, n.count())
 
 
@@ -349,21 +364,20 @@ registered("fts4_expansion", lambda s, d: search.expand(search.query_words(asked
 registered("fts5_ladder", lambda s, d: search.search(asked(s), *index_of(s, d), limit=50).select("qid", "path", "stage", "score", "matched", "rank"), "SELECT qid, path, stage, score, matched, rank FROM ranked WHERE rank <= 50", *fts_sql(WIDE_SQL))
 registered("fts6_relative", lambda s, d: search.search(asked(s), *index_of(s, d), limit=20, prefix=False, fuzzy=False).select("qid", "path", "rel"), "SELECT qid, path, rel FROM ranked WHERE rank <= 20", *fts_sql(EXACT_SQL))
 registered("flt10_min_rel", lambda s, d: search.search(asked(s), *index_of(s, d), limit=0, prefix=False, fuzzy=False).where("rel >= 0.5").select("qid", "path"), "SELECT qid, path FROM ranked WHERE rel >= 0.5", *fts_sql(EXACT_SQL))
-BENCH_SQL = "SELECT item_id, array_to_string(regexp_extract_all(text, '[\\p{L}\\p{N}]+')[1:6], ' ') FROM benchmark"
+BENCH_SQL = "SELECT item_id, text FROM benchmark"
 
 
 def benchmark_queries(s: SparkSession, d: str) -> DataFrame:
-    words = F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(words, 1, 6), " ").alias("query"))
+    return table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
 registered("fts7_batch_search", lambda s, d: search.search(benchmark_queries(s, d), *index_of(s, d), limit=5, prefix=False, fuzzy=False).select("qid", "path", "stage", "score", "rank"),
     "SELECT qid, path, stage, score, rank FROM ranked WHERE rank <= 5", NOTES_SQL, FTS_SQL.replace("(VALUES %s) AS q(qid, query)", f"({BENCH_SQL}) AS q(qid, query)").replace("EXPANDED", EXACT_SQL))
 Q1 = CorpusQuery(text="the thion erblest and", tag="len", props={"status": ["@done"]}, under=("en/",), limit=20)
 registered("qry1_corpus_query", lambda s, d: corpus_query(Q1, notes(s, d), *index_of(s, d), fuzzy=False),
-    "SELECT n.path, r.score, r.rel, title, doc_kind, topic FROM notes n LEFT JOIN (SELECT * FROM ranked WHERE qid = 0) r ON n.path = r.path WHERE status = '완료' AND n.path LIKE 'en/%' ORDER BY r.score DESC NULLS LAST, n.path LIMIT 20", *fts_sql(EXACT_SQL))
+    "SELECT n.path, r.score, r.rel, title, doc_kind, topic FROM notes n LEFT JOIN (SELECT * FROM ranked WHERE qid = 0) r ON n.path = r.path WHERE status IN ('완료', '반영됨') AND n.path LIKE 'en/%' ORDER BY r.score DESC NULLS LAST, n.path LIMIT 20", *fts_sql(EXACT_SQL))
 registered("qry2_report", lambda s, d: query_report(Q1, notes(s, d), *index_of(s, d)),
-    "SELECT 'tag' AS arm, count(*) AS matched, count(*) AS corpus FROM notes UNION ALL SELECT 'props:status', count(*) FILTER (WHERE status = '완료'), count(*) FROM notes UNION ALL SELECT 'text', (SELECT count(*) FROM ranked WHERE qid = 0), count(*) FROM notes UNION ALL SELECT 'pool', count(*) FILTER (WHERE status = '완료' AND path LIKE 'en/%'), count(*) FROM notes", *fts_sql(EXACT_SQL))
+    "SELECT 'tag' AS arm, count(*) AS matched, count(*) AS corpus FROM notes UNION ALL SELECT 'props:status', count(*) FILTER (WHERE status IN ('완료', '반영됨')), count(*) FROM notes UNION ALL SELECT 'text', (SELECT count(*) FROM ranked WHERE qid = 0), count(*) FROM notes UNION ALL SELECT 'pool', count(*) FILTER (WHERE status IN ('완료', '반영됨') AND path LIKE 'en/%'), count(*) FROM notes", *fts_sql(EXACT_SQL))
 
 
 def saved_over_corpus(s: SparkSession, d: str) -> DataFrame:
@@ -379,7 +393,7 @@ registered("qck1_entries", lambda s, d: search.quick_entries(notes(s, d)).select
 registered("qck3_quick_search", lambda s, d: search.quick_search(search.quick_entries(notes(s, d)), "doc-1"),
     "SELECT path, CAST(CASE WHEN name = 'doc-1' THEN 1000 ELSE 800 - (length(name) - 5) END AS INTEGER) AS score FROM notes WHERE name LIKE 'doc-1%' ORDER BY 2 DESC, 1 LIMIT 30", NOTES_SQL)
 registered("qck4_consonants", lambda s, d: notes(s, d).where("status is not null").groupBy("status").agg(F.count("*").alias("n")).select(T.consonants("status").alias("key"), "n"),
-    "SELECT CASE status WHEN '완료' THEN 'ㅇㄹ' ELSE 'ㅈㅎ ㅈ' END AS key, count(*) AS n FROM notes WHERE status IS NOT NULL GROUP BY 1", NOTES_SQL)
+    "SELECT key, sum(n) AS n FROM (SELECT CASE status WHEN '완료' THEN 'ㅇㄹ' WHEN '진행 중' THEN 'ㅈㅎ ㅈ' WHEN '반영됨' THEN 'ㅂㅇㄷ' WHEN '미착수' THEN 'ㅁㅊㅅ' ELSE 'ㅈㅎㅈ' END AS key, CAST(count(*) AS BIGINT) AS n FROM notes WHERE status IS NOT NULL GROUP BY 1) GROUP BY 1", NOTES_SQL)
 registered("qck5_completion", lambda s, d: search.link_completion(notes(s, d), "doc-9"), "SELECT path, 2 AS score FROM notes WHERE name LIKE 'doc-9%' ORDER BY path LIMIT 50", NOTES_SQL)
 registered("qck7_recent", lambda s, d: usage.recent_opens(usage_events(s, d)), "SELECT path, max(t) AS last_t FROM usage WHERE k = 'open' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30", USAGE_SQL)
 
@@ -400,8 +414,11 @@ registered("qck6_unified", unified_search,
     GROUP BY path ORDER BY 3 DESC, 2 LIMIT 30""", *fts_sql(EXACT_SQL, "(0, 'trash idiot')"))
 registered("grp1_grep", lambda s, d: search.grep(lines_of(s, d), "status:", limit=2000).select("path", "line", "text", "col", "len"),
     "SELECT path, CAST(6 AS INTEGER) AS line, 'status: ' || status AS text, 0 AS col, 7 AS len FROM notes WHERE status IS NOT NULL ORDER BY path LIMIT 2000", NOTES_SQL)
-registered("prj2_best_line", lambda s, d: notes(s, d).select("path", search.best_line(F.col("raw"), ["trash", "idiot"]).alias("line")).where("line like '%trash%' or line like '%idiot%'").select("path"),
-    None)
+registered("prj2_best_line", lambda s, d: notes(s, d).select("path", search.best_line(F.col("raw"), ["trash", "idiot"]).alias("line")),
+    r"""SELECT path, CASE WHEN length(line) > 180 THEN substr(line, 1, 180) || '…' ELSE line END AS line FROM (
+      SELECT path, regexp_replace(line, '^[#>\-* \t\n\x0B\f\r]+', '') AS line, row_number() OVER (PARTITION BY path ORDER BY contains(lower(line), 'trash')::INT + contains(lower(line), 'idiot')::INT DESC, ln) AS r
+      FROM (SELECT path, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS ln FROM (SELECT path, regexp_replace(raw, '^---[ \t]*\n[\s\S]*?\n---[ \t]*(\n|$)', '') AS body FROM notes_raw))
+      WHERE trim(line) <> '') WHERE r = 1""", NOTES_SQL)
 registered("prj4_backlink_context", lambda s, d: backlink_context(s, d), None)
 
 
@@ -427,7 +444,8 @@ registered("rwr6_patch", lambda s, d: rewrite.patch_front_matter(properties(note
 registered("usg1_accounting", lambda s, d: usage.accounting(usage.parse_lines(usage_lines(s, d))),
     "SELECT count(*) FILTER (WHERE event_id % 50 <> 0) AS events, count(*) FILTER (WHERE event_id % 50 = 0) AS malformed, CAST(0 AS BIGINT) AS unknown_kind, count(*) FILTER (WHERE event_id % 50 = 0) AS unreadable, min(t) FILTER (WHERE event_id % 50 <> 0) AS from_t, max(t) FILTER (WHERE event_id % 50 <> 0) AS to_t FROM usage", USAGE_SQL)
 registered("usg2_commands", lambda s, d: usage.commands(usage_events(s, d)), "SELECT id, via, count(*) AS n FROM usage WHERE k = 'cmd' GROUP BY GROUPING SETS ((id, via), (id))", USAGE_SQL)
-registered("usg3_errors", lambda s, d: usage.errors(usage_events(s, d)), 'SELECT lvl, "at", count(*) AS n, max(t) AS last_t FROM usage WHERE k = \'err\' GROUP BY GROUPING SETS ((lvl, "at"), (lvl))', USAGE_SQL)
+registered("usg3_errors", lambda s, d: usage.errors(usage_events(s, d)), 'SELECT lvl, "at", msg, count(*) AS n, max(t) AS last_t FROM usage WHERE k = \'err\' GROUP BY GROUPING SETS ((lvl, "at", msg), (lvl))', USAGE_SQL)
+registered("usg4_empty_queries", lambda s, d: usage.empty_queries(usage_events(s, d)), "SELECT kind, q, count(*) AS n_empty FROM usage WHERE k = 'query' AND n = 0 GROUP BY 1, 2", USAGE_SQL)
 registered("usg4_queries", lambda s, d: usage.queries(usage_events(s, d)).withColumn("miss_rate", F.round("miss_rate", 6)),
     "SELECT kind, count(*) AS n_queries, count(*) FILTER (WHERE n = 0) AS n_empty, round(count(*) FILTER (WHERE n > 0 AND hit = false) / nullif(count(*) FILTER (WHERE n > 0 AND hit IS NOT NULL), 0), 6) AS miss_rate FROM usage WHERE k = 'query' GROUP BY 1", USAGE_SQL)
 registered("usg5_opens", lambda s, d: usage.opens(usage_events(s, d)), "SELECT path, via, count(*) AS n FROM usage WHERE k = 'open' GROUP BY GROUPING SETS ((path, via), (path), (via))", USAGE_SQL)
@@ -456,26 +474,36 @@ registered("chg6_unread", lambda s, d: changes.unread(usage_events(s, d).where("
     f"SELECT n.name AS path FROM notes n JOIN (SELECT path, max(t) AS t FROM usage WHERE k = 'open' GROUP BY 1) o ON n.name = o.path WHERE o.t < {NOW_MS}", NOTES_SQL, USAGE_SQL)
 
 # evaluation ---------------------------------------------------------------------------------
-registered("evl1_cases", lambda s, d: evaluate.cases(notes(s, d)).where("kind <> 'prose'"),
-    """SELECT 'title' AS kind, array_to_string(w, ' ') AS query, path AS target FROM t UNION ALL SELECT 'middle', array_to_string(w[CAST(floor((len(w) - 2) / 2) AS INTEGER) + 1 : CAST(floor((len(w) - 2) / 2) AS INTEGER) + 2], ' '), path FROM t""", NOTES_SQL, "t AS (SELECT path, w FROM (SELECT path, regexp_extract_all(title, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM notes) WHERE len(w) >= 2)")
+registered("evl1_cases", lambda s, d: evaluate.cases(notes(s, d)),
+    """SELECT 'prose' AS kind, array_to_string(regexp_split_to_array(trim(line), '[ \\t\\x0B\\f\\r]+')[1:8], ' ') AS query, path AS target FROM prose UNION ALL SELECT 'title', array_to_string(w, ' ') AS query, path AS target FROM t UNION ALL SELECT 'middle', array_to_string(w[CAST(floor((len(w) - 2) / 2) AS INTEGER) + 1 : CAST(floor((len(w) - 2) / 2) AS INTEGER) + 2], ' '), path FROM t""", NOTES_SQL, "t AS (SELECT path, w FROM (SELECT path, regexp_extract_all(title, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM notes) WHERE len(w) >= 2)",
+    "prose AS (SELECT path, line FROM (SELECT path, line, row_number() OVER (PARTITION BY path ORDER BY length(line) DESC, ln) AS r FROM (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM notes WHERE path IN (SELECT path FROM t)) WHERE length(trim(line)) >= 20) WHERE r = 1)")
 registered("evl2_sample", lambda s, d: evaluate.sample(notes(s, d), 100, 7).select("path"), "SELECT path FROM notes ORDER BY md5('7:' || path), path LIMIT 100", NOTES_SQL)
-registered("evl3_long_queries", lambda s, d: evaluate.long_queries(notes(s, d), 16), "SELECT array_to_string(w[1:16], ' ') AS query, path AS target FROM (SELECT path, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM notes) WHERE len(w) >= 16", NOTES_SQL)
+registered("evl3_long_queries", lambda s, d: evaluate.long_queries(notes(s, d), 16).withColumn("n", F.lit(16)).unionByName(evaluate.long_queries(notes(s, d), 32).withColumn("n", F.lit(32))),
+    "SELECT array_to_string(w[1:n], ' ') AS query, path AS target, n FROM (SELECT path, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM notes), (SELECT unnest([16, 32]) AS n) WHERE len(w) >= n", NOTES_SQL)
 
 
 def evaluated(s: SparkSession, d: str) -> DataFrame:
-    """Measures of exact search for the titles of all notes."""
+    """Measures of exact search for all kinds of cases of 120 sampled notes, plain and with a word of noise; and where the ladder ended."""
     n = notes(s, d)
-    some = evaluate.cases(n).where("kind = 'middle'").select(F.xxhash64("target").alias("qid"), "kind", "query", "target")
-    got = search.search(some.select("qid", "query"), *index_of(s, d), limit=0, prefix=False, fuzzy=False)
+    plain = evaluate.cases(evaluate.sample(n, 120, 12345))
+    both = plain.withColumn("variant", F.lit("plain")).unionByName(evaluate.noisy(plain).withColumn("variant", F.lit("noisy")))
+    some = both.select(F.xxhash64("variant", "kind", "target").alias("qid"), "variant", "kind", "query", "target")
+    got = set_down(search.search(some.select("qid", "query"), *index_of(s, d), limit=0, prefix=False, fuzzy=False), "hits")
     matched = got.groupBy("qid").agg(F.count("*").alias("matched"))
     ranks = some.join(got.select("qid", F.col("path").alias("target"), "rank"), ["qid", "target"], "left").join(matched, "qid", "left")
-    return evaluate.measures(ranks.select("kind", "qid", "rank", F.coalesce("matched", F.lit(0)).alias("matched"))).select("kind", "cases", *[F.round(c, 4).alias(c) for c in ("r1", "r5", "r10", "mrr", "mean_matched")])
+    rows = ranks.select(F.concat_ws(" ", "variant", "kind").alias("kind"), "qid", "rank", F.coalesce("matched", F.lit(0)).alias("matched"))
+    measured = evaluate.measures(rows).select("kind", "cases", *[F.round(c, 4).alias(c) for c in ("r1", "r5", "r10", "mrr", "mean_matched")])
+    ended = evaluate.stages(got.join(some.select("qid", "variant"), "qid")).groupBy("variant").pivot("stage", ["and", "and-1", "or-min", "or"]).agg(F.round(F.first("share"), 4))
+    return measured.withColumn("variant", F.split_part("kind", F.lit(" "), F.lit(1))).join(ended, "variant").drop("variant")
 
 
 registered("evl4_measures", evaluated, None)
 registered("evl5_latency", lambda s, d: evaluate.latency(table(s, d, "events"), "value").select(F.round("mean", 6).alias("mean"), "p50", "p95", "max"),
     "SELECT round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS max FROM events")
-registered("snk2_usage_report", lambda s, d: usage.commands(usage_events(s, d)).where("via is null").select("id", "n").orderBy(F.desc("n"), "id").limit(5), "SELECT id, count(*) AS n FROM usage WHERE k = 'cmd' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", USAGE_SQL)
+registered("snk2_usage_report", lambda s, d: usage.report(usage_events(s, d)),
+    """SELECT section, CAST(r AS INTEGER) AS rank, name, n FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, name) AS r FROM (
+      SELECT 'commands' AS section, id AS name, count(*) AS n FROM usage WHERE k = 'cmd' GROUP BY 2 UNION ALL SELECT 'errors', lvl || ': ' || "at" || ': ' || msg, count(*) FROM usage WHERE k = 'err' GROUP BY 2
+      UNION ALL SELECT 'empty queries', kind || ': ' || q, count(*) FROM usage WHERE k = 'query' AND n = 0 GROUP BY 2 UNION ALL SELECT 'opened notes', path, count(*) FROM usage WHERE k = 'open' GROUP BY 2)) WHERE r <= 5""", USAGE_SQL)
 
 
 def queries() -> dict[str, Query]:

@@ -27,7 +27,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE doc_id % 4 WHEN 0 THEN 'plan' WHEN 1 THEN 'adr' WHEN 2 THEN 'solution' ELSE 'howto' END AS doc_kind",
         "source AS topic",
         "array(lang, 'src/' || source, CASE WHEN doc_id % 17 = 0 THEN 'Len/' ELSE 'len/' END || CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END) AS tags",
-        "CASE quality WHEN 1 THEN '완료' WHEN 0 THEN '진행 중' END AS status",
+        "CASE quality WHEN 1 THEN '완료' WHEN 0 THEN '진행 중' ELSE CASE doc_id % 11 WHEN 0 THEN '반영됨' WHEN 1 THEN '미착수' WHEN 2 THEN '진행중' END END AS status",
         "CAST(date_add(DATE '2024-01-01', CAST(doc_id % 400 AS INT)) AS STRING) AS date",
         "1704067200000 + doc_id * 3600000 AS mtime_ms", "n_chars AS size",
         f"array('doc-' || (doc_id * 8) % {n}, 'Doc-' || (doc_id * 13 + 5) % {2 * n} || '#intro|see') AS targets",
@@ -38,7 +38,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         " || CASE WHEN status IS NULL THEN '' ELSE 'status: ' || status || '\n' END || 'date: ' || date || '\n---\n'"
     )
     body = F.expr(
-        "text || '\nSee [[' || targets[0] || ']] and [[' || targets[1] || ']].\n' || repeat('- [ ] task of ' || name || '\n', CAST(doc_id % 3 AS INT))"
+        "text || '\nSee [[' || targets[0] || ']] and [[' || targets[1] || ']].\nFiled under #topic/' || topic || ' with [more](../' || topic || '/doc-' || doc_id * 3 || '.md#top).\n' || repeat('- [ ] task of ' || name || '\n', CAST(doc_id % 3 AS INT))"
         " || '- [x] done\n```\n[[decoy]]\n- [ ] decoy\n```\n'"
     )
     return base.withColumn("raw", F.concat(front, body))
@@ -51,7 +51,7 @@ notes AS (
          CASE d.doc_id % 4 WHEN 0 THEN 'plan' WHEN 1 THEN 'adr' WHEN 2 THEN 'solution' ELSE 'howto' END AS doc_kind,
          source AS topic,
          [lang, 'src/' || source, (CASE WHEN d.doc_id % 17 = 0 THEN 'Len/' ELSE 'len/' END) || (CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END)] AS tags,
-         CASE l.quality WHEN 1 THEN '완료' WHEN 0 THEN '진행 중' END AS status,
+         CASE l.quality WHEN 1 THEN '완료' WHEN 0 THEN '진행 중' ELSE CASE d.doc_id % 11 WHEN 0 THEN '반영됨' WHEN 1 THEN '미착수' WHEN 2 THEN '진행중' END END AS status,
          CAST(DATE '2024-01-01' + CAST(d.doc_id % 400 AS INTEGER) AS VARCHAR) AS date,
          1704067200000 + d.doc_id * 3600000 AS mtime_ms, n_chars AS size,
          ['doc-' || (d.doc_id * 8) % N, 'Doc-' || (d.doc_id * 13 + 5) % (2 * N) || '#intro|see'] AS targets,
@@ -62,6 +62,7 @@ notes AS (
          || 'tags: [' || array_to_string(tags, ', ') || ']' || chr(10)
          || CASE WHEN status IS NULL THEN '' ELSE 'status: ' || status || chr(10) END || 'date: ' || date || chr(10) || '---' || chr(10)
          || text || chr(10) || 'See [[' || targets[1] || ']] and [[' || targets[2] || ']].' || chr(10)
+         || 'Filed under #topic/' || topic || ' with [more](../' || topic || '/doc-' || doc_id * 3 || '.md#top).' || chr(10)
          || repeat('- [ ] task of ' || name || chr(10), CAST(doc_id % 3 AS INTEGER))
          || '- [x] done' || chr(10) || '```' || chr(10) || '[[decoy]]' || chr(10) || '- [ ] decoy' || chr(10) || '```' || chr(10) AS raw
   FROM notes

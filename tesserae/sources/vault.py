@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import composed
+
 #: Folders that are never read, besides those whose name begins with a dot.
 SKIPPED = ("node_modules", "target", ".svelte-kit", "build", "dist", ".git")
 NOTE = r"(?i)\.(md|mmd)$"
@@ -32,13 +34,16 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 def read_vault(spark: SparkSession, root: str) -> DataFrame:
     """``path, name, raw, mtime_ms, size`` of the notes below a folder.
 
-    Ingest once and write as Parquet: small files are read badly twice.  Files that aren't UTF-8 are left out.
+    Ingest once and write as Parquet: small files are read badly twice.  Files that aren't UTF-8
+    are left out; names and texts come out composed (NFC), so that every later match is by equality.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = relative(F.col("path"), root)
     rows = found.select(rel.alias("path"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"), "content").where(wanted(F.col("path")))
     good = rows.where(F.is_valid_utf8(F.col("content").cast("string")))
-    return good.select("path", F.regexp_replace(F.element_at(F.split("path", "/"), -1), NOTE, "").alias("name"), F.col("content").cast("string").alias("raw"), "mtime_ms", "size")
+    nfc = composed()
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), NOTE, "")
+    return good.select("path", nfc(name).alias("name"), nfc(F.col("content").cast("string")).alias("raw"), "mtime_ms", "size")
 
 
 def read_usage_log(spark: SparkSession, folder: str) -> DataFrame:
