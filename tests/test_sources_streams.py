@@ -48,7 +48,7 @@ def test_snapshots_flip_and_restore(spark, tmp_path):
 
 
 def test_delta_gate_and_refresh(spark):
-    assert [changes.delta_gate(*x) for x in ((0, 10), (5, 10), (300, 1000), (300, 10000))] == ["skip", "delta", "full", "delta"]
+    assert [changes.delta_gate(*x) for x in ((0, 10), (5, 10), (10, 10), (11, 10), (5, 10, 4, 8))] == [("full", "empty"), ("delta", ""), ("delta", ""), ("full", "too-many"), ("full", "part-count-change")]
 
 
 def test_cell_order(spark):
