@@ -4,7 +4,10 @@ A page is a sequence of leaf blocks.  Each block is a vector of its hashed tag p
 words and a few measures; a bidirectional LSTM, in numpy, reads the whole sequence and labels
 every block with the document around it in view.  It is trained on a bounded sample of the
 pages themselves: blocks below telling elements or classes (an article, a menu, a footer)
-are its labels, and blocks without such ancestors take theirs from what was learned.
+are its labels.  A page without such names is labelled by density: long, punctuated blocks with
+few links are text, short or linked ones aren't, and the others take their label from what was
+learned.  Every page is learned twice, with its names and stripped of them, so that pages
+without telling names are labelled from words, measures and plain elements.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from .common import column, slices, table, texts_of
 #: Pages that training reads at most, those with the least hash of page_id.
 TRAIN_PAGES = 400
 SEED = 5_113
-EPOCHS, BATCH, RATE = 14, 16, 0.02
+EPOCHS, BATCH, RATE = 10, 16, 0.02
 PATH_DIM, WORD_DIM, HIDDEN = 24, 12, 16
 PATH_ROWS, WORD_ROWS = 4096, 4096
 DIM = PATH_DIM + WORD_DIM + 6
@@ -122,6 +125,30 @@ def weak_label(path: tuple[str, ...]) -> int:
     return 1 if any(MAIN.search(t) for t in path) else -1
 
 
+#: Elements that tell what they hold; stripped of it they are plain ones.
+TELLING = frozenset("article main nav footer aside header section form menu dialog figure".split())
+
+
+def plain(path: tuple[str, ...]) -> tuple[str, ...]:
+    """A path without classes, its telling elements as ``div``."""
+    return tuple("div" if t in TELLING else t for t in path if not t.startswith("."))
+
+
+def density_label(text: str, linked: int) -> int:
+    """1 for a long, punctuated block with few links, 0 for a short or linked one, -1 between."""
+    words = text.count(" ") + 1
+    ends = text[-1] in ".!?…\"”"
+    if words >= 15 and ends and linked * 10 < 3 * len(text):
+        return 1
+    return 0 if linked * 2 >= len(text) or (words <= 4 and not ends) else -1
+
+
+def labels_of(blocks: list[tuple[tuple[str, ...], str, int]]) -> list[int]:
+    """Labels of a page's blocks by telling names, or by density if it has none."""
+    named = [weak_label(p) for p, _, _ in blocks]
+    return named if 1 in named else [density_label(t, k) for _, t, k in blocks]
+
+
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
     rng = np.random.default_rng(SEED)
@@ -247,6 +274,8 @@ def train(rows: list[np.ndarray], labels: list[np.ndarray]) -> dict[str, np.ndar
     first = {k: np.zeros_like(v) for k, v in w.items()}
     second = {k: np.zeros_like(v) for k, v in w.items()}
     known = [k for k in range(len(rows)) if len(rows[k]) and (labels[k] >= 0).any()]
+    if not known:  # nothing to learn from: every block is text
+        return w | {"o": np.zeros_like(w["o"]), "c": np.full(1, 9.0)}
     rng = np.random.default_rng(SEED + 2)
     step = 0
     for _ in range(EPOCHS):
@@ -288,19 +317,21 @@ def learned(pages: DataFrame, most: int = TRAIN_PAGES) -> dict[str, np.ndarray]:
         for batch in slices(batches):
             found = [blocks_of(t) for t in texts_of(batch, "html")]
             x = [vectors(b).tobytes() for b in found]
-            y = [np.array([weak_label(p) for p, _, _ in b], np.int8).tobytes() for b in found]
-            yield pa.RecordBatch.from_arrays([column(batch, "page_id"), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["page_id", "x", "y"])
+            bare = [vectors([(plain(p), t, k) for p, t, k in b]).tobytes() for b in found]
+            y = [np.array(labels_of(b), np.int8).tobytes() for b in found]
+            yield pa.RecordBatch.from_arrays([column(batch, "page_id"), *(pa.array(v, pa.binary()) for v in (x, bare, y))], names=["page_id", "x", "bare", "y"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        w = train([np.frombuffer(x, np.float32).reshape(-1, DIM) for _, x, _ in got], [np.frombuffer(y, np.int8) for _, _, y in got])
+        rows = [np.frombuffer(v, np.float32).reshape(-1, DIM) for _, x, bare, _ in got for v in (x, bare)]
+        w = train(rows, [np.frombuffer(y, np.int8) for _, _, _, y in got for _ in range(2)])
         yield pa.RecordBatch.from_arrays([pa.array(list(w)), pa.array([v.astype(float).ravel().tolist() for v in w.values()])], names=["name", "w"])
 
     some = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").join(F.broadcast(sample), "page_id")  # most ids
-    rows = some.mapInArrow(extract, "page_id long, x binary, y binary").repartition(1).mapInArrow(fit, "name string, w array<double>").collect()
+    rows = some.mapInArrow(extract, "page_id long, x binary, bare binary, y binary").repartition(1).mapInArrow(fit, "name string, w array<double>").collect()
     shapes = new_weights()
     got = {r.name: np.array(r.w).reshape(shapes[r.name].shape) for r in rows}
-    return got if got else shapes
+    return got if got else train([], [])
 
 
 def main_text(pages: DataFrame, least: float = 0.5) -> DataFrame:
@@ -308,7 +339,8 @@ def main_text(pages: DataFrame, least: float = 0.5) -> DataFrame:
 
     text joins the blocks labelled main, in page order, by an empty line; references are decoded
     and white space within a block is one space.  Null or empty html gives the empty string.
-    Repeated pages come out repeatedly; an empty table gives an empty table.
+    Repeated pages come out repeatedly; an empty table gives an empty table.  If no page of the
+    sample has a block that names or density label, every block is text.
     """
     w = learned(pages)
 
