@@ -4,6 +4,9 @@ Features are the distinct words, word bigrams and one-word skip-grams of a text,
 coordinate has a learning rate of its own and L1 keeps the weights few, so that a compact list
 of (feature, weight) goes to every task.  Training reads a bounded sample of labelled rows
 (features are made where the rows are, one task runs the updates); scoring is a map.
+
+``LEAST_DOCS`` is part of the model: a feature of fewer labelled documents than L1 lets through
+in as many steps tells their text apart, not their tone.
 """
 
 from __future__ import annotations
@@ -13,16 +16,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, docs_of, slices, table, texts_of
+from .common import column, docs_of, slices, staged, table, texts_of
 from .hashing import hashed_words, mixed, pairs
 
 BITS = 22
 #: Labelled documents that training reads at most, those with the least hash of doc_id.
 TRAIN_DOCS = 16_000
-#: Weights that are kept at most (twelve bytes each), the largest first.
-MOST_WEIGHTS = 200_000
+#: Bytes of their features at most: what the training task holds.  Of the sample, documents come in the order of their hash.
+TRAIN_BYTES = 256 << 20
 SEED = 7_019
 RATE, BETA, L1, L2, EPOCHS = 2.0, 1.0, 8.0, 1.0, 6
 #: Labelled documents that a feature must occur in to be learned.
@@ -77,7 +81,6 @@ def train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
             model.update(np.concatenate((at.astype(np.int64), constant)), float(label))
     w = model.weights(np.arange(len(model.z)))
     at = np.flatnonzero(w)
-    at = np.sort(at[np.argsort(-np.abs(w[at]), kind="stable")[:MOST_WEIGHTS]])
     return at, w[at]
 
 
@@ -102,8 +105,12 @@ def learned(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple
 
     # the sample's ids are broadcast: twelve bytes each of at most ``most``
     marked = docs_of(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
-    sets = marked.mapInArrow(extract, "doc_id long, toxic int, features binary").repartition(1)
-    got = sets.mapInArrow(fit, "at long, w double").toArrow()
+    sets = staged(marked.mapInArrow(extract, "doc_id long, toxic int, features binary"), "toxic-features")
+    row = (F.xxhash64(F.lit(SEED), "doc_id"), F.col("doc_id"), F.xxhash64("features"))
+    before = F.sum(F.octet_length("features")).over(W.orderBy(*row).rowsBetween(W.unboundedPreceding, 0))  # of ``most`` documents
+    within = sets.select(*(c.alias(f"k{n}") for n, c in enumerate(row)), before.alias("held")).where(F.col("held") <= TRAIN_BYTES).agg(F.max(F.struct("k0", "k1", "k2")).alias("last"))
+    kept = sets.join(F.broadcast(within)).where(F.struct(*row) <= F.col("last")).drop("last")  # one row
+    got = kept.repartition(1).mapInArrow(fit, "at long, w double").toArrow()
     return got.column("at").to_numpy(), got.column("w").to_numpy()
 
 
