@@ -42,7 +42,7 @@ def _let(name: str, value: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def repeated_words_sql(words: str, n: str) -> str:
+def repeated_words_sql(words: str, n: str, hashed: str = "xxhash64({})") -> str:
     """Words within 3-word windows that occur twice or more, for an array column of ``n`` words.
 
     If the windows' 64-bit hashes are all different, there is none.  Else the hashes are sorted
@@ -62,7 +62,7 @@ def repeated_words_sql(words: str, n: str) -> str:
     places = _let("s", "sort_array(transform(h, (x, i) -> shiftleft(x, b) | i))", f"CASE WHEN {clash} THEN {by_words} ELSE {twice} END")
     covered = _let("p", f"array_sort({places})", "aggregate(transform(p, (x, k) -> least(3L, coalesce(get(p, k + 1) - x, 3L))), 0L, (a, x) -> a + x)")
     with_bits = _let("b", f"char_length(bin({n}))", _let("m", "shiftleft(1L, b) - 1", covered))
-    hashes = f"transform(sequence(0, {n} - 3), i -> xxhash64({words}[i], {words}[i + 1], {words}[i + 2]))"
+    hashes = f"transform(sequence(0, {n} - 3), i -> {hashed.format(f'{words}[i], {words}[i + 1], {words}[i + 2]')})"
     return f"CASE WHEN {n} < 4 THEN 0L ELSE {_let('h', hashes, f'CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE {with_bits} END')} END"
 
 

@@ -352,3 +352,60 @@ def test_documents_of_many_long_lines_are_linear(spark):
     seconds(1000)
     few, many = seconds(4000), seconds(16_000)
     assert many < 4 * few
+
+
+@pytest.mark.parametrize("hashed", ["xxhash64({})", "pmod(xxhash64({}), 5L)", "0L * xxhash64({})"])
+def test_repeated_windows_are_counted_by_their_words(spark, hashed):
+    """Whatever the hash does: a poor one only sends texts the longer way."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(list("abcde"), n)) for n in rng.integers(1, 60, 80)] + ["a b c d e f g h", "a b c a b c", "x"]
+    df = spark.createDataFrame([(k, t.split()) for k, t in enumerate(texts)], "k int, w array<string>").selectExpr("k", "w", "size(w) AS n")
+    for r in df.selectExpr("k", linerules.repeated_words_sql("w", "n", hashed) + " AS c").collect():
+        w = texts[r.k].split()
+        grams = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        assert r.c == len({k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)})
+
+
+def test_a_text_of_many_words_has_no_false_repeats(spark):
+    n = 300_000
+    df = spark.range(1).selectExpr("id AS doc_id", f"array_join(transform(sequence(1, {n}), i -> concat('w', i)), ' ') AS text")
+    r = linerules.line_rules(df).first()
+    assert r.n_words == n and r.n_repeat_words == 0
+
+
+@pytest.mark.parametrize(("line", "stays"), [
+    ("This is a sentence of some words.", True), ("Dies ist ein Satz, der endet.", True), ("これは文です。", True), ("no mark at its end", False), ("# * $ % is | not <text>.", False), ("Home | News | About | More.", False),
+    ("Read more.", False), ("See our privacy policy for details.", False), ("THIS IS ALL CAPITALS AND SHOUTED.", False), ("12.5 33.1 2024-01-02 99.9.", False), ("---- this is a rule ----.", False), ("", None),
+])
+def test_lines_are_judged_one_by_one(spark, line, stays):
+    r = linerules.line_rules(spark.createDataFrame([(1, f"  {line} ")], "doc_id long, text string")).first()
+    assert r.clean_text == (f"  {line} " if stays else "")
+
+
+def test_wand_finds_what_scoring_every_item_finds():
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choice(vocabulary, rng.integers(3, 15)))) for k in range(150)]
+    known = decontaminate.Statistics.of([decontaminate.words_of(t) for _, t in items])
+    index = decontaminate.Index(items, known)
+    share = defaultdict(dict)
+    for t in range(len(index.terms)):
+        for at in range(index.start[t], index.start[t + 1]):
+            share[index.item[at]][t] = index.share[at]
+    for least in (0.3, 0.6, 0.95):
+        for _ in range(40):
+            terms = sorted(rng.choice(len(index.terms), rng.integers(1, 30), replace=False).tolist())
+            for low, high in ((0, 150), (13, 97)):
+                want = {i: sum(share[i].get(t, 0) for t in terms) for i in range(low, high)}
+                got = dict(decontaminate.wand(terms, index, low, high, least))
+                assert set(got) == {i for i, x in want.items() if x >= least - 1e-12} and all(np.isclose(got[i], want[i]) for i in got)
+
+
+def test_scores_do_not_depend_on_the_parts(spark, sf, docs):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = items.unionByName(items.limit(3).selectExpr("item_id + 1000 AS item_id", "concat(text, ' ', text, ' with more words behind it') AS text")).unionByName(spark.createDataFrame([(5000, "w " * 700), (5001, None)], "item_id long, text string"))
+    some = docs.where("doc_id % 3 <> 1")
+    got = [sorted((r.doc_id, r.item_id, round(r.question_overlap, 6), round(r.score, 6)) for r in decontaminate.contaminated(some, items, chunk).collect()) for chunk in (1000, 9)]
+    assert got[0] and [g[:3] for g in got[0]] == [g[:3] for g in got[1]]
+    clean = decontaminate.without_items(some, items, 9)
+    assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in some.collect()} - {g[0] for g in got[0]} and clean.columns == some.columns

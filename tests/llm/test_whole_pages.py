@@ -1,5 +1,8 @@
 """Pages with custom, self-closed and unclosed elements keep what follows."""
 
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -23,3 +26,44 @@ def test_deep_blocks_differ_by_their_whole_path():
     deep = "<div>" * 30 + "<p>x</p>"
     a, b = (blocks.blocks_of(f"<{top} class='c1 c2 c3 c4 c5 c6 {top}'>{deep}") for top in ("article", "nav"))
     assert ".nav" in b[0][0] and not np.array_equal(blocks.vectors(a), blocks.vectors(b))
+
+
+def _stripped(page):
+    page = re.sub(r"\s(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page or "")
+    return re.sub(r"(</?)(article|main|nav|footer|aside|header|section|form|menu|dialog|figure)\b", r"\1div", page, flags=re.I)
+
+
+def _blocks(text):
+    return Counter(text.split("\n\n")) if text else Counter()
+
+
+def test_held_out_pages_without_telling_names(spark):
+    """Trained on pages as they are, tried on other pages stripped of classes and telling elements."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    w = blocks.learned(pages.where("page_id % 2 = 0"))
+    held = [blocks.blocks_of(r.html or "") for r in pages.where("page_id % 2 = 1").collect()]
+    bare = [blocks.blocks_of(_stripped(r.html)) for r in pages.where("page_id % 2 = 1").collect()]
+    scores = []
+    for b, p, named in zip(bare, blocks.label([blocks.vectors(b) for b in bare], w), held, strict=True):
+        got, want = Counter(x[1] for x, q in zip(b, p, strict=True) if q >= 0.5), Counter(t for path, t, _ in named if blocks.weak_label(path) == 1)
+        scores.append(2 * sum((got & want).values()) / max(1, sum(got.values()) + sum(want.values())))
+    assert sum(scores) / len(scores) > 0.9
+
+
+def test_pages_without_any_telling_name_are_learned_by_density(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: _blocks(r.text) for r in blocks.main_text(pages).collect()}
+    bare = spark.createDataFrame([(r.page_id, r.url, _stripped(r.html)) for r in pages.collect()], "page_id long, url string, html string")
+    got = {r.page_id: _blocks(r.text) for r in blocks.main_text(bare).collect()}
+    f1 = [2 * sum((got[k] & want[k]).values()) / max(1, sum(got[k].values()) + sum(want[k].values())) for k in want if want[k]]
+    assert sum(f1) / len(f1) > 0.7
+
+
+def test_without_a_label_every_block_is_text(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>some words of middling length here</p><p>and a few other words beside them</p>")], "page_id long, url string, html string")
+    assert blocks.main_text(pages).first().text == "some words of middling length here\n\nand a few other words beside them"
+
+
+def test_a_footer_far_above_still_tells():
+    deep = blocks.blocks_of("<footer class='a b c d e f g site-footer'>" + "<div>" * 15 + "words" + "</div>" * 15 + "</footer>")
+    assert blocks.weak_label(deep[0][0]) == 0 and len(deep[0][0]) > 20
