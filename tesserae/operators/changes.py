@@ -37,12 +37,13 @@ def fingerprint(files: DataFrame) -> DataFrame:
 
 
 def staleness(indexed: DataFrame, now: DataFrame) -> DataFrame:
-    """One row: files changed since the index, newer ones, all, and the largest lag in seconds."""
+    """One row: files changed since the index, newer ones, all, the largest lag in seconds, and the first five that changed."""
     diff = snapshot_diff(indexed, now)
     newer = now.join(indexed.select("path", F.col("mtime_ms").alias("had")), "path").where("mtime_ms > had")
     one = diff.agg(F.count("*").alias("changed"))
     two = newer.agg(F.count("*").alias("newer"), F.coalesce(F.max(F.floor((F.col("mtime_ms") - F.col("had")) / 1000)), F.lit(0)).alias("lag_s"))
-    return one.join(two).join(now.agg(F.count("*").alias("total")))  # single rows
+    some = diff.select("path").orderBy("path").limit(5).agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("samples"))
+    return one.join(two).join(now.agg(F.count("*").alias("total"))).join(some)  # single rows
 
 
 def unread(opened: DataFrame, files: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import stem
+from ..functions.text import slugify, stem
 
 #: Fields that hold plain values, not references to notes.
 PLAIN_FIELDS = (
@@ -56,6 +56,19 @@ def resolve(links: DataFrame, names: DataFrame) -> DataFrame:
     return keyed.drop("link_id", "whole", "bare").join(best, ["path", "target"], "left")
 
 
+def resolve_anchors(links: DataFrame, names: DataFrame, headings: DataFrame) -> DataFrame:
+    """``path, target, dst, anchor, same_note, missing`` of links with an anchor.
+
+    A bare ``#anchor`` is of the linking note itself; missing: the note is known and has no such heading.
+    """
+    resolved = resolve(links.select("path", "target").distinct(), names).where("anchor <> ''")
+    own = F.trim(F.regexp_extract("target", r"^[^#|]*", 0)) == ""
+    placed = resolved.select("path", "target", F.when(own, F.col("path")).otherwise(F.col("dst")).alias("dst"), "anchor", slugify("anchor").alias("slug"))
+    known = headings.select(F.col("path").alias("dst"), "slug", F.lit(True).alias("has")).distinct()
+    joined = placed.join(known, ["dst", "slug"], "left")
+    return joined.select("path", "target", "dst", "anchor", (F.col("dst") == F.col("path")).alias("same_note"), (F.col("dst").isNotNull() & F.col("has").isNull()).alias("missing"))
+
+
 def edges(resolved: DataFrame) -> DataFrame:
     """Distinct ``src, dst`` of resolved links, self-links dropped."""
     return resolved.where("dst is not null and dst <> path").select(F.col("path").alias("src"), "dst").distinct()
@@ -186,8 +199,6 @@ def expand_embeds(embedded: DataFrame, names: DataFrame, headings: DataFrame, de
     """
     resolved = resolve(embedded.select("path", "target", F.col("anchor").alias("wanted")), names).select("path", "target", "wanted", "dst")
     sections = headings.select(F.col("path").alias("dst"), F.col("slug").alias("have")).distinct()
-    from ..functions.text import slugify
-
     checked = resolved.withColumn("have", F.when(F.col("wanted") != "", slugify("wanted"))).join(sections.withColumn("ok", F.lit(True)), ["dst", "have"], "left")
     step = checked.select(F.col("path").alias("src"), "dst", F.col("wanted").alias("anchor"), F.when(F.col("dst").isNull(), "unresolved").when((F.col("wanted") != "") & F.col("ok").isNull(), "no-section").alias("bad")).distinct()
     level = step.select(F.col("src").alias("root"), "src", "dst", "anchor", "bad").withColumn("chain", F.array("src"))

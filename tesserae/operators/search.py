@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import note_tokens
+from ..functions.text import CONSONANTS, consonants, fuzzy_score, note_tokens
 
 K, B, D = 1.2, 0.3, 0.5
 BOOST = {"name": 3.0, "title": 1.0, "body": 1.0}
@@ -174,11 +174,16 @@ def quick_entries(notes: DataFrame) -> DataFrame:
 
 
 def quick_search(entries: DataFrame, query: str, limit: int = 30) -> DataFrame:
-    """``path, score``: the best key of each entry by fuzzy score; an empty query gives the first entries."""
-    from ..functions.text import fuzzy_score
+    """``path, score``: the best key of each entry by fuzzy score; an empty query gives the first entries.
 
+    A query of leading consonants alone is held against the keys' consonants, with and then without their spaces.
+    """
     q = query.strip().lower()
-    scored = entries.withColumn("score", fuzzy_score(q, "key")).where("score is not null")
+    score = fuzzy_score(q, "key")
+    if q and not set(q) - set(CONSONANTS) - {" "}:
+        folded = consonants("key")
+        score = F.coalesce(fuzzy_score(q, folded), fuzzy_score(q, F.regexp_replace(folded, r"\s+", "")))
+    scored = entries.withColumn("score", score).where("score is not null")
     return scored.groupBy("path").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "path").limit(limit)
 
 

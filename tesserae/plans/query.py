@@ -122,6 +122,22 @@ def query_report(q: CorpusQuery, notes: DataFrame, posted: DataFrame, lengths: D
     return out.join(F.broadcast(total)).select("arm", "matched", "corpus")  # one row
 
 
+def query_outcome(q: CorpusQuery, notes: DataFrame, posted: DataFrame, lengths: DataFrame, references: DataFrame | None = None, fuzzy: bool = True, properties: DataFrame | None = None) -> DataFrame:
+    """One row: ``returned, total, truncated, combine, dropped_low, dropped_outside`` of a query with a text.
+
+    combine is the step of the ladder that answered; hits are dropped for a low relative score,
+    or because no structural arm lets them in; truncated counts what the answer could have held.
+    """
+    pool = structural(q, notes, references, properties).select("path")
+    hits = search.search(notes.sparkSession.createDataFrame([(0, nfc(q.text))], "qid int, query string"), posted, lengths, 0, fuzzy, fuzzy)
+    only_text = not (q.backlinks_of or q.tag or q.props or q.since)
+    judged = hits.select("path", "stage", (F.col("rel") >= max(0.0, min(1.0, q.min_rel))).alias("near")).join(pool.withColumn("inside", F.lit(True)), "path", "left")
+    seen = judged.agg(F.first("stage").alias("combine"), F.count_if(F.expr("near and inside")).alias("hits"), F.count_if(F.expr("not near")).alias("dropped_low"), F.count_if(F.expr("near and inside is null")).alias("dropped_outside"))
+    total = F.col("hits") if only_text else F.col("pool")
+    row = seen.join(pool.agg(F.count("*").alias("pool")))  # single rows
+    return row.select(F.least(total, F.lit(q.cap())).alias("returned"), total.alias("total"), (total > q.cap()).alias("truncated"), "combine", "dropped_low", "dropped_outside")
+
+
 #: Saved queries of text alone that a note is held against at a time.
 NEEDLES = 1000
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import changes, evaluate, extract, facets, graph, rewrite, search, usage
-from .plans.query import CorpusQuery, corpus_query, query_report, run_saved
+from .plans.query import CorpusQuery, corpus_query, query_outcome, query_report, run_saved
 from .sources.shared import set_down
 from .sources.corpus import CHANGED_SQL, NOTES_SQL, NOW_MS, PROPS_SQL, changed_files, notes, properties, table
 
@@ -190,6 +190,8 @@ registered("aud5_audited_orphans", lambda s, d: facets.audited(orphans(s, d), "o
 registered("grf11_orphans", orphans,
     ORPHANS_SQL, *G)
 registered("grf12_ambiguous", lambda s, d: graph.ambiguous_names(graph.resolver(notes(s, d))), "SELECT key, count(*) AS n_candidates, min(path) AS first_path FROM names GROUP BY key HAVING count(*) > 1", NOTES_SQL, NAMES_SQL)
+registered("grf15_anchors", lambda s, d: graph.resolve_anchors(links_of(notes(s, d)), graph.resolver(notes(s, d)), extract.headings(lines_of(s, d))),
+    "SELECT DISTINCT l.path, l.target, r.dst, 'intro' AS anchor, r.dst = l.path AS same_note, r.dst IS NOT NULL AS missing FROM links l LEFT JOIN resolved r ON l.path = r.path AND l.target = r.target WHERE l.target LIKE '%#%'", *G)
 registered("grf16_neighbourhood", lambda s, d: graph.neighbourhood(*graph_of(s, d)[2:]),
     "SELECT src AS path, 'out' AS direction, type, count(*) AS n FROM relations GROUP BY 1, 3 UNION ALL SELECT dst, 'in', type, count(*) FROM relations GROUP BY 1, 3 UNION ALL SELECT dst, 'link', '', count(*) FROM edges GROUP BY 1", *G)
 registered("set1_reference_union", lambda s, d: graph_of(s, d)[2].select("src", "dst").union(graph_of(s, d)[3].select("src", "dst")).distinct(), "SELECT src, dst FROM edges UNION SELECT src, dst FROM relations", *G)
@@ -223,15 +225,16 @@ registered("agg8_folders", lambda s, d: facets.folder_rollup(notes(s, d), notes(
 registered("agg9_folder_chips", lambda s, d: notes(s, d).where(F.col("text").contains("idiot")).groupBy(T.dirname("path").alias("folder")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "folder").limit(6),
     "SELECT split_part(path, '/', 1) || '/' || topic AS folder, count(*) AS n FROM notes WHERE text LIKE '%idiot%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6", NOTES_SQL)
 registered("agg10_stats", lambda s, d: corpus_stats(s, d),
-    "SELECT count(*) AS n_notes, count(DISTINCT doc_kind) AS n_kinds, count(DISTINCT topic) AS n_topics, (SELECT count(DISTINCT lower(t)) FROM (SELECT unnest(tags) AS t FROM notes)) AS n_tags, CAST(sum(doc_id % 3) AS BIGINT) AS n_open FROM notes", NOTES_SQL)
+    "SELECT count(*) AS n_notes, count(DISTINCT doc_kind) AS n_kinds, count(DISTINCT topic) AS n_topics, (SELECT count(DISTINCT lower(t)) FROM (SELECT unnest(tags) AS t FROM notes)) AS n_tags, CAST(sum(doc_id % 3) AS BIGINT) AS n_open, count(*) AS n_done, round(max(doc_id % 3) / sum(doc_id % 3), 6) AS top_share FROM notes", NOTES_SQL)
 
 
 def corpus_stats(s: SparkSession, d: str) -> DataFrame:
     n = notes(s, d)
     one = n.agg(F.count("*").alias("n_notes"), F.count_distinct("doc_kind").alias("n_kinds"), F.count_distinct("topic").alias("n_topics"))
     tags = n.select(F.explode("tags").alias("t")).agg(F.count_distinct(F.lower("t")).alias("n_tags"))
-    open_ = extract.tasks(extract.line_table(n.select("path", "raw"))).agg(F.count_if(~F.col("done")).alias("n_open"))
-    return one.join(tags).join(open_)  # single rows
+    found = extract.tasks(extract.line_table(n.select("path", "raw"))).groupBy("path").agg(F.count_if(~F.col("done")).alias("open"), F.count_if("done").alias("done"))
+    tasks = found.agg(F.sum("open").alias("n_open"), F.sum("done").alias("n_done"), F.round(F.try_divide(F.max("open"), F.sum("open")), 6).alias("top_share"))
+    return one.join(tags).join(tasks)  # single rows
 
 
 registered("agg11_folder_listing", lambda s, d: facets.folder_levels(notes(s, d)).groupBy("folder").agg(F.count("*").alias("n")),
@@ -239,6 +242,12 @@ registered("agg11_folder_listing", lambda s, d: facets.folder_levels(notes(s, d)
 registered("agg12_notes_of_tag", lambda s, d: facets.notes_of_tag(notes(s, d), "Len", True), "SELECT path, coalesce(nullif(trim(title), ''), name) AS label FROM notes", NOTES_SQL)
 registered("srt1_recent", lambda s, d: notes(s, d).withColumn("t", facets.time_of("date")).orderBy(F.col("t").desc_nulls_last(), "path").limit(25).select("path", "t"),
     "SELECT path, epoch_ms(CAST(date AS TIMESTAMP)) AS t FROM notes ORDER BY date DESC, path LIMIT 25", NOTES_SQL)
+CELL = "CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN date WHEN 2 THEN CAST(size AS STRING) WHEN 3 THEN name ELSE CAST(doc_id AS STRING) || '%' END"
+CELL_SQL = "cells AS (SELECT path, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN date WHEN 2 THEN CAST(size AS VARCHAR) WHEN 3 THEN name ELSE CAST(doc_id AS VARCHAR) || '%' END AS cell FROM notes)"
+registered("srt2_typed_cells", lambda s, d: notes(s, d).select("path", F.expr(CELL).alias("cell")).orderBy(*facets.cell_order(F.col("cell"), False), "path").limit(200),
+    "SELECT path, cell FROM cells ORDER BY cell = '', CASE WHEN regexp_matches(cell, '^\\d{4}-\\d{2}-\\d{2}') THEN 0 WHEN regexp_matches(cell, '^\\d+$') THEN 1 ELSE 2 END DESC, CASE WHEN regexp_matches(cell, '^\\d+$') THEN CAST(cell AS DOUBLE) END DESC NULLS LAST, lower(cell) DESC, path LIMIT 200", NOTES_SQL, CELL_SQL)
+registered("srt4_table_column", lambda s, d: notes(s, d).select("path", F.expr(CELL).alias("cell")).orderBy(*facets.table_column_order(F.col("cell")), "path").limit(200),
+    "SELECT path, cell FROM cells ORDER BY cell = '', NOT regexp_matches(replace(cell, '%', ''), '^\\d+$'), CASE WHEN regexp_matches(replace(cell, '%', ''), '^\\d+$') THEN CAST(replace(cell, '%', '') AS DOUBLE) ELSE 0 END, lower(CASE WHEN regexp_matches(replace(cell, '%', ''), '^\\d+$') THEN '' ELSE cell END), path LIMIT 200", NOTES_SQL, CELL_SQL)
 registered("srt3_top_per_topic", lambda s, d: notes(s, d).withColumn("r", F.row_number().over(W.partitionBy("topic").orderBy(F.desc("size"), "path"))).where("r <= 3").select("topic", "r", "path", "size"),
     "SELECT topic, CAST(r AS INTEGER) AS r, path, size FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY size DESC, path) AS r FROM notes) WHERE r <= 3", NOTES_SQL)
 registered("set4_keep_last", lambda s, d: usage_events(s, d).groupBy("path").agg(F.max_by("event_id", F.struct("t", "event_id")).alias("event_id")), "SELECT path, arg_max(event_id, (t, event_id)) AS event_id FROM usage GROUP BY 1", USAGE_SQL)
@@ -266,19 +275,20 @@ registered("aud7_bad_values", lambda s, d: facets.bad_values(notes(s, d)), "SELE
 
 
 def doctor(s: SparkSession, d: str) -> DataFrame:
-    """``check, n`` of all audits at once."""
+    """``check, n, truncated`` of all audits at once, and their total; a listing would show 20 rows of each."""
     n, names, e, r = graph_of(s, d)
     groups = facets.task_groups(extract.tasks(extract.line_table(n.select("path", "raw"))))
     found = {
         "orphans": graph.orphans(n, e, r), "broken": graph.broken_links(links_of(n), names), "ambiguous": graph.ambiguous_names(names), "tags": facets.tag_issues(n),
         "decayed": facets.decayed(n, groups), "stale": facets.stale(n, NOW_MS), "values": facets.bad_values(n),
-        "look-alikes": facets.value_issues(properties(n).where("key in ('doc_kind', 'topic', 'status', 'tags')"), r),
+        "tasks": groups, "look-alikes": facets.value_issues(properties(n).where("key in ('doc_kind', 'topic', 'status', 'tags')"), r),
     }
     out = None
     for check, df in found.items():
         one = df.agg(F.count("*").alias("n")).select(F.lit(check).alias("check"), "n")
         out = one if out is None else out.unionByName(one)
-    return out
+    total = out.agg(F.lit("total").alias("check"), F.sum("n").alias("n"))
+    return out.unionByName(total).withColumn("truncated", (F.col("check") != "total") & (F.col("n") > 20))
 
 
 def _count_of(name: str) -> str:
@@ -286,7 +296,7 @@ def _count_of(name: str) -> str:
     return f"(SELECT count(*) FROM ({sql}))"
 
 
-registered("aud6_doctor", doctor, " UNION ALL ".join(f"SELECT '{c}' AS \"check\", {_count_of(q)} AS n" for c, q in (("orphans", "grf11_orphans"), ("broken", "grf10_broken_links"), ("ambiguous", "grf12_ambiguous"), ("tags", "aud1_tag_issues"), ("decayed", "aud3_decayed"), ("stale", "aud4_stale"), ("values", "aud7_bad_values"), ("look-alikes", "aud2_value_issues"))))
+registered("aud6_doctor", doctor, "SELECT *, n > 20 AS truncated FROM checks UNION ALL SELECT 'total', CAST(sum(n) AS BIGINT), false FROM checks", "checks AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"check\", {_count_of(q)} AS n" for c, q in (("orphans", "grf11_orphans"), ("broken", "grf10_broken_links"), ("ambiguous", "grf12_ambiguous"), ("tags", "aud1_tag_issues"), ("decayed", "aud3_decayed"), ("stale", "aud4_stale"), ("values", "aud7_bad_values"), ("look-alikes", "aud2_value_issues"), ("tasks", "tsk1_listing"))) + ")")
 
 
 def mentions(s: SparkSession, d: str) -> DataFrame:
@@ -376,6 +386,10 @@ registered("fts7_batch_search", lambda s, d: search.search(benchmark_queries(s,
 Q1 = CorpusQuery(text="the thion erblest and", tag="len", props={"status": ["@done"]}, under=("en/",), limit=20)
 registered("qry1_corpus_query", lambda s, d: corpus_query(Q1, notes(s, d), *index_of(s, d), fuzzy=False),
     "SELECT n.path, r.score, r.rel, title, doc_kind, topic FROM notes n LEFT JOIN (SELECT * FROM ranked WHERE qid = 0) r ON n.path = r.path WHERE status IN ('완료', '반영됨') AND n.path LIKE 'en/%' ORDER BY r.score DESC NULLS LAST, n.path LIMIT 20", *fts_sql(EXACT_SQL))
+registered("qry2_outcome", lambda s, d: query_outcome(Q1, notes(s, d), *index_of(s, d), fuzzy=False),
+    """SELECT least(pool, 20) AS returned, pool AS total, pool > 20 AS truncated, (SELECT min(stage) FROM ranked WHERE qid = 0) AS combine, CAST(0 AS BIGINT) AS dropped_low,
+      (SELECT count(*) FROM ranked r JOIN notes n ON n.path = r.path WHERE qid = 0 AND NOT (coalesce(status, '') IN ('완료', '반영됨') AND n.path LIKE 'en/%')) AS dropped_outside
+    FROM (SELECT count(*) FILTER (WHERE status IN ('완료', '반영됨') AND path LIKE 'en/%') AS pool FROM notes)""", *fts_sql(EXACT_SQL))
 registered("qry2_report", lambda s, d: query_report(Q1, notes(s, d), *index_of(s, d)),
     "SELECT 'tag' AS arm, count(*) AS matched, count(*) AS corpus FROM notes UNION ALL SELECT 'props:status', count(*) FILTER (WHERE status IN ('완료', '반영됨')), count(*) FROM notes UNION ALL SELECT 'text', (SELECT count(*) FROM ranked WHERE qid = 0), count(*) FROM notes UNION ALL SELECT 'pool', count(*) FILTER (WHERE status IN ('완료', '반영됨') AND path LIKE 'en/%'), count(*) FROM notes", *fts_sql(EXACT_SQL))
 
@@ -394,6 +408,8 @@ registered("qck3_quick_search", lambda s, d: search.quick_search(search.quick_en
     "SELECT path, CAST(CASE WHEN name = 'doc-1' THEN 1000 ELSE 800 - (length(name) - 5) END AS INTEGER) AS score FROM notes WHERE name LIKE 'doc-1%' ORDER BY 2 DESC, 1 LIMIT 30", NOTES_SQL)
 registered("qck4_consonants", lambda s, d: notes(s, d).where("status is not null").groupBy("status").agg(F.count("*").alias("n")).select(T.consonants("status").alias("key"), "n"),
     "SELECT key, sum(n) AS n FROM (SELECT CASE status WHEN '완료' THEN 'ㅇㄹ' WHEN '진행 중' THEN 'ㅈㅎ ㅈ' WHEN '반영됨' THEN 'ㅂㅇㄷ' WHEN '미착수' THEN 'ㅁㅊㅅ' ELSE 'ㅈㅎㅈ' END AS key, CAST(count(*) AS BIGINT) AS n FROM notes WHERE status IS NOT NULL GROUP BY 1) GROUP BY 1", NOTES_SQL)
+registered("qck4_consonant_search", lambda s, d: search.quick_search(notes(s, d).select("path", F.col("status").alias("key")).where("key is not null"), "ㅈㅎㅈ"),
+    "SELECT path, score FROM (SELECT path, CASE status WHEN '진행중' THEN 1000 ELSE 132 END AS score FROM notes WHERE status IN ('진행중', '진행 중')) ORDER BY score DESC, path LIMIT 30", NOTES_SQL)
 registered("qck5_completion", lambda s, d: search.link_completion(notes(s, d), "doc-9"), "SELECT path, 2 AS score FROM notes WHERE name LIKE 'doc-9%' ORDER BY path LIMIT 50", NOTES_SQL)
 registered("qck7_recent", lambda s, d: usage.recent_opens(usage_events(s, d)), "SELECT path, max(t) AS last_t FROM usage WHERE k = 'open' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30", USAGE_SQL)
 
@@ -469,7 +485,7 @@ def refreshed(s: SparkSession, d: str) -> DataFrame:
 
 registered("chg4_fingerprint", lambda s, d: changes.fingerprint(notes(s, d)).select("n", (F.col("x") != changes.fingerprint(changed_files(notes(s, d))).first().x).alias("differs")), "SELECT count(*) AS n, true AS differs FROM notes", NOTES_SQL)
 registered("chg5_staleness", lambda s, d: changes.staleness(notes(s, d).select("path", "mtime_ms", "size"), changed_files(notes(s, d))),
-    "SELECT (SELECT count(*) FROM notes a FULL JOIN files2 b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.mtime_ms <> b.mtime_ms) AS changed, (SELECT count(*) FROM files2 b JOIN notes a ON a.path = b.path WHERE b.mtime_ms > a.mtime_ms) AS newer, CAST(1 AS BIGINT) AS lag_s, (SELECT count(*) FROM files2) AS total", NOTES_SQL, CHANGED_SQL)
+    "SELECT (SELECT count(*) FROM notes a FULL JOIN files2 b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.mtime_ms <> b.mtime_ms) AS changed, (SELECT count(*) FROM files2 b JOIN notes a ON a.path = b.path WHERE b.mtime_ms > a.mtime_ms) AS newer, CAST(1 AS BIGINT) AS lag_s, (SELECT count(*) FROM files2) AS total, (SELECT string_agg(path, ',' ORDER BY path) FROM (SELECT coalesce(a.path, b.path) AS path FROM notes a FULL JOIN files2 b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.mtime_ms <> b.mtime_ms ORDER BY 1 LIMIT 5)) AS samples", NOTES_SQL, CHANGED_SQL)
 registered("chg6_unread", lambda s, d: changes.unread(usage_events(s, d).where("k = 'open'").groupBy("path").agg(F.max("t").alias("last_t")), notes(s, d).select(F.col("name").alias("path"), F.lit(NOW_MS).alias("mtime_ms"))),
     f"SELECT n.name AS path FROM notes n JOIN (SELECT path, max(t) AS t FROM usage WHERE k = 'open' GROUP BY 1) o ON n.name = o.path WHERE o.t < {NOW_MS}", NOTES_SQL, USAGE_SQL)
 

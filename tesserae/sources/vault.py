@@ -72,9 +72,16 @@ def note_assets(notes: DataFrame, images: DataFrame) -> DataFrame:
     return own.join(offered, ["folder", "stem"]).select("path", "asset")
 
 
-def to_csv(table_rows: DataFrame, path: str) -> None:
-    """Write extracted tables as CSV, one row a table row, cells joined by the writer's rules."""
-    table_rows.select("path", "table_ln", "row_no", F.to_json("cells").alias("cells")).write.option("header", True).option("escape", '"').csv(path)
+def csv_lines(table_rows: DataFrame) -> DataFrame:
+    """``path, table_ln, row_no, line``: a table's rows as CSV; cells with a comma, quote or line break are quoted."""
+    quoted = lambda c: F.when(c.rlike("[\",\\n\\r]"), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    return table_rows.select("path", "table_ln", "row_no", F.array_join(F.transform("cells", quoted), ",").alias("line"))
+
+
+def to_csv(table_rows: DataFrame, folder: str) -> None:
+    """Write every extracted table as CSV text below ``folder``, in a folder by note and table, its rows in order."""
+    lines = csv_lines(table_rows).withColumn("note", F.url_encode("path"))
+    lines.repartition("note", "table_ln").sortWithinPartitions("note", "table_ln", "row_no").select("note", "table_ln", "line").write.partitionBy("note", "table_ln").text(folder)
 
 
 def to_markdown(table_rows: DataFrame) -> DataFrame:
