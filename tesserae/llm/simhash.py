@@ -9,8 +9,8 @@ a prefix go as one row and are written out at the receiving task.
 * Copies collapse before: only distinct fingerprints send variants.
 * Fingerprints that share a variant are pairwise within the radius, so linking each to the
   smallest of those that meet keeps the components; no group is expanded into pairs.
-* A prefix where more than ``HOT_ROWS`` fingerprints meet (a ball of near copies) is written out
-  as a row per variant.  These meet by a minimum per variant, combined before the shuffle, and a
+* A prefix where more than ``HOT_VARIANTS`` meet (a ball of near copies) is written out as a row
+  per variant.  These meet by a minimum per variant, combined before the shuffle, and a
   join back that adaptive execution may split: no task holds a whole ball.
 """
 
@@ -33,10 +33,12 @@ SEED = 42
 #: Parity classes of a variant: code of bit ``i`` is odd-multiplied ``i`` in six bits.
 CLASSES = 64
 CODES = np.array([(i * 37 + 11) % CLASSES for i in range(64)], dtype=np.uint64)
-#: Rows that may meet at a prefix in one task; the variants of a fuller one are shuffled themselves.
-HOT_ROWS = 40_000
+#: Fingerprints that share a prefix on average, and variants that may meet at one in a task (some
+#: ten times the average); the variants of a fuller one are shuffled themselves.
+PER_PREFIX = 1_000
+HOT_VARIANTS = 20_000_000
 #: Variants that a task sorts at a time, and writes out at a time.
-SORT_ROWS = 6_000_000
+SORT_ROWS = 2_000_000
 
 
 def fingerprint(text: str, width: int = 4) -> int:
@@ -129,7 +131,7 @@ def meet(base: np.ndarray, left: np.ndarray, fps: np.ndarray, bits: int, radius:
             return
         first = np.concatenate(([True], v[1:] != v[:-1]))
         starts = np.flatnonzero(first)
-        least = np.minimum.reduceat(o, starts)[np.cumsum(first)[same] - 1]
+        least = np.minimum.reduceat(o, starts)[np.cumsum(first)[same] - 1].astype(np.int64)
         for end in (o[same], o[same - 1]):
             pair = np.unique(least * n + end)
             links.append(pair[pair // n != pair % n])
@@ -141,7 +143,7 @@ def meet(base: np.ndarray, left: np.ndarray, fps: np.ndarray, bits: int, radius:
         for k, at in kinds:
             m = _masks(bits, k)
             variants.append((base[at][:, None] ^ m[None, :]).ravel())
-            owners.append(np.repeat(at, len(m)))
+            owners.append(np.repeat(at.astype(np.int32), len(m)))
         close(variants, owners)
     else:
         own = _parity(base)
@@ -152,7 +154,7 @@ def meet(base: np.ndarray, left: np.ndarray, fps: np.ndarray, bits: int, radius:
                 m = _masks_by_class(bits, k)[c ^ want]
                 if len(at) and len(m):
                     variants.append((base[at][:, None] ^ m[None, :]).ravel())
-                    owners.append(np.repeat(at, len(m)))
+                    owners.append(np.repeat(at.astype(np.int32), len(m)))
                     held += len(variants[-1])
             if held >= SORT_ROWS or (held and want == CLASSES - 1):
                 close(variants, owners)
@@ -165,7 +167,7 @@ def meet(base: np.ndarray, left: np.ndarray, fps: np.ndarray, bits: int, radius:
     return fps[linked], fps[root[linked]]
 
 
-def near_links(fps: DataFrame, radius: int = 4, prefix: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 4, prefix: int | None = None, hot_variants: int = HOT_VARIANTS) -> DataFrame:
     """Links ``u, v`` whose components are those of all pairs of ``fps(fp)`` within ``radius``.
 
     ``fps`` holds distinct fingerprints.  The radius must be even.  The prefix length follows
@@ -175,7 +177,7 @@ def near_links(fps: DataFrame, radius: int = 4, prefix: int | None = None, hot_r
         raise ValueError("meet-in-the-middle halves need an even radius")
     half = radius // 2
     if prefix is None:
-        prefix = int(min(32, max(8, np.ceil(np.log2(max(1, fps.count()) / 1000)))))
+        prefix = int(min(32, max(8, np.ceil(np.log2(max(1, fps.count()) / PER_PREFIX)))))
     bits = 64 - prefix
     masks = [(sum(1 << (bits + i) for i in c), half - k) for k in range(half + 1) for c in combinations(range(prefix), k)]
     signed = [m - (1 << 64) if m >> 63 else m for m, _ in masks]
@@ -183,7 +185,8 @@ def near_links(fps: DataFrame, radius: int = 4, prefix: int | None = None, hot_r
     sent = fps.select("fp", F.explode(flips).alias("f")).select(
         "fp", F.col("fp").bitwiseXOR(F.col("f.m")).alias("base"), F.col("f.k").alias("left")
     ).withColumn("bucket", F.shiftrightunsigned("base", bits))
-    hot = sent.groupBy("bucket").count().where(F.col("count") > hot_rows).select("bucket")
+    made = F.element_at(F.array(*[F.lit(len(_masks(bits, k))) for k in range(half + 1)]), F.col("left") + 1).cast("long")
+    hot = sent.groupBy("bucket").agg(F.sum(made).alias("n")).where(F.col("n") > hot_variants).select("bucket")
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         fp = group.column("fp").to_numpy().astype(np.int64).view(np.uint64)

@@ -64,14 +64,14 @@ def test_simhash_equals_brute_force(docs):
         assert got[i].fingerprint == f"{fps[k]:016x}" and got[i].component_id == rows[root[k]][0]
 
 
-@pytest.mark.parametrize("hot_rows", [10, 40_000])
-def test_balls_of_near_fingerprints_link_whole(spark, hot_rows):
+@pytest.mark.parametrize("hot_variants", [10, 5_000, simhash.HOT_VARIANTS])
+def test_balls_of_near_fingerprints_link_whole(spark, hot_variants):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
     fps = {int(c) ^ int(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False))) for c in centres for _ in range(15)} | {0, 1, (1 << 64) - 1}
     values = np.array(sorted(fps), np.uint64)
     df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
-    got = {(r.node, r.root) for r in components.connected_components(simhash.near_links(df, prefix=8, hot_rows=hot_rows)).collect()}
+    got = {(r.node, r.root) for r in components.connected_components(simhash.near_links(df, prefix=8, hot_variants=hot_variants)).collect()}
     parent = {int(v): int(v) for v in values.view(np.int64)} | dict(got)
     want, have = defaultdict(set), defaultdict(set)
     for k, r in enumerate(plain_components(values)):
