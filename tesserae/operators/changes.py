@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .extract import all_links, line_table
+from .search import postings
+
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """``path, change`` of added, modified (time or size differs) and removed files."""
@@ -30,6 +33,20 @@ def refresh(old: DataFrame, changes: DataFrame, fresh: DataFrame) -> DataFrame:
     return old.join(changes.select("path").distinct(), "path", "left_anti").unionByName(fresh)
 
 
+def derived(notes: DataFrame) -> dict[str, DataFrame]:
+    """The tables that hang on one note alone: its links and its postings.  ``notes`` has path, name, title, text and raw."""
+    return {"links": all_links(line_table(notes.select("path", "raw"))), "postings": postings(notes)}
+
+
+def refresh_index(tables: dict[str, DataFrame], changes: DataFrame, fresh: DataFrame) -> dict[str, DataFrame]:
+    """``notes``, ``links`` and ``postings`` after a change; ``fresh`` are the touched notes as they are now.
+
+    Only touched notes are extracted again.  What names resolve to is made from these tables when it is asked for.
+    """
+    new = {"notes": fresh} | derived(fresh)
+    return {name: refresh(tables[name], changes, rows.select(tables[name].columns)) for name, rows in new.items()}
+
+
 def fingerprint(files: DataFrame) -> DataFrame:
     """One row that tells snapshots apart, whatever the order of files."""
     h = F.xxhash64("path", "mtime_ms", "size")

@@ -483,6 +483,19 @@ def refreshed(s: SparkSession, d: str) -> DataFrame:
     return changes.refresh(before, diff, after.join(diff.where("change <> 'removed'").select("path"), "path", "left_semi"))
 
 
+def refreshed_index(s: SparkSession, d: str) -> DataFrame:
+    """Postings by field after the notes' snapshot changes: removed ones out, copies of those done in."""
+    columns = ["path", "name", "title", "text", "raw"]
+    n = notes(s, d)
+    diff = changes.snapshot_diff(n.select("path", "mtime_ms", "size"), changed_files(n))
+    now = n.where("NOT status <=> '진행 중'").select(columns).unionByName(n.where("status = '완료'").withColumn("path", F.concat(F.lit("new/"), "path")).select(columns))
+    fresh = now.join(diff.where("change <> 'removed'").select("path"), "path", "left_semi").select(columns)
+    before = {"notes": n.select(columns)} | changes.derived(n)
+    return changes.refresh_index(before, diff, fresh)["postings"].groupBy("field").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_tokens"))
+
+
+registered("chg3_index_refresh", refreshed_index,
+    "SELECT field, CAST(sum(m) AS BIGINT) AS n_postings, CAST(sum(m * tf) AS BIGINT) AS n_tokens FROM posted JOIN (SELECT path, (status IS DISTINCT FROM '진행 중')::INT + coalesce(status = '완료', false)::INT AS m FROM notes) USING (path) WHERE m > 0 GROUP BY 1", *fts_sql(EXACT_SQL))
 registered("chg4_fingerprint", lambda s, d: changes.fingerprint(notes(s, d)).select("n", (F.col("x") != changes.fingerprint(changed_files(notes(s, d))).first().x).alias("differs")), "SELECT count(*) AS n, true AS differs FROM notes", NOTES_SQL)
 registered("chg5_staleness", lambda s, d: changes.staleness(notes(s, d).select("path", "mtime_ms", "size"), changed_files(notes(s, d))),
     "SELECT (SELECT count(*) FROM notes a FULL JOIN files2 b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.mtime_ms <> b.mtime_ms) AS changed, (SELECT count(*) FROM files2 b JOIN notes a ON a.path = b.path WHERE b.mtime_ms > a.mtime_ms) AS newer, CAST(1 AS BIGINT) AS lag_s, (SELECT count(*) FROM files2) AS total, (SELECT string_agg(path, ',' ORDER BY path) FROM (SELECT coalesce(a.path, b.path) AS path FROM notes a FULL JOIN files2 b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.mtime_ms <> b.mtime_ms ORDER BY 1 LIMIT 5)) AS samples", NOTES_SQL, CHANGED_SQL)

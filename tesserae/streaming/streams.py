@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.changes import refresh_index
+from ..sources import store
 from ..sources.vault import wanted
 
 CHANGES = "kind string, path string, from_path string, mtime_ms long, ts timestamp, seq long"
@@ -42,6 +44,22 @@ def keep_index(changes: DataFrame, apply: Callable[[DataFrame, int], None], chec
     return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def index_upkeep(spark: SparkSession, root: str, fresh: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """What ``keep_index`` applies: a new snapshot of notes, links and postings below ``root`` for every batch.
+
+    ``fresh`` reads the notes that a batch has touched.  A batch that comes again finds its snapshot and changes nothing.
+    """
+
+    def apply(changes: DataFrame, batch_id: int) -> None:
+        name = f"batch-{batch_id}"
+        if any(r.snapshot_id == name for r in store.history(spark, root)):
+            return
+        tables = {t: store.current(spark, root, t) for t in ("notes", "links", "postings")}
+        store.write_snapshot(spark, root, refresh_index(tables, changes, fresh(changes.where("kind <> 'removed'"))), name)
+
+    return apply
+
+
 def usage_windows(events: DataFrame, late: str = "1 day", size: str = "1 day") -> DataFrame:
     """Counts by day and kind of ``events(ts, k)``; rows later than the watermark are dropped."""
     counted = events.withWatermark("ts", late).groupBy(F.window("ts", size), "k").agg(F.count("*").alias("n"))
