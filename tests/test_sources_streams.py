@@ -89,6 +89,52 @@ def test_change_stream_keeps_the_last_change(spark, tmp_path):
     assert {(r.path, r.kind) for r in spark.read.parquet(f"{out}/0").collect()} == {("a.md", "modified"), ("c.md", "modified"), ("b.md", "removed")}
 
 
+def test_index_upkeep_equals_a_rebuild(spark, tmp_path):
+    from tesserae.operators import changes
+
+    columns = "path string, name string, title string, text string, raw string"
+    note = lambda p, body: (p, p[:-3], p.upper(), body, body)
+    now = {"a.md": "alpha [[b]] beta", "b.md": "beta", "d.md": "new [[a]] words"}
+    before = spark.createDataFrame([note("a.md", "old [[c]]"), note("b.md", "beta"), note("c.md", "gone")], columns)
+    root, folder = str(tmp_path / "store"), tmp_path / "in"
+    store.write_snapshot(spark, root, {"notes": before} | changes.derived(before), "start")
+    folder.mkdir()
+    ev = [("modified", "a.md", 1), ("removed", "c.md", 2), ("created", "d.md", 3)]
+    (folder / "1.json").write_text("\n".join(json.dumps({"kind": k, "path": p, "mtime_ms": s, "ts": "2024-01-01T00:00:00", "seq": s}) for k, p, s in ev))
+    disk = spark.createDataFrame([note(p, t) for p, t in now.items()], columns)
+    apply = streams.index_upkeep(spark, root, lambda touched: disk.join(touched.select("path"), "path", "left_semi"))
+    for again in ("ck1", "ck2"):  # the second run brings the same batch again
+        streams.keep_index(streams.change_stream(spark, str(folder)), apply, str(tmp_path / again)).awaitTermination(120)
+        for name, want in ({"notes": disk} | changes.derived(disk)).items():
+            got = store.current(spark, root, name).select(want.columns)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert [r.snapshot_id for r in store.history(spark, root)] == ["batch-0", "start"]
+
+
+def test_counts_of_parts_add_up(spark, sf):
+    """The usage log in parts gives the tables of the whole: counts are sums of the parts' counts."""
+    from tesserae.operators import usage
+
+    events = Q.usage_events(spark, sf)
+    whole = {tuple(r[:3]): r.n for r in usage.errors(events).collect()}
+    parts = None
+    for k in range(3):
+        one = usage.errors(events.where(f"event_id % 3 = {k}"))
+        parts = one if parts is None else parts.unionByName(one)
+    assert {tuple(r[:3]): r.n for r in parts.groupBy("lvl", "at", "msg").agg(F.sum("n").alias("n")).collect()} == whole
+
+
+def test_tables_as_csv_and_markdown(spark, tmp_path):
+    from tesserae.sources import vault
+
+    rows = spark.createDataFrame([("a/n.md", 3, 0, ["h", "i, j"]), ("a/n.md", 3, 1, ['say "x"', "p|q"])], "path string, table_ln int, row_no int, cells array<string>")
+    assert [r.line for r in vault.csv_lines(rows).orderBy("row_no").collect()] == ['h,"i, j"', '"say ""x""",p|q']
+    assert [r.line for r in vault.to_markdown(rows).orderBy("row_no").collect()] == ["| h | i, j |", '| say "x" | p\\|q |']
+    vault.to_csv(rows, str(tmp_path / "csv"))
+    (file,) = (tmp_path / "csv").rglob("part-*.txt")
+    assert file.read_text() == 'h,"i, j"\n"say ""x""",p|q\n'
+
+
 def test_streams_equal_batches(spark, sf, tmp_path):
     events = Q.usage_events(spark, sf).withColumn("ts", F.timestamp_micros("us"))
     events.repartition(3).write.parquet(str(tmp_path / "e"))
