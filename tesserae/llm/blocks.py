@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, slices, table, texts_of
+from .common import column, short_batches, slices, table, texts_of
 
 #: Pages that training reads at most, those with the least hash of page_id.
 TRAIN_PAGES = 400
@@ -342,7 +342,7 @@ def main_text(pages: DataFrame, least: float = 0.5) -> DataFrame:
     Repeated pages come out repeatedly; an empty table gives an empty table.  If no page of the
     sample has a block that names or density label, every block is text.
     """
-    w = learned(pages)
+    w = learned(short_batches(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -68,6 +68,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
         step = max(1, min(rows, int(n * size / max(1, batch.nbytes))))
         for at in range(0, n, step):
             yield batch.slice(at, step)
+    pa.default_memory_pool().release_unused()  # an idle worker keeps no room of its last task
+
+
+def by_slices(texts: pa.Array, rows: int = SLICE_ROWS) -> Iterator[list[str]]:
+    """A text column as Python strings, null as the empty string, a slice at a time."""
+    for batch in slices([pa.RecordBatch.from_arrays([texts], names=["text"])], rows):
+        yield texts_of(batch)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
@@ -79,6 +86,20 @@ def column(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
 
+#: Rows of an Arrow batch between the JVM and a worker at most: ten thousand long texts are too many.
+BATCH_ROWS = 1_000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches have ``BATCH_ROWS`` rows at most."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(BATCH_CONF, BATCH_ROWS)
+    return df
+
+
 def docs_of(df: DataFrame, *extra: str) -> DataFrame:
     """``doc_id, text`` (and ``extra``) alone, so that other columns never clash or travel."""
+    df = short_batches(df)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)

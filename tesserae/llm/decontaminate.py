@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, docs_of, slices, staged, table, texts_of
+from .common import by_slices, column, docs_of, short_batches, slices, staged, table, texts_of
 
 WORDS = regex.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -344,16 +344,20 @@ def contaminated(docs: DataFrame, items: DataFrame, chunk_items: int = CHUNK_ITE
 def without_items(docs: DataFrame, items: DataFrame, chunk_items: int = CHUNK_ITEMS) -> DataFrame:
     """The rows of ``docs`` whose text holds no item, whatever their other columns; no row is shuffled."""
 
-    def clean(part: Items):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                held = {doc for doc, *_ in part.find(texts_of(batch))}
-                yield batch.filter(pa.array([k not in held for k in range(batch.num_rows)], pa.bool_()))
+    def holds(part: Items):
+        @F.arrow_udf("boolean")
+        def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for some in texts:
+                out: list[bool] = []
+                for own in by_slices(some):
+                    held = {doc for doc, *_ in part.find(own)}
+                    out += [k in held for k in range(len(own))]
+                yield pa.array(out, pa.bool_())
 
         return run
 
     for part in _parts(items, chunk_items):
-        docs = docs.mapInArrow(clean(part), docs.schema)
+        docs = short_batches(docs).where(~holds(part)(F.col("text").cast("string")))
     return docs
 
 

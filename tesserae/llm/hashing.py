@@ -11,7 +11,7 @@ import numpy as np
 
 WORDS = re.compile(r"\w+|[^\w\s]+")
 #: Words whose hash a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 @lru_cache(maxsize=1)

@@ -94,7 +94,7 @@ def learn(labelled: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[str], np.nd
     # a row a language: the share of its documents that are read
     shares = known.groupBy("lang").agg((F.lit(float(most)) / F.count("*")).alias("share"))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long")), 11) / float(1 << 53)
-    marked = known.select("lang", F.col("text").cast("string").alias("text"), u.alias("u")).join(shares, "lang").where("u < share").select("text", "lang")
+    marked = known.select("lang", F.col("text").cast("string").alias("text"), u.alias("u")).join(F.broadcast(shares), "lang").where("u < share").select("text", "lang")
     counts = marked.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
     number = {x: k for k, x in enumerate(langs)}

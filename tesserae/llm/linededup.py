@@ -23,7 +23,7 @@ from .common import docs_of, shared_dir, staged, table, written
 #: Runs of a level that are compacted into one of the next.
 FANOUT = 2
 #: Batches that one call deals its documents into.
-BATCHES = 4
+BATCHES = 2
 KEY = ["h1", "h2"]
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, docs_of, slices, staged, table, texts_of
+from .common import by_slices, column, docs_of, short_batches, slices, staged, table, texts_of
 from .hashing import bigrams, hashed_words, mixed
 
 BITS = 16
@@ -90,13 +90,14 @@ def log_weights(texts: list[str], ratios: np.ndarray) -> np.ndarray:
 
 
 def weighed(docs: DataFrame, ratios: np.ndarray, name: str = "log_weight") -> DataFrame:
-    """Every row of ``docs`` with its log weight in a further column."""
+    """Every row of ``docs`` with its log weight in a further column; only texts go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(log_weights(texts_of(batch), ratios))], names=[*batch.schema.names, name])
+    @F.arrow_udf("double")
+    def weight(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in texts:
+            yield pa.array(np.concatenate([np.zeros(0), *(log_weights(part, ratios) for part in by_slices(some))]))
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(name)).schema)
+    return short_batches(docs).withColumn(name, weight(F.col("text").cast("string")))
 
 
 def gumbel(seed: int, *keys: Column | str) -> Column:
