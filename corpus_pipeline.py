@@ -48,9 +48,9 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     table stays empty.
     """
     unnamed = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("k"), F.struct("text", F.struct(*docs.columns).alias("row")).alias("r"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("k"), F.struct("text", *[F.col(c).alias(f"c{n}") for n, c in enumerate(docs.columns) if c != "text"]).alias("r"))
     first = near_duplicates(rows.select(F.col("k").alias("doc_id"), "r.text")).where("doc_id = component_id").select(F.col("doc_id").alias("k")).distinct()
-    return rows.join(first, "k", "left_semi").groupBy("k").agg(F.min("r").alias("r")).select(*[F.col("r.row").getField(c).alias(c) for c in docs.columns])
+    return rows.join(first, "k", "left_semi").groupBy("k").agg(F.min("r").alias("r")).select(*[F.col("r").getField("text" if c == "text" else f"c{n}").alias(c) for n, c in enumerate(docs.columns)])
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
