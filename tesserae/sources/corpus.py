@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import spread
+
 NOW_MS = 1_741_000_000_000  # a fixed "now" for reports: 2025-03-03
 
 
@@ -21,7 +23,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     n = docs.count()
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    base = docs.join(labels, "doc_id", "left").selectExpr(
+    base = spread(docs).join(labels, "doc_id", "left").selectExpr(
         "doc_id", "lang || '/' || source || '/doc-' || doc_id || '.md' AS path", "'doc-' || doc_id AS name",
         "trim(substr(split_part(coalesce(text, ''), '\n', 1), 1, 60)) AS title",
         "CASE doc_id % 4 WHEN 0 THEN 'plan' WHEN 1 THEN 'adr' WHEN 2 THEN 'solution' ELSE 'howto' END AS doc_kind",

@@ -23,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read in fewer pieces than there are cores, dealt out to all of them; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def set_down(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, for plans that read it more than once."""
     spark = df.sparkSession
