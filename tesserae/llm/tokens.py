@@ -61,15 +61,18 @@ class Encoder:
 
     led: the tokenizer lets a space lead the piece that follows it, and other white space makes
     pieces of its own.  Otherwise white space only separates pieces.
-    The content of an added token (an end mark) in a text is that token, as the library has it.
+    The content of an added token (an end mark) in a text is that token, as the library has it;
+    plain: it is text like any other.
     """
 
-    def __init__(self, path: str, end_id: int, led: bool) -> None:
+    def __init__(self, path: str, end_id: int, led: bool, plain: bool = False, remembered: int | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._added = [t.content.lower() for t in self._library.get_added_tokens_decoder().values()]
+        self._library.encode_special_tokens = plain
+        self._remembered = remembered or REMEMBERED
+        self._added = [] if plain else [t.content.lower() for t in self._library.get_added_tokens_decoder().values()]
         self._model = self._library.model
         self._letters = byte_letters()
         self._space = chr(self._letters[32])
@@ -80,6 +83,10 @@ class Encoder:
         self._marks = {m: self._whole([m])[0] for m in sorted(MARKS)}
         self.vocabulary = self._library.get_vocab_size(with_added_tokens=True)
 
+    def names(self) -> list[str]:
+        """The vocabulary's entries by id."""
+        return [self._library.id_to_token(k) or "" for k in range(self.vocabulary)]
+
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -229,7 +236,7 @@ class Encoder:
         begin = np.cumsum(self._n) - self._n
         ids = self._flat[np.repeat(begin[numbers] - total + n, n) + np.arange(total[-1] if len(total) else 0)]
         counts = np.diff(total[ends + np.arange(len(ends))], prepend=0)
-        if len(self._n) > REMEMBERED:  # forget what this slice brought
+        if len(self._n) > self._remembered:  # forget what this slice brought
             for unit in units.new:
                 del units[unit]
             self._n, self._flat, units.next = self._n[:kept], self._flat[:size], kept
@@ -254,9 +261,9 @@ def _bytes_of(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, end_id: int, led: bool) -> Encoder:
+def encoder(path: str, end_id: int, led: bool, plain: bool = False, remembered: int | None = None) -> Encoder:
     """One encoder per worker and tokenizer, so that remembered units outlive a task."""
-    return Encoder(path, end_id, led)
+    return Encoder(path, end_id, led, plain, remembered)
 
 
 def packed(ids: np.ndarray, wide: bool) -> bytes:
