@@ -35,7 +35,7 @@ def refresh(old: DataFrame, changes: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def derived(notes: DataFrame) -> dict[str, DataFrame]:
     """The tables that hang on one note alone: its links and its postings.  ``notes`` has path, name, title, text and raw."""
-    return {"links": all_links(line_table(notes.select("path", "raw"))), "postings": postings(notes)}
+    return {"links": all_links(line_table(notes.select("path", "raw"), code=False)), "postings": postings(notes)}
 
 
 def refresh_index(tables: dict[str, DataFrame], changes: DataFrame, fresh: DataFrame) -> dict[str, DataFrame]:

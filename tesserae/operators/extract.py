@@ -1,50 +1,76 @@
 """Extraction from raw notes: front matter, links, tasks, headings, code, callouts, tables.
 
-Everything hangs on one line table per note.  Front matter and code fences are found within a
-note's row, as stretches of its lines, so that the line table shuffles nothing.
+Everything hangs on one line table per note.  Front matter and fences are found within a note's
+row, as stretches of its lines, and code by its block structure, so that the line table shuffles
+nothing.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
+from ..functions.blocks import code_starts
 from ..functions.text import slugify
 
-FENCE = r"^\s{0,3}(```|~~~)"
 TASK = r"^(\s*)(?:[-*+]|\d{1,9}[.)])\s+\[([ xX])\]\s+(.*)$"
+#: A line that toggles the fence of links.
+TOGGLE = r"^[\s\p{Z}]*```"
+#: Pieces of a text without which no line of it is code.
+CODE_SIGNS = ("```", "~~~", "    ", "\t")
 
 
-def line_table(raw: DataFrame) -> DataFrame:
-    """``path, ln, line, in_front, in_body, in_code`` of ``raw(path, raw)``.
+@F.pandas_udf(ArrayType(IntegerType()))
+def _code_starts(raw: pd.Series) -> pd.Series:
+    return raw.map(code_starts)
 
-    in_code holds for the lines of ``` and ~~~ blocks, fences included.  Null text has no lines.
+
+def _places(holds) -> Column:
+    return F.filter(F.transform("lines", lambda x, i: F.when(holds(x, i), i)), lambda i: i.isNotNull())
+
+
+def _split(raw: DataFrame) -> DataFrame:
+    """``path, raw, lines, close``: close is the last line of the front matter, -1 where there is none.
+
+    The first line is three dashes and blanks; the front matter ends at the first line behind the
+    second that begins with three dashes.  If it never ends there is none.
     """
-    split = raw.where("raw is not null").select("path", F.split("raw", "\n", -1).alias("lines"))
-    places = lambda holds: F.filter(F.transform("lines", lambda x, i: F.when(holds(x, i), i)), lambda i: i.isNotNull())
-    fences = places(lambda x, i: x.rlike(FENCE))
-    # where there is front matter, its last line; null if it never ends
-    close = F.when(F.trim(F.get("lines", F.lit(0))) == "---", F.coalesce(F.get(places(lambda x, i: (i > 0) & (F.trim(x) == "---")), F.lit(0)), F.lit(1 << 30))).otherwise(-1)
-    found = split.select("path", "lines", fences.alias("fences"), close.alias("close"))
-    # code from every other fence to the next one, both included
-    begin = lambda k: F.coalesce(F.get("fences", k - 1) + F.when(k % 2 == 0, 1).otherwise(0), F.lit(0))
-    end = lambda k: F.coalesce(F.get("fences", k) + F.when(k % 2 == 1, 1).otherwise(0), F.size("lines"))
-    code = F.flatten(F.transform(F.sequence(F.lit(0), F.size("fences")), lambda k: F.array_repeat(k % 2 == 1, end(k) - begin(k))))
-    rows = found.select("path", "close", F.posexplode(F.arrays_zip(F.col("lines").alias("line"), code.alias("in_code"))).alias("ln", "x"))
-    return rows.select(
-        "path", "ln", "x.line", ((F.col("ln") > 0) & (F.col("ln") < F.col("close"))).alias("in_front"), (F.col("ln") > F.col("close")).alias("in_body"), "x.in_code"
-    )
+    split = raw.where("raw is not null").select("path", "raw", F.split("raw", "\n", -1).alias("lines"))
+    opens = F.get("lines", F.lit(0)).rlike(r"^---[\s\p{Z}]*$")
+    return split.withColumn("close", F.coalesce(F.when(opens, F.get(_places(lambda x, i: (i > 1) & x.startswith("---")), F.lit(0))), F.lit(-1)))
+
+
+def line_table(raw: DataFrame, code: bool = True) -> DataFrame:
+    """``path, ln, line, in_front, in_body, in_fence`` of ``raw(path, raw)``, and ``code_ln, in_code`` unless ``code`` is False.
+
+    in_fence is the mask of links: lines of the body that begin with ``` and those between every
+    other one and the next.  in_code is that of all else: lines of fenced and indented code blocks
+    as the block structure has them; code_ln is the first line of the block.  Null text has no lines.
+    """
+    found = _split(raw).withColumn("marks", _places(lambda x, i: x.rlike(TOGGLE) & (i > F.col("close"))))
+    # masked from every other mark to the next one, both included
+    begin = lambda k: F.coalesce(F.get("marks", k - 1) + F.when(k % 2 == 0, 1).otherwise(0), F.lit(0))
+    end = lambda k: F.coalesce(F.get("marks", k) + F.when(k % 2 == 1, 1).otherwise(0), F.size("lines"))
+    fence = F.flatten(F.transform(F.sequence(F.lit(0), F.size("marks")), lambda k: F.array_repeat(k % 2 == 1, end(k) - begin(k))))
+    zipped = [F.col("lines").alias("line"), fence.alias("in_fence")]
+    if code:  # texts without a sign of code don't travel
+        signs = F.greatest(*[F.contains("raw", F.lit(x)) for x in CODE_SIGNS])
+        found = found.withColumn("starts", F.coalesce(_code_starts(F.when(signs, F.col("raw"))), F.array().cast("array<int>")))
+        zipped.append(F.col("starts").alias("code_ln"))
+    rows = found.select("path", "close", F.posexplode(F.arrays_zip(*zipped)).alias("ln", "x"))
+    states = [((F.col("ln") > 0) & (F.col("ln") < F.col("close"))).alias("in_front"), (F.col("ln") > F.col("close")).alias("in_body"), "x.in_fence"]
+    code_ln = F.coalesce("x.code_ln", F.lit(-1)) if code else None
+    return rows.select("path", "ln", "x.line", *states, *([code_ln.alias("code_ln"), (code_ln >= 0).alias("in_code")] if code else []))
 
 
 def split_front_matter(raw: DataFrame) -> DataFrame:
     """``path, front, body``; without front matter the whole text is body."""
-    pattern = r"^---[ \t]*\n([\s\S]*?)\n---[ \t]*(?:\n([\s\S]*))?$"
-    has = F.col("raw").rlike(pattern)
-    return raw.select(
-        "path", F.when(has, F.regexp_extract("raw", pattern, 1)).otherwise("").alias("front"),
-        F.when(has, F.regexp_extract("raw", pattern, 2)).otherwise(F.col("raw")).alias("body"),
-    )
+    part = lambda begin, n: F.array_join(F.slice("lines", begin, F.greatest(n, F.lit(0))), "\n")
+    close = F.col("close")
+    return _split(raw).select("path", F.when(close < 0, "").otherwise(part(F.lit(2), close - 1)).alias("front"), F.when(close < 0, F.col("raw")).otherwise(part(close + 2, F.size("lines") - close - 1)).alias("body"))
 
 
 def front_properties(lines: DataFrame) -> DataFrame:
@@ -67,19 +93,19 @@ def without_inline_code(line: Column) -> Column:
 
 
 def wikilinks(lines: DataFrame) -> DataFrame:
-    """``path, ln, k, target`` of ``[[target]]`` in prose, anchor and alias kept."""
-    prose = lines.where("in_body and not in_code")
-    found = F.regexp_extract_all(without_inline_code(F.col("line")), F.lit(r"\[\[([^\[\]]+)\]\]"), F.lit(1))
-    return prose.select("path", "ln", F.posexplode(found).alias("k", "t")).select("path", "ln", "k", F.trim("t").alias("target")).where("target <> ''")
+    """``path, ln, k, target`` of ``[[target]]`` in prose, anchor and alias kept; up to the first ``]]``, without a further ``[[``."""
+    prose = lines.where("in_body and not in_fence")
+    found = F.regexp_extract_all(without_inline_code(F.col("line")), F.lit(r"\[\[((?:(?!\]\]).)*)\]\]"), F.lit(1))
+    return prose.select("path", "ln", F.posexplode(found).alias("k", "t")).where(~F.contains("t", F.lit("[["))).select("path", "ln", "k", F.trim("t").alias("target")).where("target <> ''")
 
 
 def markdown_links(lines: DataFrame) -> DataFrame:
     """``path, ln, k, target``: the note name of ``](some/note.md#x)`` links that aren't web addresses."""
-    prose = lines.where("in_body and not in_code")
-    found = F.regexp_extract_all(without_inline_code(F.col("line")), F.lit(r"\]\(([^()\s]+)\)"), F.lit(1))
-    links = prose.select("path", "ln", F.posexplode(found).alias("k", "t")).select("path", "ln", "k", F.regexp_extract("t", r"^[^#?]*", 0).alias("t"))
-    local = links.where(F.col("t").rlike(r"(?i)\.md$") & ~F.col("t").rlike(r"(?i)^(https?:|mailto:)"))
-    return local.select("path", "ln", "k", F.regexp_replace(F.element_at(F.split("t", "/"), -1), r"(?i)\.md$", "").alias("target"))
+    prose = lines.where("in_body and not in_fence")
+    found = F.regexp_extract_all(without_inline_code(F.col("line")), F.lit(r"\]\(([^)]*)\)"), F.lit(1))
+    links = prose.select("path", "ln", F.posexplode(found).alias("k", "t")).select("path", "ln", "k", F.trim(F.regexp_extract("t", r"^[^#?]*", 0)).alias("t"))
+    local = links.where(F.lower("t").endswith(".md") & ~F.col("t").rlike("^(https?://|mailto:)"))
+    return local.select("path", "ln", "k", F.trim(F.regexp_replace(F.element_at(F.split("t", "/"), -1), r"(?i)\.md$", "")).alias("target")).where("target <> ''")
 
 
 def all_links(lines: DataFrame) -> DataFrame:
@@ -128,14 +154,8 @@ def headings(lines: DataFrame) -> DataFrame:
 
 
 def code_lines(lines: DataFrame) -> DataFrame:
-    """``path, ln`` of fenced lines and of indented code after a blank line."""
-    by_line = W.partitionBy("path").orderBy("ln")
-    indented = F.col("line").rlike(r"^(    |\t)\s*\S")
-    body = lines.where("in_body").withColumns({"indented": indented, "opens": indented & (F.trim(F.coalesce(F.lag("line").over(by_line), F.lit(""))) == "")})
-    breaks = F.sum(F.when(~F.col("indented") & (F.trim("line") != ""), 1).otherwise(0)).over(by_line.rowsBetween(W.unboundedPreceding, 0))
-    grouped = body.withColumn("stretch", breaks)
-    opened = F.max(F.when(F.col("opens"), 1).otherwise(0)).over(W.partitionBy("path", "stretch").orderBy("ln").rowsBetween(W.unboundedPreceding, 0))
-    return grouped.withColumn("open", opened).where("in_code or (indented and open = 1)").select("path", "ln")
+    """``path, ln`` of the body's lines in fenced and indented code blocks."""
+    return lines.where("in_body and in_code").select("path", "ln")
 
 
 def callouts(lines: DataFrame) -> DataFrame:
@@ -163,10 +183,9 @@ def table_rows(lines: DataFrame) -> DataFrame:
 
 def saved_queries(lines: DataFrame, fence: str = "notes-query", default_limit: int = 20, most: int = 200) -> DataFrame:
     """``path, ln, doc_kinds, topics, tags, text, limit, errors`` of fenced query blocks."""
-    by_line = W.partitionBy("path").orderBy("ln").rowsBetween(W.unboundedPreceding, 0)
-    fences = lines.where("in_code").withColumn("opens", F.col("line").rlike(rf"^\s{{0,3}}```\s*{fence}\s*$"))
-    blocks = fences.withColumn("block", F.last(F.when(F.col("line").rlike(FENCE), F.when(F.col("opens"), F.col("ln")).otherwise(-1)), ignorenulls=True).over(by_line))
-    inner = blocks.where("block >= 0 and not opens and trim(line) <> '' and not trim(line) like '#%'")
+    opens = lines.where("ln = code_ln").where(F.col("line").rlike(rf"^\s{{0,3}}```\s*{fence}\s*$")).select("path", "code_ln")
+    blocks = lines.where("in_code and ln > code_ln").where(~F.col("line").rlike(r"^\s{0,3}`{3,}\s*$")).join(opens, ["path", "code_ln"], "left_semi")
+    inner = blocks.withColumn("block", F.col("code_ln")).where("trim(line) <> '' and not trim(line) like '#%'")
     key, value = F.trim(F.regexp_extract("line", r"^([^:]*):", 1)), F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1))
     known = key.isin("doc_kind", "topic", "tag", "text", "limit")
     error = (

@@ -326,6 +326,12 @@ def task_groups(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("path").agg(F.count_if(~F.col("done")).alias("open"), F.count_if("done").alias("done"), F.min_by(F.when(~F.col("done"), F.col("text")), F.when(~F.col("done"), F.col("ln"))).alias("first_open")).where("open > 0")
 
 
+def fullest_tasks(groups: DataFrame, top: int) -> DataFrame:
+    """The ``top`` notes with the most open tasks, fullest first; with all ``notes`` that have some, and how many are ``hidden``."""
+    total = groups.agg(F.count("*").alias("notes"))
+    return groups.orderBy(F.desc("open"), "path").limit(top).join(total).withColumn("hidden", F.greatest(F.col("notes") - top, F.lit(0)).cast("long")).orderBy(F.desc("open"), "path")  # one row beside
+
+
 def task_concentration(groups: DataFrame) -> DataFrame:
     """One row: open tasks, notes with some, the fullest note and its share."""
     top = F.min(F.struct((-F.col("open")).alias("o"), "path"))

@@ -12,7 +12,7 @@ from .functions import text as T
 from .operators import changes, evaluate, extract, facets, graph, rewrite, search, usage
 from .plans.query import CorpusQuery, corpus_query, query_outcome, query_report, run_saved
 from .sources.shared import set_down
-from .sources.corpus import CHANGED_SQL, NOTES_SQL, NOW_MS, PROPS_SQL, changed_files, notes, properties, table
+from .sources.corpus import CHANGED_SQL, LINES_SQL, NOTES_SQL, NOW_MS, PROPS_SQL, changed_files, notes, properties, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None, *ctes: str) -> Callable[[Query], Qu
     """Register a query; its twin is ``sql`` after the views ``ctes``."""
 
     def put(f: Query) -> Query:
-        FOUND[name] = (f, None if sql is None else (f"WITH {', '.join(c.strip() for c in ctes)} {sql}" if ctes else sql))
+        FOUND[name] = (f, None if sql is None else (f"WITH RECURSIVE {', '.join(c.strip() for c in ctes)} {sql}" if ctes else sql))
         return f
 
     return put
@@ -32,8 +32,8 @@ def registered(name: str, f: Query, sql: str | None, *ctes: str) -> None:
     query(name, sql, *ctes)(f)
 
 
-def lines_of(s: SparkSession, d: str) -> DataFrame:
-    return extract.line_table(notes(s, d).select("path", "raw"))
+def lines_of(s: SparkSession, d: str, code: bool = True) -> DataFrame:
+    return extract.line_table(notes(s, d).select("path", "raw"), code)
 
 
 def links_of(n: DataFrame) -> DataFrame:
@@ -77,20 +77,22 @@ G = (NOTES_SQL, NAMES_SQL, EDGES_SQL)
 
 # extraction ---------------------------------------------------------------------------------
 registered("src3_front_matter", lambda s, d: extract.split_front_matter(notes(s, d)).selectExpr("path", "front", "char_length(body) AS n_body"),
-    "SELECT path, regexp_extract(raw, '^---[ \t]*\n([\\s\\S]*?)\n---[ \t]*\n', 1) AS front, CAST(length(text) + length(raw) - length(text) - length(regexp_extract(raw, '^---[ \t]*\n([\\s\\S]*?)\n---[ \t]*\n', 0)) AS INTEGER) AS n_body FROM notes_raw", NOTES_SQL)
-registered("src4_typed_fields", lambda s, d: extract.front_properties(lines_of(s, d)).where("key in ('title', 'doc_kind', 'topic', 'tags')").selectExpr("path", "key", "array_join(values, '|') AS vals"),
-    "SELECT path, key, array_to_string(vals, '|') AS vals FROM props WHERE key IN ('title', 'doc_kind', 'topic', 'tags') AND array_to_string(vals, '|') <> ''", NOTES_SQL, PROPS_SQL)
-registered("src5_open_properties", lambda s, d: extract.front_properties(lines_of(s, d)).groupBy("key").agg(F.count("*").alias("n_notes"), F.sum(F.size("values")).alias("n_values")),
-    "SELECT key, count(*) AS n_notes, CAST(sum(len(vals)) AS BIGINT) AS n_values FROM props WHERE array_to_string(vals, '|') <> '' GROUP BY key", NOTES_SQL, PROPS_SQL)
-registered("src6_wikilinks", lambda s, d: extract.wikilinks(lines_of(s, d)).select("path", "target"), "SELECT path, unnest(targets) AS target FROM notes", NOTES_SQL)
-registered("src7_all_links", lambda s, d: extract.all_links(lines_of(s, d)).groupBy("target").agg(F.count("*").alias("n")),
-    "SELECT target, count(*) AS n FROM (SELECT unnest(targets) AS target FROM notes UNION ALL SELECT 'doc-' || doc_id * 3 FROM notes WHERE 'doc-' || doc_id * 3 NOT IN (targets[1], lower(targets[2]))) GROUP BY 1", NOTES_SQL)
+    "SELECT path, coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (WHERE in_front), '') AS front, CAST(coalesce(length(string_agg(line, chr(10) ORDER BY ln) FILTER (WHERE in_body)), 0) AS INTEGER) AS n_body FROM lines GROUP BY path", NOTES_SQL, LINES_SQL)
+registered("src4_typed_fields", lambda s, d: extract.front_properties(lines_of(s, d, False)).selectExpr("path", "key", "array_join(values, '|') AS vals"),
+    "SELECT path, key, array_to_string(vals, '|') AS vals FROM fields WHERE len(vals) > 0", NOTES_SQL, LINES_SQL)
+registered("src5_open_properties", lambda s, d: extract.front_properties(lines_of(s, d, False)).groupBy("key").agg(F.count("*").alias("n_notes"), F.sum(F.size("values")).alias("n_values")),
+    "SELECT key, count(*) AS n_notes, CAST(sum(len(vals)) AS BIGINT) AS n_values FROM fields WHERE len(vals) > 0 GROUP BY key", NOTES_SQL, LINES_SQL)
+WIKI_SQL = r"wiki AS (SELECT path, ln, trim(unnest(regexp_extract_all(line, '\[\[([^\[\]]+)\]\]', 1))) AS target FROM lines WHERE in_body AND NOT in_fence)"
+registered("src6_wikilinks", lambda s, d: extract.wikilinks(lines_of(s, d, False)).select("path", "target"), "SELECT path, target FROM wiki", NOTES_SQL, LINES_SQL, WIKI_SQL)
+registered("src7_all_links", lambda s, d: extract.all_links(lines_of(s, d, False)).groupBy("target").agg(F.count("*").alias("n")),
+    r"""SELECT target, count(*) AS n FROM (SELECT path, target FROM wiki UNION ALL SELECT path, min(target) FROM (SELECT path, regexp_extract(unnest(regexp_extract_all(line, '\]\(([^)#?]*)', 1)), '([^/]*)\.md$', 1) AS target FROM lines WHERE in_body AND NOT in_fence) m
+      WHERE target <> '' AND NOT EXISTS (SELECT 1 FROM wiki w WHERE w.path = m.path AND lower(w.target) = lower(m.target)) GROUP BY path, lower(target)) GROUP BY 1""", NOTES_SQL, LINES_SQL, WIKI_SQL)
 registered("src8_inline_tags", lambda s, d: extract.inline_tags(lines_of(s, d)).groupBy("tag").agg(F.count("*").alias("n")),
-    "SELECT 'topic/' || topic AS tag, count(*) AS n FROM notes GROUP BY 1", NOTES_SQL)
-registered("src10_tasks", lambda s, d: extract.tasks(lines_of(s, d)).groupBy("path").agg(F.count_if(~F.col("done")).alias("open"), F.count_if("done").alias("done"), F.max("depth").alias("depth")),
-    "SELECT path, CAST(doc_id % 3 AS BIGINT) AS open, CAST(1 AS BIGINT) AS done, 0 AS depth FROM notes", NOTES_SQL)
-registered("src11_code_lines", lambda s, d: extract.code_lines(lines_of(s, d)).groupBy("path").agg(F.count("*").alias("n"), F.min("ln").cast("long").alias("first_ln")),
-    "SELECT path, count(*) AS n, CAST(min(ln) AS BIGINT) AS first_ln FROM lines WHERE in_body AND in_code GROUP BY 1", NOTES_SQL)
+    r"SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(line, '(?:^|[^\p{L}\p{N}_#/])#([\p{L}_][\p{L}\p{N}_/-]*)', 1)) AS tag FROM lines WHERE in_body AND NOT in_code) GROUP BY 1", NOTES_SQL, LINES_SQL)
+registered("src10_tasks", lambda s, d: extract.tasks(lines_of(s, d)).select("path", "ln", "text", "depth", "done"),
+    "SELECT path, CAST(ln AS INTEGER) AS ln, text, depth, done FROM tasks", NOTES_SQL, LINES_SQL)
+registered("src11_code_lines", lambda s, d: extract.code_lines(lines_of(s, d)).groupBy("path").agg(F.count("*").alias("n"), F.min("ln").cast("long").alias("first_ln"), F.max("ln").cast("long").alias("last_ln")),
+    "SELECT path, count(*) AS n, CAST(min(ln) AS BIGINT) AS first_ln, CAST(max(ln) AS BIGINT) AS last_ln FROM lines WHERE in_body AND in_code GROUP BY 1", NOTES_SQL, LINES_SQL)
 registered("src15_usage_lines", lambda s, d: usage.parse_lines(usage_lines(s, d)).groupBy("status", "k").agg(F.count("*").alias("n")),
     "SELECT CASE WHEN event_id % 50 = 0 THEN 'malformed' ELSE 'ok' END AS status, CASE WHEN event_id % 50 = 0 THEN NULL ELSE k END AS k, count(*) AS n FROM usage GROUP BY 1, 2", "usage AS (SELECT event_id, CASE event_type WHEN 'signup' THEN 'session' WHEN 'click' THEN 'cmd' WHEN 'error' THEN 'err' WHEN 'purchase' THEN 'query' ELSE 'open' END AS k FROM events)")
 registered("src18_months", lambda s, d: usage_events(s, d).groupBy(usage.month_of(F.col("t")).alias("month")).agg(F.count("*").alias("n")),
@@ -225,7 +227,7 @@ registered("agg8_folders", lambda s, d: facets.folder_rollup(notes(s, d), notes(
 registered("agg9_folder_chips", lambda s, d: notes(s, d).where(F.col("text").contains("idiot")).groupBy(T.dirname("path").alias("folder")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "folder").limit(6),
     "SELECT split_part(path, '/', 1) || '/' || topic AS folder, count(*) AS n FROM notes WHERE text LIKE '%idiot%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6", NOTES_SQL)
 registered("agg10_stats", lambda s, d: corpus_stats(s, d),
-    "SELECT count(*) AS n_notes, count(DISTINCT doc_kind) AS n_kinds, count(DISTINCT topic) AS n_topics, (SELECT count(DISTINCT lower(t)) FROM (SELECT unnest(tags) AS t FROM notes)) AS n_tags, CAST(sum(doc_id % 3) AS BIGINT) AS n_open, count(*) AS n_done, round(max(doc_id % 3) / sum(doc_id % 3), 6) AS top_share FROM notes", NOTES_SQL)
+    "SELECT count(*) AS n_notes, count(DISTINCT doc_kind) AS n_kinds, count(DISTINCT topic) AS n_topics, (SELECT count(DISTINCT lower(t)) FROM (SELECT unnest(tags) AS t FROM notes)) AS n_tags, (SELECT count(*) FROM tasks WHERE NOT done) AS n_open, (SELECT count(*) FROM tasks WHERE done) AS n_done, (SELECT round(max(n) / sum(n), 6) FROM (SELECT count(*) AS n FROM tasks WHERE NOT done GROUP BY path)) AS top_share FROM notes", NOTES_SQL, LINES_SQL)
 
 
 def corpus_stats(s: SparkSession, d: str) -> DataFrame:
@@ -255,9 +257,12 @@ registered("win3_share", lambda s, d: notes(s, d).groupBy("topic").agg(F.sum("si
     "SELECT topic, CAST(sum(size) AS BIGINT) AS chars, round(sum(size) / sum(sum(size)) OVER (), 6) AS share FROM notes GROUP BY 1", NOTES_SQL)
 
 # tasks and audits ---------------------------------------------------------------------------
-registered("tsk1_listing", lambda s, d: facets.task_groups(extract.tasks(lines_of(s, d))), "SELECT path, CAST(doc_id % 3 AS BIGINT) AS open, CAST(1 AS BIGINT) AS done, 'task of ' || name AS first_open FROM notes WHERE doc_id % 3 > 0", NOTES_SQL)
+GROUPS_SQL = "groups AS (SELECT path, count(*) FILTER (WHERE NOT done) AS open, count(*) FILTER (WHERE done) AS done, arg_min(text, ln) FILTER (WHERE NOT done) AS first_open FROM tasks GROUP BY path HAVING count(*) FILTER (WHERE NOT done) > 0)"
+registered("tsk1_listing", lambda s, d: facets.task_groups(extract.tasks(lines_of(s, d))), "SELECT * FROM groups", NOTES_SQL, LINES_SQL, GROUPS_SQL)
+registered("tsk1_fullest", lambda s, d: facets.fullest_tasks(facets.task_groups(extract.tasks(lines_of(s, d))), 15),
+    "SELECT path, open, done, first_open, count(*) OVER () AS notes, CAST(greatest(count(*) OVER () - 15, 0) AS BIGINT) AS hidden FROM groups ORDER BY open DESC, path LIMIT 15", NOTES_SQL, LINES_SQL, GROUPS_SQL)
 registered("tsk2_concentration", lambda s, d: facets.task_concentration(facets.task_groups(extract.tasks(lines_of(s, d)))).withColumn("share", F.round("share", 6)),
-    "SELECT CAST(sum(doc_id % 3) AS BIGINT) AS total_open, count(*) FILTER (WHERE doc_id % 3 > 0) AS notes, min(path) FILTER (WHERE doc_id % 3 = 2) AS top_path, round(2.0 / sum(doc_id % 3), 6) AS share FROM notes", NOTES_SQL)
+    "SELECT CAST(sum(open) AS BIGINT) AS total_open, count(*) AS notes, (SELECT path FROM groups ORDER BY open DESC, path LIMIT 1) AS top_path, round(max(open) / sum(open), 6) AS share FROM groups", NOTES_SQL, LINES_SQL, GROUPS_SQL)
 registered("aud1_tag_issues", lambda s, d: facets.tag_issues(notes(s, d)),
     """SELECT 'case-only' AS issue, lower(tag) AS key, string_agg(tag, ',' ORDER BY tag) AS members, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY 2 HAVING count(*) > 1
     UNION ALL SELECT 'same-leaf', lower(split_part(tag, '/', -1)), string_agg(tag, ',' ORDER BY tag), CAST(sum(n) AS BIGINT) FROM t GROUP BY 2 HAVING count(DISTINCT lower(tag)) > 1
@@ -268,7 +273,7 @@ registered("aud2_value_issues", lambda s, d: facets.value_issues(properties(note
         WHEN lower(b.v) LIKE lower(a.v) || '%' AND regexp_matches(substr(lower(b.v), length(a.v) + 1, 1), '^[^\\p{L}\\p{N}]$') THEN 'prefix'
         WHEN lower(b.v) LIKE '%' || lower(a.v) AND length(b.v) > length(a.v) + 1 AND regexp_matches(substr(lower(b.v), length(b.v) - length(a.v), 1), '^[^\\p{L}\\p{N}]$') THEN 'suffix' END AS issue, a.v AS value, b.v AS other
       FROM vals a JOIN vals b ON a.key = b.key AND a.v <> b.v) WHERE issue IS NOT NULL""", NOTES_SQL, PROPS_SQL, "vals AS (SELECT DISTINCT key, trim(v) AS v FROM (SELECT key, unnest(vals) AS v FROM props) WHERE key IN ('doc_kind', 'topic', 'status', 'tags'))")
-registered("aud3_decayed", lambda s, d: facets.decayed(notes(s, d), facets.task_groups(extract.tasks(lines_of(s, d)))), "SELECT path, status, CAST(doc_id % 3 AS BIGINT) AS open FROM notes WHERE status IN ('완료', '반영됨') AND doc_id % 3 > 0", NOTES_SQL)
+registered("aud3_decayed", lambda s, d: facets.decayed(notes(s, d), facets.task_groups(extract.tasks(lines_of(s, d)))), "SELECT path, status, open FROM notes JOIN groups USING (path) WHERE status IN ('완료', '반영됨')", NOTES_SQL, LINES_SQL, GROUPS_SQL)
 registered("aud4_stale", lambda s, d: facets.stale(notes(s, d), NOW_MS),
     f"SELECT path, days FROM (SELECT path, CAST(floor(({NOW_MS} - greatest(mtime_ms, epoch_ms(CAST(date AS TIMESTAMP)))) / 86400000) AS BIGINT) AS days FROM notes WHERE greatest(mtime_ms, epoch_ms(CAST(date AS TIMESTAMP))) <= {NOW_MS}) WHERE days >= 180", NOTES_SQL)
 registered("aud7_bad_values", lambda s, d: facets.bad_values(notes(s, d)), "SELECT path, 'tag' AS field, t AS value, 'not kebab-case' AS reason FROM (SELECT path, unnest(tags) AS t FROM notes) WHERE t LIKE 'Len/%'", NOTES_SQL)
@@ -429,7 +434,7 @@ registered("qck6_unified", unified_search,
       UNION ALL SELECT 'tag', path, 500 * 0.85 FROM notes WHERE list_contains(tags, 'Len/long') UNION ALL SELECT 'facet', path, 700.0 FROM notes WHERE topic = 'src7' AND doc_kind = 'adr')
     GROUP BY path ORDER BY 3 DESC, 2 LIMIT 30""", *fts_sql(EXACT_SQL, "(0, 'trash idiot')"))
 registered("grp1_grep", lambda s, d: search.grep(lines_of(s, d), "status:", limit=2000).select("path", "line", "text", "col", "len"),
-    "SELECT path, CAST(6 AS INTEGER) AS line, 'status: ' || status AS text, 0 AS col, 7 AS len FROM notes WHERE status IS NOT NULL ORDER BY path LIMIT 2000", NOTES_SQL)
+    "SELECT path, CAST(ln + 1 AS INTEGER) AS line, line AS text, CAST(instr(lower(line), 'status:') - 1 AS INTEGER) AS col, 7 AS len FROM lines WHERE contains(lower(line), 'status:') ORDER BY path, ln LIMIT 2000", NOTES_SQL, LINES_SQL)
 registered("prj2_best_line", lambda s, d: notes(s, d).select("path", search.best_line(F.col("raw"), ["trash", "idiot"]).alias("line")),
     r"""SELECT path, CASE WHEN length(line) > 180 THEN substr(line, 1, 180) || '…' ELSE line END AS line FROM (
       SELECT path, regexp_replace(line, '^[#>\-* \t\n\x0B\f\r]+', '') AS line, row_number() OVER (PARTITION BY path ORDER BY contains(lower(line), 'trash')::INT + contains(lower(line), 'idiot')::INT DESC, ln) AS r
@@ -441,7 +446,7 @@ registered("prj4_backlink_context", lambda s, d: backlink_context(s, d), None)
 def backlink_context(s: SparkSession, d: str) -> DataFrame:
     """``dst, src, snippet`` around the target's name in the source's text."""
     n, names, e, _ = graph_of(s, d, cut=True)
-    lines = extract.line_table(n.select("path", "raw"))
+    lines = extract.line_table(n.select("path", "raw"), code=False)
     return graph.backlink_context(e, n, names, extract.wikilinks(lines), lines)
 
 
@@ -452,7 +457,7 @@ registered("rwr2_link_rename", lambda s, d: rewrite.link_rename_plan(lines_of(s,
     "SELECT path, CAST((length(raw) - length(replace(raw, '[[doc-8]]', ''))) / 9 AS BIGINT) AS n, md5(replace(raw, '[[doc-8]]', '[[guide]]')) AS new_md5 FROM notes_raw WHERE contains(raw, '[[doc-8]]')", NOTES_SQL)
 registered("rwr3_tag_rename", lambda s, d: rewrite.tag_rename_plan(notes(s, d), "len", "size"),
     "SELECT path, CAST(1 AS BIGINT) AS n, tags[1] || ',' || tags[2] || ',size' || substr(tags[3], 4) AS new_tags, false AS merged FROM notes", NOTES_SQL)
-registered("rwr4_value_rename", lambda s, d: rewrite.property_rename_plan(lines_of(s, d), "status", "완료", "done"), "SELECT path, 'status: done' AS new_line FROM notes WHERE status = '완료'", NOTES_SQL)
+registered("rwr4_value_rename", lambda s, d: rewrite.property_rename_plan(lines_of(s, d), "status", "완료", "done"), "SELECT path, 'status: done' AS new_line FROM lines WHERE in_front AND line = 'status: 완료'", NOTES_SQL, LINES_SQL)
 registered("rwr6_patch", lambda s, d: rewrite.patch_front_matter(properties(notes(s, d)), {"reviewed": "yes"}, ("status",)).groupBy("key").agg(F.count("*").alias("n")),
     "SELECT key, count(*) AS n FROM props WHERE key <> 'status' GROUP BY 1 UNION ALL SELECT 'reviewed', count(*) FROM notes", NOTES_SQL, PROPS_SQL)
 

@@ -1,7 +1,9 @@
 """Notes derived from the driver's tables: the same rows in Spark and in DuckDB.
 
 ``documents`` are prose without markup, so that front matter, links, tasks and a code block are
-put around each text by rule.  NOTES_SQL is the DuckDB twin of ``notes``.
+put around each text by rule: some notes have a front matter that never ends or ends in a line
+with more than dashes, mixed, longer and tilde fences, nested tasks and indented code.  NOTES_SQL
+is the DuckDB twin of ``notes``, LINES_SQL that of its lines and their states.
 """
 
 from __future__ import annotations
@@ -36,12 +38,13 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "coalesce(text, '') AS text",
     )
     front = F.expr(
-        "'---\ntitle: \"' || title || '\"\ndoc_kind: ' || doc_kind || '\ntopic: ' || topic || '\ntags: [' || array_join(tags, ', ') || ']\n'"
-        " || CASE WHEN status IS NULL THEN '' ELSE 'status: ' || status || '\n' END || 'date: ' || date || '\n---\n'"
+        "CASE WHEN doc_id % 8 = 5 THEN '---\nintro [[doc-5]]\n' ELSE '---\ntitle: \"' || title || '\"\ndoc_kind: ' || doc_kind || '\ntopic: ' || topic || '\ntags: [' || array_join(tags, ', ') || ']\n'"
+        " || CASE WHEN status IS NULL THEN '' ELSE 'status: ' || status || '\n' END || 'date: ' || date || CASE WHEN doc_id % 8 = 6 THEN '\n---x\n' ELSE '\n---\n' END END"
     )
     body = F.expr(
         "text || '\nSee [[' || targets[0] || ']] and [[' || targets[1] || ']].\nFiled under #topic/' || topic || ' with [more](../' || topic || '/doc-' || doc_id * 3 || '.md#top).\n' || repeat('- [ ] task of ' || name || '\n', CAST(doc_id % 3 AS INT))"
-        " || '- [x] done\n```\n[[decoy]]\n- [ ] decoy\n```\n'"
+        " || '- [x] done\n```\n[[decoy]]\n- [ ] decoy\n```\n' || CASE doc_id % 8 WHEN 1 THEN '```\n~~~\n```\nBehind [[doc-1]]\n- [ ] behind\n' WHEN 2 THEN '````\n```\n[[doc-2]]\n- [ ] inside\n````\n[[doc-lost]]\n- [ ] seen\n'"
+        " WHEN 3 THEN '~~~\n[[doc-3]]\n- [ ] shown\n~~~\n' WHEN 4 THEN '- [ ] parent\n    - [ ] child\n\nplain\n\n    - [ ] sample [[doc-4]]\n' ELSE '' END"
     )
     return base.withColumn("raw", F.concat(front, body))
 
@@ -60,22 +63,54 @@ notes AS (
          coalesce(text, '') AS text
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id, (SELECT count(*) AS N FROM documents)
 ), notes_raw AS (
-  SELECT *, '---' || chr(10) || 'title: "' || title || '"' || chr(10) || 'doc_kind: ' || doc_kind || chr(10) || 'topic: ' || topic || chr(10)
-         || 'tags: [' || array_to_string(tags, ', ') || ']' || chr(10)
-         || CASE WHEN status IS NULL THEN '' ELSE 'status: ' || status || chr(10) END || 'date: ' || date || chr(10) || '---' || chr(10)
+  SELECT *, CASE WHEN doc_id % 8 = 5 THEN concat_ws(chr(10), '---', 'intro [[doc-5]]', '') ELSE concat_ws(chr(10), '---', 'title: "' || title || '"', 'doc_kind: ' || doc_kind, 'topic: ' || topic,
+           'tags: [' || array_to_string(tags, ', ') || ']', 'status: ' || status, 'date: ' || date, CASE WHEN doc_id % 8 = 6 THEN '---x' ELSE '---' END, '') END
          || text || chr(10) || 'See [[' || targets[1] || ']] and [[' || targets[2] || ']].' || chr(10)
          || 'Filed under #topic/' || topic || ' with [more](../' || topic || '/doc-' || doc_id * 3 || '.md#top).' || chr(10)
          || repeat('- [ ] task of ' || name || chr(10), CAST(doc_id % 3 AS INTEGER))
-         || '- [x] done' || chr(10) || '```' || chr(10) || '[[decoy]]' || chr(10) || '- [ ] decoy' || chr(10) || '```' || chr(10) AS raw
+         || concat_ws(chr(10), '- [x] done', '```', '[[decoy]]', '- [ ] decoy', '```', CASE doc_id % 8
+              WHEN 1 THEN concat_ws(chr(10), '```', '~~~', '```', 'Behind [[doc-1]]', '- [ ] behind', '') WHEN 2 THEN concat_ws(chr(10), '````', '```', '[[doc-2]]', '- [ ] inside', '````', '[[doc-lost]]', '- [ ] seen', '')
+              WHEN 3 THEN concat_ws(chr(10), '~~~', '[[doc-3]]', '- [ ] shown', '~~~', '') WHEN 4 THEN concat_ws(chr(10), '- [ ] parent', '    - [ ] child', '', 'plain', '', '    - [ ] sample [[doc-4]]', '') ELSE '' END) AS raw
   FROM notes
-), raw_lines AS (
+)
+"""
+
+#: Lines of the raw notes with their states.  Fences are folded mark by mark: one is closed by a bare
+#: mark of its own kind at least as long.  Indented code: behind a blank line, not below a list item.
+LINES_SQL = r"""
+raw_lines AS (
   SELECT path, unnest(string_split(raw, chr(10))) AS line, generate_subscripts(string_split(raw, chr(10)), 1) - 1 AS ln FROM notes_raw
+), fronts AS (
+  SELECT path, coalesce(CASE WHEN bool_or(ln = 0 AND regexp_matches(line, '^---\s*$')) THEN min(ln) FILTER (WHERE ln > 1 AND line LIKE '---%') END, -1) AS close FROM raw_lines GROUP BY path
+), marks AS (
+  SELECT path, ln, regexp_extract(line, '^ {0,3}(`{3,}|~{3,})', 1) AS mark, regexp_matches(line, '^ {0,3}(`{3,}|~{3,})\s*$') AS bare, row_number() OVER (PARTITION BY path ORDER BY ln) AS k
+  FROM raw_lines WHERE regexp_matches(line, '^ {0,3}(```|~~~)')
+), folded AS (
+  SELECT path, k, mark AS opened, ln AS begin, CAST(NULL AS BIGINT) AS done FROM marks WHERE k = 1
+  UNION ALL
+  SELECT m.path, m.k, CASE WHEN f.opened = '' THEN m.mark WHEN m.bare AND starts_with(m.mark, f.opened) THEN '' ELSE f.opened END, CASE WHEN f.opened = '' THEN m.ln ELSE f.begin END,
+    CASE WHEN f.opened <> '' AND m.bare AND starts_with(m.mark, f.opened) THEN m.ln END
+  FROM folded f JOIN marks m ON m.path = f.path AND m.k = f.k + 1
+), fenced AS (
+  SELECT path, begin, done FROM folded WHERE done IS NOT NULL UNION ALL SELECT path, max(begin), 1000000000 FROM folded GROUP BY path HAVING arg_max(opened, k) <> ''
+), shaped AS (
+  SELECT r.path, r.ln, r.line, f.close, EXISTS (SELECT 1 FROM fenced x WHERE x.path = r.path AND r.ln BETWEEN x.begin AND x.done) AS fence,
+    r.line LIKE '    %' AND trim(r.line) <> '' AS deep, trim(r.line) = '' AS blank FROM raw_lines r JOIN fronts f ON f.path = r.path
+), stretched AS (
+  SELECT *, sum(CASE WHEN NOT deep AND NOT blank THEN 1 ELSE 0 END) OVER w AS stretch, coalesce(lag(blank) OVER w, true) AS after_blank FROM shaped WINDOW w AS (PARTITION BY path ORDER BY ln)
 ), lines AS (
-  SELECT path, ln, line, sum(CASE WHEN trim(line) = '---' AND ln > 0 THEN 1 ELSE 0 END) OVER w > 0 AND NOT (trim(line) = '---' AND sum(CASE WHEN trim(line) = '---' AND ln > 0 THEN 1 ELSE 0 END) OVER w = 1) AS in_body,
-         sum(CASE WHEN line LIKE '```%' THEN 1 ELSE 0 END) OVER w % 2 = 1 OR line LIKE '```%' AS in_code
-  FROM raw_lines WINDOW w AS (PARTITION BY path ORDER BY ln ROWS UNBOUNDED PRECEDING)
+  SELECT path, ln, line, close >= 0 AND ln BETWEEN 1 AND close - 1 AS in_front, ln > close AS in_body,
+    sum(CASE WHEN ln > close AND ltrim(line) LIKE '```%' THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY ln) % 2 = 1 OR ltrim(line) LIKE '```%' AS in_fence,
+    fence OR deep AND bool_or(deep AND after_blank) OVER (PARTITION BY path, stretch ORDER BY ln) AND NOT bool_or(NOT deep AND regexp_matches(line, '^ {0,3}([-*+]|\d+[.)])\s')) OVER (PARTITION BY path, stretch) AS in_code
+  FROM stretched
+), fields AS (
+  SELECT path, key, list_filter(CASE WHEN value LIKE '[%]' THEN list_transform(string_split(substr(value, 2, length(value) - 2), ','), lambda x: trim(x)) ELSE [trim(regexp_replace(value, '^["''](.*)["'']$', '\1'))] END, lambda x: x <> '') AS vals
+  FROM (SELECT path, regexp_extract(line, '^([^:]*):', 1) AS key, trim(regexp_extract(line, '^[^:]*:(.*)$', 1)) AS value FROM lines WHERE in_front)
+), tasks AS (
+  SELECT path, ln, lower(regexp_extract(line, '{T}', 2)) = 'x' AS done, trim(regexp_extract(line, '{T}', 3)) AS text, CAST(floor(length(replace(regexp_extract(line, '{T}', 1), chr(9), '    ')) / 2) AS INTEGER) AS depth
+  FROM lines WHERE NOT in_code AND regexp_matches(line, '{T}')
 )
-"""
+""".replace("{T}", r"^(\s*)(?:[-*+]|\d{1,9}[.)])\s+\[([ xX])\]\s+(.*)$")
 
 
 def properties(of: DataFrame) -> DataFrame:

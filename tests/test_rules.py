@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
+from tesserae.functions.blocks import code_starts
 from tesserae.operators import extract, facets, graph, search
 from tesserae.plans.query import CorpusQuery, structural
 from tesserae.sources import vault
@@ -45,13 +46,51 @@ def test_postings_count_terms_within_a_note(spark):
     assert got == {("p", "name", "n"): (1, 2), ("p", "name", "1"): (1, 2), ("p", "title", "the"): (2, 1), ("p", "body", "a"): (1, 3), ("p", "body", "b"): (3, 3), ("p", "body", "c"): (1, 3), ("q", "name", "n"): (1, 1)}
 
 
+def states(spark, **raw):
+    rows = extract.line_table(spark.createDataFrame(list(raw.items()), "path string, raw string")).collect()
+    return {p: {w: [r.ln for r in sorted(rows, key=lambda r: r.ln) if r.path == p and r[w]] for w in ("in_front", "in_body", "in_fence", "in_code")} for p in raw}
+
+
 def test_line_states(spark):
-    raw = "---\na: 1\n---\nx\n```\n---\n~~~\ny\n```"
-    rows = extract.line_table(spark.createDataFrame([("p", raw), ("q", "---\nnever ends"), ("r", None), ("s", "")], "path string, raw string")).collect()
-    got = {(r.path, r.ln): (r.in_front, r.in_body, r.in_code) for r in rows}
-    front, body, code, none = (True, False, False), (False, True, False), (False, True, True), (False, False, False)
-    assert [got["p", k] for k in range(9)] == [none, front, none, body, code, code, code, body, code]
-    assert got["q", 0] == none and got["q", 1] == front and got["s", 0] == body and ("r", 0) not in got
+    got = states(spark, p="---\na: 1\n---\nx\n```\n---\n~~~\ny\n```", open="---\nnever [[a]]", none=None, empty="", dashes="---\na: 1\n---x\nb", two="---\n---\nb", text="--- x\na\n---\nb", cr="---\r\na\r\n---\r\nb")
+    assert got["p"] == {"in_front": [1], "in_body": [3, 4, 5, 6, 7, 8], "in_fence": [4, 5, 6, 7, 8], "in_code": [4, 5, 6, 7, 8]}
+    assert got["open"]["in_body"] == [0, 1] and got["empty"]["in_body"] == [0] and not any(got["none"].values())
+    assert got["dashes"]["in_front"] == [1] and got["dashes"]["in_body"] == [3]
+    assert got["two"]["in_body"] == [0, 1, 2] and got["text"]["in_body"] == [0, 1, 2, 3] and got["cr"]["in_front"] == [1]
+
+
+def test_links_and_code_have_masks_of_their_own(spark):
+    mixed = "```\n~~~\n```\n[[after]]\n- [ ] after\n~~~\n[[tilde]]\n- [ ] tilde\n~~~\n````\n```\n[[within]]\n- [ ] within\n````\n[[lost]]\n- [ ] shown"
+    lines = extract.line_table(spark.createDataFrame([("m", mixed), ("f", "---\nintro\n[[a]]\n- [ ] t")], "path string, raw string"))
+    assert {(r.path, r.target) for r in extract.wikilinks(lines).collect()} == {("m", "after"), ("m", "tilde"), ("m", "within"), ("f", "a")}
+    assert {(r.path, r.text) for r in extract.tasks(lines).collect()} == {("m", "after"), ("m", "shown"), ("f", "t")}
+
+
+def test_links_end_at_the_first_brackets(spark):
+    lines = extract.line_table(spark.createDataFrame([("m", "[[a[1]]] [[x [[y]] [[ z#h|q ]] [b](p q/n (1).md) [c](d/e f.MD#x) [[]] [w](https://a/b.md) [m](n.mmd)")], "path string, raw string"), code=False)
+    assert [r.target for r in extract.wikilinks(lines).orderBy("k").collect()] == ["a[1", "z#h|q"]
+    assert [r.target for r in extract.markdown_links(lines).orderBy("k").collect()] == ["e f"]
+
+
+def test_front_matter_is_split_as_lines_are(spark):
+    raw = {"a": "---\nt: 1\nu: 2\n--- \nx\ny", "b": "---\nt: 1", "c": "---\nt\n---", "d": "x\n---\n"}
+    got = {r.path: (r.front, r.body) for r in extract.split_front_matter(spark.createDataFrame(list(raw.items()), "path string, raw string")).collect()}
+    assert got == {"a": ("t: 1\nu: 2", "x\ny"), "b": ("", "---\nt: 1"), "c": ("t", ""), "d": ("", "x\n---\n")}
+
+
+CODE = [
+    ("a\n```\nb\n```\nc", [1, 2, 3]), ("a\n~~~\nb\n~~~\nc", [1, 2, 3]), ("p\n\n    code", [2]), ("- [ ] p\n    - [ ] c", []), ("```\n~~~\n```\nx", [0, 1, 2]), ("````\n```\nx\n````\ny", [0, 1, 2, 3]),
+    ("p\n    lazy", []), ("    a\n\n    b\n\nc", [0, 1, 2]), ("> ```\n> x\ny", [0, 1]), ("- a\n\n      code\n- b", [2]), ("- a\n\n    text", []), ("1. x\n   ```\n   y\n   ```\n2. z", [1, 2, 3]), ("# h\n    code", [1]),
+    ("```a`b\nx", []), ("```\nx\n", [0, 1]), ("-     code", [0]), (">     code", [0]), ("a\n===\n    code", [2]), ("\tcode", [0]), ("- a\n  ```\nb\n```\nc", [1, 3, 4]), ("p\n\n    - [ ] code\n\n- [ ] r\n    - [ ] k", [2]),
+    ("* * *\n    c", [1]), ("a\n2. x\n       y", []), ("~~~ a`b\nx\n~~~~\nz", [0, 1, 2]), ("", []), ("```", [0]), ("p\n~~~\n- [ ] t\n~~~\n\n    - [ ] i\n\n- [ ] r\n    - [ ] c", [1, 2, 3, 5]), ("```\r\nx\r\n```\r\ny", [0, 1, 2]),
+]
+
+
+@pytest.mark.parametrize(("text", "code"), CODE)
+def test_code_follows_the_block_structure(text, code):
+    starts = code_starts(text)
+    assert len(starts) == text.count("\n") + 1 and [k for k, s in enumerate(starts) if s >= 0] == code
+    assert code_starts(None) is None
 
 
 def test_rows_without_a_path_stay_in_scope(spark):
