@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,12 +31,13 @@ SHARDS = 2
 #: Cells of the filter: bytes that every worker holds.
 CELL_BITS = 25
 UNSET = 255
-#: Rows and bytes of text that are cut into words together.
-SLICE_ROWS, SLICE_BYTES = 8192, 8 << 20
+#: Bytes of text that are cut into words together, unless one text has more.
+SLICE_BYTES = 4 << 20
 #: Kinds of bytes after lower-casing: 0 of a word, 1 blank, 2 between pieces.
 SMALL = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 KINDS = np.array([1 if b in b" \t" else 2 if b in b".,;:!?\n\x0b\x0c\r" else 0 for b in range(256)], np.uint8)
 NEXT = np.uint64(0x9E3779B97F4A7C15)
+BASE = np.uint64(0xD6E8FEB86659FD93)
 #: Low bits of a key: words of the phrase (3) and the step it is active from (5).
 META = np.uint64(0xFF)
 PARTS = 64
@@ -53,13 +53,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def cells_of(keys: np.ndarray, bits: int) -> np.ndarray:
     """The three cells of every key."""
-    top = np.uint64(64 - bits)
-    return np.stack([((keys | np.uint64(k + 1)) * NEXT) >> top for k in range(3)]).astype(np.int64)
+    return np.stack([((keys | np.uint64(k + 1)) * NEXT) >> np.uint64(64 - bits) for k in range(3)]).astype(np.int64)
 
 
 def times(cells: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The step from which keys are set, UNSET for keys that aren't."""
-    return cells[cells_of(keys, len(cells).bit_length() - 1)].max(axis=0)
+    bits = len(cells).bit_length() - 1
+    out = np.zeros(len(keys), np.uint8)
+    for k in range(3):
+        np.maximum(out, cells[((keys | np.uint64(k + 1)) * NEXT) >> np.uint64(64 - bits)], out=out)
+    return out
 
 
 class Words:
@@ -74,16 +77,17 @@ class Words:
         data = SMALL[data]
         kind = KINDS[data]
         solid = kind == 0
-        opens = np.concatenate((solid[:1], solid[1:] & ~solid[:-1])) if len(data) else solid
-        heads = bounds[:-1][bounds[:-1] < np.minimum(bounds[1:], len(data))]
-        opens[heads] = solid[heads]
+        heads = np.zeros(len(data), bool)
+        heads[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+        opens, closes = solid.copy(), solid.copy()
+        opens[1:] &= ~solid[:-1] | heads[1:]
+        closes[:-1] &= ~solid[1:] | heads[1:]
         starts = np.flatnonzero(opens)
-        before = np.cumsum(solid) - solid  # solid bytes before a place
-        edges = np.append(before[starts], int(solid.sum()))
+        edges = np.append(0, np.cumsum(np.flatnonzero(closes) + 1 - starts))
         words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data[solid]))
         coded = words.dictionary_encode()
         doc = np.searchsorted(bounds, starts, "right") - 1
-        breaks = np.cumsum(kind == 2)[starts]
+        breaks = np.searchsorted(np.flatnonzero(kind == 2), starts)
         self.follows = np.zeros(len(starts), bool)
         self.follows[1:] = (doc[1:] == doc[:-1]) & (breaks[1:] == breaks[:-1])
         spoken = pc.fill_null(langs.cast(pa.string()), "und").dictionary_encode()
@@ -97,8 +101,7 @@ class Words:
         self.token = number[both]
         self.names = coded.dictionary.take(pa.array(kinds % size))
         self.langs = spoken.dictionary.take(pa.array(kinds // size))
-        seeds = [xxhash.xxh64_intdigest(x.encode()) for x in spoken.dictionary.to_pylist()]
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seeds[k]) for w, k in zip(self.names.to_pylist(), (kinds // size).tolist(), strict=True)), np.uint64, len(kinds))
+        self.hashes = mixed(_hashed(coded.dictionary)[kinds % size] + NEXT * _hashed(spoken.dictionary.cast(pa.large_string()))[kinds // size]) if len(kinds) else np.zeros(0, np.uint64)
 
     def ends(self, n: int) -> np.ndarray:
         """Places of the last words of all phrases of ``n`` words."""
@@ -108,6 +111,10 @@ class Words:
             run[k + 1 :] &= self.follows[1 : len(run) - k] if k else self.follows[1:]
         return np.flatnonzero(run)
 
+    def word_keys(self) -> np.ndarray:
+        """Keys of all words by their number."""
+        return mixed(NEXT + self.hashes)
+
     def keys(self, ends: np.ndarray, n: int) -> np.ndarray:
         """Keys of the phrases of ``n`` words that end at these places."""
         h = np.zeros(len(ends), np.uint64)
@@ -117,40 +124,77 @@ class Words:
 
     def phrases(self, ends: np.ndarray, n: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
         """Languages, spellings and counts of the distinct phrases that end at these places."""
-        ids = self.token[ends - (n - 1)]
-        for k in range(n - 2, -1, -1):  # numbers of distinct beginnings stay below the number of places
-            ids = np.unique(ids, return_inverse=True)[1] * len(self.names) + self.token[ends - k]
-        _, first, counts = np.unique(ids, return_index=True, return_counts=True)
-        at = ends[first]
-        parts = [self.names.take(pa.array(self.token[at - k])) for k in range(n - 1, -1, -1)]
-        return self.langs.take(pa.array(self.token[at])), parts[0] if n == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())), counts
+        width = max(1, len(self.names).bit_length())
+        parts = [self.token[ends - k] for k in range(n - 1, -1, -1)]
+        if width * n < 63:  # the numbers of all words in one
+            packed = parts[0]
+            for more in parts[1:]:
+                packed = packed << width | more
+            packed, counts = np.unique(packed, return_counts=True)
+            parts = [packed >> width * k & (1 << width) - 1 for k in range(n - 1, -1, -1)]
+        else:
+            ids = parts[0]
+            for more in parts[1:]:  # numbers of distinct beginnings stay below the number of places
+                ids = np.unique(ids, return_inverse=True)[1] * len(self.names) + more
+            _, first, counts = np.unique(ids, return_index=True, return_counts=True)
+            parts = [x[first] for x in parts]
+        spelled = [self.names.take(pa.array(x)) for x in parts]
+        return self.langs.take(pa.array(parts[-1])), spelled[0] if n == 1 else pc.binary_join_element_wise(*spelled, pa.scalar(" ", pa.large_string())), counts
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
-    for batch in slices(batches, SLICE_ROWS, SLICE_BYTES):
+    for batch in slices(_gathered(batches), 1 << 30, 2 * SLICE_BYTES):
         yield Words(column(batch, "text"), column(batch, "lang"))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``SLICE_BYTES``: the more text at once, the fewer words and phrases are looked at twice."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= SLICE_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _hashed(words: pa.LargeStringArray) -> np.ndarray:
+    """A polynomial of the bytes of every word."""
+    bounds, data = _bytes_of(words)
+    sizes = np.diff(bounds)
+    powers = np.cumprod(np.full(int(sizes.max(initial=0)), BASE, np.uint64))
+    terms = (data.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(bounds[:-1], sizes)]
+    total = np.append(np.uint64(0), np.cumsum(terms, dtype=np.uint64))
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
 def _counted(shard: DataFrame, step: int, shards: int, filter_, max_words: int) -> DataFrame:
     """``key, c`` of the phrases that are active at ``step``, of one slice of documents after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = filter_.value
         for words in _cut(batches):
-            since = np.zeros(len(words.token), np.int64)  # of the phrase of n words that ends here
-            for n in range(1, max_words + 1):
+            single = words.word_keys()
+            if step < shards and len(single):
+                yield pa.RecordBatch.from_arrays([pa.array((single | np.uint64(1 << 5)).view(np.int64)), pa.array(np.bincount(words.token, minlength=len(single)))], names=["key", "c"])
+            # from which step the phrase of n words that ends at a place is set
+            known = times(cells, single)[words.token]
+            for n in range(2, max_words + 1):
+                since = np.full(len(words.token), UNSET, np.uint8)
+                since[1:] = np.maximum(known[1:], known[:-1])
                 ends = words.ends(n)
-                keys = words.keys(ends, n)
-                own = since[ends]
-                on = (own <= step) & (step < own + shards)
-                found, c = np.unique(keys[on] | (np.uint64(n) << np.uint64(5)) | own[on].astype(np.uint64), return_counts=True)
+                ends = ends[since[ends] <= step]
+                keys, own = words.keys(ends, n), since[ends]
+                on = step < own.astype(np.int64) + shards
+                found, c = np.unique(keys[on] | np.uint64(n << 5) | own[on].astype(np.uint64), return_counts=True)
                 if len(found):
                     yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(c)], names=["key", "c"])
-                if n < max_words:
-                    set_ = np.full(len(words.token), UNSET, np.int64)
-                    set_[ends] = times(cells, keys)
-                    since = np.full(len(words.token), UNSET, np.int64)
-                    since[1:] = np.maximum(set_[1:], set_[:-1])
+                if n < max_words:  # not before it was active itself, should its cells be set by others
+                    known = np.full(len(words.token), UNSET, np.uint8)
+                    known[ends] = np.maximum(times(cells, keys), own + 1)
 
     return shard.mapInArrow(run, "key long, c long")
 
@@ -217,9 +261,14 @@ def phrase_counts(docs: DataFrame, least: int = 10, max_words: int = 3, shards:
             total = pa.table({"lang": words.langs.take(pa.array(words.token))}).group_by("lang").aggregate([([], "count_all")])
             for lang, c in zip(total["lang"].to_pylist(), total["count_all"].to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""], pa.large_string()), pa.array([c], pa.int64())], names=names)
+            known = (times(filter_.value, words.word_keys()) < UNSET)[words.token]
             for n in range(1, max_words + 1):
                 ends = words.ends(n)
-                ends = ends[times(filter_.value, words.keys(ends, n)) < UNSET]
+                ends = ends[known[ends]] if n == 1 else ends[known[ends] & known[ends - 1]]  # whose beginning and end are frequent
+                if n > 1:
+                    ends = ends[times(filter_.value, words.keys(ends, n)) < UNSET]
+                    known = np.zeros(len(words.token), bool)
+                    known[ends] = True
                 if len(ends):
                     langs, spelled, c = words.phrases(ends, n)
                     yield pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(c), n, np.int32)), spelled, pa.array(c)], names=names)
