@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify, stem
+from ..sources.shared import set_down
 
 #: Fields that hold plain values, not references to notes.
 PLAIN_FIELDS = (
@@ -17,9 +21,18 @@ PLAIN_FIELDS = (
 
 def resolver(notes: DataFrame) -> DataFrame:
     """``key, path, n_candidates``: lower-case names to notes; of alias, title and stem the best tier a key has."""
+    return best_names(name_rows(notes))
+
+
+def name_rows(notes: DataFrame) -> DataFrame:
+    """``key, tier, path``: the lower-case aliases, title and stem of every note."""
     aliases = F.col("aliases") if "aliases" in notes.columns else F.array().cast("array<string>")
     named = [notes.select(F.explode(aliases).alias("key"), F.lit(0).alias("tier"), "path"), notes.select(F.col("title").alias("key"), F.lit(1).alias("tier"), "path"), notes.select(F.col("name").alias("key"), F.lit(2).alias("tier"), "path")]
-    keys = named[0].unionByName(named[1]).unionByName(named[2]).select(F.lower(F.trim("key")).alias("key"), "tier", "path").where("key <> ''")
+    return named[0].unionByName(named[1]).unionByName(named[2]).select(F.lower(F.trim("key")).alias("key"), "tier", "path").where("key <> ''")
+
+
+def best_names(keys: DataFrame) -> DataFrame:
+    """``key, path, n_candidates`` of name rows: the notes of each key's best tier."""
     best = keys.groupBy("key").agg(F.min("tier").alias("tier"))  # pre-aggregated: a popular title is no hot window
     kept = keys.join(best, ["key", "tier"]).select("key", "path").distinct()
     return kept.join(kept.groupBy("key").agg(F.count("*").alias("n_candidates")), "key")
@@ -76,13 +89,22 @@ def edges(resolved: DataFrame) -> DataFrame:
 
 def relations(properties: DataFrame, names: DataFrame, plain: tuple[str, ...] = PLAIN_FIELDS) -> DataFrame:
     """Distinct ``src, type, dst`` of front-matter values that name a note."""
+    return related(resolve(reference_targets(properties, plain), names))
+
+
+def reference_targets(properties: DataFrame, plain: tuple[str, ...] = PLAIN_FIELDS) -> DataFrame:
+    """``path, type, target`` of front-matter values that may name a note."""
     fields = properties.where(~F.lower("key").isin(*plain))
     refs = fields.select("path", "key", F.explode("values").alias("v")).select("path", "key", F.explode(F.split("v", ",")).alias("v"))
     clean = F.trim(F.regexp_replace(F.trim("v"), r"^\[\[|\]\]$", ""))
     clean = F.regexp_replace(F.regexp_extract(clean, r"^[^|]*", 0), r"\s*\([^()]*\)\s*$", "")
     clean = stem(F.regexp_replace(F.trim(clean), r"""^["']|["']$""", ""))
-    asked = refs.select("path", F.col("key").alias("type"), clean.alias("target")).where("target <> ''")
-    return resolve(asked, names).where("dst is not null and dst <> path").select(F.col("path").alias("src"), "type", "dst").distinct()
+    return refs.select("path", F.col("key").alias("type"), clean.alias("target")).where("target <> ''")
+
+
+def related(resolved: DataFrame) -> DataFrame:
+    """Distinct ``src, type, dst`` of resolved references, those to the note itself dropped."""
+    return resolved.where("dst is not null and dst <> path").select(F.col("path").alias("src"), "type", "dst").distinct()
 
 
 def references(edges_: DataFrame, relations_: DataFrame) -> DataFrame:
@@ -155,6 +177,26 @@ def ambiguous_names(names: DataFrame) -> DataFrame:
     return names.groupBy("key").agg(F.count("*").alias("n_candidates"), F.min("path").alias("first_path")).where("n_candidates > 1")
 
 
+#: Bits of a filter of hashes at most: two megabytes.  Beyond it lets more through, and the joins behind it do the rest.
+FILTER_BITS = 24
+
+
+def hash_filter(hashes: DataFrame, n: int) -> Callable[[Column], Column]:
+    """A test if a 64-bit hash may be among about ``n`` hashes (one column): a Bloom filter of three probes.
+
+    Its words are an array that a scalar subquery makes once; all that are among them pass.  It is
+    an expression of plain columns, no join: rows are dropped where they arise.
+    """
+    bits = max(10, min(FILTER_BITS, (16 * n).bit_length()))
+    probes = lambda h: [F.shiftrightunsigned(h, k).bitwiseAND((1 << bits) - 1) for k in (0, 20, 40)]
+    (column,) = hashes.columns
+    set_ = hashes.select(F.explode(F.array(*probes(F.col(column)))).alias("p")).select((F.col("p") / 64).cast("long").alias("id"), F.expr("shiftleft(1L, CAST(p % 64 AS INT))").alias("x")).groupBy("id").agg(F.bit_or("x").alias("x"))
+    dense = hashes.sparkSession.range(1 << (bits - 6)).join(set_, "id", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("x", F.lit(0)).alias("x")))), lambda w: w["x"]).alias("words"))
+    words = dense.scalar()
+    on = lambda p: F.getbit(F.get(words, (p / 64).cast("int")), (p % 64).cast("int")) == 1
+    return lambda h: reduce(lambda a, b: a & b, [on(p) for p in probes(h)])
+
+
 #: Leading tokens by which names meet prose; the rest of a longer name is compared in place.
 HEAD = 4
 
@@ -162,24 +204,26 @@ HEAD = 4
 def unlinked_mentions(notes: DataFrame, lines: DataFrame, names: DataFrame, edges_: DataFrame, relations_: DataFrame) -> DataFrame:
     """``dst, src, n, first_ln, preview``: unambiguous names in prose that aren't links.
 
-    Prose is cut into tokens; hashed short n-grams are joined to the heads of names, then, in the
-    lengths that names with such a head have, to the whole names by equality.  Of overlapping
-    matches the leftmost wins, then the longest, found by a fold over a line's matches.
+    Prose is cut into tokens; of their hashed short n-grams only those leave the row that a filter
+    of the names' heads lets through.  They are joined to the heads, then, in the lengths that names
+    with such a head have, to the whole names by equality.  Of overlapping matches the leftmost wins,
+    then the longest, found by a fold over a line's matches.
     """
     cut = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))
     prose = lines.where("in_body and not in_code and not line like '# %'")
     masked = F.regexp_replace(F.regexp_replace("line", r"`[^`]*`", " ¦ "), r"!?\[\[[^\[\]]*\]\]|\[[^\[\]]*\]\([^()]*\)", " ¦ ")
     tokens = prose.select("path", "ln", cut(F.lower(masked)).alias("t")).where("size(t) > 0")
     wanted = names.where("n_candidates = 1 and char_length(key) >= 3").select(cut("key").alias("w"), F.col("path").alias("dst")).where("size(w) > 0")
-    wanted = wanted.select(F.array_join("w", " ").alias("name"), F.xxhash64(F.slice("w", 1, HEAD)).alias("head"), F.size("w").alias("n"), "dst")
+    wanted = set_down(wanted.select(F.array_join("w", " ").alias("name"), F.xxhash64(F.slice("w", 1, HEAD)).alias("head"), F.size("w").alias("n"), "dst"), "wanted-names")
     heads = wanted.groupBy("head").agg(F.collect_set("n").alias("ns"))  # a row a head: names that start alike multiply nothing
-    grams = tokens.select(
-        "path", "ln",
-        F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.size("t") - i + 1)), lambda n: F.struct(i.alias("i"), F.xxhash64(F.slice("t", i, n)).alias("head")))))).alias("g"),
-    ).select("path", "ln", "g.i", "g.head")
-    spots = grams.join(heads, "head").select("path", "ln", "i", F.explode("ns").alias("n")).groupBy("path", "ln").agg(F.collect_list(F.struct("i", "n")).alias("spots"))
-    spots = tokens.join(spots, ["path", "ln"]).select("path", "ln", "t", F.explode("spots").alias("s")).where("s.i + s.n - 1 <= size(t)")
-    hits = spots.select("path", "ln", "s.i", "s.n", F.array_join(F.slice("t", F.col("s.i"), F.col("s.n")), " ").alias("name")).join(wanted.select("name", "dst"), "name")
+    n_names, longest = wanted.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    seen = hash_filter(wanted.select("head"), n_names)
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.size("t") - i + 1)), lambda n: F.struct(i.alias("i"), F.xxhash64(F.slice("t", i, n)).alias("head")))))
+    # what the filter lets through leaves its row with as many tokens as the longest name has
+    found = tokens.select("path", "ln", "t", F.explode(grams).alias("g")).where(seen(F.col("g.head")))
+    places = found.select("path", "ln", "g.i", "g.head", F.slice("t", F.col("g.i"), F.lit(max(1, longest))).alias("w"))
+    spots = places.join(heads, "head").select("path", "ln", "i", "w", F.explode("ns").alias("n")).where("n <= size(w)")
+    hits = spots.select("path", "ln", "i", "n", F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("name")).join(wanted.select("name", "dst"), "name")
     per_line = hits.groupBy("path", "ln").agg(F.array_sort(F.collect_list(F.struct("i", (-F.col("n")).alias("neg"), "dst"))).alias("hits"))
     taken = F.aggregate(
         "hits", F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("got")),

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import nfc
 from ..operators import facets, search
+from ..sources.shared import set_down
 
 
 class QueryError(ValueError):
@@ -138,14 +139,38 @@ def query_outcome(q: CorpusQuery, notes: DataFrame, posted: DataFrame, lengths:
     return row.select(F.least(total, F.lit(q.cap())).alias("returned"), total.alias("total"), (total > q.cap()).alias("truncated"), "combine", "dropped_low", "dropped_outside")
 
 
-#: Saved queries of text alone that a note is held against at a time.
-NEEDLES = 1000
+#: Letters of the pieces by which needles and labels meet; parts into which a query's hits are dealt before they are ranked.
+GRAM, PARTS = 3, 32
+
+
+def grams_of(text: Column, size: Column | int) -> Column:
+    """The distinct pieces of ``size`` letters of a text."""
+    last = F.char_length(text) - size
+    return F.array_distinct(F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substr(text, i + 1, F.lit(size) if isinstance(size, int) else size))).otherwise(F.array().cast("array<string>")))
+
+
+def containing(needles: DataFrame, labels: DataFrame) -> DataFrame:
+    """``id, path`` of the ``labels(path, label)`` that contain the needle of ``needles(id, needle)``.
+
+    Every distinct needle waits under its rarest piece, counted over all labels; labels meet it by
+    the pieces they have, and only those are searched.  Empty needles are in every label's way and
+    find nothing.
+    """
+    asked = needles.where("needle <> ''").select("needle").distinct()
+    pieces = set_down(asked.select("needle", F.explode(grams_of(F.col("needle"), F.least(F.lit(GRAM), F.char_length("needle")))).alias("piece")), "needle-pieces")
+    sizes = [r[0] for r in pieces.select(F.char_length("piece")).distinct().collect()]  # three at most
+    shown = labels.select("path", "label", F.explode(F.concat(F.array().cast("array<string>"), *[grams_of(F.col("label"), k) for k in sizes])).alias("piece"))
+    used = shown.join(pieces.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
+    waiting = pieces.join(used, "piece").groupBy("needle").agg(F.min(F.struct("n", "piece")).alias("p")).select("needle", "p.piece")
+    met = shown.join(waiting, "piece").where(F.contains("label", F.col("needle"))).select("needle", "path")
+    return met.join(needles.select("id", "needle"), "needle").select("id", "path")
 
 
 def run_saved(saved: DataFrame, notes: DataFrame) -> DataFrame:
     """``query_path, ln, path, pos, total``: the first ``limit`` notes of every saved query, and how many there are.
 
-    A query's conditions are any-of lists; its notes are found by joining on each list's values.
+    A query's conditions are any-of lists and a text; its notes are found by joining on each
+    list's values, and by the pieces of its text.
     """
     from pyspark.sql import Window as W
 
@@ -155,17 +180,14 @@ def run_saved(saved: DataFrame, notes: DataFrame) -> DataFrame:
     for column, values in (("doc_kinds", notes.select("path", F.col("doc_kind").alias("v"))), ("topics", notes.select("path", F.col("topic").alias("v"))), ("tags", levels)):
         asked = good.where(F.size(column) > 0).select("id", F.explode(column).alias("v")).withColumn("v", F.lower("v") if column == "tags" else F.col("v"))
         sides.append(asked.join(values, "v").select("id", "path").distinct())
-    hits = sides[0].unionByName(sides[1]).unionByName(sides[2]).groupBy("id", "path").agg(F.count("*").alias("k"))
-    need = good.select("id", "text", "limit", (F.when(F.size("doc_kinds") > 0, 1).otherwise(0) + F.when(F.size("topics") > 0, 1).otherwise(0) + F.when(F.size("tags") > 0, 1).otherwise(0)).alias("need"))
-    listed = hits.join(F.broadcast(need), "id").where("k = need").drop("k")
     labels = notes.select("path", F.lower(F.concat_ws("\n", "title", "path")).alias("label"))
-    labelled = listed.join(labels, "path").where(F.col("text").isNull() | F.col("label").contains(F.lower("text")))
-    # queries of text alone: all needles reach every note in blocks of a fixed size, a row a block
-    texts = need.where("need = 0 and text is not null").select("id", "limit", F.lower("text").alias("needle"))
-    block = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("count") / NEEDLES)))
-    blocks = texts.crossJoin(F.broadcast(texts.agg(F.count("*").alias("count")))).groupBy(block.alias("block")).agg(F.collect_list(F.struct("id", "limit", "needle")).alias("asked"))
-    by_text = labels.crossJoin(blocks).select("path", F.explode(F.filter("asked", lambda q: F.col("label").contains(q["needle"]))).alias("q")).select("q.id", "path", "q.limit")
-    rows = labelled.select("id", "path", "limit").unionByName(by_text)
-    w = W.partitionBy("id")
-    return rows.withColumns({"total": F.count("*").over(w), "pos": F.row_number().over(w.orderBy("path"))}).where("pos <= limit").select(F.col("id.path").alias("query_path"), F.col("id.ln").alias("ln"), "path", "pos", "total")
-
+    texts = good.where("text is not null").select("id", F.lower("text").alias("needle"))
+    sides.append(containing(texts, labels))
+    need = good.select("id", "limit", sum((F.when(F.size(c) > 0, 1).otherwise(0) for c in ("doc_kinds", "topics", "tags")), F.when(F.col("text").isNotNull(), 1).otherwise(0)).alias("need"))
+    met = sides[0].unionByName(sides[1]).unionByName(sides[2]).unionByName(sides[3]).groupBy("id", "path").agg(F.count("*").alias("k"))
+    rows = met.join(need, "id").where("k = need").drop("k", "need")
+    # a query that most notes answer is ranked part by part before its first ones are
+    by = W.partitionBy("id", F.pmod(F.xxhash64("path"), F.lit(PARTS))).orderBy("path")
+    first = rows.withColumn("r", F.row_number().over(by)).where("r <= limit").withColumn("pos", F.row_number().over(W.partitionBy("id").orderBy("path"))).where("pos <= limit")
+    totals = rows.groupBy("id").agg(F.count("*").alias("total"))
+    return first.join(totals, "id").select(F.col("id.path").alias("query_path"), F.col("id.ln").alias("ln"), "path", "pos", "total")

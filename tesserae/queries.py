@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import changes, evaluate, extract, facets, graph, rewrite, search, usage
+from .operators import changes, evaluate, extract, facets, graph, rewrite, search, upkeep, usage
 from .plans.query import CorpusQuery, corpus_query, query_outcome, query_report, run_saved
-from .sources.shared import set_down
+from .sources.notelog import NoteLog
+from .sources.shared import set_down, shared_dir
 from .sources.corpus import CHANGED_SQL, LINES_SQL, NOTES_SQL, NOW_MS, PROPS_SQL, changed_files, notes, properties, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,9 +47,13 @@ def graph_of(s: SparkSession, d: str, cut: bool = False) -> tuple[DataFrame, Dat
     n = notes(s, d)
     names = set_down(graph.resolver(n), "names") if cut else graph.resolver(n)
     e = graph.edges(graph.resolve(links_of(n), names))
+    return n, names, e, graph.relations(related_of(n), names)
+
+
+def related_of(n: DataFrame) -> DataFrame:
+    """The fields of notes that may name notes."""
     related = n.where("status is not null").select("path", F.lit("related").alias("key"), F.array(F.concat(F.lit("[[doc-"), (F.col("doc_id") + 3).cast("string"), F.lit("|x]] (see)"))).alias("values"))
-    r = graph.relations(related.unionByName(properties(n).where("key = 'status'")), names)
-    return n, names, e, r
+    return related.unionByName(properties(n).where("key = 'status'"))
 
 
 NAMES_SQL = """
@@ -182,7 +188,7 @@ registered("grf9_relation_groups", lambda s, d: graph.relation_groups(graph_of(s
 registered("grf10_broken_links", lambda s, d: graph.broken_links(links_of(notes(s, d)), graph.resolver(notes(s, d))),
     "SELECT min(trim(split_part(target, '|', 1))) AS target, count(DISTINCT path) AS n_sources, min(path) AS first_source FROM asked WHERE whole NOT IN (SELECT key FROM names) AND bare NOT IN (SELECT key FROM names) GROUP BY whole", *G)
 def orphans(s: SparkSession, d: str) -> DataFrame:
-    n, _, e, r = graph_of(s, d)
+    n, _, e, r = graph_of(s, d, cut=True)
     return graph.orphans(n, e, r)
 
 
@@ -281,7 +287,7 @@ registered("aud7_bad_values", lambda s, d: facets.bad_values(notes(s, d)), "SELE
 
 def doctor(s: SparkSession, d: str) -> DataFrame:
     """``check, n, truncated`` of all audits at once, and their total; a listing would show 20 rows of each."""
-    n, names, e, r = graph_of(s, d)
+    n, names, e, r = graph_of(s, d, cut=True)
     groups = facets.task_groups(extract.tasks(extract.line_table(n.select("path", "raw"))))
     found = {
         "orphans": graph.orphans(n, e, r), "broken": graph.broken_links(links_of(n), names), "ambiguous": graph.ambiguous_names(names), "tags": facets.tag_issues(n),
@@ -408,6 +414,22 @@ def saved_over_corpus(s: SparkSession, d: str) -> DataFrame:
 
 registered("qry4_saved_queries", saved_over_corpus,
     "SELECT query_path, 0 AS ln, path, CAST(pos AS INTEGER) AS pos, total FROM (SELECT q.path AS query_path, n.path, row_number() OVER (PARTITION BY q.path ORDER BY n.path) AS pos, count(*) OVER (PARTITION BY q.path) AS total FROM (SELECT topic, min(path) AS path FROM notes GROUP BY 1) q JOIN notes n ON n.topic = q.topic WHERE n.doc_kind IN ('plan', 'adr')) WHERE pos <= 4", NOTES_SQL)
+
+
+def saved_texts(s: SparkSession, d: str) -> DataFrame:
+    """Every topic's first note of each kind saves a query for some letters of its title, and its own path's end."""
+    n = notes(s, d)
+    first = n.groupBy("topic", "doc_kind").agg(F.min(F.struct("path", "title")).alias("f")).select("f.path", "f.title")
+    asked = first.select("path", F.posexplode(F.array(F.lower(F.substr("title", F.lit(3), F.lit(7))), F.substr("path", F.char_length("path") - 5))).alias("ln", "text")).where("trim(text) <> ''")
+    none = F.array().cast("array<string>")
+    saved = asked.select("path", "ln", none.alias("doc_kinds"), none.alias("topics"), none.alias("tags"), "text", F.lit(5).alias("limit"), none.alias("errors"))
+    return run_saved(saved, n)
+
+
+registered("qry4_saved_texts", saved_texts,
+    """SELECT query_path, CAST(ln AS INTEGER) AS ln, path, CAST(pos AS INTEGER) AS pos, total FROM (SELECT q.path AS query_path, ln, n.path, row_number() OVER (PARTITION BY q.path, ln ORDER BY n.path) AS pos, count(*) OVER (PARTITION BY q.path, ln) AS total
+      FROM (SELECT f.path AS path, unnest([0, 1]) AS ln, unnest([lower(substr(f.title, 3, 7)), substr(f.path, length(f.path) - 5)]) AS text FROM (SELECT min({'path': path, 'title': title}) AS f FROM notes GROUP BY topic, doc_kind)) q
+      JOIN notes n ON contains(lower(n.title || chr(10) || n.path), lower(q.text)) WHERE trim(q.text) <> '') WHERE pos <= 5""", NOTES_SQL)
 registered("qck1_entries", lambda s, d: search.quick_entries(notes(s, d)).select("path", "key"), "SELECT DISTINCT path, key FROM (SELECT path, name AS key FROM notes UNION ALL SELECT path, lower(trim(title)) FROM notes WHERE trim(title) <> '')", NOTES_SQL)
 registered("qck3_quick_search", lambda s, d: search.quick_search(search.quick_entries(notes(s, d)), "doc-1"),
     "SELECT path, CAST(CASE WHEN name = 'doc-1' THEN 1000 ELSE 800 - (length(name) - 5) END AS INTEGER) AS score FROM notes WHERE name LIKE 'doc-1%' ORDER BY 2 DESC, 1 LIMIT 30", NOTES_SQL)
@@ -501,6 +523,28 @@ def refreshed_index(s: SparkSession, d: str) -> DataFrame:
 
 registered("chg3_index_refresh", refreshed_index,
     "SELECT field, CAST(sum(m) AS BIGINT) AS n_postings, CAST(sum(m * tf) AS BIGINT) AS n_tokens FROM posted JOIN (SELECT path, (status IS DISTINCT FROM '진행 중')::INT + coalesce(status = '완료', false)::INT AS m FROM notes) USING (path) WHERE m > 0 GROUP BY 1", *fts_sql(EXACT_SQL))
+def graph_parts(n: DataFrame) -> dict[str, DataFrame]:
+    """What the graph's upkeep takes of notes."""
+    return {"names": graph.name_rows(n), "links": links_of(n), "refs": graph.reference_targets(related_of(n)), "terms": search.postings(n).select("path", "term", "field")}
+
+
+def kept_graph(s: SparkSession, d: str) -> DataFrame:
+    """Edges, relations and how many terms occur in how many notes by field, kept up from one snapshot of the files to the next."""
+    n = set_down(notes(s, d), "notes")
+    after = n.where("NOT status <=> '진행 중'").unionByName(n.where("status = '완료'").withColumn("path", F.concat(F.lit("new/"), "path")))
+    diff = set_down(changes.snapshot_diff(n.select("path", "mtime_ms", "size"), changed_files(n)), "diff")
+    kept = upkeep.GraphUpkeep(NoteLog(s, f"{shared_dir(s)}/graph-{uuid.uuid4().hex}", buckets=16))
+    kept.build(0, graph_parts(n))
+    kept.apply(1, diff.select("path"), graph_parts(after.join(diff.where("change <> 'removed'").select("path"), "path", "left_semi")))
+    counts = kept.frequencies().groupBy("field").agg(F.count("*").alias("terms"), F.sum("n").alias("uses"))
+    return kept.edges().select(F.lit("link").alias("kind"), "src", "dst").unionByName(kept.relations().select(F.col("type").alias("kind"), "src", "dst")).unionByName(counts.select(F.lit("terms").alias("kind"), F.col("field").alias("src"), F.concat_ws("/", "terms", "uses").alias("dst")))
+
+
+#: The notes of the second snapshot instead of those of the first; their copies lie a folder deeper.
+AFTER_SQL = NOTES_SQL.replace("notes AS (", "notes0 AS (", 1).replace("), notes_raw AS (", "), notes AS (SELECT * FROM notes0 WHERE status IS DISTINCT FROM '진행 중' UNION ALL SELECT * REPLACE ('new/' || path AS path) FROM notes0 WHERE status = '완료'), notes_raw AS (", 1)
+AFTER_EDGES_SQL = EDGES_SQL.replace("ELSE 2 END DESC, dst)", "WHEN path LIKE 'new/%' AND split_part(path, '/', 3) = split_part(dst, '/', 3) THEN 3 ELSE 2 END DESC, dst)").replace("ELSE 2 END DESC, k.path)", "WHEN n.path LIKE 'new/%' AND split_part(n.path, '/', 3) = split_part(k.path, '/', 3) THEN 3 ELSE 2 END DESC, k.path)")
+registered("chg3_graph_upkeep", kept_graph,
+    "SELECT 'link' AS kind, src, dst FROM edges UNION ALL SELECT type, src, dst FROM relations UNION ALL SELECT 'terms', field, count(DISTINCT term) || '/' || count(*) FROM posted GROUP BY field", AFTER_SQL, NAMES_SQL, AFTER_EDGES_SQL, FTS_SQL[: FTS_SQL.index("lens AS")].rstrip().rstrip(","), "posted AS (SELECT DISTINCT path, field, unnest(t) AS term FROM fields)")
 registered("chg4_fingerprint", lambda s, d: changes.fingerprint(notes(s, d)).select("n", (F.col("x") != changes.fingerprint(changed_files(notes(s, d))).first().x).alias("differs")), "SELECT count(*) AS n, true AS differs FROM notes", NOTES_SQL)
 registered("chg5_staleness", lambda s, d: changes.staleness(notes(s, d).select("path", "mtime_ms", "size"), changed_files(notes(s, d))),
     "SELECT (SELECT count(*) FROM notes a FULL JOIN files2 b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.mtime_ms <> b.mtime_ms) AS changed, (SELECT count(*) FROM files2 b JOIN notes a ON a.path = b.path WHERE b.mtime_ms > a.mtime_ms) AS newer, CAST(1 AS BIGINT) AS lag_s, (SELECT count(*) FROM files2) AS total, (SELECT string_agg(path, ',' ORDER BY path) FROM (SELECT coalesce(a.path, b.path) AS path FROM notes a FULL JOIN files2 b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.mtime_ms <> b.mtime_ms ORDER BY 1 LIMIT 5)) AS samples", NOTES_SQL, CHANGED_SQL)

@@ -9,17 +9,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.changes import refresh_index
+from ..operators.upkeep import GraphUpkeep
 from ..sources import store
 from ..sources.vault import wanted
 
-CHANGES = "kind string, path string, from_path string, mtime_ms long, ts timestamp, seq long"
+CHANGES = "root string, kind string, path string, from_path string, mtime_ms long, ts timestamp, seq long"
+
+
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Relevant events of a folder of JSON file events, as they came: notes outside hidden and skipped folders."""
+    return spark.readStream.schema(CHANGES).json(folder).where(wanted(F.col("path")))
 
 
 def change_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Relevant changes of a folder of JSON change events: notes outside hidden and skipped folders."""
-    raw = spark.readStream.schema(CHANGES).json(folder)
+    """Relevant changes of a folder of JSON change events; ``debounce.quiet_renames`` makes them of ``event_stream`` with renames paired."""
+    raw = event_stream(spark, folder)
     kind = F.when(F.col("kind").isin("created", "modified"), "modified").when(F.col("kind") == "removed", "removed").when(F.col("kind") == "renamed", "renamed")
-    return raw.withColumn("kind", kind).where(F.col("kind").isNotNull() & wanted(F.col("path")))
+    return raw.withColumn("kind", kind).where(F.col("kind").isNotNull())
 
 
 def coalesced(changes: DataFrame) -> DataFrame:
@@ -60,6 +66,18 @@ def index_upkeep(spark: SparkSession, root: str, fresh: Callable[[DataFrame], Da
     return apply
 
 
+def graph_upkeep(upkeep: GraphUpkeep, fresh: Callable[[DataFrame], dict[str, DataFrame]]) -> Callable[[DataFrame, int], None]:
+    """What ``keep_index`` applies: each batch a version of the graph's tables, in proportion to what it touches.
+
+    ``fresh`` gives what the touched notes now hold.  A batch that comes again, however late, changes nothing.
+    """
+
+    def apply(changes: DataFrame, batch_id: int) -> None:
+        upkeep.apply(batch_id + 1, changes.select("path"), fresh(changes.where("kind <> 'removed'")))
+
+    return apply
+
+
 def usage_windows(events: DataFrame, late: str = "1 day", size: str = "1 day") -> DataFrame:
     """Counts by day and kind of ``events(ts, k)``; rows later than the watermark are dropped."""
     counted = events.withWatermark("ts", late).groupBy(F.window("ts", size), "k").agg(F.count("*").alias("n"))

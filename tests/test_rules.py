@@ -141,3 +141,11 @@ def test_plain_fields_name_no_notes(spark):
     notes = spark.createDataFrame([("a.md", "a", "a"), ("b.md", "b", "b")], "path string, title string, name string")
     props = spark.createDataFrame([("a.md", k, ["b"]) for k in ("owner", "name", "phase", "author", "amends")], "path string, key string, values array<string>")
     assert {r.type for r in graph.relations(props, graph.resolver(notes)).collect()} == {"author", "amends"}
+
+
+def test_a_filter_of_hashes_lets_all_of_them_through(spark):
+    hashes = spark.range(2000).select(F.xxhash64("id").alias("h"))
+    passes = graph.hash_filter(hashes, 2000)
+    got = spark.range(20_000).where(passes(F.xxhash64("id"))).agg(F.count_if(F.col("id") < 2000).alias("own"), F.count_if(F.col("id") >= 2000).alias("other")).first()
+    assert got.own == 2000 and got.other < 400
+    assert spark.range(9).where(graph.hash_filter(hashes.limit(0), 0)(F.xxhash64("id"))).count() == 0

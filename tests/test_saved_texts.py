@@ -3,8 +3,7 @@
 from tesserae.plans.query import run_saved
 
 
-def test_all_saved_queries_of_text_are_run(spark, monkeypatch):
-    monkeypatch.setattr("tesserae.plans.query.NEEDLES", 100)
+def test_all_saved_queries_of_text_are_run(spark):
     notes = spark.createDataFrame([(f"n{k}.md", f"Title {k} end", "plan", "t", ["a"]) for k in range(30)], "path string, title string, doc_kind string, topic string, tags array<string>")
     texts = [f"TITLE {k % 30} e" for k in range(450)] + ["gone", "title"]
     saved = spark.createDataFrame([(f"q{k}.md", 0, [], [], [], t, 3, []) for k, t in enumerate(texts)], "path string, ln int, doc_kinds array<string>, topics array<string>, tags array<string>, text string, limit int, errors array<string>")
