@@ -204,24 +204,27 @@ HEAD = 4
 def unlinked_mentions(notes: DataFrame, lines: DataFrame, names: DataFrame, edges_: DataFrame, relations_: DataFrame) -> DataFrame:
     """``dst, src, n, first_ln, preview``: unambiguous names in prose that aren't links.
 
-    Prose is cut into tokens; of their hashed short n-grams only those leave the row that a filter
-    of the names' heads lets through.  They are joined to the heads, then, in the lengths that names
-    with such a head have, to the whole names by equality.  Of overlapping matches the leftmost wins,
-    then the longest, found by a fold over a line's matches.
+    Prose is cut into tokens.  A place leaves its row only if a filter of all names' beginnings lets
+    its token, or that and the next one, through, and a second one a head of up to four tokens.
+    Heads are joined to those of names, then, in the lengths that names with such a head have, whole
+    names by equality.  Of overlapping matches the leftmost wins, then the longest, found by a fold
+    over a line's matches.
     """
     cut = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))
     prose = lines.where("in_body and not in_code and not line like '# %'")
     masked = F.regexp_replace(F.regexp_replace("line", r"`[^`]*`", " ¦ "), r"!?\[\[[^\[\]]*\]\]|\[[^\[\]]*\]\([^()]*\)", " ¦ ")
     tokens = prose.select("path", "ln", cut(F.lower(masked)).alias("t")).where("size(t) > 0")
     wanted = names.where("n_candidates = 1 and char_length(key) >= 3").select(cut("key").alias("w"), F.col("path").alias("dst")).where("size(w) > 0")
-    wanted = set_down(wanted.select(F.array_join("w", " ").alias("name"), F.xxhash64(F.slice("w", 1, HEAD)).alias("head"), F.size("w").alias("n"), "dst"), "wanted-names")
+    begin = F.when(F.size("w") == 1, F.xxhash64(F.get("w", F.lit(0)))).otherwise(F.xxhash64(F.get("w", F.lit(0)), F.get("w", F.lit(1))))
+    wanted = set_down(wanted.select(F.array_join("w", " ").alias("name"), begin.alias("begin"), F.xxhash64(F.slice("w", 1, HEAD)).alias("head"), F.size("w").alias("n"), "dst"), "wanted-names")
     heads = wanted.groupBy("head").agg(F.collect_set("n").alias("ns"))  # a row a head: names that start alike multiply nothing
     n_names, longest = wanted.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
-    seen = hash_filter(wanted.select("head"), n_names)
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.size("t") - i + 1)), lambda n: F.struct(i.alias("i"), F.xxhash64(F.slice("t", i, n)).alias("head")))))
-    # what the filter lets through leaves its row with as many tokens as the longest name has
-    found = tokens.select("path", "ln", "t", F.explode(grams).alias("g")).where(seen(F.col("g.head")))
-    places = found.select("path", "ln", "g.i", "g.head", F.slice("t", F.col("g.i"), F.lit(max(1, longest))).alias("w"))
+    begun, headed = hash_filter(wanted.select("begin"), n_names), hash_filter(wanted.select("head"), n_names)
+    each = tokens.select("path", "ln", "t", F.posexplode("t").alias("at", "one"))
+    likely = each.where(begun(F.xxhash64("one")) | begun(F.xxhash64("one", F.get("t", F.col("at") + 1))))
+    # with as many tokens as the longest name has
+    places = likely.select("path", "ln", (F.col("at") + 1).alias("i"), F.slice("t", F.col("at") + 1, F.lit(max(1, longest))).alias("w"))
+    places = places.select("path", "ln", "i", "w", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.size("w"))), lambda n: F.xxhash64(F.slice("w", F.lit(1), n)))).alias("head")).where(headed(F.col("head")))
     spots = places.join(heads, "head").select("path", "ln", "i", "w", F.explode("ns").alias("n")).where("n <= size(w)")
     hits = spots.select("path", "ln", "i", "n", F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("name")).join(wanted.select("name", "dst"), "name")
     per_line = hits.groupBy("path", "ln").agg(F.array_sort(F.collect_list(F.struct("i", (-F.col("n")).alias("neg"), "dst"))).alias("hits"))
@@ -236,21 +239,46 @@ def unlinked_mentions(notes: DataFrame, lines: DataFrame, names: DataFrame, edge
     return free.join(shown, ["src", "first_ln"]).select("dst", "src", "n", "first_ln", "preview")
 
 
-def expand_embeds(embedded: DataFrame, names: DataFrame, headings: DataFrame, depth: int = 3) -> DataFrame:
-    """``root, path, anchor, level, chain, failure`` of embeds, followed ``depth`` levels deep.
+def sections(headings: DataFrame) -> DataFrame:
+    """``path, slug, begin, end``: a heading's lines up to the next heading of its level or a higher one, null where none follows."""
+    all_ = headings.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ln", "level", "slug"))).alias("h"))  # the headings of one note
+    later = lambda x: F.array_min(F.transform(F.filter("h", lambda y: (y["ln"] > x["ln"]) & (y["level"] <= x["level"])), lambda y: y["ln"]))
+    cut = all_.select("path", F.explode(F.transform("h", lambda x: F.struct(x["slug"].alias("slug"), x["ln"].alias("begin"), later(x).alias("end")))).alias("s"))
+    return cut.groupBy("path", "s.slug").agg(F.min(F.struct("s.begin", "s.end")).alias("s")).select("path", "slug", "s.begin", "s.end")
 
-    failure: unresolved, cycle, too-deep or no-section; null where a section or note is shown.
+
+def filled_embeds(embedded: DataFrame, names: DataFrame, headings: DataFrame, depth: int = 3) -> DataFrame:
+    """``root, chain, ln, path, anchor, begin, end, level, failure`` of every embed that a note shows, ``depth`` levels deep.
+
+    Of ``embedded(path, ln, target, anchor)`` those within the shown lines are followed: of a
+    section, or of a whole note (begin and end are null).  chain: the notes around the place, its
+    own root not among them; ln: the place in the last of them, or in the root.  failure, in this
+    order: unresolved, cycle, too-deep or no-section; null where something is shown.  Without a
+    target it is a section of the note itself.  A level is a join, and a written table.
     """
-    resolved = resolve(embedded.select("path", "target", F.col("anchor").alias("wanted")), names).select("path", "target", "wanted", "dst")
-    sections = headings.select(F.col("path").alias("dst"), F.col("slug").alias("have")).distinct()
-    checked = resolved.withColumn("have", F.when(F.col("wanted") != "", slugify("wanted"))).join(sections.withColumn("ok", F.lit(True)), ["dst", "have"], "left")
-    step = checked.select(F.col("path").alias("src"), "dst", F.col("wanted").alias("anchor"), F.when(F.col("dst").isNull(), "unresolved").when((F.col("wanted") != "") & F.col("ok").isNull(), "no-section").alias("bad")).distinct()
-    level = step.select(F.col("src").alias("root"), "src", "dst", "anchor", "bad").withColumn("chain", F.array("src"))
+    label = F.when(F.col("anchor") == "", F.col("target")).otherwise(F.concat("target", F.lit("#"), F.col("anchor")))
+    asked = embedded.select("path", "ln", F.trim("target").alias("own"), "anchor", label.alias("target"))
+    found = resolve(asked.select("path", "target").distinct(), names).select("path", "target", "dst")
+    placed = asked.join(found, ["path", "target"], "left").select(F.col("path").alias("src"), "ln", "anchor", F.when(F.col("own") == "", F.col("path")).otherwise(F.col("dst")).alias("dst"), slugify("anchor").alias("slug"))
+    cut = sections(headings).select(F.col("path").alias("dst"), "slug", "begin", "end", F.lit(True).alias("has"))
+    step = placed.withColumn("slug", F.when(F.col("anchor") != "", F.col("slug"))).join(cut, ["dst", "slug"], "left")
+    step = set_down(step.select("src", "ln", "dst", "anchor", "begin", "end", ((F.col("anchor") != "") & F.col("has").isNull()).alias("no_section")), "embeds")
+    level = step.withColumns({"root": F.col("src"), "chain": F.array().cast("array<string>")})
     out = None
     for k in range(1, depth + 2):
-        failure = F.coalesce("bad", F.when(F.array_contains("chain", F.col("dst")), F.lit("cycle")), F.when(F.lit(k > depth), F.lit("too-deep")))
-        shown = level.select("root", F.col("dst").alias("path"), "anchor", F.lit(k).alias("level"), "chain", failure.alias("failure"))
+        failure = F.when(F.col("dst").isNull(), "unresolved").when(F.array_contains("chain", F.col("dst")), "cycle").when(F.lit(k > depth), "too-deep").when(F.col("no_section"), "no-section")
+        shown = set_down(level.select("root", "chain", "ln", F.col("dst").alias("path"), "anchor", "begin", "end", F.lit(k).alias("level"), failure.alias("failure")), f"embeds-{k}")
         out = shown if out is None else out.unionByName(shown)
-        go_on = shown.where("failure is null").select("root", F.col("path").alias("src"), F.concat("chain", F.array("path")).alias("chain"))
-        level = go_on.join(step, "src").select("root", "src", "dst", "anchor", "bad", "chain")
+        if k <= depth:
+            around = shown.where("failure is null").select("root", F.concat("chain", F.array("path")).alias("chain"), F.col("path").alias("src"), F.col("begin").alias("from"), F.col("end").alias("to"))
+            level = around.join(step, "src").where("(from is null or ln >= from) and (to is null or ln < to)").drop("from", "to")
     return out
+
+
+def shown_texts(filled: DataFrame, lines: DataFrame) -> DataFrame:
+    """``path, begin, end, text`` of the distinct pieces that embeds show: whole lines of the body, white space at the end cut."""
+    pieces = filled.where("failure is null").select("path", "begin", "end").distinct()
+    wanted = lines.where("in_body").join(pieces.select("path").distinct(), "path", "left_semi")
+    bodies = wanted.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ln", "line"))).alias("b"))  # the lines of one note
+    part = F.filter("b", lambda x: (F.col("begin").isNull() | (x["ln"] >= F.col("begin"))) & (F.col("end").isNull() | (x["ln"] < F.col("end"))))
+    return pieces.join(bodies, "path").select("path", "begin", "end", F.regexp_replace(F.array_join(F.transform(part, lambda x: x["line"]), "\n"), r"\s+$", "").alias("text"))

@@ -198,6 +198,33 @@ registered("aud5_audited_orphans", lambda s, d: facets.audited(orphans(s, d), "o
 registered("grf11_orphans", orphans,
     ORPHANS_SQL, *G)
 registered("grf12_ambiguous", lambda s, d: graph.ambiguous_names(graph.resolver(notes(s, d))), "SELECT key, count(*) AS n_candidates, min(path) AS first_path FROM names GROUP BY key HAVING count(*) > 1", NOTES_SQL, NAMES_SQL)
+
+
+def shown_embeds(s: SparkSession, d: str) -> DataFrame:
+    """Every embed that a note shows, three levels deep: where, what, how long it is and its digest, or why not."""
+    n = notes(s, d)
+    lines = set_down(extract.line_table(n.select("path", "raw")), "lines")
+    filled = graph.filled_embeds(extract.embeds(lines), set_down(graph.resolver(n), "names"), extract.headings(lines))
+    joined = filled.join(graph.shown_texts(filled, lines).withColumnsRenamed({"path": "p", "begin": "b", "end": "e"}), F.expr("failure is null and path = p and begin <=> b and end <=> e"), "left")
+    return joined.select("root", F.array_join("chain", " > ").alias("chain"), F.col("ln").cast("long").alias("ln"), "path", "anchor", "level", "failure", F.char_length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+
+
+registered("grf14_embeds", shown_embeds, r"""
+    SELECT root, array_to_string(chain, ' > ') AS chain, ln, path, anchor, level, failure, CAST(length(text) AS BIGINT) AS chars, md5(text) AS digest FROM (
+      SELECT w.*, CASE WHEN failure IS NULL THEN (SELECT regexp_replace(string_agg(line, chr(10) ORDER BY l.ln), '\s+$', '') FROM lines l WHERE l.path = w.path AND in_body AND l.ln >= coalesce(w.begin, 0) AND l.ln < coalesce(w.finish, 1000000000)) END AS text FROM walk w)""",
+    NOTES_SQL, LINES_SQL, NAMES_SQL, r"""
+    heads AS (SELECT path, ln, length(regexp_extract(line, '^(#+)', 1)) AS level, lower(regexp_extract(line, '^#+ (.*)$', 1)) AS slug FROM lines WHERE in_body AND NOT in_code AND regexp_matches(line, '^#{1,6} ')),
+    cuts AS (SELECT h.path, h.slug, h.ln AS begin, (SELECT min(x.ln) FROM heads x WHERE x.path = h.path AND x.ln > h.ln AND x.level <= h.level) AS finish FROM heads h),
+    places AS (SELECT path, ln, trim(split_part(split_part(t, '|', 1), '#', 1)) AS target, regexp_extract(split_part(t, '|', 1), '#(.*)$', 1) AS anchor FROM (SELECT path, ln, unnest(regexp_extract_all(line, '!\[\[([^\[\]]+)\]\]', 1)) AS t FROM lines WHERE in_body AND NOT in_code)),
+    steps AS (SELECT p.path AS src, p.ln, p.anchor, CASE WHEN p.target = '' THEN p.path ELSE n.path END AS dst FROM places p LEFT JOIN names n ON n.key = lower(p.target)),
+    embeds AS (SELECT s.*, c.begin, c.finish, s.anchor <> '' AND c.path IS NULL AS missing FROM steps s LEFT JOIN cuts c ON c.path = s.dst AND c.slug = lower(s.anchor)),
+    walk AS (
+      SELECT src AS root, CAST([] AS VARCHAR[]) AS chain, ln, dst AS path, anchor, begin, finish, 1 AS level, CASE WHEN dst IS NULL THEN 'unresolved' WHEN missing THEN 'no-section' END AS failure FROM embeds
+      UNION ALL
+      SELECT w.root, list_append(w.chain, w.path), e.ln, e.dst, e.anchor, e.begin, e.finish, w.level + 1,
+        CASE WHEN e.dst IS NULL THEN 'unresolved' WHEN list_contains(list_append(w.chain, w.path), e.dst) THEN 'cycle' WHEN w.level >= 3 THEN 'too-deep' WHEN e.missing THEN 'no-section' END
+      FROM walk w JOIN embeds e ON e.src = w.path AND e.ln >= coalesce(w.begin, 0) AND e.ln < coalesce(w.finish, 1000000000) WHERE w.failure IS NULL
+    )""")
 registered("grf15_anchors", lambda s, d: graph.resolve_anchors(links_of(notes(s, d)), graph.resolver(notes(s, d)), extract.headings(lines_of(s, d))),
     "SELECT DISTINCT l.path, l.target, r.dst, 'intro' AS anchor, r.dst = l.path AS same_note, r.dst IS NOT NULL AS missing FROM links l LEFT JOIN resolved r ON l.path = r.path AND l.target = r.target WHERE l.target LIKE '%#%'", *G)
 registered("grf16_neighbourhood", lambda s, d: graph.neighbourhood(*graph_of(s, d)[2:]),

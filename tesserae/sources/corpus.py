@@ -2,7 +2,7 @@
 
 ``documents`` are prose without markup, so that front matter, links, tasks and a code block are
 put around each text by rule: some notes have a front matter that never ends or ends in a line
-with more than dashes, mixed, longer and tilde fences, nested tasks and indented code.  NOTES_SQL
+with more than dashes, mixed, longer and tilde fences, nested tasks and indented code, or embeds.  NOTES_SQL
 is the DuckDB twin of ``notes``, LINES_SQL that of its lines and their states.
 """
 
@@ -44,7 +44,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.expr(
         "text || '\nSee [[' || targets[0] || ']] and [[' || targets[1] || ']].\nFiled under #topic/' || topic || ' with [more](../' || topic || '/doc-' || doc_id * 3 || '.md#top).\n' || repeat('- [ ] task of ' || name || '\n', CAST(doc_id % 3 AS INT))"
         " || '- [x] done\n```\n[[decoy]]\n- [ ] decoy\n```\n' || CASE doc_id % 8 WHEN 1 THEN '```\n~~~\n```\nBehind [[doc-1]]\n- [ ] behind\n' WHEN 2 THEN '````\n```\n[[doc-2]]\n- [ ] inside\n````\n[[doc-lost]]\n- [ ] seen\n'"
-        " WHEN 3 THEN '~~~\n[[doc-3]]\n- [ ] shown\n~~~\n' WHEN 4 THEN '- [ ] parent\n    - [ ] child\n\nplain\n\n    - [ ] sample [[doc-4]]\n' ELSE '' END"
+        " WHEN 3 THEN '~~~\n[[doc-3]]\n- [ ] shown\n~~~\n' WHEN 4 THEN '- [ ] parent\n    - [ ] child\n\nplain\n\n    - [ ] sample [[doc-4]]\n' WHEN 7 THEN '## Part\nin part\n![[doc-' || (doc_id + 8) || '#Sub]]\n### Sub\nin sub ![[doc-' || (doc_id + 16) || '|x]]\n## End\n![[#Part]] ![[doc-x]] ![[doc-15#Gone]]\n' ELSE '' END"
     )
     return base.withColumn("raw", F.concat(front, body))
 
@@ -70,7 +70,8 @@ notes AS (
          || repeat('- [ ] task of ' || name || chr(10), CAST(doc_id % 3 AS INTEGER))
          || concat_ws(chr(10), '- [x] done', '```', '[[decoy]]', '- [ ] decoy', '```', CASE doc_id % 8
               WHEN 1 THEN concat_ws(chr(10), '```', '~~~', '```', 'Behind [[doc-1]]', '- [ ] behind', '') WHEN 2 THEN concat_ws(chr(10), '````', '```', '[[doc-2]]', '- [ ] inside', '````', '[[doc-lost]]', '- [ ] seen', '')
-              WHEN 3 THEN concat_ws(chr(10), '~~~', '[[doc-3]]', '- [ ] shown', '~~~', '') WHEN 4 THEN concat_ws(chr(10), '- [ ] parent', '    - [ ] child', '', 'plain', '', '    - [ ] sample [[doc-4]]', '') ELSE '' END) AS raw
+              WHEN 3 THEN concat_ws(chr(10), '~~~', '[[doc-3]]', '- [ ] shown', '~~~', '') WHEN 4 THEN concat_ws(chr(10), '- [ ] parent', '    - [ ] child', '', 'plain', '', '    - [ ] sample [[doc-4]]', '')
+              WHEN 7 THEN concat_ws(chr(10), '## Part', 'in part', '![[doc-' || (doc_id + 8) || '#Sub]]', '### Sub', 'in sub ![[doc-' || (doc_id + 16) || '|x]]', '## End', '![[#Part]] ![[doc-x]] ![[doc-15#Gone]]', '') ELSE '' END) AS raw
   FROM notes
 )
 """

@@ -117,11 +117,19 @@ def test_mentions_take_the_leftmost_longest(spark):
 
 
 def test_embeds_expand_and_fail_by_name(spark):
-    e = spark.createDataFrame([("a", "b", ""), ("b", "a", ""), ("a", "zz", ""), ("a", "b", "No"), ("a", "b", "Yes")], "path string, target string, anchor string")
+    e = spark.createDataFrame([("a", 0, "b", ""), ("b", 5, "a", ""), ("a", 1, "zz", ""), ("a", 2, "b", "No"), ("a", 3, "b", "Yes"), ("a", 4, "", "Own")], "path string, ln int, target string, anchor string")
     names = spark.createDataFrame([("a", "a", 1), ("b", "b", 1)], "key string, path string, n_candidates long")
-    heads = spark.createDataFrame([("b", "yes")], "path string, slug string")
-    got = {(r.root, r.path, r.anchor, r.level, r.failure) for r in graph.expand_embeds(e, names, heads).where("root = 'a' and level <= 2").collect()}
-    assert got == {("a", "b", "", 1, None), ("a", None, "", 1, "unresolved"), ("a", "b", "No", 1, "no-section"), ("a", "b", "Yes", 1, None), ("a", "a", "", 2, "cycle")}
+    heads = spark.createDataFrame([("b", 2, "yes", 1), ("b", 3, "deeper", 3), ("b", 2, "yes", 7), ("b", 1, "top", 9), ("a", 1, "own", 8)], "path string, level int, slug string, ln int")
+    filled = graph.filled_embeds(e, names, heads).cache()
+    got = {(r.root, r.path, r.anchor, r.level, r.failure) for r in filled.where("root = 'a' and level <= 2").collect()}
+    assert got == {
+        ("a", "b", "", 1, None), ("a", None, "", 1, "unresolved"), ("a", "b", "No", 1, "no-section"), ("a", "b", "Yes", 1, None), ("a", "a", "Own", 1, None),
+        ("a", "a", "", 2, None),  # the root itself is not around the place
+    }
+    deep = {(tuple(r.chain), r.path, r.failure) for r in filled.where("root = 'a' and level > 2").collect()}
+    assert deep == {(("b", "a"), "b", "cycle"), (("b", "a"), None, "unresolved"), (("b", "a"), "a", "cycle")}
+    lines = spark.createDataFrame([("b", k, f"line {k} ", True) for k in range(12)] + [("a", k, "x", k > 0) for k in range(9)], "path string, ln int, line string, in_body boolean")
+    assert {(r.path, r.begin): r.text for r in graph.shown_texts(filled, lines).collect()} == {("b", None): " \n".join(f"line {k}" for k in range(12)), ("b", 1): " \n".join(f"line {k}" for k in range(1, 7)), ("a", None): "\n".join("x" * 8), ("a", 8): "x"}
 
 
 def test_grep_windows_and_utf16(spark):
