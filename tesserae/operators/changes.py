@@ -53,14 +53,20 @@ def fingerprint(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.crc32(F.concat_ws("|", "path", "mtime_ms", "size"))).alias("s"))
 
 
-def staleness(indexed: DataFrame, now: DataFrame) -> DataFrame:
-    """One row: files changed since the index, newer ones, all, the largest lag in seconds, and the first five that changed."""
+def staleness(indexed: DataFrame, now: DataFrame, result: DataFrame | None = None) -> DataFrame:
+    """One row: files changed since the index, newer ones, all, the largest lag in seconds, and the first five that changed.
+
+    With a ``result(path)`` also ``affects_results``: if a newer file is among its rows.
+    """
     diff = snapshot_diff(indexed, now)
     newer = now.join(indexed.select("path", F.col("mtime_ms").alias("had")), "path").where("mtime_ms > had")
     one = diff.agg(F.count("*").alias("changed"))
     two = newer.agg(F.count("*").alias("newer"), F.coalesce(F.max(F.floor((F.col("mtime_ms") - F.col("had")) / 1000)), F.lit(0)).alias("lag_s"))
     some = diff.select("path").orderBy("path").limit(5).agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("samples"))
-    return one.join(two).join(now.agg(F.count("*").alias("total"))).join(some)  # single rows
+    row = one.join(two).join(now.agg(F.count("*").alias("total"))).join(some)  # single rows
+    if result is None:
+        return row
+    return row.join(newer.join(result.select("path"), "path", "left_semi").agg((F.count("*") > 0).alias("affects_results")))
 
 
 def unread(opened: DataFrame, files: DataFrame) -> DataFrame:

@@ -197,18 +197,14 @@ def hash_filter(hashes: DataFrame, n: int) -> Callable[[Column], Column]:
     return lambda h: reduce(lambda a, b: a & b, [on(p) for p in probes(h)])
 
 
-#: Leading tokens by which names meet prose; the rest of a longer name is compared in place.
-HEAD = 4
-
-
 def unlinked_mentions(notes: DataFrame, lines: DataFrame, names: DataFrame, edges_: DataFrame, relations_: DataFrame) -> DataFrame:
     """``dst, src, n, first_ln, preview``: unambiguous names in prose that aren't links.
 
-    Prose is cut into tokens.  A place leaves its row only if a filter of all names' beginnings lets
-    its token, or that and the next one, through, and a second one a head of up to four tokens.
-    Heads are joined to those of names, then, in the lengths that names with such a head have, whole
-    names by equality.  Of overlapping matches the leftmost wins, then the longest, found by a fold
-    over a line's matches.
+    Prose is cut into tokens.  A place is looked at if a filter of all names' beginnings lets its
+    token, or that and the next one, through; of such places the tokens in the lengths that names
+    have leave their row if a second filter, of whole names, lets them through, and meet the names by
+    equality.  Of overlapping matches the leftmost wins, then the longest, found by a fold over a
+    line's matches.
     """
     cut = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))
     prose = lines.where("in_body and not in_code and not line like '# %'")
@@ -216,17 +212,15 @@ def unlinked_mentions(notes: DataFrame, lines: DataFrame, names: DataFrame, edge
     tokens = prose.select("path", "ln", cut(F.lower(masked)).alias("t")).where("size(t) > 0")
     wanted = names.where("n_candidates = 1 and char_length(key) >= 3").select(cut("key").alias("w"), F.col("path").alias("dst")).where("size(w) > 0")
     begin = F.when(F.size("w") == 1, F.xxhash64(F.get("w", F.lit(0)))).otherwise(F.xxhash64(F.get("w", F.lit(0)), F.get("w", F.lit(1))))
-    wanted = set_down(wanted.select(F.array_join("w", " ").alias("name"), begin.alias("begin"), F.xxhash64(F.slice("w", 1, HEAD)).alias("head"), F.size("w").alias("n"), "dst"), "wanted-names")
-    heads = wanted.groupBy("head").agg(F.collect_set("n").alias("ns"))  # a row a head: names that start alike multiply nothing
-    n_names, longest = wanted.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
-    begun, headed = hash_filter(wanted.select("begin"), n_names), hash_filter(wanted.select("head"), n_names)
+    wanted = set_down(wanted.select(F.array_join("w", " ").alias("name"), begin.alias("begin"), F.xxhash64("w").alias("whole"), F.size("w").alias("n"), "dst"), "wanted-names")
+    n_names, lengths = wanted.agg(F.count("*"), F.sort_array(F.collect_set("n"))).first()  # as many lengths as the longest name has tokens
+    begun, named = hash_filter(wanted.select("begin"), n_names), hash_filter(wanted.select("whole"), n_names)
     each = tokens.select("path", "ln", "t", F.posexplode("t").alias("at", "one"))
     likely = each.where(begun(F.xxhash64("one")) | begun(F.xxhash64("one", F.get("t", F.col("at") + 1))))
-    # with as many tokens as the longest name has
-    places = likely.select("path", "ln", (F.col("at") + 1).alias("i"), F.slice("t", F.col("at") + 1, F.lit(max(1, longest))).alias("w"))
-    places = places.select("path", "ln", "i", "w", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.size("w"))), lambda n: F.xxhash64(F.slice("w", F.lit(1), n)))).alias("head")).where(headed(F.col("head")))
-    spots = places.join(heads, "head").select("path", "ln", "i", "w", F.explode("ns").alias("n")).where("n <= size(w)")
-    hits = spots.select("path", "ln", "i", "n", F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("name")).join(wanted.select("name", "dst"), "name")
+    of = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.size("t") - F.col("at"))
+    sized = likely.select("path", "ln", "t", (F.col("at") + 1).alias("i"), F.explode(of).alias("n"))
+    met = sized.where(named(F.xxhash64(F.slice("t", F.col("i"), F.col("n")))))
+    hits = met.select("path", "ln", "i", "n", F.array_join(F.slice("t", F.col("i"), F.col("n")), " ").alias("name")).join(wanted.select("name", "dst"), "name")
     per_line = hits.groupBy("path", "ln").agg(F.array_sort(F.collect_list(F.struct("i", (-F.col("n")).alias("neg"), "dst"))).alias("hits"))
     taken = F.aggregate(
         "hits", F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("got")),
@@ -234,7 +228,8 @@ def unlinked_mentions(notes: DataFrame, lines: DataFrame, names: DataFrame, edge
     )
     mentions = per_line.select(F.col("path").alias("src"), "ln", F.explode(taken).alias("dst")).where("src <> dst")
     linked = edges_.select("src", "dst").unionByName(relations_.select("src", "dst")).distinct()
-    free = mentions.join(linked, ["src", "dst"], "left_anti").groupBy("dst", "src").agg(F.count("*").alias("n"), F.min("ln").alias("first_ln"))
+    # a written table: where it is small enough to be broadcast, the prose is read again without a shuffle
+    free = set_down(mentions.join(linked, ["src", "dst"], "left_anti").groupBy("dst", "src").agg(F.count("*").alias("n"), F.min("ln").alias("first_ln")), "mentions")
     shown = prose.select(F.col("path").alias("src"), F.col("ln").alias("first_ln"), F.substr(F.trim("line"), F.lit(1), F.lit(120)).alias("preview"))
     return free.join(shown, ["src", "first_ln"]).select("dst", "src", "n", "first_ln", "preview")
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import CONSONANTS, consonants, fuzzy_score, note_tokens
 
+if TYPE_CHECKING:
+    from ..sources.keptindex import KeptIndex
+
 K, B, D = 1.2, 0.3, 0.5
 BOOST = {"name": 3.0, "title": 1.0, "body": 1.0}
 #: Words up to which "all but one" is tried.
@@ -81,11 +86,14 @@ def expand(words: DataFrame, vocab: DataFrame, prefix: bool = True, fuzzy: bool
     return out
 
 
-def scored_terms(asked: DataFrame, posted: DataFrame, lengths: DataFrame) -> DataFrame:
-    """``qid, word, n_words, term, path, score``: BM25+ of one term in a note, over its fields."""
+def scored_terms(asked: DataFrame, posted: DataFrame, lengths: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+    """``qid, word, n_words, term, path, score``: BM25+ of one term in a note, over its fields.
+
+    Document frequencies are those of ``vocab``, or counted from the postings.
+    """
     wanted = posted.join(asked.select("term").distinct(), "term", "left_semi")
     # lengths has one row a field; a term's score in a note is the same for all queries
-    hits = wanted.join(vocabulary(wanted), ["term", "field"]).join(F.broadcast(lengths), "field")
+    hits = wanted.join(vocabulary(wanted) if vocab is None else vocab, ["term", "field"]).join(F.broadcast(lengths), "field")
     boost = F.lit(1.0)
     for field, b in BOOST.items():
         boost = F.when(F.col("field") == field, b).otherwise(boost)
@@ -113,11 +121,28 @@ def ladder(scored: DataFrame) -> DataFrame:
     return kept.select("qid", "path", names.alias("stage"), F.round("total", 4).alias("score"), F.col("terms").alias("matched"), F.round(rel, 4).alias("rel"))
 
 
-def search(queries: DataFrame, posted: DataFrame, lengths: DataFrame, limit: int = 10, prefix: bool = True, fuzzy: bool = True) -> DataFrame:
-    """Ranked hits of many queries at once; limit 0 keeps all.  Ties go to the smaller path."""
-    asked = expand(query_words(queries), vocabulary(posted), prefix, fuzzy)
-    hits = ladder(scored_terms(asked, posted, lengths))
-    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "path")))
+#: Parts into which a query's hits are dealt before the first ones are ranked.
+RANK_PARTS = 32
+
+
+def search(queries: DataFrame, posted: DataFrame | KeptIndex, lengths: DataFrame | None = None, limit: int = 10, prefix: bool = True, fuzzy: bool = True) -> DataFrame:
+    """Ranked hits of many queries at once; limit 0 keeps all.  Ties go to the smaller path.
+
+    Of a kept index only the postings of the queries' terms are read.  With a limit, a query's
+    hits are cut part by part before they are ranked, so that no task sorts all of them.
+    """
+    words = query_words(queries)
+    if isinstance(posted, DataFrame):
+        scored = scored_terms(expand(words, vocabulary(posted), prefix, fuzzy), posted, lengths)
+    else:
+        asked = posted.asked(words, prefix, fuzzy)
+        scored = scored_terms(asked, posted.postings(asked), posted.lengths(), posted.vocabulary(asked))
+    hits = ladder(scored)
+    order = [F.desc("score"), "path"]
+    if limit > 0:
+        part = F.pmod(F.xxhash64("path"), F.lit(RANK_PARTS))
+        hits = hits.withColumn("rank", F.row_number().over(W.partitionBy("qid", part).orderBy(*order))).where(F.col("rank") <= limit).drop("rank")
+    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*order)))
     return ranked.where(F.col("rank") <= limit) if limit > 0 else ranked
 
 

@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import nfc
+from ..functions.text import nfc, note_tokens
 from ..operators import facets, search
+from ..operators.graph import hash_filter
 from ..sources.shared import set_down
 
 
@@ -85,42 +86,58 @@ def structural(q: CorpusQuery, notes: DataFrame, references: DataFrame | None =
 
 
 def corpus_query(q: CorpusQuery, notes: DataFrame, posted: DataFrame, lengths: DataFrame, references: DataFrame | None = None, fuzzy: bool = True, properties: DataFrame | None = None) -> DataFrame:
-    """``pos, path, score, rel, title, doc_kind, topic`` in order, at most the limit.
+    """``path, score, rel, sources, title, doc_kind, topic, via, snippet`` in order, at most the limit.
 
     With structure and text: ranked notes of the pool by score, then the rest of the pool.
-    With text alone: ranked notes.  Unscored notes by path, or by time with nulls last.
+    With text alone: ranked notes.  Unscored notes by path, or by time with nulls last.  sources:
+    structural, bm25 or both; via: what refers to the note asked for, links and fields; snippet:
+    the text around the first word found, looked up for the rows of the answer alone.
     """
     q.check()
     pool = structural(q, notes, references, properties)
-    only_text = q.text.strip() and not (q.backlinks_of or q.tag or q.props or q.since)
+    only_text = bool(q.text.strip()) and not (q.backlinks_of or q.tag or q.props or q.since)
     rows = pool.select("path", "title", "doc_kind", "topic", facets.time_of(q.axis).alias("t"))
+    terms: list[str] = []
     if q.text.strip():
         queries = notes.sparkSession.createDataFrame([(0, nfc(q.text))], "qid int, query string")
+        terms = list(dict.fromkeys(queries.select(note_tokens("query")).first()[0]))  # the words of one query
         hits = search.search(queries, posted, lengths, 0, fuzzy, fuzzy).where(F.col("rel") >= max(0.0, min(1.0, q.min_rel)))
         rows = rows.join(hits.select("path", "score", "rel"), "path", "inner" if only_text else "left")
     else:
         rows = rows.withColumns({"score": F.lit(None).cast("double"), "rel": F.lit(None).cast("double")})
     order = [F.col("score").desc_nulls_last()] if q.sort == "" else []
     order += [F.col("t").desc_nulls_last()] if q.sort == "recent" else []
-    return rows.orderBy(*order, "path").limit(q.cap()).select("path", "score", "rel", "title", "doc_kind", "topic")
+    first = rows.orderBy(*order, "path").limit(q.cap())
+    via = references.where(F.col("dst") == q.backlinks_of).select(F.col("src").alias("path"), "via") if q.backlinks_of else None
+    first = first.join(via, "path", "left") if via is not None else first.withColumn("via", F.lit(None).cast("string"))
+    shown = first.join(notes.select("path", "text"), "path") if terms else first.withColumn("text", F.lit(None).cast("string"))
+    snippet = search.around(F.col("text"), terms) if terms else F.col("text")
+    scored = F.when(F.col("score").isNotNull(), "structural,bm25").otherwise("structural")
+    return shown.orderBy(*order, "path").select("path", "score", "rel", (F.lit("bm25") if only_text else scored).alias("sources"), "title", "doc_kind", "topic", "via", snippet.alias("snippet"))
 
 
 def query_report(q: CorpusQuery, notes: DataFrame, posted: DataFrame, lengths: DataFrame, references: DataFrame | None = None) -> DataFrame:
-    """``arm, matched, corpus``: how many notes each arm matches."""
+    """``arm, matched, body, frontmatter, corpus``: how many notes each arm matches; of references, by links and by fields."""
     arms = []
+    none = F.lit(None).cast("long")
+    put = lambda arm, df, body=none, front=none: arms.append(df.select(F.lit(arm).alias("arm"), "matched", body.alias("body"), front.alias("frontmatter")))
     total = notes.agg(F.count("*").alias("corpus"))
+    if q.backlinks_of:
+        parts = F.split("via", ",")
+        own = references.where(F.col("dst") == q.backlinks_of)
+        put("refs", own.agg(F.count("*").alias("matched"), F.count_if(F.array_contains(parts, "link")).alias("b"), F.coalesce(F.sum(F.size(F.filter(parts, lambda x: x.startswith("fm:")))), F.lit(0)).alias("f")), F.col("b"), F.col("f"))
     if q.tag:
-        arms.append(notes.agg(F.count_if(facets.tag_matches(F.col("tags"), q.tag)).alias("matched")).withColumn("arm", F.lit("tag")))
+        put("tag", notes.agg(F.count_if(facets.tag_matches(F.col("tags"), q.tag)).alias("matched")))
     for key, values in q.props.items():
-        arms.append(notes.agg(F.count_if(F.trim(key).isin(*facets.expand_status(values))).alias("matched")).withColumn("arm", F.lit(f"props:{key}")))
+        put(f"props:{key}", notes.agg(F.count_if(F.trim(key).isin(*facets.expand_status(values))).alias("matched")))
     if q.text.strip():
         queries = notes.sparkSession.createDataFrame([(0, nfc(q.text))], "qid int, query string")
-        arms.append(search.search(queries, posted, lengths, 0, False, False).agg(F.count("*").alias("matched")).withColumn("arm", F.lit("text")))
-    arms.append(structural(q, notes, references).agg(F.count("*").alias("matched")).withColumn("arm", F.lit("pool")))
+        put("text", search.search(queries, posted, lengths, 0, False, False).agg(F.count("*").alias("matched")))
+    put("pool", structural(q, notes, references).agg(F.count("*").alias("matched")))
     out = arms[0]
     for a in arms[1:]:
         out = out.unionByName(a)
-    return out.join(F.broadcast(total)).select("arm", "matched", "corpus")  # one row
+    return out.join(F.broadcast(total)).select("arm", "matched", "body", "frontmatter", "corpus")  # one row
 
 
 def query_outcome(q: CorpusQuery, notes: DataFrame, posted: DataFrame, lengths: DataFrame, references: DataFrame | None = None, fuzzy: bool = True, properties: DataFrame | None = None) -> DataFrame:
@@ -159,10 +176,14 @@ def containing(needles: DataFrame, labels: DataFrame) -> DataFrame:
     asked = needles.where("needle <> ''").select("needle").distinct()
     pieces = set_down(asked.select("needle", F.explode(grams_of(F.col("needle"), F.least(F.lit(GRAM), F.char_length("needle")))).alias("piece")), "needle-pieces")
     sizes = [r[0] for r in pieces.select(F.char_length("piece")).distinct().collect()]  # three at most
+    known = pieces.select(F.xxhash64("piece").alias("h")).distinct()
+    some = hash_filter(known, known.count())
+    # pieces that no needle has are dropped where they arise
     shown = labels.select("path", "label", F.explode(F.concat(F.array().cast("array<string>"), *[grams_of(F.col("label"), k) for k in sizes])).alias("piece"))
-    used = shown.join(pieces.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
-    waiting = pieces.join(used, "piece").groupBy("needle").agg(F.min(F.struct("n", "piece")).alias("p")).select("needle", "p.piece")
-    met = shown.join(waiting, "piece").where(F.contains("label", F.col("needle"))).select("needle", "path")
+    used = shown.select("piece").where(some(F.xxhash64("piece"))).groupBy("piece").agg(F.count("*").alias("n"))
+    waiting = set_down(pieces.join(used, "piece").groupBy("needle").agg(F.min(F.struct("n", "piece")).alias("p")).select("needle", "p.piece"), "waiting-needles")
+    rare = waiting.select(F.xxhash64("piece").alias("h")).distinct()
+    met = shown.where(hash_filter(rare, rare.count())(F.xxhash64("piece"))).join(waiting, "piece").where(F.contains("label", F.col("needle"))).select("needle", "path")
     return met.join(needles.select("id", "needle"), "needle").select("id", "path")
 
 

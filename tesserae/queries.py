@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import changes, evaluate, extract, facets, graph, rewrite, search, upkeep, usage
 from .plans.query import CorpusQuery, corpus_query, query_outcome, query_report, run_saved
+from .sources.keptindex import KeptIndex, kept_index
 from .sources.notelog import NoteLog
 from .sources.shared import set_down, shared_dir
-from .sources.corpus import CHANGED_SQL, LINES_SQL, NOTES_SQL, NOW_MS, PROPS_SQL, changed_files, notes, properties, table
+from .sources.corpus import CHANGED_SQL, LINES_SQL, NOTES_SQL, NOW_MS, PROPS_SQL, changed_files, notes, properties, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -111,7 +112,7 @@ def usage_events(s: SparkSession, d: str) -> DataFrame:
     kind = "CASE event_type WHEN 'signup' THEN 'session' WHEN 'click' THEN 'cmd' WHEN 'error' THEN 'err' WHEN 'purchase' THEN 'query' ELSE 'open' END"
     return e.selectExpr(
         "user_id", "event_id AS seq", "event_id", f"{kind} AS k", "unix_micros(CAST(ts AS TIMESTAMP)) AS us", "CAST(floor(unix_micros(CAST(ts AS TIMESTAMP)) / 1000) AS BIGINT) AS t",
-        "CASE WHEN event_type = 'signup' THEN 'start' END AS ev", "'cmd-' || user_id % 7 AS id", "CASE event_id % 3 WHEN 0 THEN 'palette' WHEN 1 THEN 'menu' ELSE 'key' END AS via",
+        "CASE WHEN event_type = 'signup' THEN CASE WHEN event_id % 9 = 0 THEN 'end' ELSE 'start' END END AS ev", "'cmd-' || user_id % 7 AS id", "CASE event_id % 3 WHEN 0 THEN 'palette' WHEN 1 THEN 'menu' ELSE 'key' END AS via",
         "'at-' || user_id % 5 AS at", "CASE event_id % 4 WHEN 0 THEN 'warn: slow' ELSE 'failed' END AS msg", "CASE WHEN event_id % 4 = 0 THEN 'warn' ELSE 'error' END AS lvl",
         "CASE event_id % 2 WHEN 0 THEN 'text' ELSE 'tag' END AS kind", "event_id % 5 AS n", "CASE WHEN event_id % 3 = 0 THEN event_id % 2 = 0 END AS hit", "'doc-' || user_id % 40 AS path", "value AS ms",
         "event_type AS op", "'word-' || event_id % 11 AS q",
@@ -123,7 +124,7 @@ TOKENS = "[^" + SPACES + r"\p{P}\p{S}]+"
 USAGE_SQL = """
 usage AS (
   SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'session' WHEN 'click' THEN 'cmd' WHEN 'error' THEN 'err' WHEN 'purchase' THEN 'query' ELSE 'open' END AS k,
-    epoch_us(ts) AS us, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS t, event_type = 'signup' AS starts, 'cmd-' || user_id % 7 AS id,
+    epoch_us(ts) AS us, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS t, event_type = 'signup' AND event_id % 9 <> 0 AS starts, event_type = 'signup' AND event_id % 9 = 0 AS ends, 'cmd-' || user_id % 7 AS id,
     CASE event_id % 3 WHEN 0 THEN 'palette' WHEN 1 THEN 'menu' ELSE 'key' END AS via, 'at-' || user_id % 5 AS "at", CASE WHEN event_id % 4 = 0 THEN 'warn' ELSE 'error' END AS lvl,
     CASE event_id % 2 WHEN 0 THEN 'text' ELSE 'tag' END AS kind, event_id % 5 AS n, CASE WHEN event_id % 3 = 0 THEN event_id % 2 = 0 END AS hit, 'doc-' || user_id % 40 AS path, value AS ms, event_type AS op,
     'word-' || event_id % 11 AS q, CASE event_id % 4 WHEN 0 THEN 'warn: slow' ELSE 'failed' END AS msg
@@ -340,7 +341,7 @@ registered("aud6_doctor", doctor, "SELECT *, n > 20 AS truncated FROM checks UNI
 def mentions(s: SparkSession, d: str) -> DataFrame:
     """Names of one word in other notes' prose: the second word of every text is its name."""
     n, _, e, r = graph_of(s, d)
-    lines = extract.line_table(n.select("path", F.col("text").alias("raw")))
+    lines = extract.line_table(texts(s, d).select("path", F.col("text").alias("raw")))
     names = n.select(F.lower(F.try_element_at(F.split(F.regexp_replace("text", r"[^\p{L}\p{N}_\s]", ""), r"\s+"), F.lit(2))).alias("key"), "path").where("char_length(key) >= 6")
     one = names.groupBy("key").agg(F.min("path").alias("path"), F.count("*").alias("n_candidates"))
     return graph.unlinked_mentions(n, lines, one, e, r).select("dst", "src", "n", "first_ln")
@@ -349,7 +350,7 @@ def mentions(s: SparkSession, d: str) -> DataFrame:
 def note_mentions(s: SparkSession, d: str) -> DataFrame:
     """Titles and file names of notes in other notes' prose."""
     n, names, e, r = graph_of(s, d, cut=True)
-    lines = extract.line_table(n.select("path", F.col("text").alias("raw")))
+    lines = extract.line_table(texts(s, d).select("path", F.col("text").alias("raw")))
     return graph.unlinked_mentions(n, lines, names, e, r).select("dst", "src", "n", "first_ln")
 
 
@@ -397,17 +398,18 @@ def fts_sql(expanded: str, values: str = VALUES) -> tuple[str, str]:
     return NOTES_SQL, (FTS_SQL % values).replace("EXPANDED", expanded)
 
 
-def index_of(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Postings and field lengths; the postings are set down, as every stage of a search reads them."""
-    n = notes(s, d)
-    posted = set_down(search.postings(n), "postings")
-    return posted, search.lengths_of(posted, n.count())
+def index_of(s: SparkSession, d: str) -> tuple[KeptIndex, DataFrame]:
+    """The kept index of the notes of a folder, built by the first query that asks for it, and its field lengths."""
+    docs = table(s, d, "documents")  # the state of the notes: their fingerprint by path, time and length
+    files = docs.select(F.concat_ws("/", "lang", "source", "doc_id").alias("path"), F.col("doc_id").alias("mtime_ms"), F.col("n_chars").alias("size"))
+    index = kept_index(notes(s, d), d, changes.fingerprint(files))
+    return index, index.lengths()
 
 
 registered("fts2_index", lambda s, d: search.postings(notes(s, d)).groupBy("field").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_tokens"), F.count_distinct("term").alias("n_terms")),
     "SELECT field, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS n_tokens, count(DISTINCT term) AS n_terms FROM posted GROUP BY 1", *fts_sql(EXACT_SQL))
 registered("fts3_bm25", lambda s, d: search.search(asked(s), *index_of(s, d), limit=0, prefix=False, fuzzy=False).select("qid", "path", "score", "rank"), "SELECT qid, path, score, rank FROM ranked", *fts_sql(EXACT_SQL))
-registered("fts4_expansion", lambda s, d: search.expand(search.query_words(asked(s)), search.vocabulary(index_of(s, d)[0])).select("qid", "word", "term", F.round("weight", 6).alias("weight")),
+registered("fts4_expansion", lambda s, d: search.expand(search.query_words(asked(s)), index_of(s, d)[0].vocabulary()).select("qid", "word", "term", F.round("weight", 6).alias("weight")),
     "SELECT qid, word, term, round(weight, 6) AS weight FROM expanded", *fts_sql(WIDE_SQL))
 registered("fts5_ladder", lambda s, d: search.search(asked(s), *index_of(s, d), limit=50).select("qid", "path", "stage", "score", "matched", "rank"), "SELECT qid, path, stage, score, matched, rank FROM ranked WHERE rank <= 50", *fts_sql(WIDE_SQL))
 registered("fts6_relative", lambda s, d: search.search(asked(s), *index_of(s, d), limit=20, prefix=False, fuzzy=False).select("qid", "path", "rel"), "SELECT qid, path, rel FROM ranked WHERE rank <= 20", *fts_sql(EXACT_SQL))
@@ -422,14 +424,41 @@ def benchmark_queries(s: SparkSession, d: str) -> DataFrame:
 registered("fts7_batch_search", lambda s, d: search.search(benchmark_queries(s, d), *index_of(s, d), limit=5, prefix=False, fuzzy=False).select("qid", "path", "stage", "score", "rank"),
     "SELECT qid, path, stage, score, rank FROM ranked WHERE rank <= 5", NOTES_SQL, FTS_SQL.replace("(VALUES %s) AS q(qid, query)", f"({BENCH_SQL}) AS q(qid, query)").replace("EXPANDED", EXACT_SQL))
 Q1 = CorpusQuery(text="the thion erblest and", tag="len", props={"status": ["@done"]}, under=("en/",), limit=20)
+SNIPPET_SQL = r"""CASE WHEN pos IS NULL THEN trim(regexp_replace(substr(text, 1, 120), '[ \t\n\x0B\f\r]+', ' ', 'g')) ELSE CASE WHEN b > 1 THEN '…' ELSE '' END || trim(regexp_replace(substr(text, b, e - b + 1), '[ \t\n\x0B\f\r]+', ' ', 'g')) || CASE WHEN e < length(text) THEN '…' ELSE '' END END"""
 registered("qry1_corpus_query", lambda s, d: corpus_query(Q1, notes(s, d), *index_of(s, d), fuzzy=False),
-    "SELECT n.path, r.score, r.rel, title, doc_kind, topic FROM notes n LEFT JOIN (SELECT * FROM ranked WHERE qid = 0) r ON n.path = r.path WHERE status IN ('완료', '반영됨') AND n.path LIKE 'en/%' ORDER BY r.score DESC NULLS LAST, n.path LIMIT 20", *fts_sql(EXACT_SQL))
+    f"""SELECT path, score, rel, sources, title, doc_kind, topic, CAST(NULL AS VARCHAR) AS via, {SNIPPET_SQL} AS snippet FROM (SELECT *, greatest(1, pos - 60) AS b, least(length(text), pos + 60) AS e FROM (
+      SELECT n.*, r.score, r.rel, CASE WHEN r.score IS NULL THEN 'structural' ELSE 'structural,bm25' END AS sources, list_min(list_filter([instr(lower(text), w) FOR w IN ['the', 'thion', 'erblest', 'and']], lambda x: x > 0)) AS pos
+      FROM notes n LEFT JOIN (SELECT * FROM ranked WHERE qid = 0) r ON n.path = r.path WHERE status IN ('완료', '반영됨') AND n.path LIKE 'en/%' ORDER BY r.score DESC NULLS LAST, n.path LIMIT 20))""", *fts_sql(EXACT_SQL))
+
+
+def referring(s: SparkSession, d: str) -> tuple[CorpusQuery, DataFrame, DataFrame]:
+    """The query for what refers to the first note that a link points to, latest first; notes and references."""
+    n, _, e, r = graph_of(s, d, cut=True)
+    refs = set_down(graph.references(e, r), "references")
+    return CorpusQuery(backlinks_of=e.agg(F.min("dst")).first()[0] or "-", since="2024-01-01", axis="date", sort="recent", limit=50, now_ms=NOW_MS), n, refs
+
+
+def referring_notes(s: SparkSession, d: str) -> DataFrame:
+    q, n, refs = referring(s, d)
+    return corpus_query(q, n, None, None, refs)
+
+
+def referring_report(s: SparkSession, d: str) -> DataFrame:
+    q, n, refs = referring(s, d)
+    return query_report(q, n, None, None, refs)
+
+
+REFS_SQL = "refs AS (SELECT src, string_agg(via, ',' ORDER BY via) AS via, count(*) FILTER (WHERE via <> 'link') AS fields, count(*) FILTER (WHERE via = 'link') AS links FROM (SELECT dst, src, 'link' AS via FROM edges UNION SELECT dst, src, 'fm:' || type FROM relations) WHERE dst = (SELECT min(dst) FROM edges) GROUP BY 1)"
+registered("qry1_backlinks", referring_notes,
+    "SELECT path, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS DOUBLE) AS rel, 'structural' AS sources, title, doc_kind, topic, via, CAST(NULL AS VARCHAR) AS snippet FROM notes JOIN refs ON src = path WHERE date >= '2024-01-01' ORDER BY date DESC, path LIMIT 50", *G, REFS_SQL)
+registered("qry2_references", referring_report,
+    "SELECT 'refs' AS arm, count(*) AS matched, CAST(sum(links) AS BIGINT) AS body, CAST(sum(fields) AS BIGINT) AS frontmatter, (SELECT count(*) FROM notes) AS corpus FROM refs UNION ALL SELECT 'pool', count(*), NULL, NULL, (SELECT count(*) FROM notes) FROM refs JOIN notes ON src = path WHERE date >= '2024-01-01'", *G, REFS_SQL)
 registered("qry2_outcome", lambda s, d: query_outcome(Q1, notes(s, d), *index_of(s, d), fuzzy=False),
     """SELECT least(pool, 20) AS returned, pool AS total, pool > 20 AS truncated, (SELECT min(stage) FROM ranked WHERE qid = 0) AS combine, CAST(0 AS BIGINT) AS dropped_low,
       (SELECT count(*) FROM ranked r JOIN notes n ON n.path = r.path WHERE qid = 0 AND NOT (coalesce(status, '') IN ('완료', '반영됨') AND n.path LIKE 'en/%')) AS dropped_outside
     FROM (SELECT count(*) FILTER (WHERE status IN ('완료', '반영됨') AND path LIKE 'en/%') AS pool FROM notes)""", *fts_sql(EXACT_SQL))
 registered("qry2_report", lambda s, d: query_report(Q1, notes(s, d), *index_of(s, d)),
-    "SELECT 'tag' AS arm, count(*) AS matched, count(*) AS corpus FROM notes UNION ALL SELECT 'props:status', count(*) FILTER (WHERE status IN ('완료', '반영됨')), count(*) FROM notes UNION ALL SELECT 'text', (SELECT count(*) FROM ranked WHERE qid = 0), count(*) FROM notes UNION ALL SELECT 'pool', count(*) FILTER (WHERE status IN ('완료', '반영됨') AND path LIKE 'en/%'), count(*) FROM notes", *fts_sql(EXACT_SQL))
+    "SELECT 'tag' AS arm, count(*) AS matched, CAST(NULL AS BIGINT) AS body, CAST(NULL AS BIGINT) AS frontmatter, count(*) AS corpus FROM notes UNION ALL SELECT 'props:status', count(*) FILTER (WHERE status IN ('완료', '반영됨')), NULL, NULL, count(*) FROM notes UNION ALL SELECT 'text', (SELECT count(*) FROM ranked WHERE qid = 0), NULL, NULL, count(*) FROM notes UNION ALL SELECT 'pool', count(*) FILTER (WHERE status IN ('완료', '반영됨') AND path LIKE 'en/%'), NULL, NULL, count(*) FROM notes", *fts_sql(EXACT_SQL))
 
 
 def saved_over_corpus(s: SparkSession, d: str) -> DataFrame:
@@ -520,7 +549,9 @@ registered("usg4_queries", lambda s, d: usage.queries(usage_events(s, d)).withCo
     "SELECT kind, count(*) AS n_queries, count(*) FILTER (WHERE n = 0) AS n_empty, round(count(*) FILTER (WHERE n > 0 AND hit = false) / nullif(count(*) FILTER (WHERE n > 0 AND hit IS NOT NULL), 0), 6) AS miss_rate FROM usage WHERE k = 'query' GROUP BY 1", USAGE_SQL)
 registered("usg5_opens", lambda s, d: usage.opens(usage_events(s, d)), "SELECT path, via, count(*) AS n FROM usage WHERE k = 'open' GROUP BY GROUPING SETS ((path, via), (path), (via))", USAGE_SQL)
 registered("usg6_sessions", lambda s, d: usage.session_summary(usage_events(s, d).withColumn("t", F.col("us"))).withColumn("mean_span", F.round("mean_span", 3)),
-    "SELECT count(*) AS sessions, count(*) FILTER (WHERE span > 0) AS with_span, round(avg(CASE WHEN span > 0 THEN span END), 3) AS mean_span FROM (SELECT max(us) - min(us) AS span FROM (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS g FROM usage) WHERE g > 0 GROUP BY user_id, g)", USAGE_SQL)
+    """SELECT CAST(sum(s) AS BIGINT) AS sessions, count(span) AS with_span, round(avg(span), 3) AS mean_span FROM (
+      SELECT 1 AS s, CASE WHEN max(us) > min(us) THEN CAST(max(us) - min(us) AS DOUBLE) END AS span FROM (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS g FROM usage) WHERE g > 0 GROUP BY user_id, g
+      UNION ALL SELECT 0, CAST(ms AS DOUBLE) FROM usage WHERE ends AND ms IS NOT NULL)""", USAGE_SQL)
 registered("usg7_performance", lambda s, d: usage.performance(usage_events(s, d).withColumn("k", F.lit("perf"))).select("op", "n", F.round("avg_ms", 6).alias("avg_ms"), "max_ms"), "SELECT op, count(*) AS n, round(avg(ms), 6) AS avg_ms, max(ms) AS max_ms FROM usage GROUP BY 1", USAGE_SQL)
 registered("usg8_never_used", lambda s, d: usage.never_used(table(s, d, "nation").select(F.concat(F.lit("cmd-"), F.col("n_nationkey").cast("string")).alias("id")), usage_events(s, d)),
     "SELECT 'cmd-' || n_nationkey AS id FROM nation WHERE 'cmd-' || n_nationkey NOT IN (SELECT id FROM usage WHERE k = 'cmd')", USAGE_SQL)
@@ -573,8 +604,8 @@ AFTER_EDGES_SQL = EDGES_SQL.replace("ELSE 2 END DESC, dst)", "WHEN path LIKE 'ne
 registered("chg3_graph_upkeep", kept_graph,
     "SELECT 'link' AS kind, src, dst FROM edges UNION ALL SELECT type, src, dst FROM relations UNION ALL SELECT 'terms', field, count(DISTINCT term) || '/' || count(*) FROM posted GROUP BY field", AFTER_SQL, NAMES_SQL, AFTER_EDGES_SQL, FTS_SQL[: FTS_SQL.index("lens AS")].rstrip().rstrip(","), "posted AS (SELECT DISTINCT path, field, unnest(t) AS term FROM fields)")
 registered("chg4_fingerprint", lambda s, d: changes.fingerprint(notes(s, d)).select("n", (F.col("x") != changes.fingerprint(changed_files(notes(s, d))).first().x).alias("differs")), "SELECT count(*) AS n, true AS differs FROM notes", NOTES_SQL)
-registered("chg5_staleness", lambda s, d: changes.staleness(notes(s, d).select("path", "mtime_ms", "size"), changed_files(notes(s, d))),
-    "SELECT (SELECT count(*) FROM notes a FULL JOIN files2 b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.mtime_ms <> b.mtime_ms) AS changed, (SELECT count(*) FROM files2 b JOIN notes a ON a.path = b.path WHERE b.mtime_ms > a.mtime_ms) AS newer, CAST(1 AS BIGINT) AS lag_s, (SELECT count(*) FROM files2) AS total, (SELECT string_agg(path, ',' ORDER BY path) FROM (SELECT coalesce(a.path, b.path) AS path FROM notes a FULL JOIN files2 b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.mtime_ms <> b.mtime_ms ORDER BY 1 LIMIT 5)) AS samples", NOTES_SQL, CHANGED_SQL)
+registered("chg5_staleness", lambda s, d: changes.staleness(notes(s, d).select("path", "mtime_ms", "size"), changed_files(notes(s, d)), notes(s, d).where("topic = 'src3' and doc_kind = 'adr'")),
+    "SELECT (SELECT count(*) > 0 FROM files2 b JOIN notes a ON a.path = b.path WHERE b.mtime_ms > a.mtime_ms AND topic = 'src3' AND doc_kind = 'adr') AS affects_results, (SELECT count(*) FROM notes a FULL JOIN files2 b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.mtime_ms <> b.mtime_ms) AS changed, (SELECT count(*) FROM files2 b JOIN notes a ON a.path = b.path WHERE b.mtime_ms > a.mtime_ms) AS newer, CAST(1 AS BIGINT) AS lag_s, (SELECT count(*) FROM files2) AS total, (SELECT string_agg(path, ',' ORDER BY path) FROM (SELECT coalesce(a.path, b.path) AS path FROM notes a FULL JOIN files2 b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.mtime_ms <> b.mtime_ms ORDER BY 1 LIMIT 5)) AS samples", NOTES_SQL, CHANGED_SQL)
 registered("chg6_unread", lambda s, d: changes.unread(usage_events(s, d).where("k = 'open'").groupBy("path").agg(F.max("t").alias("last_t")), notes(s, d).select(F.col("name").alias("path"), F.lit(NOW_MS).alias("mtime_ms"))),
     f"SELECT n.name AS path FROM notes n JOIN (SELECT path, max(t) AS t FROM usage WHERE k = 'open' GROUP BY 1) o ON n.name = o.path WHERE o.t < {NOW_MS}", NOTES_SQL, USAGE_SQL)
 

@@ -25,18 +25,23 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     n = docs.count()
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    base = spread(docs).join(labels, "doc_id", "left").selectExpr(
+    # what hangs on the text is made before labels are joined, so that texts travel only where they are asked for
+    own = spread(docs).selectExpr(
         "doc_id", "lang || '/' || source || '/doc-' || doc_id || '.md' AS path", "'doc-' || doc_id AS name",
         "trim(substr(split_part(coalesce(text, ''), '\n', 1), 1, 60)) AS title",
         "CASE doc_id % 4 WHEN 0 THEN 'plan' WHEN 1 THEN 'adr' WHEN 2 THEN 'solution' ELSE 'howto' END AS doc_kind",
         "source AS topic",
         "array(lang, 'src/' || source, CASE WHEN doc_id % 17 = 0 THEN 'Len/' ELSE 'len/' END || CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END) AS tags",
-        "CASE quality WHEN 1 THEN '완료' WHEN 0 THEN '진행 중' ELSE CASE doc_id % 11 WHEN 0 THEN '반영됨' WHEN 1 THEN '미착수' WHEN 2 THEN '진행중' END END AS status",
         "CAST(date_add(DATE '2024-01-01', CAST(doc_id % 400 AS INT)) AS STRING) AS date",
         "1704067200000 + doc_id * 3600000 AS mtime_ms", "n_chars AS size",
         f"array('doc-' || (doc_id * 8) % {n}, 'Doc-' || (doc_id * 13 + 5) % {2 * n} || '#intro|see') AS targets",
         "coalesce(text, '') AS text",
     )
+    base = own.join(labels, "doc_id", "left").selectExpr(
+        "doc_id", "path", "name", "title", "doc_kind", "topic", "tags",
+        "CASE quality WHEN 1 THEN '완료' WHEN 0 THEN '진행 중' ELSE CASE doc_id % 11 WHEN 0 THEN '반영됨' WHEN 1 THEN '미착수' WHEN 2 THEN '진행중' END END AS status",
+        "date", "mtime_ms", "size", "targets", "text",
+    )
     front = F.expr(
         "CASE WHEN doc_id % 8 = 5 THEN '---\nintro [[doc-5]]\n' ELSE '---\ntitle: \"' || title || '\"\ndoc_kind: ' || doc_kind || '\ntopic: ' || topic || '\ntags: [' || array_join(tags, ', ') || ']\n'"
         " || CASE WHEN status IS NULL THEN '' ELSE 'status: ' || status || '\n' END || 'date: ' || date || CASE WHEN doc_id % 8 = 6 THEN '\n---x\n' ELSE '\n---\n' END END"
@@ -49,6 +54,11 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.withColumn("raw", F.concat(front, body))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, text`` of all notes, joined to nothing."""
+    return spread(table(spark, sf_dir, "documents")).selectExpr("lang || '/' || source || '/doc-' || doc_id || '.md' AS path", "coalesce(text, '') AS text")
+
+
 NOTES_SQL = """
 notes AS (
   SELECT d.doc_id, lang || '/' || source || '/doc-' || d.doc_id || '.md' AS path, 'doc-' || d.doc_id AS name,
