@@ -400,8 +400,8 @@ def fts_sql(expanded: str, values: str = VALUES) -> tuple[str, str]:
 
 def index_of(s: SparkSession, d: str) -> tuple[KeptIndex, DataFrame]:
     """The kept index of the notes of a folder, built by the first query that asks for it, and its field lengths."""
-    docs = table(s, d, "documents")  # the state of the notes: their fingerprint by path, time and length
-    files = docs.select(F.concat_ws("/", "lang", "source", "doc_id").alias("path"), F.col("doc_id").alias("mtime_ms"), F.col("n_chars").alias("size"))
+    docs = table(s, d, "documents")  # the state of the notes: their fingerprint by path, length and the time of the file they are in
+    files = docs.select(F.concat_ws("/", "lang", "source", "doc_id").alias("path"), F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"), F.col("n_chars").alias("size"))
     index = kept_index(notes(s, d), d, changes.fingerprint(files))
     return index, index.lengths()
 
