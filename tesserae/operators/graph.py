@@ -217,10 +217,12 @@ def unlinked_mentions(notes: DataFrame, lines: DataFrame, names: DataFrame, edge
     begun, named = hash_filter(wanted.select("begin"), n_names), hash_filter(wanted.select("whole"), n_names)
     each = tokens.select("path", "ln", "t", F.posexplode("t").alias("at", "one"))
     likely = each.where(begun(F.xxhash64("one")) | begun(F.xxhash64("one", F.get("t", F.col("at") + 1))))
-    of = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.size("t") - F.col("at"))
-    sized = likely.select("path", "ln", "t", (F.col("at") + 1).alias("i"), F.explode(of).alias("n"))
-    met = sized.where(named(F.xxhash64(F.slice("t", F.col("i"), F.col("n")))))
-    hits = met.select("path", "ln", "i", "n", F.array_join(F.slice("t", F.col("i"), F.col("n")), " ").alias("name")).join(wanted.select("name", "dst"), "name")
+    # a place leaves the tokens of its line behind, but for as many as the longest name has
+    places = likely.select("path", "ln", (F.col("at") + 1).alias("i"), F.slice("t", F.col("at") + 1, F.lit(max([1, *lengths]))).alias("w"))
+    of = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.size("w"))
+    sized = places.select("path", "ln", "i", "w", F.explode(of).alias("n"))
+    met = sized.where(named(F.xxhash64(F.slice("w", F.lit(1), F.col("n")))))
+    hits = met.select("path", "ln", "i", "n", F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("name")).join(wanted.select("name", "dst"), "name")
     per_line = hits.groupBy("path", "ln").agg(F.array_sort(F.collect_list(F.struct("i", (-F.col("n")).alias("neg"), "dst"))).alias("hits"))
     taken = F.aggregate(
         "hits", F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("got")),
