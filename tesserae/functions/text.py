@@ -20,6 +20,9 @@ SEPARATOR = r"[\s\p{Z}\x{FEFF}\p{P}\p{S}]+"
 WIDE = r"[\x{1100}-\x{11FF}\x{3000}-\x{303F}\x{3040}-\x{30FF}\x{3130}-\x{318F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]"
 #: Leading consonants of Hangul syllables in Unicode order.
 CONSONANTS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
+#: Front matter as rewrites and snippets see it: it ends at the first line that begins with three dashes, which needn't be bare.
+FRONT = r"^---[ \t]*\r?\n([\s\S]*?)\r?\n---"
+FRONT_AND_END = FRONT + r"[ \t]*\r?\n?"
 KEBAB = r"^[a-z0-9]+(-[a-z0-9]+)*$"
 KEBAB_PATH = r"^[a-z0-9]+(-[a-z0-9]+)*(/[a-z0-9]+(-[a-z0-9]+)*)*$"
 

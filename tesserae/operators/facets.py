@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import KEBAB, KEBAB_PATH, WIDE, date_ms, dirname, lifecycle
+from ..functions.text import KEBAB, KEBAB_PATH, WIDE, date_ms, dirname, lifecycle, stem
+from ..sources.shared import set_down
 
 ARCHIVE = "_memories"
 
@@ -245,6 +246,19 @@ def folder_levels(notes: DataFrame) -> DataFrame:
     return notes.where(dirname("path") != "").select("path", F.explode(levels).alias("l")).select("path", "l.folder", "l.depth")
 
 
+def folder_listing(notes: DataFrame) -> DataFrame:
+    """``parent, is_dir, name, path, n``: what each folder holds, folders before notes, each by name, case aside.
+
+    n: notes at any depth below a folder, null for a note; the root's parent is empty.  Folders
+    without notes don't show.  The order is one over the table, so that a folder that holds most
+    notes is no task of its own.
+    """
+    above = folder_levels(notes).groupBy("folder").agg(F.count("*").alias("n"))
+    dirs = above.select(dirname("folder").alias("parent"), F.lit(True).alias("is_dir"), F.element_at(F.split("folder", "/"), -1).alias("name"), F.col("folder").alias("path"), "n")
+    files = notes.select(dirname("path").alias("parent"), F.lit(False).alias("is_dir"), stem("path").alias("name"), "path", F.lit(None).cast("long").alias("n"))
+    return dirs.unionByName(files).orderBy("parent", F.desc("is_dir"), F.lower("name"), "path")
+
+
 def folder_rollup(notes: DataFrame, n_notes: int, depth: int = 2, least: int = 2) -> DataFrame:
     """``folder, n`` of folders that narrow a scope: at least ``least`` notes, not all."""
     return folder_levels(notes).where(F.col("depth") <= depth).groupBy("folder").agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("n") < n_notes))
@@ -321,6 +335,58 @@ def value_issues(properties: DataFrame, relation_types: DataFrame, least: int =
     return case.unionByName(plural).unionByName(prefix).unionByName(suffix).unionByName(sparse).distinct()
 
 
+#: Fields whose values are looked at elsewhere.
+NOT_AUDITED = ("tags", "aliases")
+#: Single values that a finding of a field that never settled shows.
+SHOWN_VALUES = 8
+#: Parts into which a field's single values are dealt before the first ones are kept.
+SHOWN_PARTS = 32
+
+
+def field_issues(properties: DataFrame, relation_types: DataFrame, least: int = 5, most_share: float = 0.5, always=("doc_kind", "topic")) -> DataFrame:
+    """``field, issue, head, value, n, total``: a row for every value of every finding about a field's values.
+
+    case-only: values that differ by case (head: the lower case); plural: one is the other with s
+    or es behind (head: the first), neither of them a case-only one, a plural not looked at as a
+    singular again; prefix, suffix: one begins or ends the other and no letter or digit
+    follows or precedes it there (head: the shorter one); sparse: at least 3 values, and half of
+    all, are used by one note (head empty, the first 8 values, total: all of them).  n: notes
+    with the value.  Fields with links to notes are left out, and so are those with fewer than
+    ``least`` uses or with more kinds of values than ``most_share`` of the uses, but for ``always``.
+    """
+    trimmed = F.array_distinct(F.transform("values", lambda v: F.trim(v)))
+    values = properties.where(~F.lower("key").isin(*NOT_AUDITED)).select("key", F.explode(trimmed).alias("value")).where("value <> ''").groupBy("key", "value").agg(F.count("*").alias("n"))
+    fields = values.groupBy("key").agg(F.sum("n").alias("used"), F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("single"))
+    fit = fields.where((F.col("used") >= least) & (F.col("kinds") <= F.col("used") * most_share) | F.col("key").isin(*always)).join(relation_types.select(F.col("type").alias("key")).distinct(), "key", "left_anti")
+    # one row a value of a field; all findings read it
+    own = set_down(values.join(fit.select("key", "kinds", "single"), "key").withColumn("low", F.lower("value")), "field-values")
+    folded = own.groupBy("key", "low").agg(F.count("*").alias("k"), F.min("value").alias("value"), F.max("n").alias("n"))
+    cased = own.join(folded.where("k > 1").select("key", "low"), ["key", "low"]).select("key", F.lit("case-only").alias("issue"), F.col("low").alias("head"), "value", "n")
+
+    one = folded.where("k = 1").select("key", "low", "value", "n")
+    cut = F.array(F.when(F.col("low").endswith("s"), F.expr("left(low, char_length(low) - 1)")), F.when(F.col("low").endswith("es"), F.expr("left(low, char_length(low) - 2)")))
+    pairs = one.select("key", F.col("value").alias("other"), F.col("n").alias("other_n"), F.explode(cut).alias("low")).where("low <> ''").join(one, ["key", "low"])
+    pairs = pairs.join(pairs.select("key", F.col("other").alias("value")).distinct(), ["key", "value"], "left_anti")
+    both = F.explode(F.array(F.struct("value", "n"), F.struct(F.col("other").alias("value"), F.col("other_n").alias("n")))).alias("v")
+    plural = pairs.select("key", F.col("value").alias("head"), both).select("key", F.lit("plural").alias("issue"), "head", "v.value", "v.n").distinct()
+
+    at = F.filter(F.sequence(F.lit(1), F.char_length("value") - 1), lambda i: F.substr(F.col("value"), i + 1, F.lit(1)).rlike(r"[^\p{L}\p{N}]"))
+    before = F.filter(F.sequence(F.lit(1), F.char_length("value") - 1), lambda i: F.substr(F.col("value"), i, F.lit(1)).rlike(r"[^\p{L}\p{N}]"))
+    long = own.where("char_length(value) > 1").select("key", "value", "n", F.transform(at, lambda i: F.substr(F.col("value"), F.lit(1), i)).alias("heads"), F.transform(before, lambda i: F.substr(F.col("value"), i + 1)).alias("tails"))
+    found = None
+    for issue, parts in (("prefix", "heads"), ("suffix", "tails")):
+        met = long.select("key", "value", "n", F.explode(parts).alias("head")).join(own.select("key", F.col("value").alias("head"), F.col("n").alias("head_n")), ["key", "head"])
+        rows = met.select("key", "head", "value", "n").unionByName(met.select("key", "head", F.col("head").alias("value"), F.col("head_n").alias("n")).distinct())
+        rows = rows.select("key", F.lit(issue).alias("issue"), "head", "value", "n")
+        found = rows if found is None else found.unionByName(rows)
+
+    part = F.pmod(F.xxhash64("value"), F.lit(SHOWN_PARTS))
+    first = own.where("n = 1 and single >= 3 and single >= 0.5 * kinds").withColumn("total", F.col("single")).withColumn("r", F.row_number().over(W.partitionBy("key", part).orderBy("value"))).where(F.col("r") <= SHOWN_VALUES)
+    first = first.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("value"))).where(F.col("r") <= SHOWN_VALUES)
+    sparse = first.select("key", F.lit("sparse").alias("issue"), F.lit("").alias("head"), "value", "n", "total")
+    return cased.unionByName(plural).unionByName(found).withColumn("total", F.lit(None).cast("long")).unionByName(sparse).withColumnRenamed("key", "field")
+
+
 def task_groups(tasks: DataFrame) -> DataFrame:
     """``path, open, done, first_open`` of notes with open tasks."""
     return tasks.groupBy("path").agg(F.count_if(~F.col("done")).alias("open"), F.count_if("done").alias("done"), F.min_by(F.when(~F.col("done"), F.col("text")), F.when(~F.col("done"), F.col("ln"))).alias("first_open")).where("open > 0")

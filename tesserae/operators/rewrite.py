@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import FRONT, FRONT_AND_END
 
 
 def replace_plan(raw: DataFrame, pattern: str, replacement: str, regex: bool = False, case: bool = True, word: bool = False) -> DataFrame:
@@ -50,12 +51,98 @@ def property_rename_plan(lines: DataFrame, field: str, old: str, new: str) -> Da
     return hits.select("path", F.regexp_replace("line", pattern, "$1$2" + new.replace("$", "\\$") + "$2$3").alias("new_line"))
 
 
-def patch_front_matter(properties: DataFrame, set_: dict[str, str], remove: tuple[str, ...] = ()) -> DataFrame:
-    """``path, key, values`` after fields are set on or removed from every note with front matter."""
-    kept = properties.where(~F.col("key").isin(*remove, *set_)) if remove or set_ else properties
-    added = properties.select("path").distinct()
-    if not set_:
-        return kept
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.array(F.lit(v)).alias("values")) for k, v in set_.items()])
-    return kept.unionByName(added.select("path", F.explode(pairs).alias("p")).select("path", "p.key", "p.values"))
 
+#: Where a field that a note doesn't have yet is put among others that it doesn't have.
+PREFERRED_KEYS = ("title", "doc_kind", "topic", "tags", "aliases", "related", "date", "status")
+#: Plain words that YAML reads as something else than text.
+NOT_TEXT = (
+    r"^(~|null|Null|NULL|true|True|TRUE|false|False|FALSE|y|Y|yes|Yes|YES|n|N|no|No|NO|on|On|ON|off|Off|OFF"
+    r"|[-+]?(0b[01_]+|0x[0-9a-fA-F_]+|0o[0-7_]+|[0-9][0-9_]*)|[-+]?([0-9][0-9_]*(\.[0-9_]*)?([eE][-+]?[0-9]+)?|\.[0-9_]+([eE][-+]?[0-9]+)?|\.(inf|Inf|INF))|\.(nan|NaN|NAN))$"
+)
+#: Text that can't stand without quotes: a mark of YAML at its start, or one that would end it.
+NEEDS_QUOTES = r"""^[\s\-?:,\[\]{}#&*!|>'"%@`=]|: |:$| #|\s$|^$"""
+
+
+def yaml_text(text: Column) -> Column:
+    """A text as a YAML scalar: plain where that reads back as the same text, else in single quotes."""
+    quoted = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
+    return F.when(text.rlike(NEEDS_QUOTES) | text.rlike(NOT_TEXT), quoted).otherwise(text)
+
+
+def _scalar(value: Column) -> Column:
+    """A trimmed scalar of the source as it is written again; null if it isn't YAML."""
+    double, single = r'^"[^"\\]*"$', r"^'([^']|'')*'$"
+    bare = F.trim(F.regexp_replace(value, r"\s#.*$", ""))
+    inner = F.substr(value, F.lit(2), F.char_length(value) - 2)
+    return (
+        F.when(value.rlike(double), yaml_text(inner))
+        .when(value.rlike(single), yaml_text(F.replace(inner, F.lit("''"), F.lit("'"))))
+        .when(value.rlike(r'^"([^"\\]|\\[0abtnvfre "/\\N_LPxuU])*"$') | value.rlike(r"^\{.*\}$") | value.rlike(r"^[&!|>*]"), value)  # escapes, maps, tags and blocks stay as they stand
+        .when(value.rlike(r"""^["'\[\]{}@`%,]""") | bare.rlike(r": |:$"), None)
+        .when(bare.rlike(r"^(y|Y|yes|Yes|YES|n|N|no|No|NO|on|On|ON|off|Off|OFF)$"), yaml_text(bare))
+        .otherwise(bare)
+    )
+
+
+def _items(key: Column, items: Column) -> Column:
+    """A field with a list, one item a line; null if an item isn't YAML."""
+    lines = F.transform(items, lambda x: F.concat(F.lit("  - "), x))
+    return F.when(F.size(items) == 0, F.concat(key, F.lit(": []"))).when(~F.exists(items, lambda x: x.isNull()), F.concat(key, F.lit(":\n"), F.array_join(lines, "\n")))
+
+
+def _field(chunk: Column) -> Column:
+    """``key, text`` of one root-level field, written again; text is null if it isn't YAML."""
+    lines = F.filter(F.split(chunk, "\n"), lambda x: ~x.rlike(r"^\s*(#|$)"))
+    head, more = F.get(lines, F.lit(0)), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+    shape = r"""^([^\s\-?:,\[\]{}#&*!|>'"%@`][^:]*?)\s*:(?:\s+(.*))?$"""
+    key, value = F.regexp_extract(head, shape, 1), F.trim(F.regexp_extract(head, shape, 2))
+    value = F.when(value.rlike("^#"), "").otherwise(value)
+    flow = F.regexp_extract(value, r"^\[(.*)\](?:\s+#.*)?$", 1)
+    in_flow = F.when(F.trim(flow) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(F.regexp_replace(flow, r",\s*$", ""), r""",(?=(?:[^"']*["'][^"']*["'])*[^"']*$)"""), lambda x: F.when(F.trim(x) != "", _scalar(F.trim(x)))))
+    dashed = F.transform(more, lambda x: _scalar(F.trim(F.regexp_extract(x, r"^\s*-(?:\s+(.*))?$", 1))))
+    text = (
+        F.when(key == "", None)
+        .when(F.exists(more, lambda x: x.rlike(r"^ *\t")), None)
+        .when((F.size(more) > 0) & (value == "") & F.forall(more, lambda x: x.rlike(r"^\s*-\s+[^\s{\[]") & ~x.rlike(r"^\s*-\s+[^\s\"':]+:(\s|$)")), _items(key, dashed))
+        .when(F.size(more) > 0, F.when(F.forall(more, lambda x: x.rlike(r"^\s|^-\s")), F.array_join(lines, "\n")))
+        .when(value == "", F.concat(key, F.lit(": null")))
+        .when(value.rlike(r"^\[.*\](\s+#.*)?$"), F.when(flow.rlike(r"[\[\]{}]"), F.array_join(lines, "\n")).otherwise(_items(key, in_flow)))
+        .otherwise(F.concat(key, F.lit(": "), _scalar(value)))
+    )
+    return F.struct(key.alias("key"), text.alias("text"))
+
+
+def patch_front_matter(raw: DataFrame, set_: dict[str, str | list[str]], remove: tuple[str, ...] = ()) -> DataFrame:
+    """``path, refused, new_raw`` of the notes that a patch of their front matter changes, or that refuse it.
+
+    Fields keep their order; those a note didn't have come behind, the preferred ones first.  A
+    field set to nothing is removed; without fields the front matter goes.  Lists are written
+    one item a line, texts with quotes only where they need them, comments go, and nested values
+    stay as they stand.  Front matter that isn't YAML by fields (a line that is none, an open
+    quote or bracket, a key given twice) refuses: refused is true and new_raw null.  A note
+    without front matter gets one; null texts are no notes.
+    """
+    gone = [*remove, *(k for k, v in set_.items() if not (v.strip() if isinstance(v, str) else v))]
+    given = {k: v for k, v in set_.items() if k not in gone}
+    ranked = sorted(given, key=lambda k: PREFERRED_KEYS.index(k) if k in PREFERRED_KEYS else len(PREFERRED_KEYS))
+    text_of = {k: F.concat(F.lit(f"{k}: "), yaml_text(F.lit(v))) if isinstance(v, str) else _items(F.lit(k), F.transform(F.array(*[F.lit(x) for x in v]), yaml_text)) for k, v in given.items()}
+
+    def patched(field: Column) -> Column:
+        out = field["text"]
+        for k, text in text_of.items():
+            out = F.when(field["key"] == k, text).otherwise(out)
+        return out
+
+    front = F.regexp_replace(F.regexp_extract("raw", FRONT, 1), r"\r\n", "\n")
+    chunks = F.filter(F.split(front, r"\n(?=[^\s#\-])"), lambda x: ~x.rlike(r"^(\s*(#[^\n]*)?(\n|$))*$"))
+    read = raw.where("raw is not null").select("path", "raw", F.transform(chunks, _field).alias("fields"))
+    keys = F.col("fields.key")
+    bad = F.exists("fields", lambda f: f["text"].isNull()) | (F.size(F.array_distinct(keys)) < F.size(keys))
+    kept = F.transform(F.filter("fields", lambda f: ~f["key"].isin(*gone)) if gone else F.col("fields"), patched)
+    fresh = F.filter(F.array(*[F.when(~F.array_contains(keys, k), text_of[k]) for k in ranked]).cast("array<string>"), lambda x: x.isNotNull())
+    body = F.regexp_replace("raw", FRONT_AND_END, "")
+    texts = read.select("path", "raw", bad.alias("refused"), F.concat(kept, fresh).alias("texts"), body.alias("body"))
+    new = F.when(~F.col("refused"), F.when(F.size("texts") == 0, F.col("body")).otherwise(F.concat(F.lit("---\n"), F.array_join("texts", "\n"), F.lit("\n---\n"), "body")))
+    done = F.array(F.struct("refused", new.alias("new_raw")))
+    # filtered before it is a column: a filter on top would be pushed down, and all of the above written out once more in it
+    return texts.select("path", F.inline(F.filter(done, lambda x: x["refused"] | (x["new_raw"] != F.col("raw")))))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import CONSONANTS, consonants, fuzzy_score, note_tokens
+from ..functions.text import CONSONANTS, FRONT_AND_END, consonants, fuzzy_score, nfc, note_tokens
 
 if TYPE_CHECKING:
     from ..sources.keptindex import KeptIndex
@@ -157,16 +157,34 @@ def best_line(raw: Column, terms: list[str]) -> Column:
     return F.when(F.char_length(line) > 180, F.concat(F.substr(line, F.lit(1), F.lit(180)), F.lit("…"))).otherwise(F.coalesce(line, F.lit("")))
 
 
-def around(text: Column, terms: list[str], radius: int = 60) -> Column:
-    """Text within ``radius`` of the first term found, white space as one space; the first 120 characters if none is."""
+def _near(text: Column, terms: Column, radius: int) -> Column:
+    """Up to 2 x ``radius`` characters about the first of the lower-case terms, white space as one space; null if none is there."""
     low = F.lower(text)
-    places = F.filter(F.array(*[F.instr(low, F.lit(t.lower())) for t in terms]), lambda x: x > 0)
-    at = F.array_min(places)
-    begin = F.greatest(F.lit(1), at - radius)
-    end = F.least(F.char_length(text), at + radius)
+    at = F.array_min(F.filter(F.transform(terms, lambda t: F.position(t, low)), lambda x: x > 0))
+    begin, end = F.greatest(F.lit(1), at - radius), F.least(F.char_length(text), at + radius - 1)
     cut = F.trim(F.regexp_replace(F.substr(text, begin, end - begin + 1), r"\s+", " "))
-    marked = F.concat(F.when(begin > 1, "…").otherwise(""), cut, F.when(end < F.char_length(text), "…").otherwise(""))
-    return F.when(at.isNull(), F.trim(F.regexp_replace(F.substr(text, F.lit(1), F.lit(120)), r"\s+", " "))).otherwise(marked)
+    return F.when(at.isNotNull(), F.concat(F.when(begin > 1, "…").otherwise(""), cut, F.when(end < F.char_length(text), "…").otherwise("")))
+
+
+def _begin(text: Column, chars: int) -> Column:
+    return F.trim(F.regexp_replace(F.substr(text, F.lit(1), F.lit(chars)), r"\s+", " "))
+
+
+def around(text: Column, terms: list[str], radius: int = 60) -> Column:
+    """Text within ``radius`` of the first term found, white space as one space; the first 120 characters if none is."""
+    return F.coalesce(_near(text, F.array(*[F.lit(t.lower()) for t in terms]), radius), _begin(text, 120))
+
+
+def snippet_for_query(raw: Column, query: str, radius: int = 60) -> Column:
+    """The snippet of a result: about the first of the query's words in the note's body, as they stand; else about the
+    first of its search tokens (parts between marks, pairs of Hangul syllables); else the body's beginning.
+
+    Front matter is no body.  A blank query, or one of which nothing is there, gives the beginning.
+    """
+    words, whole = [w for w in query.lower().split() if w], nfc(query)
+    body = F.regexp_replace(raw, FRONT_AND_END, "")
+    found = [_near(body, F.array(*[F.lit(w) for w in words]), radius), _near(body, note_tokens(F.lit(whole)), radius)] if words else []
+    return F.coalesce(*found, F.concat(_begin(body, 2 * radius), F.lit("…")))
 
 
 def grep(lines: DataFrame, pattern: str, regex: bool = False, case: bool = False, word: bool = False, limit: int = 200) -> DataFrame:

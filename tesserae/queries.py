@@ -168,7 +168,12 @@ def corpus_pool(s: SparkSession, d: str, q: CorpusQuery) -> DataFrame:
 registered("prj1_cells", lambda s, d: facets.cells(notes(s, d)), "SELECT path, coalesce(nullif(trim(title), ''), name) AS title, doc_kind, topic, array_to_string(tags, ', ') AS tags, lang || '/' || topic AS folder FROM (SELECT *, split_part(path, '/', 1) AS lang FROM notes)", NOTES_SQL)
 registered("prj3_radius_snippet", lambda s, d: notes(s, d).select("path", search.around(F.col("text"), ["thion", "erblest"]).alias("snippet")),
     """SELECT path, CASE WHEN pos IS NULL THEN trim(regexp_replace(substr(text, 1, 120), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) ELSE CASE WHEN b > 1 THEN '…' ELSE '' END || trim(regexp_replace(substr(text, b, e - b + 1), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) || CASE WHEN e < length(text) THEN '…' ELSE '' END END AS snippet
-    FROM (SELECT path, text, pos, greatest(1, pos - 60) AS b, least(length(text), pos + 60) AS e FROM (SELECT path, text, list_min(list_filter([instr(lower(text), 'thion'), instr(lower(text), 'erblest')], lambda x: x > 0)) AS pos FROM notes))""", NOTES_SQL)
+    FROM (SELECT path, text, pos, greatest(1, pos - 60) AS b, least(length(text), pos + 59) AS e FROM (SELECT path, text, list_min(list_filter([instr(lower(text), 'thion'), instr(lower(text), 'erblest')], lambda x: x > 0)) AS pos FROM notes))""", NOTES_SQL)
+registered("prj3_query_snippet", lambda s, d: notes(s, d).select("path", search.snippet_for_query(F.col("raw"), "Thion-erblest, trash/idiot").alias("snippet")),
+    r"""SELECT path, CASE WHEN pos IS NULL THEN trim(regexp_replace(substr(body, 1, 120), '[ \t\n\x0B\f\r]+', ' ', 'g')) || '…' ELSE CASE WHEN pos > 61 THEN '…' ELSE '' END
+      || trim(regexp_replace(substr(body, greatest(1, pos - 60), least(length(body), pos + 59) - greatest(1, pos - 60) + 1), '[ \t\n\x0B\f\r]+', ' ', 'g')) || CASE WHEN pos + 59 < length(body) THEN '…' ELSE '' END END AS snippet
+    FROM (SELECT *, coalesce(list_min(list_filter([instr(lower(body), w) FOR w IN ['thion-erblest,', 'trash/idiot']], lambda x: x > 0)), list_min(list_filter([instr(lower(body), w) FOR w IN ['thion', 'erblest', 'trash', 'idiot']], lambda x: x > 0))) AS pos
+      FROM (SELECT path, regexp_replace(raw, '^---[ \t]*\r?\n[\s\S]*?\r?\n---[ \t]*\r?\n?', '') AS body FROM notes_raw))""", NOTES_SQL)
 registered("prj5_statistics", lambda s, d: facets.statistics(notes(s, d).select("path", F.col("raw").alias("text"))),
     rf"""SELECT path, CAST(words AS BIGINT) AS words, CAST(length(body) AS BIGINT) AS chars, CAST(length(solid) AS BIGINT) AS chars_solid, CAST(CASE WHEN raw_minutes > 0 THEN greatest(1, ceil(raw_minutes)) ELSE 0 END AS BIGINT) AS minutes FROM (
       SELECT path, body, regexp_replace(body, '[{SPACES}]', '', 'g') AS solid, len(regexp_extract_all(body, '[^{SPACES}]+')) AS words,
@@ -275,6 +280,10 @@ def corpus_stats(s: SparkSession, d: str) -> DataFrame:
 
 registered("agg11_folder_listing", lambda s, d: facets.folder_levels(notes(s, d)).groupBy("folder").agg(F.count("*").alias("n")),
     "SELECT folder, count(*) AS n FROM (SELECT split_part(path, '/', 1) AS folder FROM notes UNION ALL SELECT split_part(path, '/', 1) || '/' || topic FROM notes) GROUP BY 1", NOTES_SQL)
+registered("agg11_listing", lambda s, d: facets.folder_listing(notes(s, d)),
+    """SELECT '' AS parent, true AS is_dir, split_part(path, '/', 1) AS name, split_part(path, '/', 1) AS path, count(*) AS n FROM notes GROUP BY ALL
+    UNION ALL SELECT split_part(path, '/', 1), true, topic, split_part(path, '/', 1) || '/' || topic, count(*) FROM notes GROUP BY ALL
+    UNION ALL SELECT split_part(path, '/', 1) || '/' || topic, false, name, path, NULL FROM notes""", NOTES_SQL)
 registered("agg12_notes_of_tag", lambda s, d: facets.notes_of_tag(notes(s, d), "Len", True), "SELECT path, coalesce(nullif(trim(title), ''), name) AS label FROM notes", NOTES_SQL)
 registered("srt1_recent", lambda s, d: notes(s, d).withColumn("t", facets.time_of("date")).orderBy(F.col("t").desc_nulls_last(), "path").limit(25).select("path", "t"),
     "SELECT path, epoch_ms(CAST(date AS TIMESTAMP)) AS t FROM notes ORDER BY date DESC, path LIMIT 25", NOTES_SQL)
@@ -307,21 +316,56 @@ registered("aud2_value_issues", lambda s, d: facets.value_issues(properties(note
         WHEN lower(b.v) LIKE lower(a.v) || '%' AND regexp_matches(substr(lower(b.v), length(a.v) + 1, 1), '^[^\\p{L}\\p{N}]$') THEN 'prefix'
         WHEN lower(b.v) LIKE '%' || lower(a.v) AND length(b.v) > length(a.v) + 1 AND regexp_matches(substr(lower(b.v), length(b.v) - length(a.v), 1), '^[^\\p{L}\\p{N}]$') THEN 'suffix' END AS issue, a.v AS value, b.v AS other
       FROM vals a JOIN vals b ON a.key = b.key AND a.v <> b.v) WHERE issue IS NOT NULL""", NOTES_SQL, PROPS_SQL, "vals AS (SELECT DISTINCT key, trim(v) AS v FROM (SELECT key, unnest(vals) AS v FROM props) WHERE key IN ('doc_kind', 'topic', 'status', 'tags'))")
+#: A field beside the front matter, with spellings that differ and values of one note.
+STAGE = "CASE WHEN doc_id < 9 THEN 'once ' || doc_id ELSE CASE doc_id % 12 WHEN 0 THEN 'draft' WHEN 1 THEN 'Draft' WHEN 2 THEN 'review' WHEN 3 THEN 'reviews' WHEN 4 THEN 'review - two' WHEN 5 THEN 'final review' ELSE 'open' END END"
+STAGED_SQL = f"staged AS (SELECT * FROM props UNION ALL SELECT path, 'stage', [{STAGE}] FROM notes)"
+
+
+def _field_issues_sql(props: str) -> str:
+    """Every two values of a field are held against each other."""
+    return f"""SELECT * FROM (WITH vals AS (SELECT key, v AS value, count(*) AS n FROM (SELECT DISTINCT path, key, trim(v) AS v FROM (SELECT path, key, unnest(vals) AS v FROM {props})) WHERE v <> '' AND key NOT IN ('tags', 'aliases') GROUP BY 1, 2),
+      own AS (SELECT *, count(*) OVER (PARTITION BY key, lower(value)) AS k, count(*) OVER (PARTITION BY key) AS kinds FROM vals WHERE key IN (SELECT key FROM vals GROUP BY key HAVING key IN ('doc_kind', 'topic') OR sum(n) >= 5 AND count(*) <= 0.5 * sum(n))),
+      pairs AS (SELECT a.key, a.value AS head, a.n AS head_n, b.value, b.n, CASE
+          WHEN a.k = 1 AND b.k = 1 AND lower(b.value) IN (lower(a.value) || 's', lower(a.value) || 'es') THEN 'plural'
+          WHEN starts_with(b.value, a.value) AND NOT regexp_matches(substr(b.value, length(a.value) + 1, 1), '[\\p{{L}}\\p{{N}}]') THEN 'prefix'
+          WHEN ends_with(b.value, a.value) AND NOT regexp_matches(substr(b.value, length(b.value) - length(a.value), 1), '[\\p{{L}}\\p{{N}}]') THEN 'suffix' END AS issue
+        FROM own a JOIN own b ON a.key = b.key AND length(b.value) > length(a.value)),
+      fit AS (SELECT * FROM pairs p WHERE issue IN ('prefix', 'suffix') OR issue = 'plural' AND NOT EXISTS (SELECT 1 FROM pairs q WHERE q.key = p.key AND q.issue = 'plural' AND q.value = p.head)),
+      single AS (SELECT *, count(*) OVER (PARTITION BY key) AS total, row_number() OVER (PARTITION BY key ORDER BY value) AS r FROM own WHERE n = 1)
+    SELECT key AS field, 'case-only' AS issue, lower(value) AS head, value, n, CAST(NULL AS BIGINT) AS total FROM own WHERE k > 1
+    UNION ALL SELECT key, issue, head, value, n, NULL FROM (SELECT key, issue, head, value, n FROM fit UNION SELECT key, issue, head, head, head_n FROM fit)
+    UNION ALL SELECT key, 'sparse', '', value, n, total FROM single WHERE total >= 3 AND total >= 0.5 * kinds AND r <= 8)"""
+
+
+def staged_properties(s: SparkSession, d: str) -> DataFrame:
+    n = notes(s, d)
+    return properties(n).unionByName(n.select("path", F.lit("stage").alias("key"), F.array(F.expr(STAGE)).alias("values")))
+
+
+registered("aud2_field_issues", lambda s, d: facets.field_issues(staged_properties(s, d), graph_of(s, d, cut=True)[3]), _field_issues_sql("staged"), NOTES_SQL, PROPS_SQL, STAGED_SQL)
+registered("aud2_plain_fields", lambda s, d: facets.field_issues(properties(notes(s, d)), graph_of(s, d, cut=True)[3]).select("field", "issue", "head").distinct(),
+    f"SELECT DISTINCT field, issue, head FROM ({_field_issues_sql('props')})", NOTES_SQL, PROPS_SQL)
 registered("aud3_decayed", lambda s, d: facets.decayed(notes(s, d), facets.task_groups(extract.tasks(lines_of(s, d)))), "SELECT path, status, open FROM notes JOIN groups USING (path) WHERE status IN ('완료', '반영됨')", NOTES_SQL, LINES_SQL, GROUPS_SQL)
 registered("aud4_stale", lambda s, d: facets.stale(notes(s, d), NOW_MS),
     f"SELECT path, days FROM (SELECT path, CAST(floor(({NOW_MS} - greatest(mtime_ms, epoch_ms(CAST(date AS TIMESTAMP)))) / 86400000) AS BIGINT) AS days FROM notes WHERE greatest(mtime_ms, epoch_ms(CAST(date AS TIMESTAMP))) <= {NOW_MS}) WHERE days >= 180", NOTES_SQL)
 registered("aud7_bad_values", lambda s, d: facets.bad_values(notes(s, d)), "SELECT path, 'tag' AS field, t AS value, 'not kebab-case' AS reason FROM (SELECT path, unnest(tags) AS t FROM notes) WHERE t LIKE 'Len/%'", NOTES_SQL)
 
 
-def doctor(s: SparkSession, d: str) -> DataFrame:
-    """``check, n, truncated`` of all audits at once, and their total; a listing would show 20 rows of each."""
+def doctor(s: SparkSession, d: str, mentions: bool = False) -> DataFrame:
+    """``check, n, truncated`` of all audits at once, and their total; a listing would show 20 rows of each.
+
+    With ``mentions`` all prose is searched too, for notes that others name without a link.
+    """
     n, names, e, r = graph_of(s, d, cut=True)
     groups = facets.task_groups(extract.tasks(extract.line_table(n.select("path", "raw"))))
     found = {
         "orphans": graph.orphans(n, e, r), "broken": graph.broken_links(links_of(n), names), "ambiguous": graph.ambiguous_names(names), "tags": facets.tag_issues(n),
         "decayed": facets.decayed(n, groups), "stale": facets.stale(n, NOW_MS), "values": facets.bad_values(n),
-        "tasks": groups, "look-alikes": facets.value_issues(properties(n).where("key in ('doc_kind', 'topic', 'status', 'tags')"), r),
+        "tasks": groups, "look-alikes": facets.field_issues(properties(n), r).select("field", "issue", "head").distinct(),
     }
+    if mentions:
+        prose = extract.line_table(texts(s, d).select("path", F.col("text").alias("raw")))
+        found["mentions"] = graph.unlinked_mentions(n, prose, names, e, r).select("dst").distinct()
     out = None
     for check, df in found.items():
         one = df.agg(F.count("*").alias("n")).select(F.lit(check).alias("check"), "n")
@@ -335,7 +379,10 @@ def _count_of(name: str) -> str:
     return f"(SELECT count(*) FROM ({sql}))"
 
 
-registered("aud6_doctor", doctor, "SELECT *, n > 20 AS truncated FROM checks UNION ALL SELECT 'total', CAST(sum(n) AS BIGINT), false FROM checks", "checks AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"check\", {_count_of(q)} AS n" for c, q in (("orphans", "grf11_orphans"), ("broken", "grf10_broken_links"), ("ambiguous", "grf12_ambiguous"), ("tags", "aud1_tag_issues"), ("decayed", "aud3_decayed"), ("stale", "aud4_stale"), ("values", "aud7_bad_values"), ("look-alikes", "aud2_value_issues"), ("tasks", "tsk1_listing"))) + ")")
+registered("aud6_doctor", doctor, "SELECT *, n > 20 AS truncated FROM checks UNION ALL SELECT 'total', CAST(sum(n) AS BIGINT), false FROM checks", "checks AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"check\", {_count_of(q)} AS n" for c, q in (("orphans", "grf11_orphans"), ("broken", "grf10_broken_links"), ("ambiguous", "grf12_ambiguous"), ("tags", "aud1_tag_issues"), ("decayed", "aud3_decayed"), ("stale", "aud4_stale"), ("values", "aud7_bad_values"), ("look-alikes", "aud2_plain_fields"), ("tasks", "tsk1_listing"))) + ")")
+
+
+registered("aud6_doctor_mentions", lambda s, d: doctor(s, d, True), None)
 
 
 def mentions(s: SparkSession, d: str) -> DataFrame:
@@ -426,7 +473,7 @@ registered("fts7_batch_search", lambda s, d: search.search(benchmark_queries(s,
 Q1 = CorpusQuery(text="the thion erblest and", tag="len", props={"status": ["@done"]}, under=("en/",), limit=20)
 SNIPPET_SQL = r"""CASE WHEN pos IS NULL THEN trim(regexp_replace(substr(text, 1, 120), '[ \t\n\x0B\f\r]+', ' ', 'g')) ELSE CASE WHEN b > 1 THEN '…' ELSE '' END || trim(regexp_replace(substr(text, b, e - b + 1), '[ \t\n\x0B\f\r]+', ' ', 'g')) || CASE WHEN e < length(text) THEN '…' ELSE '' END END"""
 registered("qry1_corpus_query", lambda s, d: corpus_query(Q1, notes(s, d), *index_of(s, d), fuzzy=False),
-    f"""SELECT path, score, rel, sources, title, doc_kind, topic, CAST(NULL AS VARCHAR) AS via, {SNIPPET_SQL} AS snippet FROM (SELECT *, greatest(1, pos - 60) AS b, least(length(text), pos + 60) AS e FROM (
+    f"""SELECT path, score, rel, sources, title, doc_kind, topic, CAST(NULL AS VARCHAR) AS via, {SNIPPET_SQL} AS snippet FROM (SELECT *, greatest(1, pos - 60) AS b, least(length(text), pos + 59) AS e FROM (
       SELECT n.*, r.score, r.rel, CASE WHEN r.score IS NULL THEN 'structural' ELSE 'structural,bm25' END AS sources, list_min(list_filter([instr(lower(text), w) FOR w IN ['the', 'thion', 'erblest', 'and']], lambda x: x > 0)) AS pos
       FROM notes n LEFT JOIN (SELECT * FROM ranked WHERE qid = 0) r ON n.path = r.path WHERE status IN ('완료', '반영됨') AND n.path LIKE 'en/%' ORDER BY r.score DESC NULLS LAST, n.path LIMIT 20))""", *fts_sql(EXACT_SQL))
 
@@ -536,8 +583,12 @@ registered("rwr2_link_rename", lambda s, d: rewrite.link_rename_plan(lines_of(s,
 registered("rwr3_tag_rename", lambda s, d: rewrite.tag_rename_plan(notes(s, d), "len", "size"),
     "SELECT path, CAST(1 AS BIGINT) AS n, tags[1] || ',' || tags[2] || ',size' || substr(tags[3], 4) AS new_tags, false AS merged FROM notes", NOTES_SQL)
 registered("rwr4_value_rename", lambda s, d: rewrite.property_rename_plan(lines_of(s, d), "status", "완료", "done"), "SELECT path, 'status: done' AS new_line FROM lines WHERE in_front AND line = 'status: 완료'", NOTES_SQL, LINES_SQL)
-registered("rwr6_patch", lambda s, d: rewrite.patch_front_matter(properties(notes(s, d)), {"reviewed": "yes"}, ("status",)).groupBy("key").agg(F.count("*").alias("n")),
-    "SELECT key, count(*) AS n FROM props WHERE key <> 'status' GROUP BY 1 UNION ALL SELECT 'reviewed', count(*) FROM notes", NOTES_SQL, PROPS_SQL)
+PATCH = {"reviewed": "yes", "related": ["doc-1", "a: b"], "topic": "moved"}
+registered("rwr6_patch", lambda s, d: rewrite.patch_front_matter(notes(s, d).select("path", F.when(F.col("doc_id") % 13 == 0, F.replace("raw", F.lit("topic: "), F.lit("topic: ["))).otherwise(F.col("raw")).alias("raw")), PATCH, ("status",)),
+    rf"""SELECT path, refused, CASE WHEN NOT refused THEN concat_ws(chr(10), '---', CASE WHEN doc_id % 8 <> 5 THEN concat_ws(chr(10), 'title: ' || CASE WHEN regexp_matches(title, '{rewrite.NEEDS_QUOTES.replace("'", "''")}') OR regexp_matches(title, '{rewrite.NOT_TEXT}') THEN chr(39) || replace(title, chr(39), chr(39) || chr(39)) || chr(39) ELSE title END,
+        'doc_kind: ' || doc_kind, 'topic: moved', 'tags:', array_to_string(list_transform(tags, lambda t: '  - ' || t), chr(10)), 'date: ' || date) ELSE 'topic: moved' END,
+        'related:', '  - doc-1', '  - ''a: b''', 'reviewed: ''yes''', '---', '') || regexp_replace(raw, '^---[ \t]*\r?\n[\s\S]*?\r?\n---[ \t]*\r?\n?', '') END AS new_raw
+    FROM (SELECT *, CASE WHEN doc_id % 8 = 5 THEN regexp_matches(raw, '^---[ \t]*\r?\n[\s\S]*?\r?\n---') ELSE doc_id % 13 = 0 END AS refused FROM notes_raw)""", NOTES_SQL)
 
 # usage --------------------------------------------------------------------------------------
 registered("usg1_accounting", lambda s, d: usage.accounting(usage.parse_lines(usage_lines(s, d))),
