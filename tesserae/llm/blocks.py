@@ -61,10 +61,71 @@ MAIN = re.compile(r"^(article|main)$|^[.](article|main|content|post|story|entry|
 REST = re.compile(r"^(nav|footer|aside|form|menu|dialog)$|^[.](ad|ads|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu|breadcrumb\w*|sidebar|footer|cookie\w*|consent|notice|alert|popup|modal|comment\w*|share|sharing|social|related|newsletter|subscribe|login|search|navigation|complementary|contentinfo)(-|_|$)")
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
+#: Paths that a worker remembers between pages.
+PATHS = 50_000
+
+
+class Path:
+    """An element and those around it: its own names, on top of a path that all its blocks share.
+
+    What is asked of a path (its label, its vector, itself without telling names) is worked out
+    once, from the path above, so that a page's work doesn't grow with the depth of its blocks.
+    """
+
+    __slots__ = ("above", "own", "size", "told", "below", "vector", "bare")
+    made = 0
+
+    def __init__(self, above: Path | None = None, own: tuple[str, ...] = ()) -> None:
+        self.above, self.own, self.below = above, own, {}
+        self.size, told = (0, 0) if above is None else (above.size + len(own), above.told)
+        self.told = told | any(map(REST.search, own)) | any(map(MAIN.search, own)) << 1
+        self.vector = self.bare = None
+        Path.made += 1
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __iter__(self) -> Iterator[str]:
+        chain, node = [], self
+        while node is not None:
+            chain.append(node.own)
+            node = node.above
+        return (t for own in reversed(chain) for t in own)
+
+    def under(self, own: tuple[str, ...]) -> Path:
+        found = self.below.get(own)
+        if found is None:
+            found = self.below[own] = Path(self, own)
+        return found
+
+    def _missing(self, what: str) -> list[Path]:
+        """The path and those above it for which ``what`` isn't known yet, outermost first."""
+        out, node = [], self
+        while node is not None and getattr(node, what) is None:
+            out.append(node)
+            node = node.above
+        return out[::-1]
+
+    def total(self, rows: np.ndarray) -> np.ndarray:
+        """The sum of the rows of all names."""
+        for node in self._missing("vector"):
+            node.vector = np.zeros(rows.shape[1], rows.dtype) if node.above is None else node.above.vector
+            for t in node.own:
+                node.vector = node.vector + rows[zlib.crc32(t.encode("utf-8", "surrogatepass")) % len(rows)]
+        return self.vector if self.size else rows[0]
+
+
+_top = Path()
+
+
+def blocks_of(page: str) -> list[tuple[Path, str, int]]:
     """Leaf blocks in page order: (path of elements and .classes, text, characters in links)."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    global _top
+    if Path.made > PATHS:
+        _top, Path.made = Path(), 0
+    out: list[tuple[Path, str, int]] = []
+    stack: list[tuple[str, Path]] = []
+    places: dict[str, list[int]] = {}  # of open elements in the stack, by name
     parts: list[str] = []
     linked = link = at = 0
 
@@ -74,17 +135,15 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             text = "".join(parts)
             text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text:
-                out.append((tuple(t for _, own in stack for t in own), text, min(linked, len(text))))
+                out.append((stack[-1][1] if stack else _top, text, min(linked, len(text))))
             parts.clear()
             linked = 0
 
     def pop_to(name: str, barrier: frozenset[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                return
-            if stack[k][0] in barrier:
-                return
+        k = places[name][-1] if places.get(name) else -1
+        if k >= 0 and not any(places[b][-1] > k for b in barrier if places.get(b)):
+            while len(stack) > k:
+                places[stack.pop()[0]].pop()
 
     for m in TAG.finditer(page):
         if m.start() > at:
@@ -111,27 +170,29 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if name in VOID or name in UNCLOSED or m[0].endswith("/>"):
             continue
         marks = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(m[5])) if m[5] else ""
-        stack.append((name, (name, *("." + x for x in marks.lower().split()))))
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, (stack[-1][1] if stack else _top).under((name, *("." + x for x in marks.lower().split())))))
     if at < len(page):
         parts.append(page[at:])
     close()
     return out
 
 
-def weak_label(path: tuple[str, ...]) -> int:
+def weak_label(path: Path) -> int:
     """1 main text, 0 not, -1 unknown, by the block's ancestors; the innermost telling one but for rest within main."""
-    if any(REST.search(t) for t in path):
-        return 0
-    return 1 if any(MAIN.search(t) for t in path) else -1
+    return 0 if path.told & 1 else 1 if path.told & 2 else -1
 
 
 #: Elements that tell what they hold; stripped of it they are plain ones.
 TELLING = frozenset("article main nav footer aside header section form menu dialog figure".split())
 
 
-def plain(path: tuple[str, ...]) -> tuple[str, ...]:
+def plain(path: Path) -> Path:
     """A path without classes, its telling elements as ``div``."""
-    return tuple("div" if t in TELLING else t for t in path if not t.startswith("."))
+    for node in path._missing("bare"):
+        own = tuple("div" if t in TELLING else t for t in node.own if not t.startswith("."))
+        node.bare = node if node.above is None else node.above.bare.under(own)
+    return path.bare
 
 
 def density_label(text: str, linked: int) -> int:
@@ -143,7 +204,7 @@ def density_label(text: str, linked: int) -> int:
     return 0 if linked * 2 >= len(text) or (words <= 4 and not ends) else -1
 
 
-def labels_of(blocks: list[tuple[tuple[str, ...], str, int]]) -> list[int]:
+def labels_of(blocks: list[tuple[Path, str, int]]) -> list[int]:
     """Labels of a page's blocks by telling names, or by density if it has none."""
     named = [weak_label(p) for p, _, _ in blocks]
     return named if 1 in named else [density_label(t, k) for _, t, k in blocks]
@@ -155,7 +216,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
     return rng.normal(size=(PATH_ROWS, PATH_DIM)).astype(np.float32), (rng.normal(size=(WORD_ROWS, WORD_DIM)) * 2).astype(np.float32), {}
 
 
-def vectors(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def vectors(blocks: list[tuple[Path, str, int]]) -> np.ndarray:
     """One row a block (of one page or of many): hashed path, hashed words, measures."""
     if not blocks:
         return np.zeros((0, DIM), np.float32)
@@ -168,12 +229,7 @@ def vectors(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
     n_words = np.fromiter(map(len, split), np.int64, len(split))
     ids = np.fromiter((memory[w] for words in split for w in words), np.int64, int(n_words.sum()))
     words = np.add.reduceat(word_rows[ids], np.cumsum(n_words) - n_words, axis=0) / n_words[:, None]
-    of_path: dict[tuple[str, ...], np.ndarray] = {}
-    for path, _, _ in blocks:
-        if path not in of_path:
-            hashed = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % PATH_ROWS for t in path] or [0]
-            of_path[path] = path_rows[hashed].sum(axis=0) / 2
-    paths = np.stack([of_path[p] for p, _, _ in blocks])
+    paths = np.stack([p.total(path_rows) for p, _, _ in blocks]) / 2
     chars = np.array([len(t) for _, t, _ in blocks], np.float32)
     measures = np.stack([
         np.log1p(chars) / 3, np.log1p(n_words) / 3, np.array([k for _, _, k in blocks]) / chars,

@@ -67,3 +67,19 @@ def test_without_a_label_every_block_is_text(spark):
 def test_a_footer_far_above_still_tells():
     deep = blocks.blocks_of("<footer class='a b c d e f g site-footer'>" + "<div>" * 15 + "words" + "</div>" * 15 + "</footer>")
     assert blocks.weak_label(deep[0][0]) == 0 and len(deep[0][0]) > 20
+
+
+def test_deep_pages_take_time_by_their_length():
+    import time
+
+    for page in ("<div>" * 8000 + "x" + "<p>y" * 8000, "".join(f"<div class=c{k}><p>word {k}</p>" for k in range(8000)), "<ul><li>" * 8000 + "x</li>" * 8000):
+        began = time.process_time()
+        found = blocks.blocks_of(page)
+        assert blocks.vectors(found).shape == (len(found), blocks.DIM) and len(blocks.labels_of(found)) == len(found)
+        assert len([blocks.plain(p) for p, _, _ in found]) == len(found)
+        assert time.process_time() - began < 8  # work by the square of the depth takes longer
+    assert len(found[0][0]) == 16_000
+    before = list(blocks.blocks_of("<article class='a'><div><p>x</article>")[0][0])
+    for k in range(3):  # paths of earlier pages are forgotten
+        blocks.blocks_of("".join(f"<div id=n{k}-{n}>" for n in range(blocks.PATHS)) + "x")
+    assert list(blocks.blocks_of("<article class='a'><div><p>x</article>")[0][0]) == before == ["article", ".a", "div", "p"]
