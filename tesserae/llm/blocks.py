@@ -92,6 +92,9 @@ class Path:
             node = node.above
         return (t for own in reversed(chain) for t in own)
 
+    def __getitem__(self, k: int | slice) -> str | tuple[str, ...]:
+        return tuple(self)[k]
+
     def under(self, own: tuple[str, ...]) -> Path:
         found = self.below.get(own)
         if found is None:
