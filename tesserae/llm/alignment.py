@@ -29,6 +29,8 @@ from .tokens import _bytes_of, _Units, byte_letters, encoder
 
 #: Rows and bytes of text that are aligned together.
 SLICE_ROWS, SLICE_BYTES = 8192, 4 << 20
+#: Bytes of text of a slice that are in work at once, but for one long row: a worker's arrays are many times as large.
+PART_BYTES = 1 << 19
 #: Tokens of A between two places that may begin a lane.
 LANE = 96
 #: Units a worker remembers for each tokenizer.
@@ -182,10 +184,23 @@ NAMES = [c.split()[0] for c in ALIGNED.split(", ")]
 
 
 def align(texts: pa.Array, a: ByteTokens, b: PieceTokens) -> dict[str, np.ndarray | list]:
-    """All of a slice but its number and its doc_ids.
+    """All of a slice but its number and its doc_ids, made a part at a time.
 
     Texts that are null, empty or whose tokens don't join to a space and the text have zeros.
     """
+    found = [align_part(part.column(0), a, b) for part in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), SLICE_ROWS, PART_BYTES)]
+    # pairs are numbered anew for the whole slice; links keep their order
+    pairs, number = np.unique(np.concatenate([f["pairs"] for f in found]), return_inverse=True)
+    n = np.zeros(len(pairs), np.int64)
+    np.add.at(n, number, np.concatenate([f["n"] for f in found]))
+    own = np.split(number, np.cumsum([len(f["pairs"]) for f in found])[:-1])
+    kind = "<u4" if len(pairs) > 1 << 16 else "<u2"
+    whole = {c: np.concatenate([f[c] for f in found]) for c in ("n_a", "n_b", "n_groups", "n_links")}
+    return whole | {"groups_sha256": [x for f in found for x in f["groups_sha256"]], "links": b"".join(of[f["links"]].astype(kind).tobytes() for of, f in zip(own, found, strict=True)), "a": pairs >> 32, "b": pairs & 0xFFFFFFFF, "n": n}
+
+
+def align_part(texts: pa.Array, a: ByteTokens, b: PieceTokens) -> dict[str, np.ndarray | list]:
+    """Counts and digests of some texts, their distinct pairs of ids, how often each is linked, and the links as numbers of them."""
     led = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), pc.fill_null(texts.cast(pa.large_string()), ""), pa.scalar("", pa.large_string()))
     bounds, data = _bytes_of(led)
     (ids_a, n_a), (ids_b, n_b) = a.encode(led), b.encode(led)
@@ -215,10 +230,7 @@ def align(texts: pa.Array, a: ByteTokens, b: PieceTokens) -> dict[str, np.ndarra
         end = int(ends[behind[k] - 1])
         shas[k] = hashlib.sha256(text[begin:end]).hexdigest()
         begin = end
-    return {
-        "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": np.bincount(of_a[links_a], minlength=docs), "groups_sha256": shas,
-        "links": number.astype("<u4").tobytes() if len(pairs) > 1 << 16 else number.astype("<u2").tobytes(), "a": pairs >> 32, "b": pairs & 0xFFFFFFFF, "n": n,
-    }
+    return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": np.bincount(of_a[links_a], minlength=docs), "groups_sha256": shas, "pairs": pairs, "n": n, "links": number.astype("<u4")}
 
 
 def aligned_slices(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:

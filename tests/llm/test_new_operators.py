@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
@@ -234,3 +236,19 @@ def test_lanes_change_nothing():
         lanes = alignment.lockstep(a, b, np.append(0, np.intersect1d(a, b)))
         for x, y in zip(whole, lanes, strict=True):
             assert sorted(x.tolist()) == sorted(y.tolist())
+
+
+def test_a_slice_is_aligned_in_parts(monkeypatch):
+    """A worker's memory hangs on a part of a slice, and where the parts end changes nothing."""
+    a, b = alignment.tokenizers(BYTE, PIECES)
+    texts = pa.array([None if k % 97 == 0 else "" if k % 89 == 0 else " ".join(f"word{k * j % 61} und, Straße." for j in range(40 + k % 30)) for k in range(2500)], pa.large_string())
+    plain = lambda f: {k: v if isinstance(v, list | bytes) else v.tolist() for k, v in f.items()}
+    tracemalloc.start()
+    try:
+        own = plain(alignment.align(texts, a, b))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert texts.nbytes > 2 << 20 and most < 30 * texts.nbytes
+    monkeypatch.setattr(alignment, "PART_BYTES", texts.nbytes)
+    assert plain(alignment.align(texts, a, b)) == own
