@@ -218,3 +218,19 @@ def test_a_plan_is_applied_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     assert len(safewrite.backups(log)) == 2
     with pytest.raises(safewrite.PlanError):
         safewrite.roll_back(log, 1)
+
+
+def test_terms_are_a_row_a_note_and_field(spark, tmp_path):
+    """They are found once a version, and written and shuffled with their note's path once."""
+    notes = spark.createDataFrame([note(f"d/n{k}.md", f"t{k % 3}", [], " ".join(f"w{j % (k + 2)}" for j in range(40)), []) for k in range(20)], NOTE)
+    found = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda t: found.add(1) or t).asNondeterministic()
+    told = lambda df: parts_of(df) | {"terms": search.note_terms(df).withColumn("field", seen("field"))}
+    kept = upkeep.GraphUpkeep(NoteLog(spark, str(tmp_path / "log"), buckets=4))
+    kept.build(0, told(notes))
+    same(kept, notes)
+    assert spark.read.parquet(f"{tmp_path}/log/terms/v=0").count() == 60 == found.value
+    now = notes.withColumn("text", F.when(F.col("path") == "d/n4.md", "other w1").otherwise(F.col("text")))
+    kept.apply(1, now.where("path = 'd/n4.md'").select("path"), told(now.where("path = 'd/n4.md'")))
+    assert rows(kept.frequencies()) == rows(search.vocabulary(search.postings(now)))
+    assert spark.read.parquet(f"{tmp_path}/log/terms/v=1").count() == 3 == found.value - 60
